@@ -106,3 +106,28 @@ def row_positions(df: DataFrame, order_cols: list, name: str = "pos") -> DataFra
     """1-based global row number over a total order (replaces an ``over ()`` window)."""
     tmp = df.withColumn("__one", F.lit(1).cast("long"))
     return global_cumsum(tmp, order_cols, ["__one"]).withColumnRenamed("cum___one", name).drop("__one")
+
+
+def discrete_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile") -> DataFrame:
+    """Element quantiles (``percentile_disc``): the value at 0-based ascending
+    position ⌈n·q⌉−1 (position 0 for q = 0).  Returns (``q``, ``name``) rows."""
+    vc = value_counts_cum(df, col)
+    pos = (vc.agg(F.max("cum_cnt").alias("n"))
+              .select("n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
+              .select("q", F.greatest(F.ceil(F.col("n") * F.col("q")).cast("long") - 1, F.lit(0).cast("long"))
+                      .alias("i")))
+    v = vc.select(F.col(col).alias("v"), (F.col("cum_cnt") - F.col("cnt")).alias("a"), F.col("cum_cnt").alias("b"))
+    return (F.broadcast(pos).join(v, (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")))
+            .select("q", F.col("v").alias(name)))
+
+
+def edges_array(edges: DataFrame, name: str = "quantile") -> DataFrame:
+    """(q, value) rows → one row holding the sorted distinct edge values (tied
+    edges merge).  Size is bounded by the number of requested quantiles."""
+    return edges.agg(F.array_sort(F.collect_set(F.col(name).cast("double"))).alias("edges"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage for a result that several later passes read: reliable
+    checkpoint into ``spark.checkpoint.dir`` (survives executor loss)."""
+    return df.checkpoint(eager=True)

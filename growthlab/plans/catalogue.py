@@ -22,7 +22,7 @@ def query(name: str):
     return deco
 
 
-MODULES = ["q_summaries"]
+MODULES = ["q_summaries", "q_rfm"]
 
 
 def _load_all():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["o_summaries"]
+MODULES = ["o_summaries", "o_rfm"]
 
 
 def all_oracle() -> dict[str, str]:
