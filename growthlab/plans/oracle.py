@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["o_summaries", "o_rfm"]
+MODULES = ["o_summaries", "o_rfm", "o_ctr"]
 
 
 def all_oracle() -> dict[str, str]:
