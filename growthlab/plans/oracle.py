@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["o_summaries", "o_rfm", "o_ctr"]
+MODULES = ["o_summaries", "o_rfm", "o_ctr", "o_ranking"]
 
 
 def all_oracle() -> dict[str, str]:
