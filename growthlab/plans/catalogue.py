@@ -22,7 +22,7 @@ def query(name: str):
     return deco
 
 
-MODULES = ["q_summaries", "q_rfm", "q_ctr", "q_ranking", "q_diversity"]
+MODULES = ["q_summaries", "q_rfm", "q_ctr", "q_ranking", "q_diversity", "q_clv"]
 
 
 def _load_all():
