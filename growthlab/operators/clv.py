@@ -119,13 +119,29 @@ def rule_based_clv(margin, retention: float, discount: float) -> Column:
 def score(pre_post: DataFrame, m: BGNBD, g: GammaGamma, t: float, time: int = 6, discount: float = 0.1,
           freq: str = "D", floor: float | None = None) -> DataFrame:
     """Scored table: predicted purchases over t, P(alive), expected profit
-    (``avenue``), CLV, ``alive_status`` (P(alive) ≥ 0.5)."""
+    (``avenue``), CLV (and ``clv_adjusted`` with ``floor``), ``alive_status``
+    (P(alive) ≥ 0.5).  Each period's expectation is computed once (a column)
+    and shared by both CLV variants."""
     x, tx, T, mv = "frequency_cal", "recency_cal", "T_cal", "monetary_value"
-    return (pre_post.withColumn("predicted_purchases", expected_purchases(m, t, x, tx, T))
-                    .withColumn("palive", probability_alive(m, x, tx, T))
-                    .withColumn("avenue", expected_avg_profit(g, x, mv))
-                    .withColumn("clv", clv(m, g, x, tx, T, mv, time, discount, freq, floor))
-                    .withColumn("alive_status", F.when(F.col("palive") >= 0.5, 1).otherwise(0)))
+    f = _FACTOR[freq]
+    out = (pre_post.withColumn("predicted_purchases", expected_purchases(m, t, x, tx, T))
+                   .withColumn("palive", probability_alive(m, x, tx, T))
+                   .withColumn("avenue", expected_avg_profit(g, x, mv)))
+    out = out.withColumns({f"__e{i}": expected_purchases(m, i * f, x, tx, T) for i in range(1, time + 1)})
+    # keep the period expectations as materialised columns of one projection
+    out = out.select("*")
+    total, adj = F.lit(0.0), F.lit(0.0)
+    for i in range(1, time + 1):
+        d = F.col(f"__e{i}") - (F.col(f"__e{i - 1}") if i > 1 else F.lit(0.0))
+        total = total + F.col("avenue") * d / F.lit((1.0 + discount) ** i)
+        if floor is not None:
+            dd = F.when(F.isnan(d) | d.isNull() | (d < F.lit(floor)), F.lit(0.0)).otherwise(d)
+            adj = adj + F.col("avenue") * dd / F.lit((1.0 + discount) ** i)
+    out = out.withColumn("clv", total)
+    if floor is not None:
+        out = out.withColumn("clv_adjusted", adj)
+    return (out.withColumn("alive_status", F.when(F.col("palive") >= 0.5, 1).otherwise(0))
+               .drop(*[f"__e{i}" for i in range(1, time + 1)]))
 
 
 def frequency_recency_grid(m: BGNBD, max_freq: int, T, steps: int = 20, t: float = 1.0) -> DataFrame:

@@ -19,10 +19,8 @@ GG = L.GammaGamma(P.GG_P, P.GG_Q, P.GG_V)
 
 def scored(spark, sf):
     pp = materialize(pre_post(spark, sf))
-    return materialize(L.score(pp, BG, GG, P.HOLDOUT_T, P.CLV_MONTHS, P.CLV_DISCOUNT, P.CLV_FREQ)
-                       .withColumn("clv_adjusted", L.clv(BG, GG, "frequency_cal", "recency_cal", "T_cal",
-                                                         "monetary_value", P.CLV_MONTHS, P.CLV_DISCOUNT,
-                                                         P.CLV_FREQ, floor=P.CLV_ADJ_FLOOR)))
+    return materialize(L.score(pp, BG, GG, P.HOLDOUT_T, P.CLV_MONTHS, P.CLV_DISCOUNT, P.CLV_FREQ,
+                               floor=P.CLV_ADJ_FLOOR))
 
 
 def _ids(spark, sf, *cols):
