@@ -74,13 +74,21 @@ def value_counts_cum(df: DataFrame, col: str, ascending: bool = True) -> DataFra
     return global_cumsum(vc, order, ["cnt", "one"]).withColumnRenamed("cum_one", "dense_rank")
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile") -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile",
+                    bounded: bool = False) -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``percentile_cont`` definition):
     position h = (n-1)·q on the ascending order, value = x[⌊h⌋] + (h-⌊h⌋)·(x[⌈h⌉]-x[⌊h⌋]).
 
-    Distributed: distinct values with running counts, then the two order
-    statistics of each q are picked by a range predicate.  Returns
+    ``bounded=True`` (the column has few distinct values, e.g. day counts or
+    purchase frequencies bounded by the window length): Spark's exact
+    ``percentile`` aggregate, whose buffer holds one entry per distinct value.
+    Otherwise distributed: distinct values with running counts, then the two
+    order statistics of each q are picked by a range predicate.  Returns
     (``q``, ``name``) rows."""
+    if bounded:
+        arr = df.agg(F.percentile(F.col(col).cast("double"), [float(q) for q in qs]).alias("__v"))
+        return arr.select(F.posexplode("__v").alias("__i", name)).select(
+            F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("__i") + 1).alias("q"), name)
     vc = value_counts_cum(df, col)
     pos = (vc.agg(F.max("cum_cnt").alias("n"))
               .select("n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
@@ -97,8 +105,10 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quant
               .select("q", (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo"))).alias(name)))
 
 
-def quantile_value(df: DataFrame, col: str, q: float) -> DataFrame:
+def quantile_value(df: DataFrame, col: str, q: float, bounded: bool = False) -> DataFrame:
     """One-row DataFrame with column ``qv`` = exact quantile q of ``col``."""
+    if bounded:
+        return df.agg(F.percentile(F.col(col).cast("double"), float(q)).alias("qv"))
     return exact_quantiles(df, col, [q], "qv").select("qv")
 
 
@@ -108,9 +118,17 @@ def row_positions(df: DataFrame, order_cols: list, name: str = "pos") -> DataFra
     return global_cumsum(tmp, order_cols, ["__one"]).withColumnRenamed("cum___one", name).drop("__one")
 
 
-def discrete_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile") -> DataFrame:
+def discrete_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile",
+                       bounded: bool = False) -> DataFrame:
     """Element quantiles (``percentile_disc``): the value at 0-based ascending
-    position ⌈n·q⌉−1 (position 0 for q = 0).  Returns (``q``, ``name``) rows."""
+    position ⌈n·q⌉−1 (position 0 for q = 0).  Returns (``q``, ``name``) rows.
+    ``bounded=True`` uses Spark's ``percentile_disc`` aggregate (few distinct values)."""
+    if bounded:
+        aggs = [F.expr(f"percentile_disc({float(q)!r}) WITHIN GROUP (ORDER BY `{col}`)").alias(f"__q{i}")
+                for i, q in enumerate(qs)]
+        one = df.agg(*aggs)
+        return one.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"__q{i}").alias(name))
+                                             for i, q in enumerate(qs)])).alias("__s")).select("__s.q", f"__s.{name}")
     vc = value_counts_cum(df, col)
     pos = (vc.agg(F.max("cum_cnt").alias("n"))
               .select("n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))

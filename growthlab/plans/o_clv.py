@@ -172,3 +172,17 @@ ORACLE = {
                round(ln((frequency_cal + 1.0) * monetary_value + 1), 6) AS fm_log,
                round(ln((frequency_holdout + 1) * money_holdout + 1), 6) AS label FROM pre_post""", pre_post_ctes()),
 }
+
+_FEATS = ["frequency_cal", "recency_cal", "T_cal", "monetary_value", "f_sqrt", "f_log", "fm_log"]
+_FEAT_CTES = pre_post_ctes() + [
+    ("mf", """SELECT id, CAST(frequency_cal AS DOUBLE) AS frequency_cal, CAST(recency_cal AS DOUBLE) AS recency_cal,
+                CAST(T_cal AS DOUBLE) AS T_cal, monetary_value, sqrt(frequency_cal + 1.0) AS f_sqrt,
+                ln(frequency_cal + 1.0) AS f_log, ln((frequency_cal + 1.0) * monetary_value + 1) AS fm_log,
+                ln((frequency_holdout + 1) * money_holdout + 1) AS label,
+                ((id * 7919) % 1000 + 1000) % 1000 < 670 AS is_train FROM pre_post"""),
+    ("st", "SELECT " + ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS s_{c}" for c in _FEATS)
+     + " FROM mf WHERE is_train"),
+]
+ORACLE["standardised_features"] = with_views(V, "SELECT id, " + ", ".join(
+    f"round(({c} - m_{c}) / NULLIF(s_{c}, 0), 6) AS {c}" for c in _FEATS)
+    + ", round(label, 6) AS label, is_train FROM mf, st", _FEAT_CTES)

@@ -22,8 +22,9 @@ def customer_types(spark, sf):
 def rfm_table(spark, sf):
     sales = X.sales(spark, sf, P.RFM_START, P.RFM_END)
     types = customer_types(spark, sf)
-    r = R.trim_rfm(materialize(R.rfm(sales, P.RFM_START, P.RFM_END, types)))
-    return materialize(r.join(types, "customer_id"))
+    # aggregate first, then attach the type (inner join = restriction to campaign customers)
+    r = materialize(R.rfm(sales, P.RFM_START, P.RFM_END).join(types, "customer_id"))
+    return materialize(R.trim_rfm(r))
 
 
 @query("rfm")

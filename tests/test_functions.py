@@ -66,3 +66,17 @@ def test_exact_and_discrete_quantiles(spark):
     d = {r["q"]: r["quantile"] for r in discrete_quantiles(spark.range(1, 9).select(F.col("id").cast("double").alias("x")),
                                                              "x", [0.25, 0.5, 0.75]).collect()}
     assert [d[0.25], d[0.5], d[0.75]] == [2.0, 4.0, 6.0]
+
+
+def test_bounded_and_distributed_quantiles_agree(spark):
+    rng = np.random.default_rng(3)
+    vals = rng.integers(0, 12, 300).tolist()
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    qs = [0.1, 0.25, 0.5, 0.75, 0.99]
+    a = {r["q"]: r["quantile"] for r in exact_quantiles(df, "x", qs).collect()}
+    b = {r["q"]: r["quantile"] for r in exact_quantiles(df, "x", qs, bounded=True).collect()}
+    c = {r["q"]: r["quantile"] for r in discrete_quantiles(df, "x", qs).collect()}
+    d = {r["q"]: r["quantile"] for r in discrete_quantiles(df, "x", qs, bounded=True).collect()}
+    for q in qs:
+        assert a[q] == pytest.approx(b[q])
+        assert c[q] == d[q]
