@@ -436,3 +436,20 @@ def params_frame(spark, m: BGNBD, g: GammaGamma | None = None) -> DataFrame:
     if g is not None:
         row.update({"p": g.p, "q": g.q, "v": g.v})
     return spark.createDataFrame([row])
+
+
+def alive_history(txn: DataFrame, customers: DataFrame, first_day, last_day, m: BGNBD) -> DataFrame:
+    """LV11: P(alive) of the given customers on every day of [first_day, last_day],
+    each day scored on the summary as of that day (purchase days up to it).
+    Purchase days are distinct per customer, so the day grid join is bounded by
+    days × grid length even for a customer with very many rows."""
+    days = (txn.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
+               .where(F.col("dt") <= F.lit(last_day).cast("date")).select("customer_id", "dt").distinct())
+    grid = customers.select("customer_id").distinct().select(
+        "customer_id", F.explode(F.sequence(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))).alias("day"))
+    j = grid.join(days, "customer_id").where(F.col("dt") <= F.col("day"))
+    s = j.groupBy("customer_id", "day").agg((F.count(F.lit(1)) - 1).alias("frequency"),
+                                            F.datediff(F.max("dt"), F.min("dt")).alias("recency"),
+                                            F.datediff(F.col("day"), F.min("dt")).alias("T"))
+    return s.select("customer_id", "day", "frequency", "recency", "T",
+                    probability_alive(m, "frequency", "recency", "T").alias("p_alive"))

@@ -4,7 +4,7 @@ series is summed from log-gamma terms over a fixed 2,000-term range."""
 from __future__ import annotations
 
 from growthlab.plans import params as P
-from growthlab.plans.o_summaries import pre_post_ctes
+from growthlab.plans.o_summaries import CAL, cs_sql, pre_post_ctes
 from growthlab.plans.views_sql import with_views
 
 
@@ -186,3 +186,18 @@ _FEAT_CTES = pre_post_ctes() + [
 ORACLE["standardised_features"] = with_views(V, "SELECT id, " + ", ".join(
     f"round(({c} - m_{c}) / NULLIF(s_{c}, 0), 6) AS {c}" for c in _FEATS)
     + ", round(label, 6) AS label, is_train FROM mf, st", _FEAT_CTES)
+
+ORACLE["alive_history"] = with_views(V, f"""
+    SELECT g.customer_id, g.day, COUNT(*) - 1 AS frequency, CAST(date_diff('day', MIN(d.dt), MAX(d.dt)) AS INTEGER) AS recency,
+           CAST(date_diff('day', MIN(d.dt), g.day) AS INTEGER) AS T,
+           round(1.0 / (1.0 + CASE WHEN COUNT(*) - 1 > 0 THEN {L(a)} / ({L(b)} + (COUNT(*) - 1) - 1.0)
+             * pow(({L(al)} + date_diff('day', MIN(d.dt), g.day)) / ({L(al)} + date_diff('day', MIN(d.dt), MAX(d.dt))),
+                   {L(r)} + (COUNT(*) - 1)) ELSE 0.0 END), 6) AS p_alive
+    FROM (SELECT p.customer_id, CAST(UNNEST(generate_series(DATE '1999-12-31' - 299, DATE '1999-12-31', INTERVAL 1 DAY)) AS DATE) AS day
+          FROM pick p) g
+    JOIN (SELECT DISTINCT customer_id, dt FROM sales WHERE category_id = 'Brand#1'
+            AND dt BETWEEN DATE '1995-01-01' AND DATE '1999-12-31') d
+      ON g.customer_id = d.customer_id AND d.dt <= g.day
+    GROUP BY g.customer_id, g.day""", [
+    ("cs", cs_sql(*CAL)),
+    ("pick", "SELECT frequency, MIN(customer_id) AS customer_id FROM cs WHERE frequency IN (2, 4) GROUP BY frequency")])

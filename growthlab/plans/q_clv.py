@@ -65,6 +65,20 @@ def frequency_recency_grid(spark, sf):
     return round_doubles(L.frequency_recency_grid(BG, 20, t, 20, 1.0), 6)
 
 
+@query("alive_history")
+def alive_history(spark, sf):
+    """Two customers (smallest ids with 2 and 4 repeat purchases) over the last
+    300 days of the calibration window."""
+    import datetime as _dt
+    from growthlab.operators.summaries import customer_summary
+    from growthlab.sources import fixtures as X
+    sales = X.sales(spark, sf, P.CAL_START, P.CAL_END, P.CATEGORY)
+    summ = customer_summary(sales, P.CAL_START, P.CAL_END, P.CATEGORY)
+    pick = summ.where(F.col("frequency").isin(2, 4)).groupBy("frequency").agg(F.min("customer_id").alias("customer_id"))
+    first = P.CAL_END - _dt.timedelta(days=299)
+    return round_doubles(L.alive_history(sales, pick, first, P.CAL_END, BG), 6)
+
+
 @query("repeat_histogram")
 def repeat_histogram(spark, sf):
     return L.repeat_histogram(pre_post(spark, sf), 20)

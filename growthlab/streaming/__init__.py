@@ -1,0 +1,5 @@
+"""Incremental runners: the reference re-runs its analyses day by day over
+day-partitioned inputs; here new day partitions are picked up by a Structured
+Streaming file source and each micro-batch is handed to a batch operator."""
+
+from growthlab.streaming.daily import incremental_by_day  # noqa: F401
