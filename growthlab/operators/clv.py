@@ -5,8 +5,9 @@ and P(alive), Gamma-Gamma expected profit, discounted CLV) evaluated on the
 per-customer summary table.  The Gauss hypergeometric series of the expected
 purchases is an ``aggregate`` over a per-row bounded term count.  Fits
 (LV1, LV2) compress customers to distinct (x, t_x, T) / (x, m) rows with
-counts, and evaluate the likelihood and its numeric gradient as one Spark
-aggregate per optimiser step; only the parameter vector lives on the driver.
+counts, and evaluate the likelihood at a ladder of step lengths plus the
+numeric gradient at each of them as one Spark aggregate per optimiser step
+(BFGS); only the parameter vector lives on the driver.
 
 Formulas: Fader, Hardie & Lee (2005) for BG/NBD; Fader & Hardie (2013) for
 Gamma-Gamma; textbook retention CLV m·r/(1+d−r)."""
@@ -341,7 +342,7 @@ def gini(df: DataFrame, col: str) -> DataFrame:
 def bgnbd_loglik_terms(m: BGNBD) -> Column:
     """Per-row BG/NBD log-likelihood on columns x, t_x, T."""
     x, tx, T = F.col("x").cast("double"), F.col("t_x").cast("double"), F.col("T").cast("double")
-    r, al, a, b = (F.lit(v) for v in (m.r, m.alpha, m.a, m.b))
+    r, al, a, b = (v if isinstance(v, Column) else F.lit(v) for v in (m.r, m.alpha, m.a, m.b))
     a1 = lgamma(r + x) - lgamma(r) + r * F.log(al)
     a2 = lgamma(a + b) + lgamma(b + x) - lgamma(b) - lgamma(a + b + x)
     a3 = -(r + x) * F.log(al + T)
@@ -352,81 +353,108 @@ def bgnbd_loglik_terms(m: BGNBD) -> Column:
     return a1 + a2 + lse
 
 
-def _minimise(f, x0, iters=200, tol=1e-7):
-    """Nelder-Mead on the driver over a handful of log-parameters; every
-    evaluation of ``f`` is one Spark aggregate."""
+def _bfgs_batched(f_batch, x0, iters: int = 60, h: float = 1e-5, tol: float = 1e-9):
+    """Quasi-Newton (BFGS) minimisation where every iteration is ONE call of
+    ``f_batch`` (one Spark aggregate): it evaluates a ladder of step lengths
+    along the search direction together with the forward-difference gradient
+    points of each step, so the accepted point's gradient is already known."""
+    import numpy as np
+
     n = len(x0)
-    simplex = [list(x0)] + [[x0[j] + (0.5 if j == i else 0.0) for j in range(n)] for i in range(n)]
-    vals = [f(p) for p in simplex]
+    alphas = [2.0 ** -k for k in range(-2, 12)]
+
+    def with_grad_points(x):
+        return [list(x)] + [[x[j] + (h if j == i else 0.0) for j in range(n)] for i in range(n)]
+
+    vals = f_batch(with_grad_points(x0))
+    x = np.array(x0, dtype=float)
+    fx = vals[0]
+    g = np.array([(vals[1 + i] - fx) / h for i in range(n)])
+    H = np.eye(n)
     for _ in range(iters):
-        order = sorted(range(n + 1), key=lambda i: vals[i])
-        simplex = [simplex[i] for i in order]
-        vals = [vals[i] for i in order]
-        if abs(vals[-1] - vals[0]) < tol:
+        d = -H.dot(g)
+        if g.dot(d) >= 0:  # not a descent direction: restart from steepest descent
+            H = np.eye(n)
+            d = -g
+        pts = []
+        for a in alphas:
+            pts += with_grad_points((x + a * d).tolist())
+        res = f_batch(pts)
+        best = None
+        for k, a in enumerate(alphas):
+            fv = res[k * (n + 1)]
+            if fv <= fx + 1e-4 * a * g.dot(d) and (best is None or fv < best[1]):
+                best = (a, fv, k)
+        if best is None:
             break
-        cen = [sum(p[j] for p in simplex[:-1]) / n for j in range(n)]
-        ref = [cen[j] + (cen[j] - simplex[-1][j]) for j in range(n)]
-        fr = f(ref)
-        if fr < vals[0]:
-            exp_ = [cen[j] + 2 * (cen[j] - simplex[-1][j]) for j in range(n)]
-            fe = f(exp_)
-            simplex[-1], vals[-1] = (exp_, fe) if fe < fr else (ref, fr)
-        elif fr < vals[-2]:
-            simplex[-1], vals[-1] = ref, fr
-        else:
-            con = [cen[j] + 0.5 * (simplex[-1][j] - cen[j]) for j in range(n)]
-            fc = f(con)
-            if fc < vals[-1]:
-                simplex[-1], vals[-1] = con, fc
-            else:
-                best = simplex[0]
-                simplex = [best] + [[best[j] + 0.5 * (p[j] - best[j]) for j in range(n)] for p in simplex[1:]]
-                vals = [vals[0]] + [f(p) for p in simplex[1:]]
-    i = min(range(n + 1), key=lambda k: vals[k])
-    return simplex[i], vals[i]
+        a, fnew, k = best
+        xn = x + a * d
+        gn = np.array([(res[k * (n + 1) + 1 + i] - fnew) / h for i in range(n)])
+        s_, y_ = xn - x, gn - g
+        sy = s_.dot(y_)
+        if sy > 1e-12:
+            rho = 1.0 / sy
+            eye = np.eye(n)
+            H = (eye - rho * np.outer(s_, y_)).dot(H).dot(eye - rho * np.outer(y_, s_)) + rho * np.outer(s_, s_)
+        done = abs(fx - fnew) < tol * (1.0 + abs(fx))
+        x, fx, g = xn, fnew, gn
+        if done or np.linalg.norm(g) < 1e-7:
+            break
+    return x.tolist(), fx
+
+
+def _batch_nll(comp: DataFrame, terms, make, names: list[str], penalizer: float):
+    """f_batch over compressed rows: mean negative log-likelihood (+ ridge
+    penalty on the parameters) of many parameter vectors in one job.  The
+    parameter vectors are a small broadcast table (one row each, at most a few
+    dozen), so the likelihood expression is compiled once and grouped by vector."""
+    spark = comp.sparkSession
+
+    def f_batch(lps):
+        # log-parameters are clipped to a finite range (exp stays representable)
+        lps = [[min(max(v, -30.0), 30.0) for v in lp] for lp in lps]
+        rows = [(i, *[float(math.exp(v)) for v in lp]) for i, lp in enumerate(lps)]
+        pt = spark.createDataFrame(rows, "pid int, " + ", ".join(f"{n} double" for n in names))
+        m = make(*[F.col(n) for n in names])
+        ll = (comp.join(F.broadcast(pt)).groupBy("pid")
+                  .agg((F.sum(terms(m) * F.col("w")) / F.sum("w")).alias("ll")).collect())
+        got = {r["pid"]: r["ll"] for r in ll}
+        out = []
+        for i, lp in enumerate(lps):
+            v = got.get(i)
+            bad = v is None or math.isnan(v) or math.isinf(v)
+            out.append(1e100 if bad else -v + penalizer * sum(math.exp(t) ** 2 for t in lp))
+        return out
+    return f_batch
 
 
 def fit_bgnbd(summary: DataFrame, x="frequency_cal", t_x="recency_cal", T="T_cal", penalizer: float = 0.0,
-              iters: int = 200) -> BGNBD:
+              iters: int = 60) -> BGNBD:
     """LV1: maximum likelihood (optionally ridge-penalised on the parameters) of
     BG/NBD.  Customers are compressed to distinct (x, t_x, T) with counts and
     checkpointed; each likelihood evaluation is one aggregate over them."""
     comp = (summary.groupBy(F.col(x).alias("x"), F.col(t_x).alias("t_x"), F.col(T).alias("T"))
                    .agg(F.count(F.lit(1)).alias("w")).checkpoint())
 
-    def nll(lp):
-        m = BGNBD(*[math.exp(v) for v in lp])
-        ll = comp.agg((F.sum(bgnbd_loglik_terms(m) * F.col("w")) / F.sum("w")).alias("ll")).first()["ll"]
-        if ll is None or math.isnan(ll):
-            return 1e100
-        return -ll + penalizer * sum(math.exp(v) ** 2 for v in lp)
-
-    best, _ = _minimise(nll, [0.0, 0.0, 0.0, 0.0], iters)
+    best, _ = _bfgs_batched(_batch_nll(comp, bgnbd_loglik_terms, BGNBD, ["r", "alpha", "a", "b"], penalizer), [0.0, 0.0, 0.0, 0.0], iters)
     return BGNBD(*[math.exp(v) for v in best])
 
 
 def gg_loglik_terms(g: GammaGamma) -> Column:
     x, mv = F.col("x").cast("double"), F.col("m").cast("double")
-    p, q, v = (F.lit(t) for t in (g.p, g.q, g.v))
+    p, q, v = (t if isinstance(t, Column) else F.lit(t) for t in (g.p, g.q, g.v))
     return (lgamma(p * x + q) - lgamma(p * x) - lgamma(q) + q * F.log(v) + (p * x - 1.0) * F.log(mv)
             + p * x * F.log(x) - (p * x + q) * F.log(v + x * mv))
 
 
 def fit_gamma_gamma(summary: DataFrame, x="frequency_cal", money="monetary_value", penalizer: float = 0.0,
-                    iters: int = 200) -> GammaGamma:
+                    iters: int = 60) -> GammaGamma:
     """LV2: Gamma-Gamma fit on customers with x > 0 and money > 0."""
     comp = (summary.where((F.col(x) > 0) & (F.col(money) > 0))
                    .groupBy(F.col(x).alias("x"), F.col(money).alias("m")).agg(F.count(F.lit(1)).alias("w"))
                    .checkpoint())
 
-    def nll(lp):
-        g = GammaGamma(*[math.exp(v) for v in lp])
-        ll = comp.agg((F.sum(gg_loglik_terms(g) * F.col("w")) / F.sum("w")).alias("ll")).first()["ll"]
-        if ll is None or math.isnan(ll):
-            return 1e100
-        return -ll + penalizer * sum(math.exp(v) ** 2 for v in lp)
-
-    best, _ = _minimise(nll, [0.0, 0.0, 0.0], iters)
+    best, _ = _bfgs_batched(_batch_nll(comp, gg_loglik_terms, GammaGamma, ["p", "q", "v"], penalizer), [0.0, 0.0, 0.0], iters)
     return GammaGamma(*[math.exp(v) for v in best])
 
 

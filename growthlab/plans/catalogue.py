@@ -8,6 +8,7 @@ same values; arrays are turned into delimited strings.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str):
+    """Register ``fn(spark, sf_dir)`` under ``name``.  The registered callable
+    first makes sure the session has a checkpoint folder (the cluster's
+    ``spark.checkpoint.dir``, or a scratch one only when none is set)."""
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from growthlab.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         return fn
     return deco
 

@@ -83,7 +83,7 @@ def test_bgnbd_fit_recovers_likelihood_optimum(spark):
         tx = 0.0 if x == 0 else round(random.uniform(1, T), 1)
         rows.append((i, x, tx, T))
     df = spark.createDataFrame(rows, "id long, frequency_cal long, recency_cal double, T_cal double")
-    m = L.fit_bgnbd(df, iters=60)
+    m = L.fit_bgnbd(df)
     comp = df.select(F.col("frequency_cal").alias("x"), F.col("recency_cal").alias("t_x"), F.col("T_cal").alias("T"))
     ll_fit = comp.agg(F.avg(L.bgnbd_loglik_terms(m))).first()[0]
     ll_ref = comp.agg(F.avg(L.bgnbd_loglik_terms(L.BGNBD(0.243, 4.414, 0.793, 2.426)))).first()[0]
