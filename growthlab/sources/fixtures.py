@@ -29,12 +29,13 @@ from growthlab.sources.io import table
 
 def _ts_bounds(col, start, end):
     """``start <= to_date(col) <= end`` written on the raw timestamp (pushable)."""
+    # literals are built from strings: independent of the Python and session time zones
     cond = F.lit(True)
     if start is not None:
-        cond = cond & (col >= F.lit(_dt.datetime.combine(start, _dt.time())).cast("timestamp_ntz"))
+        cond = cond & (col >= F.lit(f"{start.isoformat()} 00:00:00").cast("timestamp_ntz"))
     if end is not None:
-        nxt = _dt.datetime.combine(end + _dt.timedelta(days=1), _dt.time())
-        cond = cond & (col < F.lit(nxt).cast("timestamp_ntz"))
+        nxt = end + _dt.timedelta(days=1)
+        cond = cond & (col < F.lit(f"{nxt.isoformat()} 00:00:00").cast("timestamp_ntz"))
     return cond
 
 
