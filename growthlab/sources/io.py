@@ -47,6 +47,26 @@ def read_map_table(spark: SparkSession, path: str, c0: str, c1: str) -> DataFram
     return spark.read.schema(f"`{c0}` string, `{c1}` string").option("header", False).csv(path)
 
 
+def read_csv_parts_with_date(spark: SparkSession, path: str, schema: T.StructType | str, date_col: str,
+                             fmt: str = "yyyy-MM-dd") -> DataFrame:
+    """SRC9: every CSV part under ``path`` in one scan (header, explicit schema),
+    ``date_col`` parsed to a date."""
+    df = spark.read.schema(schema).option("header", True).csv(path)
+    return df.withColumn(date_col, F.to_date(F.col(date_col).cast("string"), fmt))
+
+
+def as_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """SRC12 typed read (``.as[CaseClass]``): keep the declared fields, in order,
+    cast to the declared types (``try_cast``: a bad value becomes null)."""
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def drop_null_ids(df: DataFrame, col: str = "customer_id") -> DataFrame:
+    """FLT2: drop null ids and the string sentinel ``"null"``."""
+    c = F.col(col)
+    return df.where(c.isNotNull() & (c.cast("string") != F.lit("null")))
+
+
 def latest_snapshot(df: DataFrame, col: str = "dt") -> DataFrame:
     """Rows of the newest snapshot (``col = max(col)``).
 
@@ -59,9 +79,7 @@ def latest_snapshot(df: DataFrame, col: str = "dt") -> DataFrame:
 def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ("dt",)) -> None:
     """Partitioned Parquet overwrite that replaces only the partitions present
     in ``df`` (dynamic partition overwrite)."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    w = df.write.mode("overwrite")
+    w = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     cols = list(partition_by or ())
     if cols:
         w = w.partitionBy(*cols)

@@ -68,3 +68,18 @@ def test_incremental_by_day_matches_batch(spark):
     want = metrics(be).select("dt", "cma_id", "experiment_group_name", "impressions_total")
     assert sorted(got.collect()) == sorted(want.collect())
     _ = T
+
+
+def test_csv_parts_typed_read_and_null_ids(spark):
+    d = tempfile.mkdtemp(prefix="gl-parts-", dir="/tmp")
+    rows = [("1", "2024-01-02", "0.5"), ("2", "2024-01-03", "x"), ("null", "2024-01-04", "1.0")]
+    df = spark.createDataFrame(rows, "customer_id string, date string, p string")
+    df.repartition(3).write.option("header", True).csv(f"{d}/parts")
+    back = IO.read_csv_parts_with_date(spark, f"{d}/parts", "customer_id string, date string, p string", "date")
+    assert dict(back.dtypes)["date"] == "date" and back.count() == 3
+    typed = IO.as_schema(back, T.StructType([T.StructField("customer_id", T.LongType()),
+                                             T.StructField("p", T.DoubleType())]))
+    assert typed.columns == ["customer_id", "p"]
+    assert sorted((r["customer_id"], r["p"]) for r in typed.where(F.col("customer_id").isNotNull()).collect()) == \
+        [(1, 0.5), (2, None)]
+    assert IO.drop_null_ids(back).count() == 2
