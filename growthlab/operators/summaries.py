@@ -25,13 +25,15 @@ def _window(df: DataFrame, start, end, category=None, date_col="dt", cat_col="ca
 
 def history_summary(sales: DataFrame, start, end, category=None, keys=("customer_id",),
                     price_col="selling_price", with_money=True, with_total=True,
-                    price_as_int=False) -> DataFrame:
+                    price_as_int=False, include_first=True) -> DataFrame:
     """CS1 / CS2 / CS6: per key, over the inclusive window [start, end]:
 
     * ``frequency`` = distinct purchase days − 1
     * ``recency``   = last day − first day (0 for a single day)
     * ``T``         = window end − first day
-    * ``monetary_value`` = mean price over all rows, ``total_value`` = sum."""
+    * ``monetary_value`` = mean price over all rows, ``total_value`` = sum.
+      With ``include_first=False`` the library convention instead: mean of the
+      daily totals of the repeat days (first day excluded), 0 without repeats."""
     keys = list(keys)
     s = _window(sales, start, end, category)
     price = F.col(price_col).cast("int").cast("double") if price_as_int else F.col(price_col)
@@ -40,11 +42,16 @@ def history_summary(sales: DataFrame, start, end, category=None, keys=("customer
     aggs = [F.count(F.lit(1)).alias("tx_cnt"), F.min("dt").alias("min_dt"), F.max("dt").alias("max_dt")]
     if with_money:
         aggs += [F.sum("v").alias("tv"), F.sum("n").alias("tn")]
+        if not include_first:
+            aggs.append(F.min_by("v", "dt").alias("v_first"))
     a = daily.groupBy(*keys).agg(*aggs)
     cols = [*keys, (F.col("tx_cnt") - 1).alias("frequency"),
             F.datediff("max_dt", "min_dt").alias("recency")]
-    if with_money:
+    if with_money and include_first:
         cols.append(mean_units("tv", "tn").alias("monetary_value"))
+    elif with_money:
+        cols.append(F.when(F.col("tx_cnt") > 1, mean_units(F.col("tv") - F.col("v_first"), F.col("tx_cnt") - 1))
+                    .otherwise(F.lit(0.0)).alias("monetary_value"))
     cols.append(F.datediff(F.lit(end).cast("date"), F.col("min_dt")).alias("T"))
     if with_money and with_total:
         cols.append(units_to_money("tv").alias("total_value"))

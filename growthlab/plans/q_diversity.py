@@ -10,7 +10,7 @@ from growthlab.operators import diversity as DV
 from growthlab.operators import sequences as SQ
 from growthlab.plans import params as P
 from growthlab.plans.catalogue import query
-from growthlab.plans.q_ranking import actual, scores, topk
+from growthlab.plans.q_ranking import scores, topk
 from growthlab.sources import fixtures as X
 
 CATS = [str(i) for i in range(1, 13)]
@@ -112,5 +112,3 @@ def topk_agreement(spark, sf):
     sales = AG.category_share(_sales_rows(spark, sf).join(X.category_map(spark, sf).select("cma_id"), "cma_id"))
     return round_doubles(AG.topk_agreement(pred, sales), 6)
 
-
-_ = actual

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from growthlab.functions.columns import hash_sample, round_doubles
 from growthlab.operators import summaries as S
 from growthlab.plans import params as P
@@ -102,5 +100,3 @@ def avg_pct_rank(spark, sf):
 def hash_split(spark, sf):
     return round_doubles(hash_sample(_cal_summary(spark, sf), "customer_id", 0.3))
 
-
-_ = F

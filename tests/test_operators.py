@@ -88,3 +88,12 @@ def test_bgnbd_fit_recovers_likelihood_optimum(spark):
     ll_fit = comp.agg(F.avg(L.bgnbd_loglik_terms(m))).first()[0]
     ll_ref = comp.agg(F.avg(L.bgnbd_loglik_terms(L.BGNBD(0.243, 4.414, 0.793, 2.426)))).first()[0]
     assert ll_fit >= ll_ref - 1e-6
+
+
+def test_summary_repeat_only_money(spark):
+    rows = [(1, "c", D(2000, 1, 1), 10.0), (1, "c", D(2000, 1, 2), 20.0), (1, "c", D(2000, 1, 2), 6.0),
+            (2, "c", D(2000, 1, 3), 8.0)]
+    sales = spark.createDataFrame(rows, "customer_id long, category_id string, dt date, selling_price double")
+    out = {r["customer_id"]: r["monetary_value"]
+           for r in S.history_summary(sales, D(2000, 1, 1), D(2000, 1, 31), include_first=False).collect()}
+    assert out[1] == pytest.approx(26.0) and out[2] == pytest.approx(0.0)

@@ -67,7 +67,6 @@ def test_incremental_by_day_matches_batch(spark):
     got = spark.read.parquet(f"{d}/out").select("dt", "cma_id", "experiment_group_name", "impressions_total")
     want = metrics(be).select("dt", "cma_id", "experiment_group_name", "impressions_total")
     assert sorted(got.collect()) == sorted(want.collect())
-    _ = T
 
 
 def test_csv_parts_typed_read_and_null_ids(spark):
