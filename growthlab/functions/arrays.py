@@ -13,6 +13,18 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(fn, **exprs) -> Column:
+    """Evaluate each expression once and hand it to ``fn`` as a lambda variable.
+
+    Higher-order functions inline their argument expressions into the lambda
+    body; an array built by sorting (e.g. ``top_ids``) that is read inside a
+    nested lambda would be rebuilt on every iteration.  Binding it through a
+    one-element ``transform`` computes it once per row."""
+    names = list(exprs)
+    st = F.struct(*[exprs[k].alias(k) for k in names])
+    return F.element_at(F.transform(F.array(st), lambda s: fn(*[s[k] for k in names])), 1)
+
+
 def top_ids(scores, n: int | None, ties: str = "asc", id_field: str = "category_id",
             score_field: str = "probability") -> Column:
     """Category ids of a score array ordered by score descending, first ``n``

@@ -54,7 +54,7 @@ def global_cumsum(df: DataFrame, order_cols: list, sum_cols: list[str], prefix:
                 pdf[prefix + c] = cs
             yield pdf
 
-    loc = ranged.mapInPandas(local, schema).checkpoint()
+    loc = materialize(ranged.mapInPandas(local, schema))
     tot = loc.groupBy(PID).agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias("__t_" + c) for c in sum_cols])
     # one row per partition: a bounded, tiny window
     w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -146,6 +146,12 @@ def edges_array(edges: DataFrame, name: str = "quantile") -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage for a result that several later passes read: reliable
-    checkpoint into ``spark.checkpoint.dir`` (survives executor loss)."""
+    """Cut lineage for a result that several later passes read: an eager,
+    reliable ``checkpoint()`` into the session's ``spark.checkpoint.dir`` (a
+    shared, durable folder on a cluster; set only when unset, as in tests).
+    The data is computed once and written by the same job; a lost executor
+    afterwards only costs re-reading the checkpoint files."""
+    from growthlab.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from growthlab.functions.arrays import top_ids
-from growthlab.functions.ordered import discrete_quantiles, value_counts_cum
+from growthlab.functions.arrays import let, top_ids
+from growthlab.functions.ordered import discrete_quantiles, materialize, value_counts_cum
 
 
 def kendall_tau_b(x: Column, y: Column) -> Column:
     """τ-b = (C − D) / √((n0 − n1)(n0 − n2)); null when either side is constant
-    or the lengths differ."""
+    or the lengths differ.  The two arrays are evaluated once per row (``let``)."""
+    return let(_kendall_core, x=x, y=y)
+
+
+def _kendall_core(x: Column, y: Column) -> Column:
     n = F.size(x)
     idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("tx"), F.lit(0).alias("ty"))
@@ -39,10 +43,10 @@ def category_rank_arrays(scores: DataFrame, categories: list[str], missing_rank:
     """Rank arrays: for each listed category its rank in the customer's scores
     (descending, ties by id), ``missing_rank`` (default len+1) when unscored."""
     miss = missing_rank if missing_rank is not None else len(categories) + 1
-    ids = top_ids("category_trend_scores", None, "asc")
     cats = F.array(*[F.lit(c) for c in categories])
-    ranks = F.transform(cats, lambda c: F.when(F.array_position(ids, c) > 0, F.array_position(ids, c))
-                        .otherwise(F.lit(miss).cast("long")))
+    ranks = let(lambda ids: F.transform(cats, lambda c: F.when(F.array_position(ids, c) > 0, F.array_position(ids, c))
+                                        .otherwise(F.lit(miss).cast("long"))),
+                ids=top_ids("category_trend_scores", None, "asc"))
     return scores.select("customer_id", ranks.alias("ranks"))
 
 
@@ -108,8 +112,8 @@ def spearman(df: DataFrame, c1: str, c2: str) -> DataFrame:
     correlation of average ranks (distributed ranks, no one-task window)."""
     d = df.select(F.coalesce(F.col(c1).cast("double"), F.lit(0.0)).alias("a"),
                   F.coalesce(F.col(c2).cast("double"), F.lit(0.0)).alias("b"))
-    d = d.where((F.col("a") != 0) | (F.col("b") != 0)).withColumn("__id", F.monotonically_increasing_id())
-    d = d.checkpoint()
+    d = d.where((F.col("a") != 0) | (F.col("b") != 0))
+    d = materialize(d)
 
     def avg_rank(col):
         vc = value_counts_cum(d, col)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from growthlab.functions.ordered import exact_quantiles, value_counts_cum
+from growthlab.functions.ordered import exact_quantiles, materialize, value_counts_cum
 from growthlab.functions.special import lgamma
 
 
@@ -297,7 +297,7 @@ def value_concentration(df: DataFrame, col: str, id_col: str, q: float = 0.99) -
     from growthlab.functions.ordered import global_cumsum, quantile_value
     d = df.select(id_col, F.coalesce(F.col(col).cast("double"), F.lit(0.0)).alias("value"))
     d = d.join(F.broadcast(quantile_value(d, "value", q)), F.col("value") < F.col("qv"), "left_semi")
-    d = d.withColumn("one", F.lit(1).cast("long")).checkpoint()
+    d = materialize(d.withColumn("one", F.lit(1).cast("long")))
     c = global_cumsum(d, [F.desc("value"), F.asc(id_col)], ["value", "one"])
     tot = d.agg(F.sum("value").alias("__v"), F.count(F.lit(1)).alias("__n"))
     nid = F.col("cum_one") - 1
@@ -312,7 +312,7 @@ def percentile_curve(df: DataFrame, col: str, id_col: str, q: float = 0.99) -> D
     y = dense percentile rank of the value, descending."""
     from growthlab.functions.ordered import quantile_value, row_positions
     d = df.select(id_col, F.coalesce(F.col(col).cast("double"), F.lit(0.0)).alias("value"))
-    d = d.join(F.broadcast(quantile_value(d, "value", q)), F.col("value") < F.col("qv"), "left_semi").checkpoint()
+    d = materialize(d.join(F.broadcast(quantile_value(d, "value", q)), F.col("value") < F.col("qv"), "left_semi"))
     pos = row_positions(d, [F.desc("value"), F.asc(id_col)], "pos")
     vc = value_counts_cum(d, "value", ascending=False)
     nd = vc.agg(F.max("dense_rank").alias("__nd"), F.sum("cnt").alias("__n"))
@@ -434,7 +434,8 @@ def fit_bgnbd(summary: DataFrame, x="frequency_cal", t_x="recency_cal", T="T_cal
     BG/NBD.  Customers are compressed to distinct (x, t_x, T) with counts and
     checkpointed; each likelihood evaluation is one aggregate over them."""
     comp = (summary.groupBy(F.col(x).alias("x"), F.col(t_x).alias("t_x"), F.col(T).alias("T"))
-                   .agg(F.count(F.lit(1)).alias("w")).checkpoint())
+                   .agg(F.count(F.lit(1)).alias("w")))
+    comp = materialize(comp)
 
     best, _ = _bfgs_batched(_batch_nll(comp, bgnbd_loglik_terms, BGNBD, ["r", "alpha", "a", "b"], penalizer), [0.0, 0.0, 0.0, 0.0], iters)
     return BGNBD(*[math.exp(v) for v in best])
@@ -452,7 +453,8 @@ def fit_gamma_gamma(summary: DataFrame, x="frequency_cal", money="monetary_value
     """LV2: Gamma-Gamma fit on customers with x > 0 and money > 0."""
     comp = (summary.where((F.col(x) > 0) & (F.col(money) > 0))
                    .groupBy(F.col(x).alias("x"), F.col(money).alias("m")).agg(F.count(F.lit(1)).alias("w"))
-                   .checkpoint())
+                   )
+    comp = materialize(comp)
 
     best, _ = _bfgs_batched(_batch_nll(comp, gg_loglik_terms, GammaGamma, ["p", "q", "v"], penalizer), [0.0, 0.0, 0.0], iters)
     return GammaGamma(*[math.exp(v) for v in best])

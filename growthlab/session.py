@@ -43,8 +43,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset
-    (local tests).  Lineage is cut with ``DataFrame.checkpoint()`` (reliable), never
-    ``localCheckpoint``."""
+    (local tests).  Lineage is cut with reliable checkpoints into this folder
+    (``functions.ordered.materialize``), never ``localCheckpoint``."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
