@@ -70,9 +70,9 @@ def probability_alive(m: BGNBD, x, t_x, T) -> Column:
     return bg_inv_d(m, x, t_x, T)
 
 
-def expected_purchases(m: BGNBD, t, x, t_x, T) -> Column:
-    """LV3 conditional expected number of purchases in (T, T + t]:
-    (a+b+x−1)/(a−1) · [1 − (1−z)^(a−1) · 2F1(a+b−1−r, a−1; a+b+x−1; z)] · P(alive),
+def purchase_factor(m: BGNBD, t, x, T) -> Column:
+    """The part of the expected purchases that does not depend on recency:
+    (a+b+x−1)/(a−1) · [1 − (1−z)^(a−1) · 2F1(a+b−1−r, a−1; a+b+x−1; z)],
     z = t/(α+T+t) (Euler-transformed series, stable for large t)."""
     x, T = _c(x).cast("double"), _c(T).cast("double")
     tt = t if isinstance(t, Column) else F.lit(float(t))
@@ -80,8 +80,14 @@ def expected_purchases(m: BGNBD, t, x, t_x, T) -> Column:
     cc = F.lit(m.a + m.b - 1.0) + x
     h = hyp2f1_series(m.a + m.b - 1.0 - m.r, m.a - 1.0, cc, z)
     pre = cc / F.lit(m.a - 1.0)
-    val = pre * (F.lit(1.0) - F.pow(F.lit(1.0) - z, F.lit(m.a - 1.0)) * h) * bg_inv_d(m, x, t_x, T)
-    return F.when(tt <= 0, F.lit(0.0)).otherwise(val)
+    return pre * (F.lit(1.0) - F.pow(F.lit(1.0) - z, F.lit(m.a - 1.0)) * h)
+
+
+def expected_purchases(m: BGNBD, t, x, t_x, T) -> Column:
+    """LV3 conditional expected number of purchases in (T, T + t]:
+    ``purchase_factor`` · P(alive)."""
+    tt = t if isinstance(t, Column) else F.lit(float(t))
+    return F.when(tt <= 0, F.lit(0.0)).otherwise(purchase_factor(m, tt, x, T) * bg_inv_d(m, x, t_x, T))
 
 
 def expected_avg_profit(g: GammaGamma, x, money) -> Column:
@@ -125,12 +131,19 @@ def score(pre_post: DataFrame, m: BGNBD, g: GammaGamma, t: float, time: int = 6,
     and shared by both CLV variants."""
     x, tx, T, mv = "frequency_cal", "recency_cal", "T_cal", "monetary_value"
     f = _FACTOR[freq]
-    out = (pre_post.withColumn("predicted_purchases", expected_purchases(m, t, x, tx, T))
-                   .withColumn("palive", probability_alive(m, x, tx, T))
-                   .withColumn("avenue", expected_avg_profit(g, x, mv)))
-    out = out.withColumns({f"__e{i}": expected_purchases(m, i * f, x, tx, T) for i in range(1, time + 1)})
-    # keep the period expectations as materialised columns of one projection
-    out = out.select("*")
+    horizons = {"predicted_purchases": float(t), **{f"__e{i}": i * f for i in range(1, time + 1)}}
+    # the series depends on (x, T) only: evaluate it once per distinct pair (at most
+    # max frequency × window days rows, however many customers) and join it back
+    pairs = pre_post.select(F.col(x).alias("__x"), F.col(T).alias("__T")).distinct()
+    pairs = pairs.select("__x", "__T", *[purchase_factor(m, h, "__x", "__T").alias("__f" + k)
+                                          for k, h in horizons.items()])
+    out = pre_post.join(pairs, (F.col(x) == F.col("__x")) & (F.col(T) == F.col("__T")))
+    inv_d = bg_inv_d(m, x, tx, T)
+    out = out.select(*pre_post.columns, *[(F.col("__f" + k) * inv_d).alias(k) for k in horizons])
+    out = (out.withColumn("palive", probability_alive(m, x, tx, T))
+              .withColumn("avenue", expected_avg_profit(g, x, mv)))
+    out = out.select(*pre_post.columns, "predicted_purchases", "palive", "avenue",
+                     *[f"__e{i}" for i in range(1, time + 1)])
     total, adj = F.lit(0.0), F.lit(0.0)
     for i in range(1, time + 1):
         d = F.col(f"__e{i}") - (F.col(f"__e{i - 1}") if i > 1 else F.lit(0.0))
