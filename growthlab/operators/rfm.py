@@ -44,7 +44,7 @@ def _bucket_upper_closed(x: Column, edges: Column) -> Column:
 
 
 def quantile_buckets(df: DataFrame, col: str, n: int, out: str, right_closed: bool = False,
-                     interpolate: bool = False, bounded: bool = False) -> DataFrame:
+                     interpolate: bool = False, bounded: bool | None = None) -> DataFrame:
     """Add ``out`` = 0-based quantile bucket of ``col`` with ``n`` buckets.
 
     * default: ``QuantileDiscretizer``-style, element-quantile edges, ``[lo, hi)``

@@ -92,7 +92,7 @@ def calibration_holdout(txn: DataFrame, cal_start, cal_end, obs_end, category=No
                        dur.alias("duration_holdout")))
 
 
-def quantile_trim(df: DataFrame, col: str, q: float = 0.99, bounded: bool = False) -> DataFrame:
+def quantile_trim(df: DataFrame, col: str, q: float = 0.99, bounded: bool | None = None) -> DataFrame:
     """FLT8: keep rows with ``col`` strictly below its exact q-quantile (linear
     interpolation).  The threshold is a one-row table joined by broadcast.
     ``bounded``: the column has few distinct values (frequencies, day counts)."""
