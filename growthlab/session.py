@@ -49,7 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        # local/test only: no cluster-wide folder was configured
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is not reachable by the other executors
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                               "distributed file system) before running growthlab jobs")
+        # local mode (tests): a scratch folder of this machine
         d = tempfile.mkdtemp(prefix="growthlab-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(d)
     return d
