@@ -121,21 +121,25 @@ def _group_shares(m: DataFrame) -> DataFrame:
 
 def ab_comparison(metrics: DataFrame, valid: DataFrame, a: str = "raw", b: str = "rt") -> DataFrame:
     """AB3: per day, group ``a`` vs group ``b`` side by side (``_raw`` / ``_rt``
-    suffixes), full outer join on category name, each side left-joined to the
-    valid-category list (``sale_category_id`` null when not valid)."""
+    suffixes) by category name, each side with the valid-category id
+    (``sale_category_id``, null when not valid).
+
+    One aggregation over (day, category) with conditional columns instead of
+    two filtered copies and a full outer join: a category seen by one group only
+    gets nulls on the other side, as with the outer join, and the metrics table
+    is read once."""
     v = valid.select("dt", "cma_id").distinct().withColumn("sale_category_id", F.col("cma_id"))
     s = _group_shares(metrics).join(v, ["dt", "cma_id"], "left")
-
-    def side(g, suffix, drop_id=False):
-        d = s.where(F.col("experiment_group_name") == g).drop("experiment_group_name")
-        if drop_id:
-            d = d.drop("cma_id")
-        return d.toDF(*[c if c == "dt" else c + suffix for c in d.columns]).withColumnRenamed("dt", "dt" + suffix)
-
-    ra, rb = side(a, "_raw"), side(b, "_rt", drop_id=True)
-    j = ra.join(rb, (F.col("dt_raw") == F.col("dt_rt")) & (F.col("category_name_raw") == F.col("category_name_rt")),
-                "full")
-    return j.withColumn("dt", F.coalesce("dt_raw", "dt_rt")).drop("dt_raw", "dt_rt")
+    g = F.col("experiment_group_name")
+    vals = [c for c in s.columns if c not in ("dt", "experiment_group_name", "category_name")]
+    aggs = []
+    for suffix, grp in (("_raw", a), ("_rt", b)):
+        aggs.append(F.max(F.when(g == grp, F.col("category_name"))).alias("category_name" + suffix))
+        for c in vals:
+            if suffix == "_rt" and c == "cma_id":
+                continue
+            aggs.append(F.max(F.when(g == grp, F.col(c))).alias(c + suffix))
+    return s.where(g.isin(a, b)).groupBy("dt", "category_name").agg(*aggs).drop("category_name")
 
 
 def ab_entropy(metrics: DataFrame) -> DataFrame:
