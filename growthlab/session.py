@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,18 +43,40 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset
-    (local tests).  Lineage is cut with reliable checkpoints into this folder
+    """The session's checkpoint folder, set at most once per session.
+
+    ``spark.checkpoint.dir`` (the cluster's shared folder) is used as it is; a
+    scratch folder is made only when that setting is absent, in local mode.
+    Lineage is cut with reliable checkpoints into this folder
     (``functions.ordered.materialize``), never ``localCheckpoint``."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if current and (not d or _plain(current).startswith(_plain(d))):
+        return current
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             # a machine-local folder is not reachable by the other executors
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
                                "distributed file system) before running growthlab jobs")
         # local mode (tests): a scratch folder of this machine
         d = tempfile.mkdtemp(prefix="growthlab-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
+
+
+def _plain(path: str) -> str:
+    """Path without its scheme, so ``file:/x`` and ``file:///x`` compare equal."""
+    return "/" + path.split(":", 1)[-1].strip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path for an intermediate table, in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
