@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlab.llm import line_runs, quality_rules, secret_scan
+from growthlab.llm import language_id, line_runs, ordinal_quality, quality_rules, secret_scan
 from growthlab.llm.oracles import ORACLES  # noqa: F401
 from growthlab.session import ensure_checkpoint_dir
 
@@ -47,3 +47,17 @@ def op8_quality_rules(spark, sf_dir):
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.mask(quality_rules.POLICIES["base/1"]))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        base.alias("base_failed"), "kept", "fail_bits")
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = language_id.identify(docs)
+    return rows.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_ordinal_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model, n_slots = ordinal_quality.train(docs, table(spark, sf_dir, "labels"))
+    return ordinal_quality.score(docs, model, n_slots).select("doc.doc_id", "expected_grade", "p_ok", "p_good", "kept")
