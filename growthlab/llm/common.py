@@ -130,3 +130,45 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
 
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of several texts, one after another, and the bounds of each text.
+    Short texts are hashed together, which spares numpy calls; long ones by themselves."""
+    parts, sizes, group, held = [], [], [], 0
+
+    def flush():
+        nonlocal group, held
+        if group:
+            joined = b" ".join(group)
+            data = _LOWERED[np.frombuffer(joined, np.uint8)]
+            start, stop = word_spans(data)
+            ends = np.cumsum([len(t) + 1 for t in group])
+            parts.append(span_hash(prefix_hash(data), start, stop) if len(start) else np.zeros(0, np.uint64))
+            sizes.extend(np.diff(np.searchsorted(start, ends), prepend=0).tolist())
+        group, held = [], 0
+
+    for t in texts:
+        if len(t) >= PIECE:
+            flush()
+            parts.append(word_hashes(t))
+            sizes.append(len(parts[-1]))
+            continue
+        group.append(t)
+        held += len(t)
+        if held >= PIECE // 4:
+            flush()
+    flush()
+    bounds = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int64)
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), bounds
+
+
+def batch_shingles(texts: list[bytes], size: int = 5):
+    """Yields the sorted distinct shingle hashes of each text, as shingle_hashes would."""
+    words, bounds = batch_words(texts)
+    runs = np.full(max(len(words) - size + 1, 0), size, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(size):
+            runs = mix(runs * _BASE + words[i: len(words) - size + 1 + i])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield np.unique(runs[a: b - size + 1]) if b - a >= size else shingle_hashes(words[a:b], size)

@@ -45,3 +45,19 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 +
        cast(f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4 + 32 * f5 + 64 * f6 as bigint) as fail_bits
 from failed
 """
+
+ORACLES["op7_jaccard_tiles"] = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words),
+shingles as (select doc_id, len(s) as n, unnest(s) as g from sets),
+common as (select a.doc_id as u, b.doc_id as v, any_value(a.n) as n, any_value(b.n) as m, count(*) as c
+           from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select u, v from common where 100 * c >= 80 * (n + m - c)),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, l.v from reach r join links l on r.other = l.u),
+least as (select doc_id, min(other) as component_id from reach group by doc_id)
+select s.doc_id, cast(len(s) as bigint) as n_shingles, component_id from sets s join least l on s.doc_id = l.doc_id
+"""

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlab.llm import language_id, line_runs, ordinal_quality, quality_rules, secret_scan
+from growthlab.llm import jaccard_tiles, language_id, line_runs, ordinal_quality, quality_rules, secret_scan
 from growthlab.llm.oracles import ORACLES  # noqa: F401
 from growthlab.session import ensure_checkpoint_dir
 
@@ -41,6 +41,11 @@ def op4_line_runs(spark, sf_dir):
     return rows.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op7_jaccard_tiles(spark, sf_dir):
+    return jaccard_tiles.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality_rules(spark, sf_dir):
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "full/1")
