@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: Languages up to which their sizes are broadcast.
+MANY_LANGS = 10_000
 CHUNK = 400_000  # code points handled at a time
 _LETTER: list[np.ndarray] = []
 
@@ -95,7 +97,11 @@ def learn_profiles(docs: DataFrame, length: int = 400, per_lang: int = 1500) ->
     sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
     share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("size"))
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
-    sample = (rows.select("lang", "text", spread.alias("spread")).join(sizes.select("lang", share.alias("share")), "lang")
+    shares = sizes.select("lang", share.alias("share"))
+    # a row per language: broadcast after a look at their number, so that texts stay where they are
+    if shares.limit(MANY_LANGS + 1).count() <= MANY_LANGS:
+        shares = F.broadcast(shares)
+    sample = (rows.select("lang", "text", spread.alias("spread")).join(shares, "lang")
               .where(F.col("spread") < F.col("share")).select("lang", "text"))
     counts = (sample.mapInArrow(_counted, "lang string, n int, gram long, n_found long")
               .groupBy("lang", "n", "gram").agg(F.sum("n_found").alias("n_found")))

@@ -61,3 +61,20 @@ reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc
 least as (select doc_id, min(other) as component_id from reach group by doc_id)
 select s.doc_id, cast(len(s) as bigint) as n_shingles, component_id from sets s join least l on s.doc_id = l.doc_id
 """
+
+ORACLES["op1_phrase_dedup"] = r"""
+with coded as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+sized as (select doc_id, x, cast(length(x) // 2 as bigint) as n from coded),
+windows as (select doc_id, i, substr(x, 2 * i + 1, 100) as w from (select doc_id, x, unnest(range(n - 49)) as i from sized where n >= 50)),
+gone as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by w) as f from windows) where f < doc_id),
+bytes as (select doc_id, p, substr(x, 2 * p + 1, 2) as c from (select doc_id, x, unnest(range(n)) as p from sized)),
+marked as (select b.doc_id, b.p, b.c,
+                  max(g.i) over (partition by b.doc_id order by b.p rows unbounded preceding) >= b.p - 49 as hit
+           from bytes b left join gone g on b.doc_id = g.doc_id and b.p = g.i),
+edges as (select *, hit is true and lag(hit is true, 1, false) over (partition by doc_id order by p) = false as opens from marked),
+summed as (select doc_id, cast(count(*) filter (where hit is true) as bigint) as n_removed,
+                  cast(count(*) filter (where opens) as bigint) as n_spans,
+                  coalesce(string_agg(c, '' order by p) filter (where hit is not true), '') as kept from edges group by doc_id)
+select s.doc_id, s.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(kept, ''))) as kept_sha256 from sized s left join summed u on s.doc_id = u.doc_id
+"""

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlab.llm import jaccard_tiles, language_id, line_runs, ordinal_quality, quality_rules, secret_scan
+from growthlab.llm import jaccard_tiles, language_id, line_runs, ordinal_quality, phrase_dedup, quality_rules, secret_scan
 from growthlab.llm.oracles import ORACLES  # noqa: F401
 from growthlab.session import ensure_checkpoint_dir
 
@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_phrase_dedup(spark, sf_dir):
+    rows = phrase_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op3_secret_scan(spark, sf_dir):
     rows = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
