@@ -6,10 +6,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlab.llm import jaccard_tiles, language_id, line_runs, ordinal_quality, phrase_dedup, quality_rules, secret_scan
+from growthlab.llm import bpe, jaccard_tiles, language_id, line_runs, ordinal_quality, phrase_dedup, quality_rules, secret_scan
 from growthlab.llm.oracles import ORACLES  # noqa: F401
 from growthlab.session import ensure_checkpoint_dir
 
@@ -48,6 +49,15 @@ def op4_line_runs(spark, sf_dir):
     return rows.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op6_bpe(spark, sf_dir):
+    rows = bpe.encode_decode(table(spark, sf_dir, "documents"),
+                             public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query
 def op7_jaccard_tiles(spark, sf_dir):
     return jaccard_tiles.jaccard_components(table(spark, sf_dir, "documents"))
