@@ -82,21 +82,25 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that are no letter, digit or part of a longer character.
+ALNUM = np.ones(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[65:91] += 32
 #: Bytes that are hashed at a time; longer texts are cut at white space.
 PIECE = 1 << 21
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each run of non-blank bytes."""
-    inside = np.concatenate(([False], ~_BLANK[data], [False]))
+    inside = np.concatenate(([False], ~blank[data], [False]))
     turn = np.flatnonzero(inside[1:] != inside[:-1])
     return turn[0::2], turn[1::2]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One 64-bit hash for each word of a UTF-8 text, A-Z lower-cased."""
+def word_hashes(text: bytes, blank: np.ndarray = _BLANK) -> np.ndarray:
+    """One 64-bit hash for each word of a UTF-8 text, A-Z lower-cased; ``blank`` tells the
+    bytes that part words."""
     parts, at = [], 0
     while at < len(text):
         end = min(len(text), at + PIECE)
@@ -108,7 +112,7 @@ def word_hashes(text: bytes) -> np.ndarray:
                 ends = [p for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (p := text.find(b, end)) >= 0]
                 end = min(ends, default=len(text) - 1) + 1
         data = _LOWERED[np.frombuffer(text, np.uint8, end - at, at)]
-        start, stop = word_spans(data)
+        start, stop = word_spans(data, blank)
         if len(start):
             parts.append(span_hash(prefix_hash(data), start, stop))
         at = end
@@ -132,7 +136,7 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def batch_words(texts: list[bytes], blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of several texts, one after another, and the bounds of each text.
     Short texts are hashed together, which spares numpy calls; long ones by themselves."""
     parts, sizes, group, held = [], [], [], 0
@@ -142,7 +146,7 @@ def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if group:
             joined = b" ".join(group)
             data = _LOWERED[np.frombuffer(joined, np.uint8)]
-            start, stop = word_spans(data)
+            start, stop = word_spans(data, blank)
             ends = np.cumsum([len(t) + 1 for t in group])
             parts.append(span_hash(prefix_hash(data), start, stop) if len(start) else np.zeros(0, np.uint64))
             sizes.extend(np.diff(np.searchsorted(start, ends), prepend=0).tolist())
@@ -151,7 +155,7 @@ def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for t in texts:
         if len(t) >= PIECE:
             flush()
-            parts.append(word_hashes(t))
+            parts.append(word_hashes(t, blank))
             sizes.append(len(parts[-1]))
             continue
         group.append(t)

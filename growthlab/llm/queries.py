@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlab.llm import bpe, jaccard_tiles, language_id, line_runs, ordinal_quality, phrase_dedup, quality_rules, secret_scan
+from growthlab.llm import bpe, html_layout, jaccard_tiles, language_id, latent_decontamination, line_runs, ordinal_quality, phrase_dedup, quality_rules, secret_scan
 from growthlab.llm.oracles import ORACLES  # noqa: F401
 from growthlab.session import ensure_checkpoint_dir
 
@@ -37,6 +37,11 @@ def op1_phrase_dedup(spark, sf_dir):
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op2_latent_decontamination(spark, sf_dir):
+    return latent_decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_secret_scan(spark, sf_dir):
     rows = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
@@ -83,3 +88,8 @@ def op9_ordinal_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model, n_slots = ordinal_quality.train(docs, table(spark, sf_dir, "labels"))
     return ordinal_quality.score(docs, model, n_slots).select("doc.doc_id", "expected_grade", "p_ok", "p_good", "kept")
+
+
+@query
+def op10_html_layout(spark, sf_dir):
+    return html_layout.render_pages(table(spark, sf_dir, "pages"))
