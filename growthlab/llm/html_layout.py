@@ -108,7 +108,11 @@ def parse(html: str) -> Node:
             if depth.get(tag):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        pop_to(i)
+                        if tag not in BLOCK and any(n.tag in BLOCK or n.tag in CELLS for n in stack[i + 1:]):
+                            depth[tag] -= 1  # an inline element ends, the blocks opened in it stay open
+                            del stack[i]
+                        else:
+                            pop_to(i)
                         break
                     if stack[i].tag in CELLS and tag not in ("table", "tr", *PARTS, *CELLS):
                         break  # an end tag inside a cell closes nothing outside it

@@ -130,7 +130,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
     lines_path = scratch_path(spark, "lines")
     (keyed_lines(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
      .write.partitionBy("batch").parquet(lines_path))
-    lines = spark.read.parquet(lines_path)
+    lines = spark.read.schema("id long, row long, h1 long, h2 long, place int, batch int").parquet(lines_path)
     runs = LineRuns(spark, shuffle_width(docs), fanout)
     for b in range(batches):
         # a row per document and key first: a line repeated inside a document counts once
