@@ -68,6 +68,20 @@ def _from_planes(data: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")
 
 
+def _packed(words: list[str]) -> bytes:
+    """The lengths in bytes, then the bytes of the words, compressed."""
+    coded = [w.encode() for w in words]
+    sizes = np.array([len(w) for w in coded], "<u4")
+    return zlib.compress(len(coded).to_bytes(8, "little") + sizes.tobytes() + b"".join(coded), 1)
+
+
+def _unpacked(data: bytes) -> list[str]:
+    data = zlib.decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    ends = (8 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 8), dtype=np.int64)).tolist()
+    return [data[a:b].decode() for a, b in zip([8 + 4 * n, *ends], ends)]
+
+
 def _parse(pattern: str):
     """Documents to blocks: ids, pre-tokens per document, positions, distinct words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +94,7 @@ def _parse(pattern: str):
             return pa.RecordBatch.from_arrays(
                 [pa.array([f"{task}-{number}"], pa.string()), pa.array([ids], pa.list_(id_type)),
                  pa.array([np.array(sizes, np.uint32).tobytes()], pa.binary()), pa.array([_planes(flat, 3)], pa.binary()),
-                 pa.array([list(words)], pa.list_(pa.string()))], names=["block", "ids", "sizes", "places", "words"])
+                 pa.array([_packed(list(words))], pa.binary())], names=["block", "ids", "sizes", "places", "words"])
 
         id_type = pa.int64()
         for batch in batches:
@@ -111,12 +125,12 @@ def _deal(buckets: int):
         for batch in batches:
             for block, words in zip(batch["block"].to_pylist(), batch["words"]):
                 dealt: list[list[str]] = [[] for _ in range(buckets)]
-                for w in words.as_py():
+                for w in _unpacked(words.as_py()):
                     dealt[_bucket(w, buckets)].append(w)
                 full = [b for b in range(buckets) if dealt[b]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.string()),
-                     pa.array([dealt[b] for b in full], pa.list_(pa.string()))], names=["bucket", "block", "words"])
+                     pa.array([_packed(dealt[b]) for b in full], pa.binary())], names=["bucket", "block", "words"])
     return run
 
 
@@ -127,7 +141,7 @@ def _encode(path: str):
         counts, ids = [], []
         for words in rows["words"]:
             n, flat = [], []
-            for w in words.as_py():
+            for w in _unpacked(words.as_py()):
                 found = known.get(w)
                 if found is None:
                     found = known[w] = encode(w)
@@ -147,10 +161,10 @@ def _assemble(buckets: int, path: str):
         out_ids, out_sizes, out_bytes, doc_ids = [], [], [], []
         own = {r["bucket"]: r for r in answers.to_pylist()}
         for row in blocks.to_pylist():
-            at = [[] for _ in range(buckets)]
-            for i, w in enumerate(row["words"]):
+            at, words = [[] for _ in range(buckets)], _unpacked(row["words"])
+            for i, w in enumerate(words):
                 at[_bucket(w, buckets)].append(i)
-            n = np.zeros(len(row["words"]), np.int64)
+            n = np.zeros(len(words), np.int64)
             parts = []
             for b, places in enumerate(at):
                 if places:
@@ -188,9 +202,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     # one shuffle of the blocks, which both uses below share
     blocks = (docs.select("doc_id", text_of(F.col("text")).alias("text"))
-              .mapInArrow(_parse(pattern), f"block string, ids array<{kind}>, sizes binary, places binary, words array<string>")
+              .mapInArrow(_parse(pattern), f"block string, ids array<{kind}>, sizes binary, places binary, words binary")
               .repartition(width, "block"))
-    answers = (blocks.mapInArrow(_deal(width), "bucket int, block string, words array<string>").groupBy("bucket")
+    answers = (blocks.mapInArrow(_deal(width), "bucket int, block string, words binary").groupBy("bucket")
                .applyInArrow(_encode(ranks_path), "bucket int, block string, counts binary, ids binary"))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _assemble(width, ranks_path), f"doc_id {kind}, ids array<int>, decoded binary")
