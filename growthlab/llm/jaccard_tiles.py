@@ -211,6 +211,24 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(found)
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures allow the similarity."""
+    for batch in batches:
+        keep = []
+        for n, m, x, y in zip(*(batch[c].to_pylist() for c in ("nu", "nv", "su", "sv"))):
+            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            width = min(len(x), len(y))
+            keep.append(9 * int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(dtype=np.int64)) <= n + m)
+        yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def plausible(sigs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) that the signatures (id, n, sig) do not rule out."""
+    side = lambda a: sigs.select(F.col("id").alias(a), F.col("n").alias("n" + a), F.col("sig").alias("s" + a))
+    return (pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "su", "sv")
+            .mapInArrow(_bounded, "u long, v long"))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact Jaccard of the pairs' sorted arrays."""
     for batch in batches:
@@ -309,7 +327,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         shared.where((F.col(size) >= 0) & (F.col(other) != F.col("id")) & (5 * F.col(size) >= 4 * F.col("n")))
         .groupBy("id", F.col(other).alias("v")).agg(F.count("*").alias("hits"))
         .groupBy("id").agg(F.max(F.struct("hits", "v"))["v"].alias("v")).select(F.col("id").alias("u"), "v"))
-    stars = materialize(best("first", "first_n").unionByName(best("before", "before_n")).distinct())
+    sigs = own.select("id", "n", "sig")
+    stars = best("first", "first_n").unionByName(best("before", "before_n")).distinct()
+    stars = materialize(plausible(sigs, stars).distinct())
     links = materialize(linked(texts, stars).distinct())
     # 5. tiles between the components found so far
     comp = components(links)
@@ -325,7 +345,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
             .select("shingle", "low", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
                     "id", "n", "comp", "block", "band"))
-    sigs = own.select("id", "n", "sig")
     tiles = (rows.join(sigs, ["id", "n"]).repartition(width, "shingle", "low", "b1", "b2")
              .sortWithinPartitions("shingle", "low", "b1", "b2")
              .select("shingle", "low", "b1", "b2", "id", "n", "comp", "block", "band", "sig"))
