@@ -11,9 +11,10 @@ is at least 0.8; the result gives each document its component of links.
    n - ceil(0.8 n) + 1); this one puts passages that many documents share last.
 3. *Shared shingles.*  Prefix shingles are sorted by hash, within partitions; those of one
    document only, nearly all, are dropped in passing.
-4. *Stars.*  Each representative is checked against at most two partners, those with which
-   it shares most prefix shingles among the first and the preceding document in the sorted
-   runs.  This links large groups of near copies in linear work.
+4. *Stars.*  In two rounds, each representative is checked against at most two partners of
+   other components: those with which it shares most prefix shingles among the hub and the
+   preceding document of each shingle, where the hub is the document that shares most of
+   its own.  This links large groups of near copies in linear work.
 5. *Tiles.*  What can still link different components is finished exactly: rows of a shingle
    go to tiles of neighbouring size bands (a set only links within a factor of 1.25), large
    tiles are split into blocks, and inside a tile the bit count of the exclusive-or of two
@@ -52,6 +53,10 @@ COUNTERS, SLICES = 1 << 20, 64
 WANTED = 1 << 23
 #: Rows of a shingle and size band that are compared in one block.
 BLOCK = 512
+#: Signature bits per shingle: in the filter of pairs, and folded to fewer inside tiles.
+TIGHT, LOOSE = 16, 2
+#: Rounds of stars before the tiles.
+ROUNDS = 2
 #: Width of a size band: sets link only within the same or the next band.
 BAND = np.log(1.25)
 
@@ -97,13 +102,13 @@ def _counter_sum(rows: pa.Table) -> pa.Table:
     return rows.slice(0, 1).set_column(rows.column_names.index("counts"), "counts", summed)
 
 
-def signature_bits(n: int) -> int:
-    """Bits of the signature of a set of n shingles: a power of two of at least 2 n."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
+def signature_bits(n: int, density: int) -> int:
+    """Bits of the signature of a set of n shingles: a power of two of at least density * n."""
+    return max(64, 1 << int(density * n - 1).bit_length())
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(signature_bits(len(s)), bool)
+def signature(s: np.ndarray, density: int = TIGHT) -> np.ndarray:
+    bits = np.zeros(signature_bits(len(s), density), bool)
     bits[(mix(s) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little")
 
@@ -120,12 +125,14 @@ def _prefixes(counters: np.ndarray):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                size, sig, prefix, d1 = [], [], [], []
+                size, sig, loose, prefix, d1 = [], [], [], [], []
                 for s in batch_shingles(_encoded(batch["text"])):
                     n = len(s)
                     size.append(n)
                     d1.append(_digest(s)[0])
-                    sig.append(signature(s).tobytes() if n else b"")
+                    tight = signature(s) if n else np.zeros(0, np.uint8)
+                    sig.append(tight.tobytes())
+                    loose.append(folded(tight, signature_bits(n, LOOSE) // 8).tobytes() if n else b"")
                     if n:
                         length = n - (4 * n + 4) // 5 + 1
                         rank = counters[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -134,41 +141,56 @@ def _prefixes(counters: np.ndarray):
                 ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix), pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(size, pa.int64()), pa.array(d1, pa.int64()),
-                                                  pa.array(sig, pa.binary()), lists], names=["id", "n", "d1", "sig", "prefix"])
+                                                  pa.array(sig, pa.binary()), pa.array(loose, pa.binary()), lists],
+                                                 names=["id", "n", "d1", "sig", "loose", "prefix"])
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (shingle, n, id): those whose shingle another row has, with the
-    first and the preceding row of the shingle.  Only the last row of a batch is held."""
-    held = None  # (shingle, id, n, first id, first n, previous id, previous n); previous n -1: none
-
-    def rows(shingle, ids, n, first, first_n, before, before_n, keep):
-        return pa.RecordBatch.from_pydict({k: pa.array(x[keep], pa.int64()) for k, x in (
-            ("shingle", shingle), ("id", ids), ("n", n), ("first", first), ("first_n", first_n), ("before", before), ("before_n", before_n))})
-
+    """From rows sorted by shingle: those whose shingle another row has.  Only the last row
+    of a batch is held."""
+    held = None  # ([shingle, id, n], whether the row before has the same shingle)
     for batch in batches:
-        shingle, ids, n = (batch[c].to_numpy(zero_copy_only=False) for c in ("shingle", "id", "n"))
-        if not len(shingle):
+        cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("shingle", "id", "n")]
+        if not len(cols[0]):
             continue
         if held is not None:
-            shingle, ids, n = (np.concatenate([[h], x]) for h, x in zip(held[:3], (shingle, ids, n)))
+            cols = [np.concatenate([[h], x]) for h, x in zip(held[0], cols)]
+        same = cols[0][1:] == cols[0][:-1]
+        shared = np.concatenate([[held is not None and held[1]], same])
+        shared[:-1] |= same
+        held = [int(x[-1]) for x in cols], bool(shared[-1])
+        if shared[:-1].any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][shared[:-1]]) for x in cols], names=["shingle", "id", "n"])
+    if held is not None and held[1]:
+        yield pa.RecordBatch.from_arrays([pa.array([h]) for h in held[0]], names=["shingle", "id", "n"])
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by shingle and falling hub degree: each row with the first row of its
+    shingle (kind 0) and with the preceding one (kind 1), where the component differs and
+    the sizes allow a link.  Two rows of a shingle are held."""
+    names = ("shingle", "id", "n", "comp")
+    hub = last = None
+    for batch in batches:
+        cols = [batch[c].to_numpy(zero_copy_only=False) for c in names]
+        m = len(cols[0])
+        if not m:
+            continue
+        if last is not None:
+            cols = [np.concatenate([[h, p], x]) for h, p, x in zip(hub, last, cols)]
+        shingle, ids, n, comp = cols
         new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(shingle)), 0))
-        first, first_n = ids[start], n[start]
-        before, before_n = np.concatenate([[0], ids[:-1]]), np.where(new, -1, np.concatenate([[0], n[:-1]]))
-        if held is not None:  # the run of the held row began earlier
-            own = start == 0
-            first[own], first_n[own] = held[3], held[4]
-            before[0], before_n[0] = held[5], held[6]
-        shared = before_n >= 0
-        shared[:-1] |= ~new[1:]
-        shared[-1] = False  # held
-        if shared.any():
-            yield rows(shingle, ids, n, first, first_n, before, before_n, shared)
-        held = tuple(int(x[-1]) for x in (shingle, ids, n, first, first_n, before, before_n))
-    if held is not None and held[6] >= 0:
-        yield rows(*(np.array([h]) for h in held), np.array([True]))
+        first = np.maximum.accumulate(np.where(new, np.arange(len(shingle)), 0))
+        at = np.arange(len(shingle) - m, len(shingle))
+        for kind, other in ((0, first), (1, np.arange(len(shingle)) - 1)):
+            o = other[at]
+            ok = ~new[at] & (comp[at] != comp[o]) & (5 * np.minimum(n[at], n[o]) >= 4 * np.maximum(n[at], n[o]))
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(ok.sum()), kind, np.int32)), pa.array(ids[at][ok]), pa.array(ids[o][ok])],
+                                                 names=["kind", "id", "v"])
+        hub = [int(x[first[-1]]) for x in cols]
+        last = [int(x[-1]) for x in cols]
 
 
 def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,29 +333,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = known.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     # 2. prefixes of the representatives, 3. the shared ones
     prefix = texts.where(F.col("id").isNotNull()).mapInArrow(
-        _prefixes(counters.reshape(-1)), "id long, n long, d1 long, sig binary, prefix array<long>")
+        _prefixes(counters.reshape(-1)), "id long, n long, d1 long, sig binary, loose binary, prefix array<long>")
     own = prefix.join(classes.select(F.col("rep").alias("id"), "n", "d1"), ["id", "n", "d1"], "left_semi")
     own_path = scratch_path(spark, "prefixes")
     own.write.parquet(own_path)
     own = spark.read.parquet(own_path)
     shared_path = scratch_path(spark, "shared")
     (own.select("id", "n", F.explode("prefix").alias("shingle")).repartition(width, "shingle")
-     .sortWithinPartitions("shingle", "n", "id").select("shingle", "id", "n")
-     .mapInArrow(_shared, "shingle long, id long, n long, first long, first_n long, before long, before_n long")
+     .sortWithinPartitions("shingle").select("shingle", "id", "n").mapInArrow(_shared, "shingle long, id long, n long")
      .write.parquet(shared_path))
     shared = spark.read.parquet(shared_path)
-    # 4. stars
-    best = lambda other, size: (
-        shared.where((F.col(size) >= 0) & (F.col(other) != F.col("id")) & (5 * F.col(size) >= 4 * F.col("n")))
-        .groupBy("id", F.col(other).alias("v")).agg(F.count("*").alias("hits"))
-        .groupBy("id").agg(F.max(F.struct("hits", "v"))["v"].alias("v")).select(F.col("id").alias("u"), "v"))
+    # 4. stars; a hub is a document that shares many shingles, as the source of copies does
     sigs = own.select("id", "n", "sig")
-    stars = best("first", "first_n").unionByName(best("before", "before_n")).distinct()
-    stars = materialize(plausible(sigs, stars).distinct())
-    links = materialize(linked(texts, stars).distinct())
+    degree = shared.groupBy("id").agg(F.count("*").alias("degree"))
+    links, comp = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, component long")
+    for _ in range(ROUNDS):
+        rows = (shared.join(degree, "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
+                .select("shingle", "id", "n", F.coalesce("component", "id").alias("comp"), "degree"))
+        near = (rows.repartition(width, "shingle").sortWithinPartitions("shingle", F.desc("degree"), "id").select("shingle", "id", "n", "comp")
+                .mapInArrow(_partners, "kind int, id long, v long"))
+        best = (near.groupBy("kind", "id", "v").agg(F.count("*").alias("hits"))
+                .groupBy("kind", "id").agg(F.max(F.struct("hits", "v"))["v"].alias("v")))
+        stars = best.select(F.col("id").alias("u"), "v").distinct()
+        stars = materialize(plausible(sigs, stars))
+        links = materialize(links.unionByName(linked(texts, stars)).distinct())
+        comp = components(links)
     # 5. tiles between the components found so far
-    comp = components(links)
-    rows = (shared.select("shingle", "id", "n").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    rows = (shared.join(comp.withColumnRenamed("node", "id"), "id", "left")
             .select("shingle", "id", "n", F.coalesce("component", "id").alias("comp"),
                     F.floor(F.log(F.col("n")) / F.lit(float(BAND))).cast("int").alias("band")))
     rows = rows.withColumn("low", F.explode(F.array(F.col("band"), F.col("band") - 1)))
@@ -345,10 +371,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
             .select("shingle", "low", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
                     "id", "n", "comp", "block", "band"))
-    tiles = (rows.join(sigs, ["id", "n"]).repartition(width, "shingle", "low", "b1", "b2")
+    tiles = (rows.join(own.select("id", "n", "loose").withColumnRenamed("loose", "sig"), ["id", "n"]).repartition(width, "shingle", "low", "b1", "b2")
              .sortWithinPartitions("shingle", "low", "b1", "b2")
              .select("shingle", "low", "b1", "b2", "id", "n", "comp", "block", "band", "sig"))
-    pairs = materialize(tiles.mapInArrow(_tile_pairs, "a long, b long").distinct().select(F.col("a").alias("u"), F.col("b").alias("v")))
+    pairs = tiles.mapInArrow(_tile_pairs, "a long, b long").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = materialize(plausible(sigs, pairs))
     links = links.unionByName(linked(texts, pairs))
     # 6. components of the representatives; an id with rows in several classes joins them
     member = known.join(classes, ["d1", "d2", "n"]).select("id", "rep")
