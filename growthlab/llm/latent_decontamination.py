@@ -1,15 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval (operator 2).
 
-1. *Words.*  A map over the texts writes each document's words as 16-bit features, and
-   counts in how many passages (half-overlapping runs of ``PASSAGE`` words) each slot is.
-2. *TF-IDF and SVD.*  Passages are weighted by inverse passage frequency; slots found in
-   more than a tenth of the passages weigh nothing.  The leading right singular vectors of
-   the passage matrix A come from one randomised pass: Y = A'(A G) for a random G, an
+1. *Words.*  A map over the texts writes each document's words as 16-bit slots, and counts
+   in how many documents each slot is.
+2. *TF-IDF and SVD.*  Passages are half-overlapping runs of ``PASSAGE`` words of all
+   documents, over the vocabulary of the benchmark items (other words cannot match),
+   weighted by inverse document frequency; slots found in more than ``MAX_SHARE`` of the
+   documents weigh nothing.  The leading right singular vectors of the passage matrix A
+   come from one randomised pass over all passages: Y = A'(A G) for a random G, an
    orthonormal basis Q of Y, and the eigenvectors of the small Q'A'AQ recovered from the
-   same Y.  All sums are slots x rank, a fixed size.
+   same Y.  All sums are slots x rank, a bounded size.
 3. *Search.*  Every passage is projected and compared with the passages of the benchmark
    items by cosine; items are taken in blocks.  Whatever reaches ``MIN_COSINE`` is a
-   candidate.
+   candidate; passages with too little weight to reach it are skipped beforehand.
 4. *Checks.*  For a candidate, the longest common subsequence of the item and the words
    around the passage must hold ``MIN_COMMON`` of the item's words, and ``MIN_ANSWER`` of
    its most informative words (the answer) must be among them.
@@ -35,13 +37,18 @@ from pyspark.sql import functions as F
 from growthlab.llm.common import ALNUM, batch_words, text_of
 from growthlab.session import scratch_path
 
-SLOTS, RANK, SLICES = 1 << 14, 96, 64
+SLOTS, RANK, SLICES = 1 << 16, 96, 64
 PASSAGE = 32
 STEP = PASSAGE // 2
-MAX_SHARE = 0.1
-MIN_COSINE, MIN_COMMON, MIN_ANSWER = 0.55, 0.6, 0.5
-#: Benchmark items searched for in one pass over the passages.
+#: Words found in a larger share of the documents weigh nothing, but an item keeps its
+#: LEAST_WORDS rarest ones.
+MAX_SHARE, LEAST_WORDS = 0.03, 6
+#: A candidate's cosine; a passage shorter than FLOOR times the query counts as that long.
+MIN_COSINE, FLOOR = 0.45, 0.6
+MIN_COMMON, MIN_ANSWER = 0.6, 0.5
+#: Benchmark items searched for in one pass over the passages, and words handled at a time.
 ITEMS_PER_BLOCK = 20_000
+GROUP = 200_000
 
 
 def _encoded(column) -> list[bytes]:
@@ -55,37 +62,23 @@ def words_of(texts: list[bytes]) -> list[np.ndarray]:
     return [words[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def passages(n: int) -> np.ndarray:
-    """First half-passages of the passages of n words: runs of two halves; a text of at
-    most one half, or the rest at the end, makes a passage of what there is."""
-    halves = -(-n // STEP)
-    return np.arange(max(halves - 1, min(halves, 1)))
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, words) rows, and at the end the passage counts of the slots in slices."""
-    total, n_passages = np.zeros(SLOTS, np.int64), 0
-    kind = None
+    """(doc_id, words) rows, and at the end the document counts of the slots in slices."""
+    total, n_docs, kind = np.zeros(SLOTS, np.int64), 0, None
     for whole in batches:
         kind = whole["doc_id"].type
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
             found = words_of(_encoded(batch["text"]))
             for w in found:
-                if len(w):
-                    half = np.arange(len(w)) // STEP
-                    last = max(-(-len(w) // STEP) - 1, 1)
-                    # a word belongs to the passage that starts with its half and to the one before
-                    key = np.concatenate([half[half < last], half[half > 0] - 1]).astype(np.int64) * SLOTS
-                    slot = np.concatenate([w[half < last], w[half > 0]]) & np.uint16(SLOTS - 1)
-                    np.add.at(total, np.unique(key + slot) % SLOTS, 1)
-                    n_passages += last
+                total[np.unique(w)] += 1
+            n_docs += batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([w.tobytes() for w in found], pa.binary()), pa.nulls(batch.num_rows, pa.int32()),
                  pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())],
                 names=["doc_id", "words", "part", "slice", "sums"])
-    if n_passages:
-        rows = [*np.split(total.astype(np.float64), SLICES), np.array([n_passages], np.float64)]
+    if n_docs:
+        rows = [*np.split(total.astype(np.float64), SLICES), np.array([n_docs], np.float64)]
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(rows), kind), pa.nulls(len(rows), pa.binary()), pa.array([TaskContext.get().partitionId() % 256] * len(rows), pa.int32()),
              pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())],
@@ -105,85 +98,109 @@ def _collected(rows: DataFrame) -> dict[int, np.ndarray]:
     return {r["slice"]: np.frombuffer(r["sums"], np.float64) for r in found}
 
 
-def _gaussian() -> np.ndarray:
-    return np.random.RandomState(7).standard_normal((SLOTS, RANK)).astype(np.float32)
-
-
-def half_sums(words: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per half-passage: the weighted sum of the basis rows of its words, and of squares."""
-    slot = (words & np.uint16(SLOTS - 1)).astype(np.int64)
-    n = -(-len(words) // STEP)
-    half = np.arange(len(words)) // STEP
-    use = weights[slot] > 0
-    slot, half = slot[use], half[use]
-    out = np.zeros((n, basis.shape[1]), np.float32)
-    if len(slot):
-        new = np.flatnonzero(np.diff(half, prepend=-1))
-        out[half[new]] = np.add.reduceat(basis[slot] * weights[slot][:, None], new, axis=0)
-    return out, np.bincount(half, weights[slot] ** 2, n)
-
-
-def project(words: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passages x rank) projections, and the passages' squared lengths."""
-    own, squares = half_sums(words, weights, basis)
-    first = passages(len(words))
-    second = np.minimum(first + 1, len(own) - 1)
-    pair = (second > first)[:, None]
-    return own[first] + own[second] * pair, squares[first] + squares[second] * pair[:, 0]
+def _gaussian(n: int) -> np.ndarray:
+    return np.random.RandomState(7).standard_normal((n, RANK)).astype(np.float32)
+
+
+class Vocabulary:
+    """The slots that weigh something: those of benchmark words that are not too common."""
+
+    def __init__(self, items: list[np.ndarray], found: np.ndarray, n_docs: float):
+        idf = np.log1p(n_docs / np.maximum(found, 1))
+        use = np.zeros(SLOTS, bool)
+        for w in items:
+            own = np.unique(w)
+            use[own[found[own] <= MAX_SHARE * n_docs]] = True
+            use[own[np.argsort(found[own], kind="stable")[:LEAST_WORDS]]] = True
+        self.index = np.full(SLOTS, -1, np.int32)
+        self.index[use] = np.arange(use.sum())
+        self.weights = idf[use].astype(np.float32)
+        self.idf = idf
+
+
+class Passages:
+    """The passages of a group of documents: runs of two half-passages, or the only one.  A
+    passage is known by its first half."""
+
+    def __init__(self, group: list[np.ndarray], vocabulary: Vocabulary):
+        sizes = np.array([len(w) for w in group])
+        halves = -(-sizes // STEP)
+        self.first_half = np.cumsum(halves) - halves
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        half = place // STEP + np.repeat(self.first_half, sizes)
+        slot = vocabulary.index[np.concatenate(group)]
+        self.slot, self.half = slot[slot >= 0], half[slot >= 0]
+        self.doc = np.repeat(np.arange(len(group)), halves)
+        self.n = len(self.doc)
+        self.pair = np.append(self.doc[1:] == self.doc[:-1], False)  # a second half follows
+        self.there = self.pair | (halves[self.doc] == 1)
+        squares = np.bincount(self.half, vocabulary.weights[self.slot] ** 2, self.n)
+        self.squares = np.where(self.there, self._with_next(squares), 0)
+
+    def _with_next(self, per_half: np.ndarray) -> np.ndarray:
+        after = np.concatenate([per_half[1:], np.zeros_like(per_half[:1])])
+        return per_half + after * (self.pair if per_half.ndim == 1 else self.pair[:, None])
+
+    def project(self, weighted: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Rows of A times a matrix whose rows are already weighted, for every half; only
+        those of ``wanted`` passages need be right."""
+        slot, half = self.slot, self.half
+        if wanted is not None:
+            near = wanted.copy()
+            near[1:] |= wanted[:-1]
+            use = near[half]
+            slot, half = slot[use], half[use]
+        out = np.zeros((self.n, weighted.shape[1]), np.float32)
+        if len(slot):
+            new = np.flatnonzero(np.diff(half, prepend=-1))
+            out[half[new]] = np.add.reduceat(weighted[slot], new, axis=0)
+        return self._with_next(out)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list]:
+    """Documents with words in groups of bounded size: (words, value of each column...)."""
+    group, held = [], 0
+    for batch in batches:
+        for row in zip(batch["words"], *(batch[c] for c in columns)):
+            w = np.frombuffer(row[0].as_py(), np.uint16)
+            if len(w):
+                group.append((w, *(x.as_py() for x in row[1:])))
+                held += len(w)
+                if held > GROUP:
+                    yield group
+                    group, held = [], 0
+    if group:
+        yield group
 
 
-def _range_pass(weights: np.ndarray):
-    """Y = A'(A G) over the passages of a task, in slices."""
+def _range_pass(vocabulary: Vocabulary):
+    """Y = A'(A G) over the passages of a task, in slices; rows of A have unit length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = _gaussian()
-        total, any_row = np.zeros((SLOTS, RANK), np.float64), False
-
-        def add(group: list[np.ndarray]) -> None:
-            slots, rows = [], []
-            at = 0
-            parts = []
-            for w in group:
-                x, squares = project(w, weights, random)
-                parts.append(x / np.maximum(squares, 1e-9)[:, None])  # both factors of A scaled to unit rows
-                first = np.arange(len(w)) // STEP
-                slot = (w & np.uint16(SLOTS - 1)).astype(np.int64)
-                use = weights[slot] > 0
-                first, slot = first[use], slot[use]
-                for shift in (0, -1):
-                    inside = (first + shift >= 0) & (first + shift < len(x))
-                    slots.append(slot[inside])
-                    rows.append(first[inside] + shift + at)
-                at += len(x)
-            slot, row, x = np.concatenate(slots), np.concatenate(rows), np.concatenate(parts)
+        k = len(vocabulary.weights)
+        weighted = _gaussian(k) * vocabulary.weights[:, None]
+        total, any_row = np.zeros((k, RANK), np.float64), False
+        for group in _groups(batches):
+            any_row = True
+            p = Passages([w for w, in group], vocabulary)
+            x = p.project(weighted) * np.where(p.squares > 0, 1 / np.maximum(p.squares, 1e-9), 0)[:, None].astype(np.float32)
+            own = x.copy()  # what a word of a half adds: the passage it begins and the one it ends
+            own[1:] += x[:-1] * p.pair[:-1, None]
+            order = np.argsort(p.slot, kind="stable")
+            slot = p.slot[order]
             if len(slot):
-                order = np.argsort(slot.astype(np.uint16), kind="stable")
-                slot, row = slot[order], row[order]
                 new = np.flatnonzero(np.diff(slot, prepend=-1))
-                total[slot[new]] += np.add.reduceat(x[row], new, axis=0) * weights[slot[new]][:, None]
-
-        group, held = [], 0
-        for batch in batches:
-            for w in batch["words"]:
-                w = np.frombuffer(w.as_py(), np.uint16)
-                if len(w):
-                    any_row = True
-                    group.append(w)
-                    held += len(w)
-                    if held > 60_000:
-                        add(group)
-                        group, held = [], 0
-        if group:
-            add(group)
+                total[slot[new]] += np.add.reduceat(own[p.half[order]], new, axis=0)
         if any_row:
+            total *= vocabulary.weights[:, None]
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([TaskContext.get().partitionId() % 256] * SLICES, pa.int32()), "slice": pa.array(range(SLICES), pa.int32()),
-                "sums": pa.array([s.tobytes() for s in np.split(total, SLICES)], pa.binary())})
+                "sums": pa.array([s.tobytes() for s in np.array_split(total, SLICES)], pa.binary())})
     return run
 
 
 def singular_vectors(y: np.ndarray) -> np.ndarray:
     """Leading right singular vectors of A from Y = A'A G (slots x rank, float32)."""
-    g = _gaussian().astype(np.float64)
+    g = _gaussian(len(y)).astype(np.float64)
     q, _ = np.linalg.qr(y)
     small = np.linalg.lstsq((q.T @ g).T, (q.T @ y).T, rcond=None)[0]
     values, vectors = np.linalg.eigh((small + small.T) / 2)
@@ -208,77 +225,61 @@ def common_words(item: dict[int, int], size: int, words: list[int]) -> int:
 class Items:
     """The benchmark items of a block, with their projected passages."""
 
-    def __init__(self, rows: list, weights: np.ndarray, basis: np.ndarray):
-        self.ids, self.words = [], []
+    def __init__(self, rows: list[tuple[int, np.ndarray]], vocabulary: Vocabulary, weighted: np.ndarray):
+        self.ids, self.words = [i for i, _ in rows], [w for _, w in rows]
         queries, owner = [], []
-        for item_id, text in rows:
-            w = words_of([(text or "").encode()])[0]
-            if not len(w):
-                continue
-            k = len(self.ids)
-            self.ids.append(item_id)
-            self.words.append(w)
+        for k, w in enumerate(self.words):
             # passages at several offsets, so that one lies close to any in a document
-            starts = sorted({*range(0, max(len(w) - PASSAGE, 0) + 1, STEP // 2), max(len(w) - PASSAGE, 0)})
-            for s in starts:
-                x, _ = project(w[s: s + PASSAGE], weights, basis)
-                queries.append(x[:1])
-                owner += [k]
-        self.queries = _unit(np.concatenate(queries)) if queries else np.zeros((0, RANK), np.float32)
-        self.owner = np.array(owner, np.int64)
+            for start in sorted({*range(0, max(len(w) - PASSAGE, 0) + 1, STEP // 2), max(len(w) - PASSAGE, 0)}):
+                slot = vocabulary.index[w[start: start + PASSAGE]]
+                queries.append(weighted[slot[slot >= 0]].sum(0))
+                owner.append(k)
+        queries = np.array(queries, np.float32).reshape(-1, weighted.shape[1])
+        length = np.linalg.norm(queries, axis=1)
+        self.queries, self.length = _unit(queries)[length > 0], length[length > 0]
+        self.owner = np.array(owner, np.int64)[length > 0]
         self.bits, self.answers = [], []
         for w in self.words:
             bits: dict[int, int] = {}
             for i, x in enumerate(w.tolist()):
                 bits[x] = bits.get(x, 0) | 1 << i
             self.bits.append(bits)
-            worth = weights[(w & np.uint16(SLOTS - 1)).astype(np.int64)]
-            self.answers.append(set(w[np.argsort(-worth, kind="stable")[: max(1, len(w) // 3)]].tolist()))
-
-
-def _search(items: Items, weights: np.ndarray, basis: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def group_hits(group):
-            xs = [project(w, weights, basis)[0] for _, w in group]
-            cut = np.concatenate([[0], np.cumsum([len(x) for x in xs])])
-            similar = _unit(np.concatenate(xs)) @ items.queries.T
-            row, query = np.nonzero(similar >= MIN_COSINE)
-            best: dict[tuple, tuple] = {}
-            seen = set()
-            for r, k in zip(row.tolist(), items.owner[query].tolist()):
-                if (r, k) in seen:
-                    continue
-                seen.add((r, k))
-                d = int(np.searchsorted(cut, r, "right")) - 1
-                words, size = group[d][1], len(items.words[k])
-                middle = (r - cut[d]) * STEP
+            self.answers.append(set(w[np.argsort(-vocabulary.idf[w], kind="stable")[: max(1, len(w) // 3)]].tolist()))
+
+
+def _search(items: Items, vocabulary: Vocabulary, weighted: np.ndarray):
+    def hits(group: list) -> list[tuple]:
+        p = Passages([w for w, _ in group], vocabulary)
+        # a projection is no longer than what it projects, so shorter passages cannot pass
+        wanted = p.squares >= (MIN_COSINE * FLOOR * items.length.min()) ** 2
+        at = np.flatnonzero(wanted)
+        if not len(at):
+            return []
+        x = p.project(weighted, wanted)[at]
+        length = np.linalg.norm(x, axis=1)
+        best: dict[tuple, tuple] = {}
+        for lo in range(0, len(at), 4096):
+            part = slice(lo, lo + 4096)
+            dots = x[part] @ items.queries.T
+            row, query = np.nonzero(dots >= MIN_COSINE * np.maximum(length[part, None], FLOOR * items.length[None, :]))
+            for r, k in sorted(set(zip((row + lo).tolist(), items.owner[query].tolist()))):
+                d = int(p.doc[at[r]])
+                words, size = group[d][0], len(items.words[k])
+                middle = int(at[r] - p.first_half[d]) * STEP
                 around = words[max(0, middle - size): middle + PASSAGE + size].tolist()
-                share = common_words(items.bits[k], size, around) / size
                 answer = len(items.answers[k].intersection(around)) / len(items.answers[k])
-                if share >= MIN_COMMON and answer >= MIN_ANSWER and (share, answer) > best.get((d, k), (0, 0)):
-                    best[d, k] = (share, answer)
-            return [(group[d][0], items.ids[k], share, answer) for (d, k), (share, answer) in best.items()]
-
-        group, held, kind = [], 0, None
-        for batch in batches:
-            kind = batch["doc_id"].type
-            for doc_id, w in zip(batch["doc_id"], batch["words"]):
-                w = np.frombuffer(w.as_py(), np.uint16)
-                if not len(w):
-                    continue
-                group.append((doc_id.as_py(), w))
-                held += len(w)
-                if held > 60_000:
-                    yield rows_of(group_hits(group), kind)
-                    group, held = [], 0
-        if group:
-            yield rows_of(group_hits(group), kind)
+                if answer >= MIN_ANSWER:
+                    share = common_words(items.bits[k], size, around) / size
+                    if share >= MIN_COMMON and (share, answer) > best.get((d, k), (0, 0)):
+                        best[d, k] = (share, answer)
+        return [(group[d][1], items.ids[k], share, answer) for (d, k), (share, answer) in best.items()]
 
-    def rows_of(found, kind):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.int64()),
-             pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64())],
-            names=["doc_id", "item_id", "common", "answer"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, "doc_id"):
+            if found := hits(group):
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.int64()),
+                                                  pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64())],
+                                                 names=["doc_id", "item_id", "common", "answer"])
 
     return run
 
@@ -297,17 +298,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sums = _collected(rows.where(F.col("slice").isNotNull()))
     if not sums:
         return spark.createDataFrame([], out)
-    n = sums[SLICES][0]
     found = np.concatenate([sums[i] for i in range(SLICES)])
-    weights = np.where((found > 0) & (found <= max(MAX_SHARE * n, 50)), np.log1p(n / np.maximum(found, 1)), 0).astype(np.float32)
-    y = _collected(words.select("words").mapInArrow(_range_pass(weights), "part int, slice int, sums binary"))
-    basis = singular_vectors(np.concatenate([y[i] for i in range(SLICES)]).reshape(SLOTS, RANK))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
     leaks = None
     for b in range(blocks):  # a block is a bounded query set
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        own = Items([(r["item_id"], r["text"]) for r in block.collect()], weights, basis)
-        part = words.mapInArrow(_search(own, weights, basis), out)
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        own = [(r["item_id"], w) for r in block for w in words_of([(r["text"] or "").encode()]) if len(w)]
+        if not own:
+            continue
+        vocabulary = Vocabulary([w for _, w in own], found, sums[SLICES][0])
+        y = _collected(words.select("words").mapInArrow(_range_pass(vocabulary), "part int, slice int, sums binary"))
+        if not y:
+            continue
+        basis = singular_vectors(np.concatenate([y[i].reshape(-1, RANK) for i in range(SLICES)]))
+        weighted = basis * vocabulary.weights[:, None]
+        part = words.mapInArrow(_search(Items(own, vocabulary, weighted), vocabulary, weighted), out)
         leaks = part if leaks is None else leaks.unionByName(part)
-    return leaks
+    return spark.createDataFrame([], out) if leaks is None else leaks

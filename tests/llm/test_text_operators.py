@@ -174,10 +174,10 @@ def test_common_words_is_the_longest_common_subsequence():
 
 def test_singular_vectors_span_the_leading_directions():
     rng = np.random.RandomState(3)
-    n, r = latent_decontamination.SLOTS, 5
+    n, r = 4000, 5
     true = np.linalg.qr(rng.standard_normal((n, r)))[0]
     a = rng.standard_normal((80, r)) * 50 @ true.T + 0.01 * rng.standard_normal((80, n))
-    v = latent_decontamination.singular_vectors(a.T @ (a @ latent_decontamination._gaussian().astype(float)))
+    v = latent_decontamination.singular_vectors(a.T @ (a @ latent_decontamination._gaussian(n).astype(float)))
     assert np.linalg.norm(true.T @ v[:, :r], 2) > 0.99
 
 
