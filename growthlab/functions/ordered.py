@@ -19,35 +19,13 @@ from pyspark.sql import types as T
 
 PID = "__pid"
 
-# Quantile helpers use Spark's exact single-aggregate ``percentile`` /
-# ``percentile_disc`` (buffer = one entry per distinct value) only when the
-# column's distinct count is checked to be at most this; beyond it the
-# distributed method below is used.
-SMALL_DISTINCT = 100_000
-
-
-def few_distinct(df: DataFrame, col: str, limit: int = SMALL_DISTINCT) -> bool:
-    """Size check: HyperLogLog estimate (1 % relative error) of the distinct
-    non-null values of ``col`` against ``limit`` (one bounded-memory pass)."""
-    est = df.agg(F.approx_count_distinct(col, 0.01).alias("n")).first()["n"]
-    return est is not None and est <= limit
-
-
-def _num_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def global_cumsum(df: DataFrame, order_cols: list, sum_cols: list[str], prefix: str = "cum_",
-                  num_partitions: int | None = None) -> DataFrame:
+def global_cumsum(df: DataFrame, order_cols: list, sum_cols: list[str], prefix: str = "cum_") -> DataFrame:
     """Add ``prefix+c`` = running sum of ``c`` over the total order ``order_cols``
     (inclusive of the current row).  ``order_cols`` may hold Column expressions
     (e.g. ``F.desc('x')``) and must define a total order for a deterministic result."""
     from pyspark import TaskContext
 
-    n = _num_parts(df, num_partitions)
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
     out_fields = list(df.schema.fields) + [T.StructField(PID, T.IntegerType())]
     for c in sum_cols:
         dt = df.schema[c].dataType
@@ -87,23 +65,12 @@ def value_counts_cum(df: DataFrame, col: str, ascending: bool = True) -> DataFra
     return global_cumsum(vc, order, ["cnt", "one"]).withColumnRenamed("cum_one", "dense_rank")
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile",
-                    bounded: bool | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile") -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``percentile_cont`` definition):
     position h = (n-1)·q on the ascending order, value = x[⌊h⌋] + (h-⌊h⌋)·(x[⌈h⌉]-x[⌊h⌋]).
 
-    ``bounded=True`` (the column has few distinct values, e.g. day counts or
-    purchase frequencies bounded by the window length): Spark's exact
-    ``percentile`` aggregate, whose buffer holds one entry per distinct value.
-    Otherwise distributed: distinct values with running counts, then the two
-    order statistics of each q are picked by a range predicate.  The default
-    keeps the distributed path: interpolated values are reported results, and
-    Spark's aggregate interpolates with different floating-point steps (last-bit
-    differences).  Returns (``q``, ``name``) rows."""
-    if bounded:
-        arr = df.agg(F.percentile(F.col(col).cast("double"), [float(q) for q in qs]).alias("__v"))
-        return arr.select(F.posexplode("__v").alias("__i", name)).select(
-            F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("__i") + 1).alias("q"), name)
+    Distinct values with running counts, then the two order statistics of each q
+    are picked by a range predicate.  Returns (``q``, ``name``) rows."""
     vc = value_counts_cum(df, col)
     pos = (vc.agg(F.max("cum_cnt").alias("n"))
               .select("n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
@@ -120,16 +87,11 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quant
               .select("q", (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo"))).alias(name)))
 
 
-def quantile_value(df: DataFrame, col: str, q: float, bounded: bool | None = None) -> DataFrame:
-    """One-row DataFrame with column ``qv`` = exact quantile q of ``col`` (a
-    threshold: a last-bit difference between the two paths cannot change which
-    rows pass a strict comparison unless q falls on an element, where both are
-    exact).  ``bounded=None`` decides by ``few_distinct``."""
-    if bounded is None:
-        bounded = few_distinct(df, col)
-    if bounded:
-        return df.agg(F.percentile(F.col(col).cast("double"), float(q)).alias("qv"))
-    return exact_quantiles(df, col, [q], "qv").select("qv")
+def quantile_value(df: DataFrame, col: str, q: float, element: bool = False) -> DataFrame:
+    """One-row DataFrame with column ``qv``: the q-quantile of ``col``, interpolated, or
+    an element of the column."""
+    found = discrete_quantiles(df, col, [q], "qv") if element else exact_quantiles(df, col, [q], "qv")
+    return found.select("qv")
 
 
 def row_positions(df: DataFrame, order_cols: list, name: str = "pos") -> DataFrame:
@@ -138,20 +100,9 @@ def row_positions(df: DataFrame, order_cols: list, name: str = "pos") -> DataFra
     return global_cumsum(tmp, order_cols, ["__one"]).withColumnRenamed("cum___one", name).drop("__one")
 
 
-def discrete_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile",
-                       bounded: bool | None = None) -> DataFrame:
+def discrete_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile") -> DataFrame:
     """Element quantiles (``percentile_disc``): the value at 0-based ascending
-    position ⌈n·q⌉−1 (position 0 for q = 0).  Returns (``q``, ``name``) rows.
-    ``bounded=True`` uses Spark's ``percentile_disc`` aggregate (few distinct
-    values); ``None`` decides by ``few_distinct``."""
-    if bounded is None:
-        bounded = few_distinct(df, col)
-    if bounded:
-        aggs = [F.expr(f"percentile_disc({float(q)!r}) WITHIN GROUP (ORDER BY `{col}`)").alias(f"__q{i}")
-                for i, q in enumerate(qs)]
-        one = df.agg(*aggs)
-        return one.select(F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.col(f"__q{i}").alias(name))
-                                             for i, q in enumerate(qs)])).alias("__s")).select("__s.q", f"__s.{name}")
+    position ⌈n·q⌉−1 (position 0 for q = 0).  Returns (``q``, ``name``) rows."""
     vc = value_counts_cum(df, col)
     pos = (vc.agg(F.max("cum_cnt").alias("n"))
               .select("n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))

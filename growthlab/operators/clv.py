@@ -43,13 +43,17 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
-def hyp2f1_series(A: float, B: float, Cc: Column, z: Column, max_terms: int = 2000, tol: float = 1e-14) -> Column:
-    """Σ_n (A)_n (B)_n / ((C)_n n!) zⁿ for 0 ≤ z < 1, truncated where z^n < tol
-    (per-row term count, at most ``max_terms``)."""
-    n_terms = F.least(F.lit(max_terms), F.greatest(F.lit(1), (F.ceil(F.log(F.lit(tol)) / F.log(
+def _term_index(z: Column, tol: float = 1e-14) -> Column:
+    """0, 1, ... up to where z^n < tol: a count per row, without a cap (z = 0.999 takes some
+    32,000 terms, z = 0.9999 some 320,000)."""
+    n_terms = F.when(z <= 0, F.lit(1)).otherwise(F.greatest(F.lit(1), (F.ceil(F.log(F.lit(tol)) / F.log(
         F.greatest(z, F.lit(1e-300)))) + 50).cast("int")))
-    n_terms = F.when(z <= 0, F.lit(1)).otherwise(n_terms)
-    idx = F.sequence(F.lit(0), n_terms - 1)
+    return F.sequence(F.lit(0), n_terms - 1)
+
+
+def hyp2f1_series(A: float, B: float, Cc: Column, z: Column) -> Column:
+    """Σ_n (A)_n (B)_n / ((C)_n n!) zⁿ for 0 ≤ z < 1, summed until zⁿ < 1e-14."""
+    idx = _term_index(z)
     init = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
     res = F.aggregate(idx, init, lambda acc, n: F.struct(
         (acc["t"] * (F.lit(A) + n) * (F.lit(B) + n) / ((Cc + n) * (n + 1.0)) * z).alias("t"),
@@ -73,11 +77,18 @@ def probability_alive(m: BGNBD, x, t_x, T) -> Column:
 def purchase_factor(m: BGNBD, t, x, T) -> Column:
     """The part of the expected purchases that does not depend on recency:
     (a+b+x−1)/(a−1) · [1 − (1−z)^(a−1) · 2F1(a+b−1−r, a−1; a+b+x−1; z)],
-    z = t/(α+T+t) (Euler-transformed series, stable for large t)."""
+    z = t/(α+T+t) (Euler-transformed series, stable for large t).  At a = 1 its limit
+    (b+x) · [−ln(1−z) − Σ_{n≥1} (b−r)_n / (b+x)_n · zⁿ/n]."""
     x, T = _c(x).cast("double"), _c(T).cast("double")
     tt = t if isinstance(t, Column) else F.lit(float(t))
     z = tt / (F.lit(m.alpha) + T + tt)
     cc = F.lit(m.a + m.b - 1.0) + x
+    if abs(m.a - 1.0) < 1e-9:
+        start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
+        ratio = lambda acc, n: acc["t"] * (F.lit(m.b - m.r) + n) / (cc + n) * z
+        res = F.aggregate(_term_index(z), start, lambda acc, n: F.struct(
+            ratio(acc, n).alias("t"), (acc["s"] + ratio(acc, n) / (n + 1.0)).alias("s")))
+        return cc * (-F.log(F.lit(1.0) - z) - res["s"])
     h = hyp2f1_series(m.a + m.b - 1.0 - m.r, m.a - 1.0, cc, z)
     pre = cc / F.lit(m.a - 1.0)
     return pre * (F.lit(1.0) - F.pow(F.lit(1.0) - z, F.lit(m.a - 1.0)) * h)
@@ -92,10 +103,12 @@ def expected_purchases(m: BGNBD, t, x, t_x, T) -> Column:
 
 def expected_avg_profit(g: GammaGamma, x, money) -> Column:
     """LV5 conditional expected average profit: w = px/(px+q−1);
-    (1−w)·v·p/(q−1) + w·m (x = 0 gives the population mean)."""
+    (1−w)·v·p/(q−1) + w·m (x = 0 gives the population mean), i.e. p·(v + x·m)/(px+q−1).
+    Null where that mean is infinite (px + q ≤ 1, as for new customers of a model with
+    q ≤ 1)."""
     x, mv = _c(x).cast("double"), _c(money).cast("double")
-    w = F.lit(g.p) * x / (F.lit(g.p) * x + F.lit(g.q - 1.0))
-    return (F.lit(1.0) - w) * F.lit(g.v * g.p / (g.q - 1.0)) + w * mv
+    den = F.lit(g.p) * x + F.lit(g.q) - F.lit(1.0)
+    return F.when(den > 0, F.lit(g.p) * (F.lit(g.v) + x * mv) / den)
 
 
 _FACTOR = {"W": 4.345, "M": 1.0, "D": 30.0, "H": 30.0 * 24}
@@ -366,11 +379,16 @@ def bgnbd_loglik_terms(m: BGNBD) -> Column:
     return a1 + a2 + lse
 
 
+#: Log-parameters are tried within this range.
+LOG_LIMIT = 30.0
+
+
 def _bfgs_batched(f_batch, x0, iters: int = 60, h: float = 1e-5, tol: float = 1e-9):
     """Quasi-Newton (BFGS) minimisation where every iteration is ONE call of
     ``f_batch`` (one Spark aggregate): it evaluates a ladder of step lengths
     along the search direction together with the forward-difference gradient
-    points of each step, so the accepted point's gradient is already known."""
+    points of each step, so the accepted point's gradient is already known.  Returns the
+    point, its value, and a report: converged, iterations, gradient norm."""
     import numpy as np
 
     n = len(x0)
@@ -384,7 +402,8 @@ def _bfgs_batched(f_batch, x0, iters: int = 60, h: float = 1e-5, tol: float = 1e
     fx = vals[0]
     g = np.array([(vals[1 + i] - fx) / h for i in range(n)])
     H = np.eye(n)
-    for _ in range(iters):
+    converged, used = False, 0
+    for used in range(1, iters + 1):
         d = -H.dot(g)
         if g.dot(d) >= 0:  # not a descent direction: restart from steepest descent
             H = np.eye(n)
@@ -398,7 +417,8 @@ def _bfgs_batched(f_batch, x0, iters: int = 60, h: float = 1e-5, tol: float = 1e
             fv = res[k * (n + 1)]
             if fv <= fx + 1e-4 * a * g.dot(d) and (best is None or fv < best[1]):
                 best = (a, fv, k)
-        if best is None:
+        if best is None:  # no step improves: the optimum, as far as differences can tell
+            converged = bool(np.linalg.norm(g) < 1e-3 * (1.0 + abs(fx)))
             break
         a, fnew, k = best
         xn = x + a * d
@@ -412,8 +432,19 @@ def _bfgs_batched(f_batch, x0, iters: int = 60, h: float = 1e-5, tol: float = 1e
         done = abs(fx - fnew) < tol * (1.0 + abs(fx))
         x, fx, g = xn, fnew, gn
         if done or np.linalg.norm(g) < 1e-7:
+            converged = True
             break
-    return x.tolist(), fx
+    edge = bool(np.any(np.abs(x) >= LOG_LIMIT))
+    return x.tolist(), fx, {"converged": converged and not edge, "iterations": used, "gradient": float(np.linalg.norm(g))}
+
+
+def _checked(report: dict, into: dict | None, what: str) -> None:
+    """Hands the optimiser's report to the caller; without a place for it, a fit that did
+    not converge is an error."""
+    if into is not None:
+        into.update(report)
+    elif not report["converged"]:
+        raise RuntimeError(f"the {what} fit did not converge: {report}")
 
 
 def _batch_nll(comp: DataFrame, terms, make, names: list[str], penalizer: float):
@@ -424,8 +455,8 @@ def _batch_nll(comp: DataFrame, terms, make, names: list[str], penalizer: float)
     spark = comp.sparkSession
 
     def f_batch(lps):
-        # log-parameters are clipped to a finite range (exp stays representable)
-        lps = [[min(max(v, -30.0), 30.0) for v in lp] for lp in lps]
+        # exp must stay representable; a fit that ends at this edge counts as not converged
+        lps = [[min(max(v, -LOG_LIMIT), LOG_LIMIT) for v in lp] for lp in lps]
         rows = [(i, *[float(math.exp(v)) for v in lp]) for i, lp in enumerate(lps)]
         pt = spark.createDataFrame(rows, "pid int, " + ", ".join(f"{n} double" for n in names))
         m = make(*[F.col(n) for n in names])
@@ -442,15 +473,18 @@ def _batch_nll(comp: DataFrame, terms, make, names: list[str], penalizer: float)
 
 
 def fit_bgnbd(summary: DataFrame, x="frequency_cal", t_x="recency_cal", T="T_cal", penalizer: float = 0.0,
-              iters: int = 60) -> BGNBD:
+              iters: int = 60, report: dict | None = None) -> BGNBD:
     """LV1: maximum likelihood (optionally ridge-penalised on the parameters) of
-    BG/NBD.  Customers are compressed to distinct (x, t_x, T) with counts and
+    BG/NBD.  ``report`` receives converged, iterations and gradient; without it a fit
+    that does not converge raises.  Customers are compressed to distinct (x, t_x, T) with counts and
     checkpointed; each likelihood evaluation is one aggregate over them."""
     comp = (summary.groupBy(F.col(x).alias("x"), F.col(t_x).alias("t_x"), F.col(T).alias("T"))
                    .agg(F.count(F.lit(1)).alias("w")))
     comp = materialize(comp)
 
-    best, _ = _bfgs_batched(_batch_nll(comp, bgnbd_loglik_terms, BGNBD, ["r", "alpha", "a", "b"], penalizer), [0.0, 0.0, 0.0, 0.0], iters)
+    best, _, found = _bfgs_batched(_batch_nll(comp, bgnbd_loglik_terms, BGNBD, ["r", "alpha", "a", "b"], penalizer),
+                                   [0.0, 0.0, 0.0, 0.0], iters)
+    _checked(found, report, "BG/NBD")
     return BGNBD(*[math.exp(v) for v in best])
 
 
@@ -462,23 +496,47 @@ def gg_loglik_terms(g: GammaGamma) -> Column:
 
 
 def fit_gamma_gamma(summary: DataFrame, x="frequency_cal", money="monetary_value", penalizer: float = 0.0,
-                    iters: int = 60) -> GammaGamma:
-    """LV2: Gamma-Gamma fit on customers with x > 0 and money > 0."""
+                    iters: int = 60, finite_mean: bool = False, report: dict | None = None) -> GammaGamma:
+    """LV2: Gamma-Gamma fit on customers with x > 0 and money > 0.  ``finite_mean`` keeps
+    q above 1, without which the expected profit of a new customer is infinite."""
+    low = 1.0 if finite_mean else 0.0
     comp = (summary.where((F.col(x) > 0) & (F.col(money) > 0))
                    .groupBy(F.col(x).alias("x"), F.col(money).alias("m")).agg(F.count(F.lit(1)).alias("w"))
                    )
     comp = materialize(comp)
 
-    best, _ = _bfgs_batched(_batch_nll(comp, gg_loglik_terms, GammaGamma, ["p", "q", "v"], penalizer), [0.0, 0.0, 0.0], iters)
-    return GammaGamma(*[math.exp(v) for v in best])
+    make = lambda p, q, v: GammaGamma(p, q + F.lit(low), v)
+    best, _, found = _bfgs_batched(_batch_nll(comp, gg_loglik_terms, make, ["p", "q", "v"], penalizer), [0.0, 0.0, 0.0], iters)
+    _checked(found, report, "Gamma-Gamma")
+    p, q, v = (math.exp(x) for x in best)
+    return GammaGamma(p, q + low, v)
+
+
+def log_likelihood(summary: DataFrame, terms: Column, x="frequency_cal", t_x="recency_cal", T="T_cal",
+                   money="monetary_value") -> DataFrame:
+    """Sum of the per-customer log-likelihood ``terms`` (``bgnbd_loglik_terms`` or
+    ``gg_loglik_terms`` of a model) and the number of customers."""
+    rows = summary.select(F.col(x).alias("x"), F.col(t_x).alias("t_x"), F.col(T).alias("T"), F.col(money).alias("m"))
+    return rows.agg(F.sum(terms).alias("log_likelihood"), F.count(F.lit(1)).alias("n"))
 
 
 def params_frame(spark, m: BGNBD, g: GammaGamma | None = None) -> DataFrame:
-    """LV13: fitted parameters as a one-row DataFrame (written as Parquet by the caller)."""
+    """LV13: fitted parameters as a one-row DataFrame."""
     row = {"r": m.r, "alpha": m.alpha, "a": m.a, "b": m.b}
     if g is not None:
         row.update({"p": g.p, "q": g.q, "v": g.v})
-    return spark.createDataFrame([row])
+    return spark.createDataFrame([row], ", ".join(f"{k} double" for k in row))
+
+
+def save_params(spark, path: str, m: BGNBD, g: GammaGamma | None = None) -> None:
+    """LV13: writes the parameters as Parquet."""
+    params_frame(spark, m, g).write.mode("overwrite").parquet(path)
+
+
+def load_params(spark, path: str) -> tuple[BGNBD, GammaGamma | None]:
+    """LV13: the models that ``save_params`` wrote."""
+    r = spark.read.parquet(path).first().asDict()
+    return BGNBD(*(r[k] for k in ("r", "alpha", "a", "b"))), GammaGamma(r["p"], r["q"], r["v"]) if "p" in r else None
 
 
 def alive_history(txn: DataFrame, customers: DataFrame, first_day, last_day, m: BGNBD) -> DataFrame:

@@ -121,25 +121,18 @@ def _group_shares(m: DataFrame) -> DataFrame:
 
 def ab_comparison(metrics: DataFrame, valid: DataFrame, a: str = "raw", b: str = "rt") -> DataFrame:
     """AB3: per day, group ``a`` vs group ``b`` side by side (``_raw`` / ``_rt``
-    suffixes) by category name, each side with the valid-category id
-    (``sale_category_id``, null when not valid).
-
-    One aggregation over (day, category) with conditional columns instead of
-    two filtered copies and a full outer join: a category seen by one group only
-    gets nulls on the other side, as with the outer join, and the metrics table
-    is read once."""
+    suffixes): full outer join on the category name, each side with the valid-category
+    id (``sale_category_id``, null when not valid).  A name with several ids gives a
+    row per pair of ids, and a name seen by one group only gets nulls on the other
+    side.  Both sides are small: a row per day and category."""
     v = valid.select("dt", "cma_id").distinct().withColumn("sale_category_id", F.col("cma_id"))
     s = _group_shares(metrics).join(v, ["dt", "cma_id"], "left")
     g = F.col("experiment_group_name")
-    vals = [c for c in s.columns if c not in ("dt", "experiment_group_name", "category_name")]
-    aggs = []
-    for suffix, grp in (("_raw", a), ("_rt", b)):
-        aggs.append(F.max(F.when(g == grp, F.col("category_name"))).alias("category_name" + suffix))
-        for c in vals:
-            if suffix == "_rt" and c == "cma_id":
-                continue
-            aggs.append(F.max(F.when(g == grp, F.col(c))).alias(c + suffix))
-    return s.where(g.isin(a, b)).groupBy("dt", "category_name").agg(*aggs).drop("category_name")
+    vals = [c for c in s.columns if c not in ("dt", "experiment_group_name")]
+    left = s.where(g == a).select("dt", F.col("category_name").alias("__name"), *[F.col(c).alias(c + "_raw") for c in vals])
+    right = s.where(g == b).select("dt", F.col("category_name").alias("__name"),
+                                   *[F.col(c).alias(c + "_rt") for c in vals if c != "cma_id"])
+    return left.join(right, ["dt", "__name"], "full").drop("__name")
 
 
 def ab_entropy(metrics: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from growthlab.functions.columns import hash_bucket
 
 FEATURES = ["frequency_cal", "recency_cal", "T_cal", "monetary_value", "f_sqrt", "f_log", "fm_log"]
+#: The columns that are standardised; the derived ones stay as they are.
+SCALED = FEATURES[:4]
 
 
 def ml_features(pp: DataFrame) -> DataFrame:

@@ -29,8 +29,9 @@ def rfm(sales: DataFrame, start, end, customers: DataFrame | None = None,
 
 
 def trim_rfm(df: DataFrame, q: float = 0.99) -> DataFrame:
-    """Drop the top 1 % of frequency, then of total value (strict, in that order)."""
-    return quantile_trim(quantile_trim(df, "frequency", q, bounded=True), "total_value", q)
+    """Drop the top 1 % of frequency, then of total value (strict, in that order; the
+    thresholds are elements of the columns, as ``approxQuantile`` gives)."""
+    return quantile_trim(quantile_trim(df, "frequency", q, element=True), "total_value", q, element=True)
 
 
 def _bucket_lower_closed(x: Column, edges: Column) -> Column:
@@ -44,7 +45,7 @@ def _bucket_upper_closed(x: Column, edges: Column) -> Column:
 
 
 def quantile_buckets(df: DataFrame, col: str, n: int, out: str, right_closed: bool = False,
-                     interpolate: bool = False, bounded: bool | None = None) -> DataFrame:
+                     interpolate: bool = False) -> DataFrame:
     """Add ``out`` = 0-based quantile bucket of ``col`` with ``n`` buckets.
 
     * default: ``QuantileDiscretizer``-style, element-quantile edges, ``[lo, hi)``
@@ -53,7 +54,7 @@ def quantile_buckets(df: DataFrame, col: str, n: int, out: str, right_closed: bo
     Tied edges merge into one (fewer buckets).  Null stays null.  The edge array
     is one broadcast row."""
     qs = [i / n for i in range(1, n)]
-    e = exact_quantiles(df, col, qs, bounded=bounded) if interpolate else discrete_quantiles(df, col, qs, bounded=bounded)
+    e = exact_quantiles(df, col, qs) if interpolate else discrete_quantiles(df, col, qs)
     edges = edges_array(e).withColumnRenamed("edges", "__edges_" + out)
     fn = _bucket_upper_closed if right_closed else _bucket_lower_closed
     b = F.when(F.col(col).isNull(), F.lit(None)).otherwise(fn(F.col(col), F.col("__edges_" + out)))
@@ -63,8 +64,8 @@ def quantile_buckets(df: DataFrame, col: str, n: int, out: str, right_closed: bo
 def rfm_quantile_score(df: DataFrame, n: int = 4) -> DataFrame:
     """RF2: F = 1 + b(frequency), M = 1 + b(total_value), R = n − b(recency),
     ``rfm`` = R + F + M, with ``[lo, hi)`` element-quantile buckets."""
-    out = quantile_buckets(df, "recency", n, "bR", bounded=True)
-    out = quantile_buckets(out, "frequency", n, "bF", bounded=True)
+    out = quantile_buckets(df, "recency", n, "bR")
+    out = quantile_buckets(out, "frequency", n, "bF")
     out = quantile_buckets(out, "total_value", n, "bM")
     return (out.withColumn("R", F.lit(n) - F.col("bR")).withColumn("F", F.col("bF") + 1)
                .withColumn("M", F.col("bM") + 1).withColumn("rfm", F.col("R") + F.col("F") + F.col("M"))
@@ -74,8 +75,8 @@ def rfm_quantile_score(df: DataFrame, n: int = 4) -> DataFrame:
 def rfm_qcut_score(df: DataFrame, n: int = 4) -> DataFrame:
     """RF3 ``compute_rfm_value``: pandas ``qcut`` buckets; R reversed;
     ``rfm`` = the digits R, F, M read as one integer; ``rfm_score`` = R + F + M."""
-    out = quantile_buckets(df, "recency", n, "bR", right_closed=True, interpolate=True, bounded=True)
-    out = quantile_buckets(out, "frequency", n, "bF", right_closed=True, interpolate=True, bounded=True)
+    out = quantile_buckets(df, "recency", n, "bR", right_closed=True, interpolate=True)
+    out = quantile_buckets(out, "frequency", n, "bF", right_closed=True, interpolate=True)
     out = quantile_buckets(out, "total_value", n, "bM", right_closed=True, interpolate=True)
     out = (out.withColumn("R", F.lit(n) - F.col("bR")).withColumn("F", F.col("bF") + 1)
               .withColumn("M", F.col("bM") + 1).drop("bR", "bF", "bM"))

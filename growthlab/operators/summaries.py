@@ -92,11 +92,11 @@ def calibration_holdout(txn: DataFrame, cal_start, cal_end, obs_end, category=No
                        dur.alias("duration_holdout")))
 
 
-def quantile_trim(df: DataFrame, col: str, q: float = 0.99, bounded: bool | None = None) -> DataFrame:
+def quantile_trim(df: DataFrame, col: str, q: float = 0.99, element: bool = False) -> DataFrame:
     """FLT8: keep rows with ``col`` strictly below its exact q-quantile (linear
-    interpolation).  The threshold is a one-row table joined by broadcast.
-    ``bounded``: the column has few distinct values (frequencies, day counts)."""
-    thr = quantile_value(df, col, q, bounded)
+    interpolation, or an element of the column).  The threshold is a one-row table
+    joined by broadcast."""
+    thr = quantile_value(df, col, q, element)
     return df.join(F.broadcast(thr), F.col(col) < F.col("qv"), "left_semi")
 
 
@@ -123,9 +123,8 @@ def pre_post_table(sales: DataFrame, cal, hold, category=None, q: float = 0.99,
     """CS8: calibration and hold-out summaries, each trimmed at the q-quantile of
     ``frequency``, renamed, left-joined on the customer, nulls → 0, plus
     ``duration_holdout`` (days, or weeks)."""
-    # frequencies are bounded by the window's days: exact single-aggregate percentile
-    pre = quantile_trim(customer_summary(sales, cal[0], cal[1], category), "frequency", q, bounded=True)
-    post = quantile_trim(customer_summary(sales, hold[0], hold[1], category), "frequency", q, bounded=True)
+    pre = quantile_trim(customer_summary(sales, cal[0], cal[1], category), "frequency", q)
+    post = quantile_trim(customer_summary(sales, hold[0], hold[1], category), "frequency", q)
     pre = pre.select(F.col("customer_id").alias("id"), F.col("frequency").alias("frequency_cal"),
                      F.col("recency").alias("recency_cal"), F.col("T").alias("T_cal"),
                      "monetary_value", "total_value")

@@ -1,5 +1,6 @@
 """Oracle SQL for lifetime-value scoring and evaluation.  The hypergeometric
-series is summed from log-gamma terms over a fixed 2,000-term range."""
+series is summed from log-gamma terms over a fixed range, longer than any row of the
+catalogue's parameters needs."""
 
 from __future__ import annotations
 
@@ -21,10 +22,9 @@ SCORE_CTES = pre_post_ctes() + [
                  CAST(T_cal AS DOUBLE) AS TT FROM pre_post"""),
     ("sc1", f"""SELECT *, 1.0 / (1.0 + CASE WHEN x > 0 THEN {L(a)} / ({L(b)} + x - 1.0)
                    * pow(({L(al)} + TT) / ({L(al)} + tx), {L(r)} + x) ELSE 0.0 END) AS invd,
-                 (1.0 - {L(p)} * x / ({L(p)} * x + {L(q - 1.0)})) * {L(v * p / (q - 1.0))}
-                   + {L(p)} * x / ({L(p)} * x + {L(q - 1.0)}) * monetary_value AS avenue FROM sc0"""),
+                 {L(p)} * ({L(v)} + x * monetary_value) / ({L(p)} * x + {L(q)} - 1.0) AS avenue FROM sc0"""),
     ("ts", "SELECT UNNEST([578.0, 30.0, 60.0, 90.0, 120.0, 150.0, 180.0]::DOUBLE[]) AS t"),
-    ("terms", "SELECT CAST(UNNEST(range(0, 2000)) AS DOUBLE) AS n"),
+    ("terms", "SELECT CAST(UNNEST(range(0, 2500)) AS DOUBLE) AS n"),
     ("zz", f"""SELECT id, t, invd, t / ({L(al)} + TT + t) AS z, {L(a + b - 1.0)} + x AS C FROM sc1, ts"""),
     ("ser", f"""SELECT id, t, invd, z, C, SUM(CASE WHEN n = 0 THEN 1.0 ELSE
                    {'-' if B < 0 else ''}exp(lgamma({L(A)} + n) - lgamma({L(A)}) + lgamma({L(B)} + n) - lgamma({L(B)})
@@ -137,8 +137,13 @@ ORACLE = {
     "bucket_mape": with_views(V, """
         SELECT bucket, round(g1, 4) AS g1, round(g2, 4) AS g2,
                round(CASE WHEN g2 <> 0 THEN abs(g1 - g2) / g2 ELSE g1 - g2 END, 4) AS mape
-        FROM (SELECT b.bin AS bucket, AVG(COALESCE(total_holdout, 0.0)) AS g1, AVG(COALESCE(clv, 0.0)) AS g2
+        FROM (SELECT b.bin AS bucket, AVG(COALESCE(total_holdout, 0.0)) AS g2, AVG(COALESCE(clv, 0.0)) AS g1
               FROM bins b LEFT JOIN bk ON b.bin = bk.bucket GROUP BY b.bin) t WHERE bucket >= 1""", BIN_CTES),
+    "bucket_mape_mean": with_views(V, """
+        SELECT round(AVG(round(abs(c - h) / h, 3)), 4) AS mape_clv, round(AVG(round(abs(t - h) / h, 3)), 4) AS mape_training
+        FROM (SELECT b.bin AS bucket, AVG(COALESCE(total_holdout, 0.0)) AS h, AVG(COALESCE(clv, 0.0)) AS c,
+                     AVG(COALESCE(total_value, 0.0)) AS t
+              FROM bins b JOIN bk ON b.bin = bk.bucket GROUP BY b.bin) m WHERE bucket >= 1""", BIN_CTES),
     "value_concentration": with_views(V, f"""
         SELECT id, nid, round(value, 6) AS value, round(cv / tv, 6) AS value_share,
                round((nid * (nid + 1) / 2.0) / (n * (n - 1) / 2.0), 6) AS index_share, round((nid + 1.0) / n, 6) AS row_share
@@ -173,6 +178,19 @@ ORACLE = {
                round(ln((frequency_holdout + 1) * money_holdout + 1), 6) AS label FROM pre_post""", pre_post_ctes()),
 }
 
+ORACLE["bgnbd_loglik"] = with_views(V, f"""
+    SELECT round(SUM(lgamma({L(r)} + x) - lgamma({L(r)}) + {L(r)} * ln({L(al)})
+               + lgamma({L(a + b)}) + lgamma({L(b)} + x) - lgamma({L(b)}) - lgamma({L(a + b)} + x)
+               + ln(pow({L(al)} + TT, -({L(r)} + x)) + CASE WHEN x > 0 THEN {L(a)} / ({L(b)} + x - 1.0)
+                    * pow({L(al)} + tx, -({L(r)} + x)) ELSE 0.0 END)), 4) AS log_likelihood, COUNT(*) AS n FROM sc0""",
+    SCORE_CTES[:SCORE_CTES.index(next(c for c in SCORE_CTES if c[0] == "sc0")) + 1])
+ORACLE["gamma_gamma_loglik"] = with_views(V, f"""
+    SELECT round(SUM(lgamma({L(p)} * x + {L(q)}) - lgamma({L(p)} * x) - lgamma({L(q)}) + {L(q)} * ln({L(v)})
+               + ({L(p)} * x - 1.0) * ln(monetary_value) + {L(p)} * x * ln(x)
+               - ({L(p)} * x + {L(q)}) * ln({L(v)} + x * monetary_value)), 4) AS log_likelihood, COUNT(*) AS n
+    FROM sc0 WHERE x > 0 AND monetary_value > 0""",
+    SCORE_CTES[:SCORE_CTES.index(next(c for c in SCORE_CTES if c[0] == "sc0")) + 1])
+
 _FEATS = ["frequency_cal", "recency_cal", "T_cal", "monetary_value", "f_sqrt", "f_log", "fm_log"]
 _FEAT_CTES = pre_post_ctes() + [
     ("mf", """SELECT id, CAST(frequency_cal AS DOUBLE) AS frequency_cal, CAST(recency_cal AS DOUBLE) AS recency_cal,
@@ -184,9 +202,42 @@ _FEAT_CTES = pre_post_ctes() + [
      + " FROM mf WHERE is_train"),
 ]
 ORACLE["standardised_features"] = with_views(V, "SELECT id, " + ", ".join(
-    f"round(({c} - m_{c}) / NULLIF(s_{c}, 0), 6) AS {c}" for c in _FEATS)
+    f"round(({c} - m_{c}) / NULLIF(s_{c}, 0), 6) AS {c}" if c in _FEATS[:4] else f"round({c}, 6) AS {c}" for c in _FEATS)
     + ", round(label, 6) AS label, is_train FROM mf, st", _FEAT_CTES)
 
+
+def _ridge_ctes(alpha: float) -> list[tuple[str, str]]:
+    """Centred normal equations of the train rows plus alpha on the diagonal, solved by
+    Gaussian elimination with one statement per pivot, then substitution from the last."""
+    n = len(_FEATS)
+    x = [f"(({c} - m_{c}) / NULLIF(s_{c}, 0))" if i < 4 else c for i, c in enumerate(_FEATS)]
+    ctes = [("xs", "SELECT id, is_train, label AS y, " + ", ".join(f"{e} AS x{i}" for i, e in enumerate(x)) + " FROM mf, st"),
+            ("mx", "SELECT AVG(y) AS my, " + ", ".join(f"AVG(x{i}) AS m{i}" for i in range(n)) + " FROM xs WHERE is_train"),
+            ("e0", "SELECT " + ", ".join(
+                [f"SUM((x{i} - m{i}) * (x{j} - m{j})){f' + {L(alpha)}' if i == j else ''} AS c{i}_{j}" for i in range(n) for j in range(n)]
+                + [f"SUM((x{i} - m{i}) * (y - my)) AS c{i}_{n}" for i in range(n)]) + " FROM xs, mx WHERE is_train")]
+    for k in range(n - 1):
+        ctes.append((f"e{k + 1}", "SELECT " + ", ".join(
+            f"c{i}_{j}" if i <= k else f"c{i}_{j} - c{i}_{k} * c{k}_{j} / c{k}_{k} AS c{i}_{j}"
+            for i in range(n) for j in range(min(i, k + 1) if i <= k else k + 1, n + 1)) + f" FROM e{k}"))
+    last = f"e{n - 1}"
+    for k in range(n - 1, -1, -1):
+        done = " - ".join([f"c{k}_{n}"] + [f"c{k}_{j} * b{j}" for j in range(k + 1, n)])
+        ctes.append((f"s{k}", f"SELECT *, ({done}) / c{k}_{k} AS b{k} FROM {last}"))
+        last = f"s{k}"
+    ctes.append(("beta", "SELECT " + ", ".join(f"b{i}" for i in range(n)) + ", my - ("
+                 + " + ".join(f"b{i} * m{i}" for i in range(n)) + f") AS b FROM {last}, mx"))
+    return ctes
+
+
+_RIDGE = _FEAT_CTES + _ridge_ctes(0.5)
+ORACLE["ridge_coefficients"] = with_views(V, " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(b{i}, 4) AS coefficient FROM beta" for i, c in enumerate(_FEATS))
+    + " UNION ALL SELECT 'intercept', round(b, 4) FROM beta", _RIDGE)
+ORACLE["ridge_mae"] = with_views(V, "SELECT CASE WHEN is_train THEN 'train' ELSE 'test' END AS part, round(AVG(abs(b + "
+                                 + " + ".join(f"b{i} * x{i}" for i in range(len(_FEATS)))
+                                 + " - y)), 4) AS mae, COUNT(*) AS n FROM xs, beta GROUP BY 1", _RIDGE)
+
 ORACLE["alive_history"] = with_views(V, f"""
     SELECT g.customer_id, g.day, COUNT(*) - 1 AS frequency, CAST(date_diff('day', MIN(d.dt), MAX(d.dt)) AS INTEGER) AS recency,
            CAST(date_diff('day', MIN(d.dt), g.day) AS INTEGER) AS T,

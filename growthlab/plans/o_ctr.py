@@ -10,7 +10,7 @@ def snapshot_ctes(first, last):
     return [
         ("days", f"SELECT CAST(UNNEST(generate_series(DATE '{first}', DATE '{last}', INTERVAL 1 DAY)) AS DATE) AS snap_dt"),
         ("be_up", f"""SELECT customer_id, cma_id, dt, COUNT(*) AS n FROM banner_events
-                     WHERE customer_id % 10 <> 0 AND dt <= DATE '{last}' GROUP BY customer_id, cma_id, dt"""),
+                     WHERE dt <= DATE '{last}' GROUP BY customer_id, cma_id, dt"""),
         ("snap", """SELECT d.snap_dt, b.customer_id, b.cma_id, SUM(b.n) AS n FROM be_up b JOIN days d ON b.dt <= d.snap_dt
                    GROUP BY d.snap_dt, b.customer_id, b.cma_id"""),
         ("sp", """SELECT snap_dt AS dt, customer_id, cma_id AS category_id,

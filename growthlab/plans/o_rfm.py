@@ -14,8 +14,8 @@ RFM_CTES = [
                   CAST(SUM({U}) AS DOUBLE) / 10000.0 AS total_value
                FROM sales WHERE dt BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'
                  AND customer_id IN (SELECT customer_id FROM types) GROUP BY customer_id"""),
-    ("r1", "SELECT * FROM r0 WHERE frequency < (SELECT quantile_cont(frequency, 0.99) FROM r0)"),
-    ("r2", "SELECT * FROM r1 WHERE total_value < (SELECT quantile_cont(total_value, 0.99) FROM r1)"),
+    ("r1", "SELECT * FROM r0 WHERE frequency < (SELECT quantile_disc(frequency, 0.99) FROM r0)"),
+    ("r2", "SELECT * FROM r1 WHERE total_value < (SELECT quantile_disc(total_value, 0.99) FROM r1)"),
     ("rfm", "SELECT r2.*, types.type FROM r2 JOIN types ON r2.customer_id = types.customer_id"),
 ]
 

@@ -140,9 +140,19 @@ def bucket_tpr_fpr(spark, sf):
 def bucket_mape(spark, sf):
     s = scored(spark, sf)
     bins = _bins(spark, sf, s)
-    m1 = L.bucket_mean(s, "total_holdout", ["total_holdout"], bins)
-    m2 = L.bucket_mean(s, "total_holdout", ["clv"], bins)
-    return round_doubles(L.bucket_mape(m1, m2, "mean_total_holdout", "mean_clv").where(F.col("bucket") >= 1))
+    m = L.bucket_mean(s, "total_holdout", ["total_holdout", "clv"], bins)
+    return round_doubles(L.bucket_mape(m, m, "mean_clv", "mean_total_holdout").where(F.col("bucket") >= 1))
+
+
+@query("bucket_mape_mean")
+def bucket_mape_mean(spark, sf):
+    """EV9's headline: the mean over the buckets above 0 of the rounded deviation, of the
+    prediction and of the training value as a baseline."""
+    s = scored(spark, sf)
+    m = materialize(L.bucket_mean(s, "total_holdout", ["total_holdout", "clv", "total_value"], _bins(spark, sf, s)))
+    parts = [L.bucket_mape(m, m, c, "mean_total_holdout").where(F.col("bucket") >= 1)
+             .agg(F.avg(F.round("mape", 3)).alias(name)) for c, name in (("mean_clv", "mape_clv"), ("mean_total_value", "mape_training"))]
+    return round_doubles(parts[0].join(parts[1]))
 
 
 @query("value_concentration")
@@ -173,6 +183,29 @@ def topn_jaccard(spark, sf):
     return round_doubles(AG.topn_jaccard(scored(spark, sf), "id", "total_holdout", "clv", 100), 6)
 
 
+@query("bgnbd_loglik")
+def bgnbd_loglik(spark, sf):
+    """LV1's objective at the catalogue's parameters."""
+    return round_doubles(L.log_likelihood(pre_post(spark, sf), L.bgnbd_loglik_terms(BG)))
+
+
+@query("gamma_gamma_loglik")
+def gamma_gamma_loglik(spark, sf):
+    """LV2's objective at the catalogue's parameters, over repeat customers."""
+    pp = pre_post(spark, sf).where((F.col("frequency_cal") > 0) & (F.col("monetary_value") > 0))
+    return round_doubles(L.log_likelihood(pp, L.gg_loglik_terms(GG)))
+
+
+@query("fitted_parameters")
+def fitted_parameters(spark, sf):
+    """LV1, LV2 and LV13: both models fitted, written and read back."""
+    from growthlab.session import scratch_path
+    pp = materialize(pre_post(spark, sf))
+    path = scratch_path(spark, "params")
+    L.save_params(spark, path, L.fit_bgnbd(pp, penalizer=0.001, report={}), L.fit_gamma_gamma(pp, penalizer=0.001, finite_mean=True, report={}))
+    return L.params_frame(spark, *L.load_params(spark, path))
+
+
 @query("ml_features")
 def ml_features(spark, sf):
     return round_doubles(RG.ml_features(pre_post(spark, sf)), 6)
@@ -181,16 +214,16 @@ def ml_features(spark, sf):
 @query("standardised_features")
 def standardised_features(spark, sf):
     f = RG.ml_features(pre_post(spark, sf))
-    return round_doubles(RG.standardise(RG.split(f, 0.67), RG.FEATURES), 6)
+    return round_doubles(RG.standardise(RG.split(f, 0.67), RG.SCALED), 6)
 
 
 @query("ridge_coefficients")
 def ridge_coefficients(spark, sf):
-    f = RG.standardise(RG.split(RG.ml_features(pre_post(spark, sf)), 0.67), RG.FEATURES)
-    return RG.ridge_coefficients(f, RG.FEATURES, 0.5)
+    f = RG.standardise(RG.split(RG.ml_features(pre_post(spark, sf)), 0.67), RG.SCALED)
+    return round_doubles(RG.ridge_coefficients(f, RG.FEATURES, 0.5))
 
 
 @query("ridge_mae")
 def ridge_mae(spark, sf):
-    f = RG.standardise(RG.split(RG.ml_features(pre_post(spark, sf)), 0.67), RG.FEATURES)
-    return RG.ridge_mae(f, RG.FEATURES, 0.5)
+    f = RG.standardise(RG.split(RG.ml_features(pre_post(spark, sf)), 0.67), RG.SCALED)
+    return round_doubles(RG.ridge_mae(f, RG.FEATURES, 0.5))

@@ -18,11 +18,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                SUM(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END) AS gmv
         FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events) e GROUP BY 1, 2, 3, 4"""),
     "category_map": ((), """
-        SELECT CAST(n_nationkey + 1 AS VARCHAR) AS cma_id, n_name AS category_name FROM nation WHERE n_nationkey < 11"""),
+        SELECT CAST(n_nationkey + 1 AS VARCHAR) AS cma_id, n_name AS category_name FROM nation"""),
     "scores_long": (("banner_events",), """
         SELECT customer_id, cma_id AS category_id,
                COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY customer_id) AS probability
-        FROM banner_events WHERE dt <= DATE '2024-01-20' AND customer_id % 10 <> 0 GROUP BY customer_id, cma_id"""),
+        FROM banner_events WHERE dt <= DATE '2024-01-20' GROUP BY customer_id, cma_id"""),
     "push_campaigns": ((), """
         SELECT DISTINCT l.l_suppkey AS campaign_id, o.o_custkey AS customer_id,
                CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'classic' ELSE 'model' END AS scheduler

@@ -78,16 +78,16 @@ def banner_events(spark: SparkSession, sf_dir: str, start=None, end=None) -> Dat
 
 
 def category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """11 of the 12 banner categories have a name (one is unknown on purpose)."""
-    return (table(spark, sf_dir, "nation").where(F.col("n_nationkey") < 11)
+    """Category id to name, a row per nation."""
+    return (table(spark, sf_dir, "nation")
             .select((F.col("n_nationkey") + 1).cast("string").alias("cma_id"),
                     F.col("n_name").alias("category_name")))
 
 
 def scores_long(spark: SparkSession, sf_dir: str, score_day, start=None) -> DataFrame:
     """Model scores in long form: share of a customer's banner rows per category,
-    up to ``score_day``; a tenth of the customers (id % 10 = 0) have none."""
-    be = banner_events(spark, sf_dir, start, score_day).where(F.col("customer_id") % 10 != 0)
+    up to ``score_day``."""
+    be = banner_events(spark, sf_dir, start, score_day)
     c = be.groupBy("customer_id", "cma_id").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("customer_id")
     return c.select("customer_id", F.col("cma_id").alias("category_id"),
@@ -107,10 +107,12 @@ def scores_by_day(spark: SparkSession, sf_dir: str, first_day, last_day) -> Data
     """Daily score snapshots for a rolling evaluation: the snapshot of day ``d``
     uses banner rows up to ``d``.  One job keyed by ``dt`` (no per-day loop).
 
-    Each banner row contributes to every snapshot day on or after its own day,
-    so the expansion is bounded by the number of snapshot days."""
-    be = (banner_events(spark, sf_dir, None, last_day).where(F.col("customer_id") % 10 != 0)
-          .groupBy("customer_id", "cma_id", "dt").agg(F.count(F.lit(1)).alias("n")))
+    Rows are first counted per customer, category and day, all earlier history as the
+    first day; each count then goes to the snapshot days on or after its own."""
+    # history before the first snapshot folds into one row per customer and category
+    day = F.greatest(F.col("dt"), F.lit(first_day).cast("date")).alias("dt")
+    be = (banner_events(spark, sf_dir, None, last_day)
+          .groupBy("customer_id", "cma_id", day).agg(F.count(F.lit(1)).alias("n")))
     snap = F.explode(F.sequence(F.greatest(F.col("dt"), F.lit(first_day)), F.lit(last_day)))
     exp = be.select("customer_id", "cma_id", "n", snap.alias("snap_dt"))
     c = exp.groupBy("snap_dt", "customer_id", "cma_id").agg(F.sum("n").alias("n"))
