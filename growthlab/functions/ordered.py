@@ -100,6 +100,69 @@ def row_positions(df: DataFrame, order_cols: list, name: str = "pos") -> DataFra
     return global_cumsum(tmp, order_cols, ["__one"]).withColumnRenamed("cum___one", name).drop("__one")
 
 
+def group_positions(df: DataFrame, group: str, order_cols: list, name: str = "pos",
+                    previous: tuple[str, str] | None = None) -> DataFrame:
+    """1-based position of each row within its ``group``, in the total order
+    (``group``, ``order_cols``); ``previous=(column, new name)`` also gives that column of
+    the row before in the group.
+
+    A restarting count inside range partitions, so a group with very many rows is spread
+    over as many of them, and no join on the group is needed: only the first group of a
+    partition continues, by what one row per earlier partition says."""
+    import numpy as np
+    from pyspark import TaskContext
+
+    ranged = df.repartitionByRange(group, *order_cols).sortWithinPartitions(group, *order_cols)
+    fields = list(df.schema.fields) + [T.StructField(PID, T.IntegerType()), T.StructField(name, T.LongType()),
+                                       T.StructField("__first", T.BooleanType())]
+    if previous:
+        fields.append(T.StructField(previous[1], df.schema[previous[0]].dataType))
+
+    def local(batches):
+        pid = TaskContext.get().partitionId()
+        last, count, before, first = None, 0, None, True
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key = pdf[group]
+            new = key.ne(key.shift())
+            if last is not None and key.iloc[0] == last:
+                new.iloc[0] = False
+            run = new.cumsum()
+            # rows of the run that began in an earlier batch go on from its count
+            pdf[name] = pdf.groupby(run).cumcount() + 1 + np.where(run == 0, count, 0)
+            start = first and last is None
+            pdf["__first"] = (run == (1 if start else 0)) & first
+            if previous:
+                shifted = pdf[previous[0]].shift()
+                shifted.iloc[0] = before
+                pdf[previous[1]] = shifted.where(~new, None)
+                before = pdf[previous[0]].iloc[-1]
+            first = bool(pdf["__first"].iloc[-1])
+            last, count = key.iloc[-1], int(pdf[name].iloc[-1])
+            pdf[PID] = pid
+            yield pdf
+
+    loc = materialize(ranged.mapInPandas(local, T.StructType(fields)))
+    ends = F.struct(name, group, *([previous[0]] if previous else []), "__first")
+    # one row per partition: its first group, its last row, whether they are one group
+    rows = sorted(loc.groupBy(PID).agg(F.max(F.when(F.col("__first"), F.col(group))).alias("first"),
+                                       F.max_by(ends, F.struct(F.col(group), F.col(name))).alias("end")).collect())
+    carried, carry = [], 0
+    for before, r in zip([None, *rows], rows):
+        goes_on = before is not None and before["end"][group] == r["first"]
+        carry = (before["end"][name] + (carry if before["end"]["__first"] else 0)) if goes_on else 0
+        carried.append((r[PID], carry, before["end"][previous[0]] if goes_on and previous else None))
+    kind = df.schema[previous[0]].dataType.simpleString() if previous else "string"
+    offsets = df.sparkSession.createDataFrame(carried, f"{PID} int, __carry long, __before {kind}")
+    out = loc.join(F.broadcast(offsets), PID)
+    goes_on = F.col("__first") & (F.col("__carry") > 0)
+    if previous:
+        out = out.withColumn(previous[1], F.when(goes_on & (F.col(name) == 1), F.col("__before")).otherwise(F.col(previous[1])))
+    return (out.withColumn(name, F.col(name) + F.when(goes_on, F.col("__carry")).otherwise(F.lit(0)))
+            .drop(PID, "__first", "__carry", "__before"))
+
+
 def discrete_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile") -> DataFrame:
     """Element quantiles (``percentile_disc``): the value at 0-based ascending
     position ⌈n·q⌉−1 (position 0 for q = 0).  Returns (``q``, ``name``) rows."""

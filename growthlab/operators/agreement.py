@@ -67,7 +67,7 @@ def category_share(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = list(by or [])
     c = rows.groupBy(*by, "cma_id").agg(F.count(F.lit(1)).alias("count"))
     t = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__t"))
-    j = c.join(F.broadcast(t), by) if by else c.join(F.broadcast(t))
+    j = c.join(t, by) if by else c.join(F.broadcast(t))
     return j.withColumn("percent", F.round(F.col("count") / F.col("__t"), 6)).drop("__t")
 
 

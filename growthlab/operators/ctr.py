@@ -19,7 +19,7 @@ def banner_customer_category(events: DataFrame, category_map: DataFrame) -> Data
     """CT1 ``load_banner_events``: null → 0, keep mapped categories, sums per
     (day, customer, category)."""
     e = events.select("dt", "customer_id", "cma_id", "impressions", "banner_clicks", "sales").fillna(0)
-    e = e.join(F.broadcast(category_map.select("cma_id")), "cma_id")
+    e = e.join(category_map.select("cma_id"), "cma_id")
     return e.groupBy("dt", "customer_id", "cma_id").agg(
         F.sum("impressions").alias("impressions"), F.sum("banner_clicks").alias("clicks"),
         F.sum("sales").alias("sales"))
@@ -97,7 +97,7 @@ def ab_event_base(events: DataFrame, experiment: DataFrame, category_map: DataFr
     if affected is not None:
         exp = exp.join(affected.select("customer_id").distinct(), "customer_id", "left_semi")
     e = events.join(exp, ["customer_id", "banner_id", "dt", "cma_id"])
-    return e.join(F.broadcast(category_map), "cma_id")
+    return e.join(category_map, "cma_id")
 
 
 def ab_category_metrics(base: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def ab_category_metrics(base: DataFrame) -> DataFrame:
 def _group_shares(m: DataFrame) -> DataFrame:
     tot = m.groupBy("dt", "experiment_group_name").agg(F.sum("impressions_total").alias("__ti"),
                                                        F.sum("clicks_total").alias("__tc"))
-    return (m.join(F.broadcast(tot), ["dt", "experiment_group_name"])
+    return (m.join(tot, ["dt", "experiment_group_name"])
              .withColumn("impression_ratio", ratio("impressions_total", "__ti"))
              .withColumn("clicks_ratio", ratio("clicks_total", "__tc")).drop("__ti", "__tc"))
 

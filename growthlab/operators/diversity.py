@@ -25,7 +25,7 @@ def topk_cumulative_share(counts: DataFrame, category_map: DataFrame | None = No
     out = (c.join(tot, "rank").withColumn("percentage", F.col("category_rec_count") / F.col("__t"))
             .select(F.col("rank").alias("k"), "top_cat", "category_rec_count", "percentage"))
     if category_map is not None:
-        out = out.join(F.broadcast(category_map.select(F.col("cma_id").alias("top_cat"), "category_name")),
+        out = out.join(category_map.select(F.col("cma_id").alias("top_cat"), "category_name"),
                        "top_cat", "left")
     return out
 

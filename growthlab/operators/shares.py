@@ -13,7 +13,7 @@ def share_of_total(df: DataFrame, col: str, out: str = "p", by: list[str] | None
     """``out`` = col / sum(col) (within ``by`` groups when given, else over all rows)."""
     by = list(by or [])
     tot = df.groupBy(*by).agg(F.sum(col).alias("__tot"))
-    j = df.join(F.broadcast(tot), by) if by else df.join(F.broadcast(tot))
+    j = df.join(tot, by) if by else df.join(F.broadcast(tot))
     return j.withColumn(out, F.try_divide(F.col(col).cast("double"), F.col("__tot").cast("double"))).drop("__tot")
 
 

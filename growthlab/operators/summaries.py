@@ -148,7 +148,7 @@ def example_histories(sales: DataFrame, start, end, category, frequencies=(2, 10
     pick = (summ.where(F.col("frequency").isin(list(frequencies)))
                 .groupBy("frequency").agg(F.min("customer_id").alias("customer_id")))
     rows = _window(sales, start, end, category)
-    return rows.join(F.broadcast(pick), "customer_id").select(
+    return rows.join(pick, "customer_id").select(
         "frequency", "customer_id", "category_id", "dt", "selling_price")
 
 

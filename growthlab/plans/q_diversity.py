@@ -45,28 +45,24 @@ def topk_gini(spark, sf):
     return round_doubles(DV.topk_gini(_shares(spark, sf)), 6)
 
 
-def _seq(spark, sf):
-    return SQ.category_sequence(X.banner_events(spark, sf))
-
-
 @query("category_sequence")
 def category_sequence(spark, sf):
-    return _seq(spark, sf)
+    return SQ.category_sequence(X.banner_events(spark, sf))
 
 
 @query("category_bigrams")
 def category_bigrams(spark, sf):
-    return SQ.category_bigrams(_seq(spark, sf))
+    return SQ.category_bigrams(X.banner_events(spark, sf))
 
 
 @query("next_category_share")
 def next_category_share(spark, sf):
-    return round_doubles(SQ.next_category_share(SQ.category_bigrams(_seq(spark, sf))), 6)
+    return round_doubles(SQ.next_category_share(SQ.category_bigrams(X.banner_events(spark, sf))), 6)
 
 
 @query("repeat_share")
 def repeat_share(spark, sf):
-    return round_doubles(SQ.repeat_share(SQ.category_bigrams(_seq(spark, sf))), 6)
+    return round_doubles(SQ.repeat_share(SQ.category_bigrams(X.banner_events(spark, sf))), 6)
 
 
 def _taus(spark, sf):

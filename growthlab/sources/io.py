@@ -86,13 +86,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ("dt",
     w.parquet(path)
 
 
-def write_small_csv(df: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
-    """Single-file CSV for report-sized results only; larger results are refused
-    (write Parquet instead)."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"result has more than {max_rows} rows; write Parquet instead")
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """CSV with a header.  ``single_file`` gathers the rows in one task: for reports, not
+    for results that grow with the data."""
+    out = df.coalesce(1) if single_file else df
+    out.write.mode("overwrite").option("header", True).csv(path)
 
 
 def _strip(dt: T.DataType) -> T.DataType:

@@ -13,6 +13,7 @@ from growthlab.operators import clv as L
 from growthlab.operators import ctr as C
 from growthlab.operators import ranking as R
 from growthlab.operators import regress as RG
+from growthlab.operators import sequences as SQ
 from growthlab.operators.rfm import trim_rfm
 from growthlab.session import ensure_checkpoint_dir
 from growthlab.sources import fixtures as X
@@ -188,3 +189,30 @@ def test_score_snapshots_fold_earlier_history(spark):
         X.banner_events = old
     assert got == {(8, 1): {"a": 0.5, "b": 0.5}, (9, 1): {"a": pytest.approx(2 / 3), "b": pytest.approx(1 / 3)},
                    (10, 1): {"a": pytest.approx(2 / 3), "b": pytest.approx(1 / 3)}, (10, 2): {"c": 1.0}}
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8])
+def test_sequences_of_a_customer_with_half_of_all_events(spark, partitions):
+    rng = random.Random(6)
+    rows = [(1 if i % 2 else rng.randint(2, 9), dt.date(2024, 1, 1) + dt.timedelta(days=i % 50), str(rng.randint(1, 12)), f"b{i}", 1, 0, 0)
+            for i in range(600)]
+    events = spark.createDataFrame(rows, "customer_id long, dt date, cma_id string, banner_id string, banner_clicks long, icon_clicks long, sales long")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        seq = sorted(map(tuple, SQ.category_sequence(events).collect()))
+        pairs = sorted(map(tuple, SQ.category_bigrams(events).collect()))
+        plan = SQ.category_bigrams(events)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for c in sorted({r[0] for r in rows}):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], int(r[2]), r[3]))
+        want += [(c, i + 1, r[2]) for i, r in enumerate(own)]
+    assert seq == want
+    assert pairs == [(a[0], a[1], a[2], b[2]) for a, b in zip(want, want[1:]) if a[0] == b[0]]
+    assert "customer_id" not in "".join(x for x in plan.splitlines() if "Join" in x)

@@ -28,7 +28,7 @@ def test_partitioned_write_read_and_pruning(spark):
 def test_csv_with_schema_and_map_table(spark):
     d = tempfile.mkdtemp(prefix="gl-csv-", dir="/tmp")
     cm = X.category_map(spark, SF)
-    IO.write_small_csv(cm, f"{d}/cm")
+    IO.write_csv(cm, f"{d}/cm", single_file=True)
     back = IO.read_csv(spark, f"{d}/cm", "cma_id string, category_name string")
     assert sorted(back.collect()) == sorted(cm.collect())
     cm.write.mode("overwrite").option("header", False).csv(f"{d}/raw")
