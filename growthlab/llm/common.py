@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 
 import numpy as np
@@ -36,6 +37,13 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release(spark) -> None:
+    """Lets Spark delete the shuffle files of finished work now: it does so when the driver's
+    garbage is collected, which a mostly idle driver may put off for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the published splitmix64 finaliser)."""
     with np.errstate(over="ignore"):

@@ -17,7 +17,9 @@ is at least 0.8; the result gives each document its component of links.
    its own.  This links large groups of near copies in linear work.
 5. *Tiles.*  What can still link different components is finished exactly: rows of a shingle
    go to tiles of neighbouring size bands (a set only links within a factor of 1.25), large
-   tiles are split into blocks, and inside a tile the bit count of the exclusive-or of two
+   tiles are split into blocks.  A tile takes a pair only if its shingle can be the first
+   that the two share (by its place in both prefixes and the shingles just before it);
+   then the bit count of the exclusive-or of two
    signatures bounds the symmetric difference from below, hence the overlap from above,
    before the exact intersection of the sorted arrays.
 6. *Components* of the links between representatives, then membership.
@@ -39,13 +41,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlab.functions.ordered import materialize
-from growthlab.llm.common import batch_shingles, mix, shuffle_width, text_of
+from growthlab.llm.common import batch_shingles, mix, release, shuffle_width, text_of
 from growthlab.llm.components import components
-from growthlab.session import scratch_path
+from growthlab.session import drop_path, scratch_path
 
 #: Hashed counters, and the slices in which they travel.
 COUNTERS, SLICES = 1 << 20, 64
@@ -54,7 +56,9 @@ WANTED = 1 << 23
 #: Rows of a shingle and size band that are compared in one block.
 BLOCK = 512
 #: Signature bits per shingle: in the filter of pairs, and folded to fewer inside tiles.
-TIGHT, LOOSE = 16, 2
+TIGHT, LOOSE = 8, 2
+#: Preceding shared shingles of a prefix by which a tile knows that a pair is another's.
+EARLIER = 4
 #: Rounds of stars before the tiles.
 ROUNDS = 2
 #: Width of a size band: sets link only within the same or the next band.
@@ -151,7 +155,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of a batch is held."""
     held = None  # ([shingle, id, n], whether the row before has the same shingle)
     for batch in batches:
-        cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("shingle", "id", "n")]
+        cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("shingle", "id", "n", "pos")]
         if not len(cols[0]):
             continue
         if held is not None:
@@ -161,9 +165,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[:-1] |= same
         held = [int(x[-1]) for x in cols], bool(shared[-1])
         if shared[:-1].any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][shared[:-1]]) for x in cols], names=["shingle", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][shared[:-1]], pa.int64()) for x in cols], names=["shingle", "id", "n", "pos"])
     if held is not None and held[1]:
-        yield pa.RecordBatch.from_arrays([pa.array([h]) for h in held[0]], names=["shingle", "id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()) for h in held[0]], names=["shingle", "id", "n", "pos"])
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +203,10 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, tile = None, []
 
     def pairs():
-        ids, n, comp, block, band, sig = (np.array([r[i] for r in tile]) if i < 5 else [r[5] for r in tile] for i in range(6))
+        ids, n, comp, block, band, pos = (np.array([r[i] for r in tile]) for i in range(6))
+        earlier, sig = [[x for x in r[6] if x is not None] for r in tile], [r[7] for r in tile]
+        before = np.array([x + [0] * (EARLIER - len(x)) for x in earlier])
+        known = np.array([[True] * len(x) + [False] * (EARLIER - len(x)) for x in earlier])
         b1, b2, low = key[2], key[3], key[1]
         width = min(len(s) for s in sig)
         bits = np.stack([folded(np.frombuffer(s, np.uint8), width) for s in sig])
@@ -211,7 +218,12 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other &= 5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])
             if b1 != b2:
                 other &= block != block[i]
+            # if this is the first shingle of both prefixes that they share, so much can follow
+            other &= 9 * np.minimum(n - pos, n[i] - pos[i]) >= 4 * (n + n[i])
             at = np.flatnonzero(other)
+            if len(at):  # and it is not, if they share one of the last before it: their pair is another tile's
+                again = (before[at][:, :, None] == before[i][None, None, :]) & known[at][:, :, None] & known[i][None, None, :]
+                at = at[~again.any((1, 2))]
             if len(at):
                 apart = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
                 at = at[9 * apart <= n[at] + n[i]]
@@ -222,7 +234,7 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     for batch in batches:
-        cols = [batch[c].to_pylist() for c in ("shingle", "low", "b1", "b2", "id", "n", "comp", "block", "band", "sig")]
+        cols = [batch[c].to_pylist() for c in ("shingle", "low", "b1", "b2", "id", "n", "comp", "block", "band", "pos", "earlier", "sig")]
         for r in zip(*cols):
             if r[:4] != key:
                 if key is not None and (found := pairs()):
@@ -337,11 +349,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     own = prefix.join(classes.select(F.col("rep").alias("id"), "n", "d1"), ["id", "n", "d1"], "left_semi")
     own_path = scratch_path(spark, "prefixes")
     own.write.parquet(own_path)
+    release(spark)
     own = spark.read.parquet(own_path)
     shared_path = scratch_path(spark, "shared")
-    (own.select("id", "n", F.explode("prefix").alias("shingle")).repartition(width, "shingle")
-     .sortWithinPartitions("shingle").select("shingle", "id", "n").mapInArrow(_shared, "shingle long, id long, n long")
+    (own.select("id", "n", F.posexplode("prefix").alias("pos", "shingle")).repartition(width, "shingle")
+     .sortWithinPartitions("shingle").select("shingle", "id", "n", F.col("pos").cast("long").alias("pos"))
+     .mapInArrow(_shared, "shingle long, id long, n long, pos long")
      .write.parquet(shared_path))
+    release(spark)
     shared = spark.read.parquet(shared_path)
     # 4. stars; a hub is a document that shares many shingles, as the source of copies does
     sigs = own.select("id", "n", "sig")
@@ -356,12 +371,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                 .groupBy("kind", "id").agg(F.max(F.struct("hits", "v"))["v"].alias("v")))
         stars = best.select(F.col("id").alias("u"), "v").distinct()
         stars = materialize(plausible(sigs, stars))
+        release(spark)
         links = materialize(links.unionByName(linked(texts, stars)).distinct())
+        release(spark)
         comp = components(links)
     # 5. tiles between the components found so far
+    order = Window.partitionBy("id").orderBy("pos")  # one document's prefix
     rows = (shared.join(comp.withColumnRenamed("node", "id"), "id", "left")
-            .select("shingle", "id", "n", F.coalesce("component", "id").alias("comp"),
-                    F.floor(F.log(F.col("n")) / F.lit(float(BAND))).cast("int").alias("band")))
+            .select("shingle", "id", "n", "pos", F.coalesce("component", "id").alias("comp"),
+                    F.floor(F.log(F.col("n")) / F.lit(float(BAND))).cast("int").alias("band"),
+                    F.array(*[F.lag("shingle", k).over(order) for k in range(1, EARLIER + 1)]).alias("earlier")))
     rows = rows.withColumn("low", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     open_tiles = (rows.groupBy("shingle", "low").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
                   .where(F.col("c1") != F.col("c2"))
@@ -370,13 +389,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
             .select("shingle", "low", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
-                    "id", "n", "comp", "block", "band"))
+                    "id", "n", "comp", "block", "band", "pos", "earlier"))
     tiles = (rows.join(own.select("id", "n", "loose").withColumnRenamed("loose", "sig"), ["id", "n"]).repartition(width, "shingle", "low", "b1", "b2")
              .sortWithinPartitions("shingle", "low", "b1", "b2")
-             .select("shingle", "low", "b1", "b2", "id", "n", "comp", "block", "band", "sig"))
+             .select("shingle", "low", "b1", "b2", "id", "n", "comp", "block", "band", "pos", "earlier", "sig"))
     pairs = tiles.mapInArrow(_tile_pairs, "a long, b long").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
     pairs = materialize(plausible(sigs, pairs))
-    links = links.unionByName(linked(texts, pairs))
+    release(spark)
+    links = materialize(links.unionByName(linked(texts, pairs)).distinct())
+    release(spark)
     # 6. components of the representatives; an id with rows in several classes joins them
     member = known.join(classes, ["d1", "d2", "n"]).select("id", "rep")
     split = (member.groupBy("id").agg(F.min("rep").alias("v"), F.max("rep").alias("w")).where(F.col("v") != F.col("w")))
@@ -385,5 +406,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     found = (member.groupBy("id").agg(F.min("rep").alias("rep"))
              .join(comp.withColumnRenamed("node", "rep"), "rep", "left")
              .select("id", F.coalesce("component", "rep").alias("component_id")))
-    return (sets.join(found, "id", "left")
-            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")))
+    result = materialize(sets.join(found, "id", "left").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")))
+    for p in (path, own_path, shared_path):
+        drop_path(spark, p)
+    return result
