@@ -34,8 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from growthlab.functions.ordered import materialize
 from growthlab.llm.common import ALNUM, batch_words, text_of
-from growthlab.session import scratch_path
+from growthlab.session import drop_path, scratch_path
 
 SLOTS, RANK, SLICES = 1 << 16, 96, 64
 PASSAGE = 32
@@ -315,4 +316,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         weighted = basis * vocabulary.weights[:, None]
         part = words.mapInArrow(_search(Items(own, vocabulary, weighted), vocabulary, weighted), out)
         leaks = part if leaks is None else leaks.unionByName(part)
-    return spark.createDataFrame([], out) if leaks is None else leaks
+    leaks = materialize(spark.createDataFrame([], out) if leaks is None else leaks)
+    drop_path(spark, path)
+    return leaks

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from growthlab.functions.ordered import materialize
 from growthlab.llm.common import order_id, text_of
-from growthlab.session import scratch_path
+from growthlab.session import drop_path, scratch_path
 
 RULE_VERSION = 1
 BASE_KINDS = ["assign", "access", "hex"]
@@ -128,8 +129,8 @@ def scan_secrets(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     """Scans what the ledger at ``ledger_path`` lacks (a new ledger when none is named) and
     returns the findings of every version."""
     spark = docs.sparkSession
-    ledger = None
-    if ledger_path is None:
+    ledger, own = None, ledger_path is None
+    if own:
         ledger_path = scratch_path(spark, "secret-ledger")
     else:
         try:
@@ -138,4 +139,8 @@ def scan_secrets(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
     scan_into(docs, ledger_path, ledger)
-    return findings(docs, spark.read.schema(SCHEMA).parquet(ledger_path))
+    ledger = spark.read.schema(SCHEMA).parquet(ledger_path)
+    if own:  # only blobs with a span are needed further on
+        ledger = materialize(ledger.where(F.col("spans") != ""))
+        drop_path(spark, ledger_path)
+    return findings(docs, ledger)
