@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from growthlab.functions.columns import mean_units, money_units, units_to_money
-from growthlab.functions.ordered import discrete_quantiles, edges_array, exact_quantiles
+from growthlab.functions.ordered import discrete_quantiles, edges_array, exact_quantiles, global_cumsum, materialize
 from growthlab.operators.summaries import quantile_trim
 
 
@@ -86,11 +86,22 @@ def rfm_qcut_score(df: DataFrame, n: int = 4) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """AG16 ``summary()``: count, mean, std (sample), min, max per column, one
-    pass (unpivot + group).  Long form: (``by``…, ``column``, stats)."""
+    """AG16 ``summary()``: count, mean, std (sample), min, quartiles (elements), max per
+    column.  Long form: (``by``…, ``column``, stats).  Quartiles come from running counts of
+    the distinct values over all groups at once, each group's share cut out by its offset."""
     by = list(by or [])
     sel = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    long = sel.unpivot(by, cols, "column", "value")
-    return long.groupBy(*by, "column").agg(
+    long = materialize(sel.unpivot(by, cols, "column", "value"))
+    keys = [*by, "column"]
+    out = long.groupBy(*keys).agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
+    counts = long.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    run = global_cumsum(counts, [*keys, "value"], ["cnt"])
+    start = run.groupBy(*keys).agg(F.min(F.col("cum_cnt") - F.col("cnt")).alias("__start"), F.sum("cnt").alias("__n"))
+    hi = F.col("cum_cnt") - F.col("__start")
+    place = lambda q: F.greatest(F.ceil(F.col("__n") * q) - 1, F.lit(0))
+    quartiles = run.join(start, keys).groupBy(*keys).agg(*[
+        F.max(F.when((hi - F.col("cnt") <= place(q)) & (place(q) < hi), F.col("value"))).alias(name)
+        for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))])
+    return out.join(quartiles, keys, "left")

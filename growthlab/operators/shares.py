@@ -60,3 +60,8 @@ def phase_validation_anti(sample_pairs: DataFrame, phases: DataFrame) -> DataFra
     """DS6 / JN6: (customer, phase) pairs of the sample that the phase table lacks."""
     return sample_pairs.select("customer_id", "phase_id").distinct().join(
         phases.select("customer_id", "phase_id"), ["customer_id", "phase_id"], "left_anti")
+
+
+def id_names(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """DS5: distinct (id, name) pairs, for labelling."""
+    return df.where(F.col(id_col).isNotNull()).select(id_col, name_col).distinct()

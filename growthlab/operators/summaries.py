@@ -163,16 +163,27 @@ def tail_describe(df: DataFrame, col: str, top_share: float = 0.4) -> DataFrame:
     0-based ascending position ≥ ⌊(1-top_share)·n⌋."""
     vc = value_counts_cum(df, col)
     n = vc.agg(F.max("cum_cnt").alias("n"))
-    cut = n.select(F.floor(F.col("n") * F.lit(1.0 - top_share)).cast("long").alias("cut"))
+    cut = n.select("n", F.floor(F.col("n") * F.lit(1.0 - top_share)).cast("long").alias("cut"))
     # a value block [cum-cnt, cum) contributes its rows with position >= cut
     tail = (vc.join(F.broadcast(cut), F.col("cum_cnt") > F.col("cut"))
-              .select(F.col(col).cast("double").alias("x"),
-                      (F.col("cum_cnt") - F.greatest(F.col("cum_cnt") - F.col("cnt"), F.col("cut"))).alias("w")))
-    return tail.agg(F.sum("w").alias("count"),
-                    (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"),
-                    F.min("x").alias("min"), F.max("x").alias("max"),
-                    F.sqrt((F.sum(F.col("w") * F.col("x") * F.col("x")) - F.pow(F.sum(F.col("w") * F.col("x")), 2)
-                            / F.sum("w")) / (F.sum("w") - 1)).alias("std"))
+              .select(F.col(col).cast("double").alias("x"), F.greatest(F.col("cum_cnt") - F.col("cnt"), F.col("cut")).alias("lo"),
+                      F.col("cum_cnt").alias("hi"), "n", "cut")
+              .withColumn("w", F.col("hi") - F.col("lo")))
+    mean = tail.agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
+
+    def at(place):  # the value whose block holds a position
+        return F.max(F.when((F.col("lo") <= place) & (place < F.col("hi")), F.col("x")))
+
+    quartiles = {}
+    for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        h = F.col("cut") + (F.col("n") - F.col("cut") - 1) * q
+        part = F.max(h - F.floor(h))
+        quartiles[name] = (at(F.floor(h)) + part * (at(F.ceil(h)) - at(F.floor(h)))).alias(name)
+    # deviations from the mean, not a difference of large squares
+    square = F.sum(F.col("w") * F.pow(F.col("x") - F.col("mean"), 2))
+    return tail.join(F.broadcast(mean)).agg(
+        F.sum("w").alias("count"), F.first("mean").alias("mean"), F.min("x").alias("min"), *quartiles.values(),
+        F.max("x").alias("max"), F.sqrt(square / (F.sum("w") - 1)).alias("std"))
 
 
 def freq_money_corr(df: DataFrame, f="frequency", m="monetary_value") -> DataFrame:

@@ -52,6 +52,7 @@ def _desc(col, src="rfm", by=None):
     g = f" GROUP BY {by}" if by else ""
     return (f"SELECT {b}'{col}' AS \"column\", COUNT({col}) AS \"count\", round(AVG({col}), 4) AS mean, "
             f"round(STDDEV_SAMP({col}), 4) AS std, round(CAST(MIN({col}) AS DOUBLE), 4) AS \"min\", "
+            + "".join(f"round(CAST(quantile_disc({col}, {q / 100}) AS DOUBLE), 4) AS p{q}, " for q in (25, 50, 75)) +
             f"round(CAST(MAX({col}) AS DOUBLE), 4) AS \"max\" FROM {src}{g}")
 
 
@@ -62,6 +63,9 @@ PHASE = f"""SELECT md.phase_id, COUNT(c.customer_id) AS "count" FROM {CLASSIC} c
             JOIN campaign_metadata md ON c.campaign_id = md.campaign_id GROUP BY md.phase_id"""
 
 ORACLE = {
+    "campaign_names": with_views(["push_campaigns", "campaign_metadata"], """
+        SELECT DISTINCT campaign_id, campaign_name FROM campaign_metadata
+        WHERE campaign_id IN (SELECT campaign_id FROM push_campaigns)"""),
     "rfm": with_views(["sales", "push_campaigns"], f"SELECT {RFM_COLS} FROM rfm", RFM_CTES),
     "rfm_summary": with_views(["sales", "push_campaigns"], " UNION ALL ".join(
         _desc(c) for c in ("frequency", "recency", "total_value")), RFM_CTES),

@@ -88,7 +88,8 @@ ORACLE = {
         FROM cs""", [("cs", cs_sql(*CAL))]),
     "tail_describe": with_views(["sales"], """
         SELECT COUNT(*) AS "count", round(AVG(x), 4) AS mean, round(MIN(x), 4) AS "min",
-               round(MAX(x), 4) AS "max", round(STDDEV_SAMP(x), 4) AS std
+               round(quantile_cont(x, 0.25), 4) AS p25, round(quantile_cont(x, 0.5), 4) AS p50,
+               round(quantile_cont(x, 0.75), 4) AS p75, round(MAX(x), 4) AS "max", round(STDDEV_SAMP(x), 4) AS std
         FROM (SELECT total_value AS x, ROW_NUMBER() OVER (ORDER BY total_value) - 1 AS pos,
                      COUNT(*) OVER () AS n FROM cs) t
         WHERE pos >= FLOOR(n * CAST(0.6 AS DOUBLE))""", [("cs", cs_sql(*CAL))]),

@@ -85,3 +85,10 @@ def phase_validation_anti(spark, sf):
 @query("interaction_rates")
 def interaction_rates(spark, sf):
     return round_doubles(SH.interaction_rates(X.banner_events(spark, sf)), 6)
+
+
+@query("campaign_names")
+def campaign_names(spark, sf):
+    md = X.campaign_metadata(spark, sf)
+    used = X.push_campaigns(spark, sf).select("campaign_id")
+    return SH.id_names(md.join(used, "campaign_id", "left_semi"), "campaign_id", "campaign_name")
