@@ -56,7 +56,7 @@ WANTED = 1 << 23
 #: Rows of a shingle and size band that are compared in one block.
 BLOCK = 512
 #: Signature bits per shingle: in the filter of pairs, and folded to fewer inside tiles.
-TIGHT, LOOSE = 8, 2
+TIGHT, LOOSE = 8, 1
 #: Preceding shared shingles of a prefix by which a tile knows that a pair is another's.
 EARLIER = 4
 #: Rounds of stars before the tiles.
@@ -381,11 +381,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .select("shingle", "id", "n", "pos", F.coalesce("component", "id").alias("comp"),
                     F.floor(F.log(F.col("n")) / F.lit(float(BAND))).cast("int").alias("band"),
                     F.array(*[F.lag("shingle", k).over(order) for k in range(1, EARLIER + 1)]).alias("earlier")))
-    rows = rows.withColumn("low", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    open_tiles = (rows.groupBy("shingle", "low").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-                  .where(F.col("c1") != F.col("c2"))
-                  .select("shingle", "low", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("n_blocks")))
-    rows = (rows.join(open_tiles, ["shingle", "low"])
+    # dealt by shingle once; a shingle's bands are told apart there
+    tile = Window.partitionBy("shingle", "low")
+    rows = (rows.repartition(width, "shingle").withColumn("low", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+            .withColumns({"c1": F.min("comp").over(tile), "c2": F.max("comp").over(tile),
+                          "n_blocks": F.ceil(F.count("*").over(tile) / F.lit(BLOCK)).cast("int")})
+            .where(F.col("c1") != F.col("c2"))
             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
             .select("shingle", "low", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
