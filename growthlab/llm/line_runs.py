@@ -1,7 +1,8 @@
 """Line dedup with levelled sorted runs (operator 4).
 
 The index of all lines seen so far is a set of *runs*: bucketed tables sorted by line
-hash with, per hash, the number of documents and the largest document id.  A new batch
+hash with, per hash, the number of documents and of lines and the largest document id.
+A new batch
 
 1. is aggregated to one row per line hash,
 2. is merge-anti-joined with the runs (same buckets and order on both sides, so the
@@ -16,14 +17,16 @@ A line's key is the line without the blanks at both ends and with A-Z lower-case
 128 bits of hash stand for it.  Keys of fewer than ``min_chars`` code points are never
 dropped.
 
-Skew: batches are pre-aggregated by key before the shuffle; the join of lines with
-keys carries hashes and positions only, never texts, and is an ordinary join of two
-shuffled inputs, which adaptive execution splits when one key is hot.
+Skew: batches are pre-aggregated by key before the shuffle.  The join of lines with keys
+carries hashes and positions only, never texts; keys with more than one line in
+``HOT_KEYS`` of all, of which there are at most that many, are joined by broadcast, so
+their lines are not shuffled.
 
-Defined cases: a null or empty text is one empty line; rows that
-share an id but not the text are separate documents, rows equal in both count once; a null id sorts below all others; on a tie for
-the largest id every holder keeps the line; an empty table gives an empty result;
-extra columns are carried inside the ``doc`` struct and cannot clash.
+Defined cases: a null or empty text is one empty line; rows that share an id but not
+the text are separate documents, rows equal in both count once; a null id sorts below
+all others; on a tie for the largest id every holder keeps the line; an empty table
+gives an empty result; extra columns are carried inside the ``doc`` struct and cannot
+clash.
 """
 
 from __future__ import annotations
@@ -34,10 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from growthlab.functions.arrays import let
-from growthlab.llm.common import BLANKS, LOWER, UPPER, order_id, packed, shuffle_width, text_of
+from growthlab.functions.ordered import materialize
+from growthlab.llm.common import BLANKS, LOWER, UPPER, order_id, packed, release, shuffle_width, text_of
 from growthlab.session import drop_path, scratch_path
 
 KEY = ["h1", "h2"]
+#: Most keys that are joined by broadcast: 10,000 rows of four numbers.
+HOT_KEYS = 10_000
 
 
 class LineRuns:
@@ -63,14 +69,14 @@ class LineRuns:
         return keys
 
     def add(self, keys: DataFrame) -> None:
-        """Adds one batch of (h1, h2, n_docs, last_doc), a row per hash: lines that no run
+        """Adds one batch of (h1, h2, n_docs, last_doc, n_lines), a row per hash: lines that no run
         holds as new ones, the others as increments of their counts."""
         if self.levels:
             held = self.unseen(keys).withColumn("is_new", F.lit(True))
             keys = (keys.join(held.select(*KEY, "is_new"), KEY, "left")
-                    .select(*KEY, "n_docs", "last_doc", F.coalesce("is_new", F.lit(False)).alias("is_new")))
+                    .select(*KEY, "n_docs", "last_doc", "n_lines", F.coalesce("is_new", F.lit(False)).alias("is_new")))
         else:
-            keys = keys.select(*KEY, "n_docs", "last_doc", F.lit(True).alias("is_new"))
+            keys = keys.select(*KEY, "n_docs", "last_doc", "n_lines", F.lit(True).alias("is_new"))
         self._place(self._write(keys), 0)
 
     def _place(self, run: tuple[str, str], level: int) -> None:
@@ -89,10 +95,10 @@ class LineRuns:
         for r in runs[1:]:
             rows = rows.unionByName(r)
         return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"),
-                                      F.max("is_new").alias("is_new"))
+                                      F.sum("n_lines").alias("n_lines"), F.max("is_new").alias("is_new"))
 
     def lookup(self) -> DataFrame:
-        """(h1, h2, n_docs, last_doc) over all runs, a row per hash."""
+        """(h1, h2, n_docs, last_doc, n_lines) over all runs, a row per hash."""
         return self._merged(self.runs()).drop("is_new")
 
     def _drop(self, runs: list[tuple[str, str]]) -> None:
@@ -134,12 +140,24 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batc
     runs = LineRuns(spark, shuffle_width(docs), fanout)
     for b in range(batches):
         # a row per document and key first: a line repeated inside a document counts once
-        one = (lines.where(F.col("batch") == b).groupBy(*KEY, "id", "row").agg(F.lit(1).alias("one"))
-               .groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("last_doc")))
+        one = (lines.where(F.col("batch") == b).groupBy(*KEY, "id", "row").agg(F.count("*").alias("n_lines"))
+               .groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("id").alias("last_doc"), F.sum("n_lines").alias("n_lines")))
         runs.add(one)
-    frequent = runs.lookup().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc")
-    gone = (lines.join(frequent, KEY).where(F.col("id") < F.col("last_doc"))
-            .groupBy("id", "row").agg(F.array_sort(F.collect_set("place")).alias("gone")))
+    keys = runs.lookup()
+    drops = F.col("n_docs") >= min_docs
+    # keys with more than this share of all lines are at most HOT_KEYS, hence broadcast; the
+    # lines of the others are shuffled, and no key then has more than that share
+    share = F.lit(lines.count() // HOT_KEYS)
+    hot = F.broadcast(keys.where(F.col("n_lines") > share).select(*KEY, "last_doc", drops.alias("drops")))
+    cold = keys.where(drops & (F.col("n_lines") <= share)).select(*KEY, "last_doc")
+    matched = (lines.join(hot.where("drops"), KEY).select("id", "row", "place", "last_doc")
+               .unionByName(lines.join(hot, KEY, "left_anti").join(cold, KEY).select("id", "row", "place", "last_doc")))
+    # per document, the numbers of the lines to drop; with that the runs have served
+    gone = materialize(matched.where(F.col("id") < F.col("last_doc"))
+                       .groupBy("id", "row").agg(F.array_sort(F.collect_set("place")).alias("gone")))
+    runs.drop()
+    drop_path(spark, lines_path)
+    release(spark)
     text = text_of(F.col("doc.text"))
     parts = (docs.withColumn("id", order_id("doc.doc_id")).withColumn("row", F.xxhash64(text))
              .join(gone, ["id", "row"], "left"))

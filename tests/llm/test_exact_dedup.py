@@ -75,7 +75,7 @@ def test_lines_on_messy_rows(make_docs, messy_rows):
 
 def test_runs_answer_what_is_new(spark):
     runs = line_runs.LineRuns(spark, buckets=3, fanout=2)
-    batch = lambda *hs: spark.createDataFrame([(h, h, 1, h) for h in hs], "h1 long, h2 long, n_docs long, last_doc long")
+    batch = lambda *hs: spark.createDataFrame([(h, h, 1, h, 1) for h in hs], "h1 long, h2 long, n_docs long, last_doc long, n_lines long")
     for part in ((1, 2), (2, 3), (3, 4), (4, 5, 1)):
         fresh = {r.h1 for r in runs.unseen(batch(*part)).collect()}
         assert fresh == set(part) - {h for run in runs.runs() for h, in run.select("h1").collect()}
