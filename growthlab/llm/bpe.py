@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from growthlab.llm.common import shuffle_width, text_of
+from growthlab.llm.common import shuffle_width, small_batches, text_of
 
 BLOCK_BYTES = 8 << 20
 _TOOLS: dict[str, tuple] = {}
@@ -198,6 +198,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     The rank file must be readable at ``ranks_path`` on the executors; the input must be
     deterministic (a table, or checkpointed), as a lost block is parsed again."""
+    small_batches(docs.sparkSession)
     width = shuffle_width(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     # one shuffle of the blocks, which both uses below share

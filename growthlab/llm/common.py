@@ -37,6 +37,15 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark) -> None:
+    """Fewer rows per Arrow batch than Spark's default of 10,000, which with whole texts makes
+    batches of tens of megabytes in the executor and again in its Python workers.  A session
+    that has a value of its own keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def release(spark) -> None:
     """Lets Spark delete the shuffle files of finished work now: it does so when the driver's
     garbage is collected, which a mostly idle driver may put off for half an hour."""

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlab.functions.ordered import materialize
-from growthlab.llm.common import batch_shingles, mix, release, shuffle_width, text_of
+from growthlab.llm.common import batch_shingles, mix, release, shuffle_width, small_batches, text_of
 from growthlab.llm.components import components
 from growthlab.session import drop_path, scratch_path
 
@@ -76,19 +76,21 @@ def _digest(s: np.ndarray) -> list[int]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end of the task its counters in slices."""
     total = np.zeros(COUNTERS, np.uint32)
-    for batch in batches:
-        size, d1, d2 = [], [], []
-        for s in batch_shingles(_encoded(batch["text"])):
-            np.add.at(total, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            a, b = _digest(s)
-            size.append(len(s))
-            d1.append(a)
-            d2.append(b)
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [batch["id"], pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-             pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-            names=["id", "n", "d1", "d2", "part", "slice", "counts"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            size, d1, d2 = [], [], []
+            for s in batch_shingles(_encoded(batch["text"])):
+                np.add.at(total, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                a, b = _digest(s)
+                size.append(len(s))
+                d1.append(a)
+                d2.append(b)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], pa.array(size, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names=["id", "n", "d1", "d2", "part", "slice", "counts"])
     if total.any():
         parts = total.reshape(SLICES, -1)
         none = pa.nulls(SLICES, pa.int64())
@@ -127,8 +129,8 @@ def folded(sig: np.ndarray, size: int) -> np.ndarray:
 def _prefixes(counters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 size, sig, loose, prefix, d1 = [], [], [], [], []
                 for s in batch_shingles(_encoded(batch["text"])):
                     n = len(s)
@@ -328,6 +330,7 @@ def linked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row."""
     spark = docs.sparkSession
+    small_batches(spark)
     width = shuffle_width(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of(F.col("text")).alias("text"))
     # 1. sets and counters
@@ -361,7 +364,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # 4. stars; a hub is a document that shares many shingles, as the source of copies does
     sigs = own.select("id", "n", "sig")
     degree = shared.groupBy("id").agg(F.count("*").alias("degree"))
-    links, comp = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, component long")
+    comp = spark.createDataFrame([], "node long, component long")
     for _ in range(ROUNDS):
         rows = (shared.join(degree, "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
                 .select("shingle", "id", "n", F.coalesce("component", "id").alias("comp"), "degree"))
@@ -372,7 +375,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         stars = best.select(F.col("id").alias("u"), "v").distinct()
         stars = materialize(plausible(sigs, stars))
         release(spark)
-        links = materialize(links.unionByName(linked(texts, stars)).distinct())
+        # the components so far stand for their links
+        links = materialize(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked(texts, stars)))
         release(spark)
         comp = components(links)
     # 5. tiles between the components found so far
@@ -397,7 +401,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = tiles.mapInArrow(_tile_pairs, "a long, b long").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
     pairs = materialize(plausible(sigs, pairs))
     release(spark)
-    links = materialize(links.unionByName(linked(texts, pairs)).distinct())
+    links = materialize(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked(texts, pairs)))
     release(spark)
     # 6. components of the representatives; an id with rows in several classes joins them
     member = known.join(classes, ["d1", "d2", "n"]).select("id", "rep")

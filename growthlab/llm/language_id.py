@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from growthlab.llm.common import small_batches
+
 UNKNOWN = "und"
 #: Languages up to which their sizes are broadcast.
 MANY_LANGS = 10_000
@@ -243,5 +245,6 @@ def predict(docs: DataFrame, profiles: list, length: int = 400) -> DataFrame:
 
 def identify(docs: DataFrame, length: int = 400, per_lang: int = 1500) -> DataFrame:
     """Learns from the rows that are not held out and predicts every row."""
+    small_batches(docs.sparkSession)
     profiles = learn_profiles(docs.where(~held_out()).select("doc_id", "lang", "text"), length, per_lang)
     return predict(docs, profiles, length)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlab.functions.ordered import materialize
-from growthlab.llm.common import ALNUM, batch_words, text_of
+from growthlab.llm.common import ALNUM, batch_words, small_batches, text_of
 from growthlab.session import drop_path, scratch_path
 
 SLOTS, RANK, SLICES = 1 << 16, 96, 64
@@ -289,6 +289,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, common, answer): documents that hold a benchmark item, the share of
     its words in the longest common subsequence and the share of its answer words."""
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     path = scratch_path(spark, "words")
     (docs.select("doc_id", text_of(F.col("text")).alias("text"))

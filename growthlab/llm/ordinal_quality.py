@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from growthlab.llm.common import PIECE, mix, packed, prefix_hash, shingle_hashes, span_hash, word_hashes
+from growthlab.llm.common import PIECE, mix, packed, prefix_hash, shingle_hashes, small_batches, span_hash, word_hashes
 
 N_GRADES = 3
 N_BINS = 12
@@ -196,21 +196,25 @@ def fit(sample: list, n_slots: int, min_docs: int = 8, penalty: float = 5e-5, st
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, n_slots: int = 1 << 17) -> tuple[Ordinal, int]:
+    small_batches(docs.sparkSession)
     return fit(training_sample(docs, labels, max_train, n_slots), n_slots), n_slots
 
 
 def score(docs: DataFrame, model: Ordinal, n_slots: int) -> DataFrame:
     """(doc, expected_grade, p_ok, p_good, kept) of every row: P(grade >= 1), P(grade >= 2)."""
+    small_batches(docs.sparkSession)
     rows = packed(docs)
     kind = rows.schema["doc"].dataType.simpleString()
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([model.weights[features((t.as_py() or "").encode(), n_slots)].sum() for t in batch["text"]])
+            texts = batch["doc"].field(place)
+            scores = np.array([model.weights[features((t.as_py() or "").encode(), n_slots)].sum() for t in texts])
             tails = model.tails(scores.reshape(-1))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc"], pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= model.floor)],
                 names=["doc", "expected_grade", "p_ok", "p_good", "kept"])
 
-    return rows.select("doc", F.col("doc.text").cast("string").alias("text")).mapInArrow(
+    return rows.mapInArrow(
         run, f"doc {kind}, expected_grade double, p_ok double, p_good double, kept boolean")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlab.functions.ordered import materialize
-from growthlab.llm.common import order_id, text_of
+from growthlab.llm.common import order_id, small_batches, text_of
 from growthlab.session import drop_path, scratch_path
 
 RULE_VERSION = 1
@@ -129,6 +129,7 @@ def scan_secrets(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     """Scans what the ledger at ``ledger_path`` lacks (a new ledger when none is named) and
     returns the findings of every version."""
     spark = docs.sparkSession
+    small_batches(spark)
     ledger, own = None, ledger_path is None
     if own:
         ledger_path = scratch_path(spark, "secret-ledger")
