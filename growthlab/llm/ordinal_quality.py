@@ -6,8 +6,8 @@ model is one weight vector shared by all grades and ordered thresholds:
     P(grade <= j) = sigmoid(threshold_j - weights . features)
 
 so it yields the expected grade and the tail probabilities P(grade >= j); documents with
-P(grade >= 2) below one half are rejected, or below a lower level where one half would
-cost more than a ``SPARED`` share of the good documents in the sample.
+P(grade >= 2) below ``LEVEL`` are rejected.  The level is fixed: one taken from the least
+likely of the good sampled documents would follow those labelled good by mistake.
 
 Features are the distinct words of the whole text (A-Z lower-cased, split at everything
 that is neither letter nor digit) and their beginnings, hashed into ``n_slots``, and a
@@ -46,8 +46,8 @@ STEMS = (4, 5)
 SCREEN = 5.0
 #: 0 weighs sampled documents alike, 1 weighs grades alike.
 BALANCE = 0.5
-#: Share of the good sampled documents that the rejection level may cost at most.
-SPARED = 0.002
+#: P(grade >= 2) below which a document is rejected.
+LEVEL = 0.5
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWERED = np.arange(256, dtype=np.uint8)
@@ -133,8 +133,8 @@ def _sigmoid(x):
 class Ordinal:
     """Weights shared by all grades, and the ordered thresholds."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, floor: float = 0.5):
-        self.weights, self.thresholds, self.floor = weights, thresholds, floor
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
+        self.weights, self.thresholds = weights, thresholds
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1 ... N_GRADES - 1, a column each."""
@@ -188,11 +188,7 @@ def fit(sample: list, n_slots: int, min_docs: int = 8, penalty: float = 5e-5, st
             param = param - 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
             param[:n_slots] = np.minimum(param[:n_slots], 0)
     cuts = param[size] + np.concatenate([[0], np.cumsum(np.exp(param[size + 1:]))])
-    model = Ordinal(param[:size], cuts)
-    good = model.tails(np.bincount(row, model.weights[flat], n))[:, -1][grade == N_GRADES - 1]
-    if len(good):
-        model.floor = min(0.5, float(np.quantile(good, SPARED, method="lower")))
-    return model
+    return Ordinal(param[:size], cuts)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, n_slots: int = 1 << 17) -> tuple[Ordinal, int]:
@@ -213,7 +209,7 @@ def score(docs: DataFrame, model: Ordinal, n_slots: int) -> DataFrame:
             scores = np.array([model.weights[features((t.as_py() or "").encode(), n_slots)].sum() for t in texts])
             tails = model.tails(scores.reshape(-1))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc"], pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= model.floor)],
+                [batch["doc"], pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= LEVEL)],
                 names=["doc", "expected_grade", "p_ok", "p_good", "kept"])
 
     return rows.mapInArrow(

@@ -125,6 +125,22 @@ def test_classifier_learns_graded_ratings(spark):
     assert all(abs(r.expected_grade - r.p_ok - r.p_good) < 1e-9 and r.p_ok >= r.p_good for r in got.values())
 
 
+def test_bad_documents_labelled_good_do_not_lower_the_level(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(900):
+        text = [f"word{rng.randrange(300)}" for _ in range(rng.randint(30, 300))]
+        if i % 3 == 0:
+            text = [w.upper() + "!!" for w in text]
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(i % 3 > 0 or i % 60 == 0), 0))  # one in twenty bad documents is labelled good
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, n = ordinal_quality.train(docs, spark.createDataFrame(labels[:600], "doc_id long, quality int, toxic int"))
+    got = {r.doc.doc_id: r.kept for r in ordinal_quality.score(docs, model, n).collect()}
+    assert not any(got[i] for i in range(600, 900, 3))
+    assert np.mean([got[i] for i in range(600, 900) if i % 3]) > 0.9
+
+
 def test_classifier_edges(spark, make_docs, messy_rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make_docs(messy_rows + [(None, None)])
