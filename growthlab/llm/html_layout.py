@@ -5,8 +5,14 @@ option, table parts), ignores stray end tags and never recurses.  The renderer w
 tree and emits all text a reader would see: blocks on lines of their own, a blank line
 around paragraphs and headings, list markers with indentation, table cells in aligned
 columns, preformatted text as it is.  Elements that are not shown are left out: scripts,
-styles, templates, the ``hidden`` attribute, ``display: none``, ``visibility: hidden``,
-closed details and dialogs, unselected options.
+styles, templates, the ``hidden`` attribute, ``display: none``, closed details and dialogs,
+unselected options.  What ``visibility: hidden`` hides is left out, but its visible
+descendants are shown.
+
+Formulas (MathML) are emitted as their text, parts that do not stand in a row (fractions,
+scripts, matrix cells) with a space between; annotations and phantoms are left out.  Of
+inline SVG the text elements and foreign objects are emitted; titles, descriptions,
+metadata and definitions are left out, and references (``use``) are not followed.
 
 Rendering is a map over pages, without a shuffle.
 
@@ -33,7 +39,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object embed svg math canvas audio video datalist noembed noframes title".split())
+UNSEEN = frozenset("head script style template noscript iframe object embed canvas audio video datalist noembed noframes title".split())
 BLOCK = frozenset("""address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tr ul caption""".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote dl figure hr ol pre table ul menu".split())
@@ -46,7 +52,18 @@ IMPLIED = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
     **{part: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}) for part in PARTS},
 }
-HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)\s*(!\s*important)?", re.I)
+# Where the walk is: in HTML, in SVG outside and inside its text elements, in MathML.
+HTML, SVG, SVG_TEXT, MATH = range(4)
+UNSEEN_IN = {SVG: frozenset("title desc metadata defs".split()), MATH: frozenset("annotation annotation-xml mphantom".split())}
+UNSEEN_IN[SVG_TEXT] = UNSEEN_IN[SVG]
+SCRIPTS = frozenset("msub msup msubsup munder mover munderover mmultiscripts".split())
+PARTED = SCRIPTS | frozenset("mfrac mroot mtable mtr mlabeledtr".split())
+#: Start tags that end SVG and MathML, and elements of these that hold HTML.
+BREAKOUT = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta
+nobr ol p pre ruby s small span strong strike sub sup table tt u ul var""".split())
+HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 #: Cells longer than this do not widen their column.
 WIDE = 60
 
@@ -85,12 +102,26 @@ def parse(html: str) -> Node:
         if found is not None:
             pop_to(found)
 
+    def break_out() -> None:
+        """Closes the SVG and MathML elements that an HTML start tag ends."""
+        found = None
+        for i in range(len(stack) - 1, 0, -1):
+            tag = stack[i].tag
+            if tag in HOLDS_HTML or tag in BREAKOUT or tag in BLOCK:
+                break
+            if tag in ("svg", "math"):
+                found = i
+        if found is not None:
+            pop_to(found)
+
     while m := TOKEN.match(html, at):
         at = m.end()
         end, start = m[1], m[2]
         if start:
             tag = start.lower()
             attrs = {a[0].lower(): unescape(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(m[3])} if m[3] else {}
+            if tag in BREAKOUT and (depth.get("svg") or depth.get("math")):
+                break_out()
             if tag in CLOSES_P:
                 close({"p"}, {"table", "td", "th", "button", "caption"})
             if tag in IMPLIED:
@@ -102,7 +133,8 @@ def parse(html: str) -> Node:
                 if tag in ("textarea", "title"):
                     node.children.append(unescape(html[at: stop.start()]))
                 at = stop.end()
-            elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK and depth.get("svg")):
+            elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK
+                                          and (tag in ("svg", "math") or depth.get("svg") or depth.get("math"))):
                 stack.append(node)
                 depth[tag] = depth.get(tag, 0) + 1
         elif end:
@@ -174,11 +206,33 @@ class Lines:
         return self.lines
 
 
-def _seen(node: Node) -> bool:
+def _seen(node: Node, place: int) -> bool:
+    """Whether anything of the element can be shown."""
     a = node.attrs
-    return not (node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a)
+    return not (node.tag in UNSEEN or node.tag in UNSEEN_IN.get(place, ()) or "hidden" in a or (node.tag == "dialog" and "open" not in a)
                 or (node.tag == "input" and a.get("type", "").lower() == "hidden")
-                or ("style" in a and HIDDEN_STYLE.search(a["style"])))
+                or (place in (SVG, SVG_TEXT) and a.get("display", "").strip().lower() == "none")
+                or ("style" in a and HIDDEN_STYLE.search(a["style"]))
+                or ((node.tag == "tr" or node.tag in PARTS) and _visibility(node, place) == "collapse"))
+
+
+def _visibility(node: Node, place: int) -> str:
+    """The element's own visibility: the last declaration, of important ones if there are."""
+    found = VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else []
+    if found:
+        return ([v for v, important in found if important] or [v for v, _ in found])[-1].lower()
+    return node.attrs.get("visibility", "").strip().lower() if place in (SVG, SVG_TEXT) else ""
+
+
+def _place(node: Node, place: int) -> int:
+    """Where the children of an element are."""
+    if node.tag == "svg":
+        return SVG
+    if node.tag == "math" and place == HTML:
+        return MATH
+    if place in (SVG, SVG_TEXT):
+        return {"text": SVG_TEXT, "foreignobject": HTML}.get(node.tag, place)
+    return place
 
 
 def _table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
@@ -211,11 +265,13 @@ def render(html: str) -> tuple[str, str]:
     tables: list[list] = []
     lists: list[list] = []  # [ordered, next number]
     pre = 0
-    todo: list[tuple[object, bool]] = [(root, False)]
+    todo: list[tuple[object, bool, bool, int]] = [(root, False, True, HTML)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, shown, place = todo.pop()
         top = out[-1]
         if isinstance(node, str):
+            if not shown or place == SVG:
+                continue
             if pre:
                 top.exact(node)
             else:
@@ -223,12 +279,20 @@ def render(html: str) -> tuple[str, str]:
             continue
         tag = node.tag
         if not leaving:
-            if tag == "title" and not title:
+            if tag == "title" and place == HTML and not title:
                 title = " ".join("".join(c for c in node.children if isinstance(c, str)).split())
             if tag == "head":  # for the title only
-                todo.extend((c, False) for c in reversed(node.children) if isinstance(c, Node) and c.tag == "title")
+                todo.extend((c, False, shown, place) for c in reversed(node.children) if isinstance(c, Node) and c.tag == "title")
+                continue
+            place = _place(node, place) if tag == "svg" else place
+            if not _seen(node, place):
                 continue
-            if not _seen(node):
+            own = _visibility(node, place)
+            if own in ("hidden", "collapse"):
+                shown = False
+            elif own in ("visible", "initial"):
+                shown = True
+            if not shown and tag in ("br", "input"):
                 continue
             if tag == "br":
                 top.now = top.now or [""]
@@ -238,7 +302,7 @@ def render(html: str) -> tuple[str, str]:
                 if node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                     top.text(node.attrs.get("value", ""))
                 continue
-            todo.append((node, True))
+            todo.append((node, True, shown, place))
             children = node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
@@ -253,7 +317,14 @@ def render(html: str) -> tuple[str, str]:
                             rest.extend(reversed(c.children))
                 chosen = [c for c in options if "selected" in c.attrs]
                 children = options if "multiple" in node.attrs else chosen[:1] or options[:1]
-            todo.extend((c, False) for c in reversed(children))
+            elif place == MATH and tag in PARTED:
+                children = [x for c in children if isinstance(c, Node) for x in (c, " ")]
+                if tag not in SCRIPTS:
+                    children.insert(0, " ")
+            place = _place(node, place)
+            todo.extend((c, False, shown, place) for c in reversed(children))
+            if place == SVG_TEXT and (tag == "text" or node.attrs.keys() & {"x", "y", "dy"}):
+                top.space = bool(top.now)  # labels stand apart
             if tag in CELLS and tables:
                 if not tables[-1]:
                     tables[-1].append([])
@@ -280,6 +351,8 @@ def render(html: str) -> tuple[str, str]:
             elif tag == "pre":
                 pre += 1
             continue
+        if tag == "text" and place in (SVG, SVG_TEXT):
+            top.space = bool(top.now)
         if tag in CELLS and tables:
             lines = out.pop().done()
             span = node.attrs.get("colspan", "1")

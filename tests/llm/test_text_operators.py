@@ -210,6 +210,22 @@ def test_rendering(html, text):
     assert html_layout.render(html)[1] == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds", "so x= 1 2 holds"),
+    ("<math><semantics><mrow><mi>a</mi><mspace/><msup><mi>b</mi><mn>2</mn></msup></mrow><annotation>no</annotation></semantics></math>!", "ab 2 !"),
+    ("a <svg><title>no</title><desc>no</desc><defs><text>no</text></defs>no<g><text>North</text><text x=1>South <tspan>pole</tspan></text></g></svg> b",
+     "a North South pole b"),
+    ("<svg><style>no</style><text display=none>no</text><text visibility=hidden>no</text><foreignObject><p>yes</p></foreignObject></svg>", "yes"),
+    ("<svg/>yes", "yes"), ("<svg><defs><path d='M0'><p>yes", "yes"), ("<text>yes</text><desc>too</desc>", "yestoo"),
+    ("<div style='visibility:hidden'>no<br><b style='visibility: visible'>yes<i style='visibility:hidden'>no</i></b></div>", "yes"),
+    ("<div style='visibility:hidden'><table><tr><td>no<td style='visibility:visible'>yes</table></div>", "yes"),
+    ("<div style='visibility:hidden'><p hidden style='visibility:visible'>no</p></div><b style='backface-visibility:hidden'>yes</b>", "yes"),
+])
+def test_formulas_drawings_and_visible_children(html, text):
+    assert html_layout.render(html)[1].strip() == text
+    assert html_layout.render(html)[0] == ""
+
+
 def test_deep_and_broken_pages():
     assert html_layout.render("<div>" * 50000 + "x")[1] == "x"
     assert html_layout.render("<td>x</table></tr><li>y</ul>")[1]
