@@ -34,8 +34,11 @@ from pyspark.sql import functions as F
 
 from growthlab.llm.common import small_batches
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# An attribute as HTML reads it: a quote opens a value only right after the equals sign and is
+# an ordinary character elsewhere.  Possessive, so that a broken tag costs no second try.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*|["'][^\s>]*)?"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*+)((?:[\s/]|(?:=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*{_VALUE})?)*+)>|[^<]+|<""", re.S)
+ATTRIBUTE = re.compile(r"""(=[^\s/>=]*|[^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))?)?""")
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())

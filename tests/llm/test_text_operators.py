@@ -226,6 +226,20 @@ def test_formulas_drawings_and_visible_children(html, text):
     assert html_layout.render(html)[0] == ""
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<img alt=Bob's photo><p>It's here</p>", "It's here"), ("<a title=5\" href=x>inch</a> 6\" long", "inch 6\" long"), ("<a 'x>y</a>'z", "y'z"),
+    ("<b title = '>' hidden>no</b><i title= \">\">yes</i>", "yes"), ("<p title=it's hidden>no</p><p title='hidden'>yes</p>", "yes"),
+    ("<p title='hidden>one</p><p>two</p>", "one\n\ntwo"), ("<b x=>yes</b><br/>", "yes"),
+])
+def test_quotes_inside_tags(html, text):
+    assert html_layout.render(html)[1].strip() == text
+
+
+def test_broken_tags_take_linear_time():
+    assert html_layout.render("<a " + "x=\"a\" " * 50000)[1]
+    assert html_layout.render("<a" + "=\"a\"" * 50000)[1]
+
+
 def test_deep_and_broken_pages():
     assert html_layout.render("<div>" * 50000 + "x")[1] == "x"
     assert html_layout.render("<td>x</table></tr><li>y</ul>")[1]
