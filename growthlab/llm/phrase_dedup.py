@@ -11,18 +11,23 @@ the suffix order of the corpus, to the depth of a window, follows from the suffi
 of the dictionary of distinct phrases alone; the parse only says where phrases occur.
 
 *Dictionary.*  Documents are dealt to blocks by a hash of the id.  Each block sends its
-distinct phrases as (trigger hash, phrase hash, least id), dealt by trigger.  There each
-phrase gets its first document.  Most occurrences are settled by that: a phrase whose
+distinct phrases as (trigger hash, phrase hash, least id), dealt by phrase.  There each
+phrase gets its first document, and each trigger's distinct phrases are counted per bucket;
+the counts are dealt by trigger and summed, so a trigger costs a row per bucket.  Most occurrences are settled by that: a phrase whose
 first document has a smaller id is removed whole.
 
 *Suffix order.*  Where a trigger has several distinct phrases (at the ends of repeats),
 their windows may agree in part.  The block of each such phrase's first occurrence sends
 the bytes, and the windows of all phrases of a bucket of triggers are sorted as strings;
-runs of equal windows get the least first document.
+runs of equal windows get the least first document.  A trigger with more than
+``HOT_PHRASES`` distinct phrases (a common string between ever different neighbours) is
+not held in one place: each block sends the distinct windows of its phrases with their
+least first document, dealt by a hash of the window's own bytes, and the same sort answers.
 
 Blocks hold a set number of documents and phrases are distinct within a block, so a text
 that a third of the corpus shares costs a row per block, not per copy.  All shuffles are
-by block or by trigger hash and evenly spread.
+by block, by phrase hash, by window hash, or by trigger hash with a bounded number of
+phrases a trigger.
 
 Defined cases: null and empty texts are empty; texts shorter than a window lose nothing;
 rows that share an id do not affect one another; a row without an id counts as before
@@ -45,6 +50,8 @@ WINDOW, GRAM = 50, 24
 #: Bytes parsed at a time; positions within must fit in PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 19, 20
 DOCS_PER_BLOCK = 1500
+#: Most distinct phrases of a trigger whose windows are sorted in one place.
+HOT_PHRASES = 1000
 _FACTORS = mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -124,7 +131,7 @@ class Block:
         order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
         self.rows, self.ids, self.texts = order, ids[order], [texts[i] for i in order]
         self.parsed = p = parse(self.texts)
-        bucket = (p["trigger"] % np.uint64(buckets)).astype(np.int64)
+        bucket = (p["phrase"] % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((p["phrase"], p["trigger"], bucket))  # stable: least document first
         trigger, phrase = p["trigger"][order], p["phrase"][order]
         new = np.ones(len(order), bool)
@@ -135,6 +142,11 @@ class Block:
         self.trigger, self.phrase, self.bucket = trigger[new], phrase[new], bucket[order][new]
         self.least = self.ids[p["doc"][self.at]] if len(self.at) else np.zeros(0, np.int64)
 
+    def texts_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """(number of windows, least id, the bytes one after another) of some phrases."""
+        doc, start, n = (self.parsed[c][self.at[entries]] for c in ("doc", "start", "n"))
+        return n, self.ids[doc], b"".join(self.texts[d][s: s + k + WINDOW - 1] for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist()))
+
     def bucket_starts(self, buckets: int) -> np.ndarray:
         return np.searchsorted(self.bucket, np.arange(buckets + 1))
 
@@ -166,13 +178,10 @@ def _dictionary(buckets: int):
     return run
 
 
-def _first_documents(rows: pa.Table) -> pa.Table:
-    """For each block, of its entries in this bucket: those with an earlier first document
-    elsewhere, and those whose windows must be compared with other phrases' windows."""
-    blocks = rows["block"].to_pylist()
-    trigger = [_from_planes(x.as_py(), 6) for x in rows["trigger"]]
-    sizes = np.array([len(t) for t in trigger])
-    trigger = np.concatenate(trigger)
+def _sorted_entries(rows: pa.Table):
+    """The entries of a bucket by trigger, phrase and least id: (order, trigger, begins a
+    trigger, begins a phrase, least)."""
+    trigger = np.concatenate([_from_planes(x.as_py(), 6) for x in rows["trigger"]])
     phrase = np.concatenate([_from_planes(x.as_py(), 6) for x in rows["phrase"]])
     least = np.concatenate([_from_planes(x.as_py(), 8, np.int64) for x in rows["least"]])
     order = np.lexsort((least, phrase, trigger))
@@ -181,19 +190,63 @@ def _first_documents(rows: pa.Table) -> pa.Table:
     new_t[1:] = t[1:] != t[:-1]
     new_p = new_t.copy()
     new_p[1:] |= p[1:] != p[:-1]
+    return order, t, new_t, new_p, least
+
+
+def _phrase_counts(buckets: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """The number of distinct phrases of each trigger in this bucket."""
+        _, t, new_t, new_p, _ = _sorted_entries(rows)
+        starts = np.flatnonzero(new_t)
+        trigger, n = t[starts], np.add.reduceat(new_p.astype(np.int64), starts)
+        to = (trigger % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(buckets + 1))
+        parts = [(b, order[cut[b]: cut[b + 1]]) for b in range(buckets) if cut[b + 1] > cut[b]]
+        return pa.table({"to": pa.array([b for b, _ in parts], pa.int32()),
+                         "bucket": pa.array([rows["bucket"][0].as_py()] * len(parts), pa.int32()),
+                         "trigger": pa.array([_planes(trigger[o], 6) for _, o in parts], pa.binary()),
+                         "n": pa.array([_planes(n[o], 4) for _, o in parts], pa.binary())})
+    return run
+
+
+def _several(hot_phrases: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Tells each bucket which of its triggers have several phrases in all, and which
+        of these have more than ``hot_phrases``."""
+        parts = [_from_planes(x.as_py(), 6) for x in rows["trigger"]]
+        found, group = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.concatenate([_from_planes(x.as_py(), 4, np.int64) for x in rows["n"]])
+        n = np.bincount(group, n, len(found)).astype(np.int64)[group]
+        cut = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        out = [(bucket, trigger[(k > 1) & (k <= hot_phrases)], trigger[(k > 1) & (k > hot_phrases)])
+               for i, (bucket, trigger) in enumerate(zip(rows["bucket"].to_pylist(), parts)) for k in (n[cut[i]: cut[i + 1]],)]
+        out = [x for x in out if len(x[1]) or len(x[2])]
+        return pa.table({"bucket": pa.array([b for b, _, _ in out], pa.int32()), "few": pa.array([_planes(f, 6) for _, f, _ in out], pa.binary()),
+                         "many": pa.array([_planes(m, 6) for _, _, m in out], pa.binary())})
+    return run
+
+
+def _first_documents(rows: pa.Table, several: pa.Table) -> pa.Table:
+    """For each block, of its entries in this bucket: those with an earlier first document
+    elsewhere, and those whose windows must be compared with other phrases' windows."""
+    blocks = rows["block"].to_pylist()
+    sizes = [len(x.as_py()) // 6 for x in rows["trigger"]]
+    order, t, _, new_p, least = _sorted_entries(rows)
     first = least[order][np.maximum.accumulate(np.where(new_p, np.arange(len(order)), 0))]
-    group = np.cumsum(new_t) - 1
-    several = (np.bincount(group, new_p) > 1)[group]
-    early, mixed = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    firsts = np.zeros(len(order), np.int64)
+    early, firsts = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
     early[order] = first < least[order]
-    mixed[order] = several & (first == least[order])
     firsts[order] = first
+    mixed, hot = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    for kind, column in ((mixed, "few"), (hot, "many")):
+        named = [_from_planes(x.as_py(), 6) for x in several[column]]
+        if named:
+            kind[order] = np.isin(t, np.concatenate(named)) & (first == least[order])
     out = {"block": [], "bucket": [], "kind": [], "entry": [], "value": []}
     cut = np.concatenate([[0], np.cumsum(sizes)])
     for i, block in enumerate(blocks):
         s = slice(cut[i], cut[i + 1])
-        for kind, chosen in (("first", early[s]), ("mixed", mixed[s])):
+        for kind, chosen in (("first", early[s]), ("mixed", mixed[s]), ("hot", hot[s])):
             at = np.flatnonzero(chosen)
             if len(at):
                 out["block"].append(block)
@@ -209,27 +262,95 @@ def _first_documents(rows: pa.Table) -> pa.Table:
 REPLY = "block int, bucket int, kind string, entry binary, value binary"
 
 
+def _entries(replies: list[dict], kind: str, cut: np.ndarray) -> np.ndarray:
+    """The entries of a block that the answers of one kind name, in order."""
+    found = [_from_planes(r["entry"], 4, np.int64) + cut[r["bucket"]] for r in replies if r["kind"] == kind]
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+class HotWindows:
+    """The distinct windows of a block's phrases with hot triggers, dealt by their bytes."""
+
+    def __init__(self, own: Block, entries: np.ndarray, buckets: int):
+        n, least, text = own.texts_of(entries)
+        data = np.frombuffer(text, np.uint8)
+        size = n + WINDOW - 1
+        phrase = np.repeat(np.arange(len(n)), n)
+        self.offset = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
+        place = (np.cumsum(size) - size)[phrase] + self.offset
+        self.entry, self.own_least = entries[phrase], least[phrase]
+        to = (span_hash(prefix_hash(data), place, place + WINDOW) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(buckets + 1))
+        bytes_at = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
+        self.parts = []  # (bucket, distinct windows, least id of each, their windows, which of the distinct ones each is)
+        for b in range(buckets):
+            at = order[cut[b]: cut[b + 1]]
+            if len(at):
+                keys, which = np.unique(np.ascontiguousarray(bytes_at[place[at]]).view(f"S{WINDOW}").reshape(-1), return_inverse=True)
+                lowest = np.full(len(keys), np.iinfo(np.int64).max)
+                np.minimum.at(lowest, which, self.own_least[at])
+                self.parts.append((b, keys, lowest, at, which))
+
+    def gone(self, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """(entry, offset) of the windows that start in a document before the phrase's first."""
+        answers = {r["bucket"]: r for r in replies if r["kind"] == "least"}
+        found = [np.zeros(0, np.int64)]
+        for b, _, lowest, at, which in self.parts:
+            if b in answers:
+                lowest = lowest.copy()
+                lowest[_from_planes(answers[b]["entry"], 4, np.int64)] = _from_planes(answers[b]["value"], 8, np.int64)
+            found.append(at[lowest[which] < self.own_least[at]])
+        at = np.concatenate(found)
+        return self.entry[at], self.offset[at]
+
+
 def _phrase_bytes(buckets: int):
     def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        out = {"bucket": [], "block": [], "entry": [], "least": [], "size": [], "data": []}
-        mixed = replies.filter(pa.array([k == "mixed" for k in replies["kind"].to_pylist()], pa.bool_()))
-        if rows.num_rows and mixed.num_rows:
+        out = {"kind": [], "bucket": [], "block": [], "entry": [], "least": [], "size": [], "data": []}
+        asked = [r for r in replies.to_pylist() if r["kind"] != "first"]
+        if rows.num_rows and asked:
             own = Block(rows, buckets)
-            cut = own.bucket_starts(buckets)
-            for r in mixed.to_pylist():
-                entry = _from_planes(r["entry"], 4, np.int64)
-                at = own.at[entry + cut[r["bucket"]]]
-                doc, start, n = (own.parsed[c][at] for c in ("doc", "start", "n"))
-                out["bucket"].append(r["bucket"])
-                out["block"].append(r["block"])
-                out["entry"].append(r["entry"])
-                out["least"].append(_planes(own.ids[doc], 8))
-                out["size"].append((n + WINDOW - 1).astype(np.uint32).tobytes())
-                out["data"].append(b"".join(own.texts[d][s: s + k + WINDOW - 1] for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist())))
-        return pa.table({k: pa.array(v, pa.int32() if k in ("bucket", "block") else pa.binary()) for k, v in out.items()})
+            cut, block = own.bucket_starts(buckets), rows["block"][0].as_py()
+
+            def send(kind, bucket, entry, least, size, data):
+                for k, v in zip(out, (kind, bucket, block, entry, _planes(least, 8), size, data)):
+                    out[k].append(v)
+
+            mixed = _entries(asked, "mixed", cut)
+            to = (own.trigger[mixed] % np.uint64(buckets)).astype(np.int64)
+            for b in np.unique(to).tolist():
+                entry = mixed[to == b]
+                n, least, data = own.texts_of(entry)
+                send("phrase", b, _planes(entry, 4), least, (n + WINDOW - 1).astype(np.uint32).tobytes(), data)
+            hot = _entries(asked, "hot", cut)
+            if len(hot):
+                for b, keys, lowest, _, _ in HotWindows(own, hot, buckets).parts:
+                    send("window", b, b"", lowest, b"", keys.tobytes())
+        return pa.table({k: pa.array(v, pa.string() if k == "kind" else pa.int32() if k in ("bucket", "block") else pa.binary()) for k, v in out.items()})
     return run
 
 
+def _compared(rows: pa.Table) -> pa.Table:
+    return _sorted_windows(rows) if rows["kind"][0].as_py() == "phrase" else _least_windows(rows)
+
+
+def _least_windows(rows: pa.Table) -> pa.Table:
+    """Answers, for each block, which of the windows it sent start in an earlier document."""
+    least = [_from_planes(x.as_py(), 8, np.int64) for x in rows["least"]]
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in least])])
+    least = np.concatenate(least)
+    _, which = np.unique(np.frombuffer(b"".join(x.as_py() for x in rows["data"]), f"S{WINDOW}"), return_inverse=True)
+    lowest = np.full(len(least), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, which, least)
+    first = lowest[which]
+    parts = [(block, np.flatnonzero(first[a:b] < least[a:b]), first[a:b]) for block, a, b in zip(rows["block"].to_pylist(), cut, cut[1:])]
+    parts = [x for x in parts if len(x[1])]
+    return pa.table({"block": pa.array([x for x, _, _ in parts], pa.int32()), "bucket": pa.array([rows["bucket"][0].as_py()] * len(parts), pa.int32()),
+                     "kind": pa.array(["least"] * len(parts), pa.string()), "entry": pa.array([_planes(at, 4) for _, at, _ in parts], pa.binary()),
+                     "value": pa.array([_planes(f[at], 8) for _, at, f in parts], pa.binary())})
+
+
 def _sorted_windows(rows: pa.Table) -> pa.Table:
     """Sorts all windows of the bucket's mixed phrases as strings; answers, for each phrase,
     which of its windows start in a document before the phrase's first."""
@@ -262,7 +383,7 @@ def _sorted_windows(rows: pa.Table) -> pa.Table:
         at = np.flatnonzero(gone[lo:hi]) + lo
         if len(at):
             out["block"].append(block)
-            out["bucket"].append(rows["bucket"][0].as_py())
+            out["bucket"].append(0)  # entries are counted from the block's first
             out["kind"].append("window")
             out["entry"].append(_planes(entries[i][phrase[at] - cut[i]], 4))
             out["value"].append(_planes(offset[at], 4))
@@ -279,12 +400,16 @@ def _cut_out(buckets: int):
         p, cut = own.parsed, own.bucket_starts(buckets)
         first = own.least.copy()
         windows = [[], []]
-        for r in replies.to_pylist():
-            entry = _from_planes(r["entry"], 4, np.int64) + cut[r["bucket"]]
+        replies = replies.to_pylist()
+        hot = _entries(replies, "hot", cut)
+        if len(hot):
+            for found, own_windows in zip(windows, HotWindows(own, hot, buckets).gone(replies)):
+                found.append(own_windows)
+        for r in replies:
             if r["kind"] == "first":
-                first[entry] = _from_planes(r["value"], 8, np.int64)
+                first[_from_planes(r["entry"], 4, np.int64) + cut[r["bucket"]]] = _from_planes(r["value"], 8, np.int64)
             elif r["kind"] == "window":
-                windows[0].append(entry)
+                windows[0].append(_from_planes(r["entry"], 4, np.int64))
                 windows[1].append(_from_planes(r["value"], 4, np.int64))
         base = np.concatenate([[0], np.cumsum([len(t) for t in own.texts])])
         delta = np.zeros(base[-1] + 1, np.int32)
@@ -319,7 +444,7 @@ def _cut_out(buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, hot_phrases: int = HOT_PHRASES) -> DataFrame:
     """(doc_id, n_bytes, spans: removed byte ranges, kept: remaining bytes), a row per input row."""
     width = shuffle_width(docs)
     n_blocks = max(width, -(-docs.count() // docs_per_block))
@@ -328,10 +453,14 @@ def remove_repeats(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK) -> Dat
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).repartition(width, "block")
     by_block = rows.groupBy("block")
     dictionary = by_block.applyInArrow(_dictionary(width), "bucket int, block int, trigger binary, phrase binary, least binary")
-    firsts = dictionary.groupBy("bucket").applyInArrow(_first_documents, REPLY).repartition(width, "block")
+    # one shuffle of the dictionary; both uses below share it
+    by_bucket = dictionary.repartition(width, "bucket").groupBy("bucket")
+    counts = by_bucket.applyInArrow(_phrase_counts(width), "to int, bucket int, trigger binary, n binary")
+    several = counts.groupBy("to").applyInArrow(_several(hot_phrases), "bucket int, few binary, many binary")
+    firsts = by_bucket.cogroup(several.groupBy("bucket")).applyInArrow(_first_documents, REPLY).repartition(width, "block")
     phrases = by_block.cogroup(firsts.groupBy("block")).applyInArrow(
-        _phrase_bytes(width), "bucket int, block int, entry binary, least binary, size binary, data binary")
-    windows = phrases.groupBy("bucket").applyInArrow(_sorted_windows, REPLY)
+        _phrase_bytes(width), "kind string, bucket int, block int, entry binary, least binary, size binary, data binary")
+    windows = phrases.groupBy("kind", "bucket").applyInArrow(_compared, REPLY)
     span = "array<struct<start:long,end:long>>"
     found = by_block.cogroup(firsts.unionByName(windows).groupBy("block")).applyInArrow(
         _cut_out(width), f"doc_id long, spans {span}, kept binary")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 
 from growthlab.llm import common, components, jaccard_tiles, line_runs, phrase_dedup
@@ -56,6 +57,29 @@ def test_repeats_in_very_repetitive_text(make_docs, seed):
     check_repeats(rows, phrase_dedup.remove_repeats(make_docs(rows), docs_per_block=3).collect())
 
 
+@pytest.mark.parametrize("hot_phrases", [1, 4])
+def test_repeats_with_a_trigger_of_many_phrases(make_docs, messy_rows, hot_phrases):
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    ends = [noise(30) for _ in range(4)]
+    rows = messy_rows + [(100 + i * 7 % 41, noise(40) + rng.choice(ends) + "a string of bytes that all of these texts do hold" + rng.choice(ends) + noise(40)) for i in range(41)]
+    check_repeats(rows, phrase_dedup.remove_repeats(make_docs(rows), docs_per_block=5, hot_phrases=hot_phrases).collect())
+
+
+def test_a_trigger_of_many_phrases_is_spread():
+    """Phrases around one common string go to all buckets, as do their windows."""
+    rng = random.Random(8)
+    noise = lambda: "".join(rng.choice("abcdefgh ") for _ in range(60))
+    rows = pa.table({"id": list(range(400)), "text": [noise() + "a string of bytes that all of these texts do hold" + noise() for _ in range(400)]})
+    own = phrase_dedup.Block(rows, 16)
+    trigger, n = np.unique(own.trigger, return_counts=True)
+    of_common = np.flatnonzero(own.trigger == trigger[n.argmax()])
+    assert len(of_common) >= 400
+    assert np.bincount(own.bucket[of_common], minlength=16).max() < 2 * len(of_common) / 16
+    sizes = [len(keys) for _, keys, _, _, _ in phrase_dedup.HotWindows(own, of_common, 16).parts]
+    assert len(sizes) == 16 and max(sizes) < 2 * sum(sizes) / 16
+
+
 def test_repeats_survive_a_cut_text(monkeypatch):
     rng = random.Random(5)
     text = "".join(rng.choice("abcdefgh ") for _ in range(5000)).encode()
