@@ -6,7 +6,7 @@ A new batch
 
 1. is aggregated to one row per line hash,
 2. is merge-anti-joined with the runs (same buckets and order on both sides, so the
-   runs are not shuffled again) to find the lines not seen before,
+   runs are not shuffled again) to mark the lines not seen before; the mark decides nothing,
 3. is added as a run of level 0.
 
 When a level holds ``fanout`` runs they are merged into one run of the next level, so
