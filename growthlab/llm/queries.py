@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlab.llm import bpe, html_layout, jaccard_tiles, language_id, latent_decontamination, line_runs, ordinal_quality, phrase_dedup, quality_rules, secret_scan
+from growthlab.llm import bpe, conversation_repair, html_layout, jaccard_tiles, language_id, latent_decontamination, line_runs, ordinal_quality, phrase_dedup, quality_rules, secret_scan, token_counts
 from growthlab.llm.oracles import ORACLES  # noqa: F401
 from growthlab.session import ensure_checkpoint_dir
 
@@ -93,3 +93,14 @@ def op9_ordinal_quality(spark, sf_dir):
 @query
 def op10_html_layout(spark, sf_dir):
     return html_layout.render_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    rows = token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations")).drop("repaired")
