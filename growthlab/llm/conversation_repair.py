@@ -45,6 +45,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from growthlab.functions.ordered import group_positions, materialize
 from growthlab.llm.common import BLANKS, shuffle_width, small_batches
@@ -236,7 +237,7 @@ def _product(batch: pa.Table) -> pa.Table:
     for part in parts[1:]:
         total = [[min(((a[0] + b[0], a[1] + b[1]) for a, b in ((total[s][m], part[m][e]) for m in range(4)) if a and b), default=None)
                   for e in range(4)] for s in range(4)]
-    return _part(batch, batch["block"][0].as_py() // FAN, total)
+    return _part(batch, batch["part"][0].as_py(), total)
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +286,7 @@ def _long(rows: DataFrame, ids: DataFrame) -> DataFrame:
     kind = "conv string, block long, ways binary"
     parts = materialize(narrow.select("conv", "block", "pos", "initial", "fault").groupBy("conv", "block").applyInArrow(_matrix, kind))
     while parts.where(F.col("block") > 0).limit(1).count():
-        grouped = parts.withColumn("part", F.floor(F.col("block") / FAN)).groupBy("conv", "part")
+        grouped = parts.withColumn("part", F.floor(F.col("block") / FAN).cast("long")).groupBy("conv", "part")
         parts = materialize(grouped.applyInArrow(_product, kind))
     answers = materialize(parts.mapInArrow(_answers, "conv string, cost long, audit string"))
     pair = F.concat("before", "initial")
@@ -319,7 +320,6 @@ def repair_conversations(conversations: DataFrame, long_rows: int = 2048, long_b
         ordinary = rows.join(known, "conv", "left_anti")
     dealt = ordinary.repartition(shuffle_width(rows), "conv").sortWithinPartitions("conv", F.asc_nulls_first("turn"), "role", "text")
     id_type = conversations.schema["conv_id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
     arrow_id = to_arrow_type(id_type)
     found = dealt.mapInArrow(lambda batches: _streamed(batches, arrow_id), f"conv_id {id_type.simpleString()}, {FIELDS}")
     return found.unionByName(_long(rows.join(known, "conv", "left_semi"), ids)) if n_long else found
