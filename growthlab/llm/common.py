@@ -97,6 +97,29 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix(own + mix((end - start).astype(np.uint64) + np.uint64(1)))
 
 
+#: Words of more bytes are hashed by a cryptographic function: long words can be built so
+#: that they agree under every polynomial hash modulo 2**64.
+LONG_WORD = 256
+#: Bytes of text whose running hashes are held at a time.
+SPAN_PIECE = 1 << 19
+
+
+def hash_words(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [start, stop) of a byte array, which stand in order."""
+    out = np.zeros(len(start), np.uint64)
+    long = stop - start > LONG_WORD
+    for i in np.flatnonzero(long).tolist():
+        digest = hashlib.blake2b(data[start[i]: stop[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    short = np.flatnonzero(~long)
+    if len(short):
+        piece = start[short] // SPAN_PIECE
+        for part in np.split(short, np.flatnonzero(np.diff(piece)) + 1):
+            at = start[part[0]]
+            out[part] = span_hash(prefix_hash(data[at: stop[part[-1]]]), start[part] - at, stop[part] - at)
+    return out
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are no letter, digit or part of a longer character.
@@ -131,7 +154,7 @@ def word_hashes(text: bytes, blank: np.ndarray = _BLANK) -> np.ndarray:
         data = _LOWERED[np.frombuffer(text, np.uint8, end - at, at)]
         start, stop = word_spans(data, blank)
         if len(start):
-            parts.append(span_hash(prefix_hash(data), start, stop))
+            parts.append(hash_words(data, start, stop))
         at = end
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
@@ -165,7 +188,7 @@ def batch_words(texts: list[bytes], blank: np.ndarray = _BLANK) -> tuple[np.ndar
             data = _LOWERED[np.frombuffer(joined, np.uint8)]
             start, stop = word_spans(data, blank)
             ends = np.cumsum([len(t) + 1 for t in group])
-            parts.append(span_hash(prefix_hash(data), start, stop) if len(start) else np.zeros(0, np.uint64))
+            parts.append(hash_words(data, start, stop))
             sizes.extend(np.diff(np.searchsorted(start, ends), prepend=0).tolist())
         group, held = [], 0
 

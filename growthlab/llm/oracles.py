@@ -78,3 +78,26 @@ summed as (select doc_id, cast(count(*) filter (where hit is true) as bigint) as
 select s.doc_id, s.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
        sha256(unhex(coalesce(kept, ''))) as kept_sha256 from sized s left join summed u on s.doc_id = u.doc_id
 """
+
+ORACLES["op11_collocations"] = r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+words as (select lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') as w from piece),
+sizes as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+grams as (select lang, k, w[i:i + k - 1] as g
+          from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (values (1), (2), (3), (4)) as s(k) where len(w) >= k)),
+counts as (select lang, k, g, count(*) as f from grams group by all),
+cand as (select * from counts where k > 1 and f >= 30),
+inner_of as (select lang, g[i:i + j - 1] as g, f from (select lang, g, f, j, unnest(range(1, k - j + 2)) as i from cand, (values (2), (3)) as s(j) where j < k)),
+cover as (select lang, g, max(f) as around from inner_of group by all),
+kept as (select c.* from cand c left join cover o on c.lang = o.lang and c.g = o.g
+         where o.around is null or 100::hugeint * o.around < 80::hugeint * c.f),
+cuts as (select c.lang, c.g, c.k, c.f as a, j, x.f as l, y.f as r, cast((2000000::hugeint * c.f) // (x.f + y.f) as bigint) as score
+         from (select *, unnest(range(1, k)) as j from kept) c join counts x on x.lang = c.lang and x.g = c.g[1:j]
+         join counts y on y.lang = c.lang and y.g = c.g[j + 1:k]),
+lowest as (select * from cuts qualify row_number() over (partition by lang, g order by score, j) = 1),
+ranked as (select lang, array_to_string(g, ' ') as phrase, a, l, r, score,
+                  row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank from lowest)
+select ranked.lang, rank, phrase, a, l, r, n, score from ranked join sizes using (lang) where rank <= 2000
+"""

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthlab.llm import bpe, conversation_repair, html_layout, jaccard_tiles, language_id, latent_decontamination, line_runs, ordinal_quality, phrase_dedup, quality_rules, secret_scan, token_counts
+from growthlab.llm import bpe, collocations, conversation_repair, html_layout, jaccard_tiles, language_id, latent_decontamination, line_runs, ordinal_quality, phrase_dedup, quality_rules, secret_scan, token_counts
 from growthlab.llm.oracles import ORACLES  # noqa: F401
 from growthlab.session import ensure_checkpoint_dir
 
@@ -104,3 +104,8 @@ def op12_token_counts(spark, sf_dir):
 @query
 def op13_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations")).drop("repaired")
+
+
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents")).drop("cut")
