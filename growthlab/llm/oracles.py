@@ -95,7 +95,7 @@ kept as (select c.* from cand c left join cover o on c.lang = o.lang and c.g = o
          where o.around is null or 100::hugeint * o.around < 80::hugeint * c.f),
 cuts as (select c.lang, c.g, c.k, c.f as a, j, x.f as l, y.f as r, cast((2000000::hugeint * c.f) // (x.f + y.f) as bigint) as score
          from (select *, unnest(range(1, k)) as j from kept) c join counts x on x.lang = c.lang and x.g = c.g[1:j]
-         join counts y on y.lang = c.lang and y.g = c.g[j + 1:k]),
+         join counts y on y.lang = c.lang and y.g = c.g[j + 1:c.k]),
 lowest as (select * from cuts qualify row_number() over (partition by lang, g order by score, j) = 1),
 ranked as (select lang, array_to_string(g, ' ') as phrase, a, l, r, score,
                   row_number() over (partition by lang order by score desc, a desc, array_to_string(g, ' ')) as rank from lowest)
