@@ -11,10 +11,13 @@ likely of the good sampled documents would follow those labelled good by mistake
 
 Features are the distinct words of the whole text (A-Z lower-cased, split at everything
 that is neither letter nor digit) and their beginnings, hashed into ``n_slots``, and a
-few shape counts (capitals, symbols, repeated neighbours, line breaks) in logarithmic
-bins.  Words can only lower the grade (their weights are at most zero), and only slots
-whose share of lower grades in the sample exceeds the average by ``SCREEN`` standard
-errors get a weight: a long text must not outvote one clear word by its mere length.
+few shape shares (capitals, symbols, repeated neighbours and words, line breaks) as
+ladders: a share sets the rung of its logarithmic bin and every rung below, so rungs that
+hold few sampled documents borrow from those beneath.  All features can only lower the
+grade (their weights are at most zero), and only slots whose share of lower grades in the
+sample exceeds the average by ``SCREEN`` standard errors get a weight (rungs, of which
+there are few, by ``RUNG_SCREEN``): a long text must not outvote one clear word by its
+mere length.  Sampled documents weigh alike, so the probabilities are those of the sample.
 
 The model is fitted on a bounded, documented sample of the labelled rows
 (``max_train``, chosen by a hash of the id, copies once); only the sample's hashed
@@ -41,11 +44,11 @@ from growthlab.llm.common import PIECE, mix, packed, prefix_hash, shingle_hashes
 N_GRADES = 3
 N_BINS = 12
 #: Word beginnings, in bytes, that are features beside the whole words.
-STEMS = (4, 5)
-#: Standard errors by which a slot's share of lower grades must exceed the average.
-SCREEN = 5.0
-#: 0 weighs sampled documents alike, 1 weighs grades alike.
-BALANCE = 0.5
+STEMS = (4, 5, 6, 7, 8, 9)
+#: Standard errors by which a slot's (a rung's) share of lower grades must exceed the average.
+SCREEN, RUNG_SCREEN = 4.0, 2.0
+#: Sampled documents on a rung that has a weight.
+RUNG_DOCS = 3
 #: P(grade >= 2) below which a document is rejected.
 LEVEL = 0.5
 _ALNUM = np.zeros(256, bool)
@@ -60,11 +63,14 @@ def _bin(part: float, whole: float) -> int:
 
 
 def features(text: bytes, n_slots: int) -> np.ndarray:
-    """Sorted distinct slots of a text: hashed words, then the bins of its shape counts."""
-    slots, n_words, n_upper, n_letters, n_symbols, n_same, n_lines = [], 0, 0, 0, 0, 0, 1
-    last = None
-    for at in range(0, len(text), PIECE):
+    """Sorted distinct slots of a text: hashed words, then the rungs of its shape shares."""
+    slots, n_words, n_distinct, n_upper, n_letters, n_symbols, n_same, n_lines = [], 0, 0, 0, 0, 0, 0, 1
+    last, at = None, 0
+    while at < len(text):
         raw = np.frombuffer(text, np.uint8, min(PIECE, len(text) - at), at)
+        if at + len(raw) < len(text) and len(cut := np.flatnonzero(~_ALNUM[raw[-4096:]])):
+            raw = raw[: len(raw) - min(4096, len(raw)) + int(cut[-1]) + 1]  # not inside a word
+        at += len(raw)
         data = _LOWERED[raw]
         inside = np.concatenate(([False], _ALNUM[data], [False]))
         turn = np.flatnonzero(inside[1:] != inside[:-1])
@@ -74,23 +80,25 @@ def features(text: bytes, n_slots: int) -> np.ndarray:
             n_same += int(words[0] == last)
         n_same += int(np.count_nonzero(words[1:] == words[:-1]))
         last = words[-1] if len(words) else last
-        slots.append(np.unique(words % np.uint64(n_slots)))
-        for size in STEMS:
-            long = stop - start > size
-            stems = mix(span_hash(running, start[long], start[long] + size) + np.uint64(size))
-            slots.append(np.unique(stems % np.uint64(n_slots)))
         n_words += len(words)
+        words, first = np.unique(words, return_index=True)
+        n_distinct += len(words)
+        start, size = start[first], (stop - start)[first]
+        slots.append(words % np.uint64(n_slots))
+        for stem in STEMS:
+            begin = start[size > stem]
+            slots.append(mix(span_hash(running, begin, begin + stem) + np.uint64(stem)) % np.uint64(n_slots))
         n_upper += int(np.count_nonzero((raw >= 65) & (raw <= 90)))
         n_letters += int(np.count_nonzero(_ALNUM[raw]))
         n_symbols += int(np.count_nonzero((raw > 32) & (raw < 127) & ~_ALNUM[raw] & (raw != 44) & (raw != 46)))
         n_lines += int(np.count_nonzero(raw == 10))
     own = np.unique(np.concatenate(slots)).astype(np.int64) if slots else np.zeros(0, np.int64)
-    shape = [_bin(n_upper, n_letters), _bin(n_symbols, n_words), _bin(n_same, n_words),
-             _bin(max(n_words - len(own), 0), n_words), _bin(n_lines, n_words), min(N_BINS - 1, int(np.log2(n_words + 1)))]
-    return np.concatenate([own, n_slots + np.arange(len(shape)) * N_BINS + np.array(shape)])
+    shape = [_bin(n_upper, n_letters), _bin(n_symbols, n_words), _bin(n_same, n_words), _bin(max(n_words - n_distinct, 0), n_words), _bin(n_lines, n_words)]
+    rungs = [n_slots + i * N_BINS + np.arange(b + 1) for i, b in enumerate(shape)]
+    return np.concatenate([own, *rungs])
 
 
-N_SHAPES = 6
+N_SHAPES = 5
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -131,67 +139,77 @@ def _sigmoid(x):
 
 
 class Ordinal:
-    """Weights shared by all grades, and the ordered thresholds."""
+    """Weights shared by all grades, of the ``slots`` that have one, and the ordered thresholds."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, slots: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
+        self.slots, self.weights, self.thresholds = slots, weights, thresholds
+
+    def score(self, found: np.ndarray) -> float:
+        place = np.searchsorted(self.slots, found)
+        hit = place < len(self.slots)
+        hit[hit] = self.slots[place[hit]] == found[hit]
+        return float(self.weights[place[hit]].sum())
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= j) for j = 1 ... N_GRADES - 1, a column each."""
         return 1 - _sigmoid(self.thresholds[None, :] - scores[:, None])
 
 
-def fit(sample: list, n_slots: int, min_docs: int = 8, penalty: float = 5e-5, steps: int = 200) -> Ordinal:
+def telling(flat: np.ndarray, owner: np.ndarray, shares: np.ndarray, n_slots: int, min_docs: int) -> np.ndarray:
+    """The slots, ascending, that lower grades hold more often than chance explains; ``flat``
+    are the slots of all sampled documents, ``owner`` the grade of each one's document and
+    ``shares`` the shares of documents below grade 1, 2."""
+    slots, place, found = np.unique(flat, return_inverse=True, return_counts=True)
+    screen, used = np.where(slots < n_slots, SCREEN, RUNG_SCREEN), np.zeros(len(slots), bool)
+    for j in range(1, N_GRADES):
+        lower = np.bincount(place, owner < j, len(slots))
+        share = shares[j - 1]
+        used |= lower - found * share > screen * np.sqrt(np.maximum(found * share * (1 - share), 0.25))
+    return slots[used & (found >= np.where(slots < n_slots, min_docs, RUNG_DOCS))]
+
+
+def fit(sample: list, n_slots: int, min_docs: int = 8, penalty: float = 0.01, steps: int = 3000) -> Ordinal:
     """Maximum penalised likelihood by Adam on the whole sample.  Slots found in fewer than
-    ``min_docs`` sampled documents keep weight zero."""
-    size = n_slots + N_SHAPES * N_BINS
-    weights, even = np.zeros(size), np.array([-2.0, -1.0])
+    ``min_docs`` sampled documents have no weight."""
+    nothing = np.zeros(0, np.int64), np.zeros(0)
     if not sample:
-        return Ordinal(weights, np.full(N_GRADES - 1, -20.0))
+        return Ordinal(*nothing, np.full(N_GRADES - 1, -20.0))
+    n = len(sample)
     grade = np.array([g for _, g in sample])
     lengths = np.array([len(s) for s, _ in sample])
     flat = np.concatenate([s for s, _ in sample]).astype(np.int64)
-    found = np.bincount(flat, minlength=size)
-    used = np.zeros(size, bool)
-    for j in range(1, N_GRADES):
-        share = np.mean(grade < j)
-        lower = np.bincount(flat, np.repeat(grade < j, lengths), size)
-        used |= lower - found * share > SCREEN * np.sqrt(np.maximum(found * share * (1 - share), 0.25))
-    used[n_slots:] = True
-    keep = (used & (found >= min_docs))[flat]
-    row = np.repeat(np.arange(len(sample)), lengths)[keep]
-    flat = flat[keep]
-    n = len(sample)
-    sizes = np.bincount(grade, minlength=N_GRADES)
-    weight = (n / np.maximum(sizes, 1)) ** BALANCE
-    weight = (weight / (weight * sizes).sum())[grade]  # of each document; all together 1
-    shares = np.cumsum(np.bincount(grade, weight, N_GRADES))[:-1]
-    even = np.log(np.clip(shares, 1e-3, 1 - 1e-3) / (1 - np.clip(shares, 1e-3, 1 - 1e-3)))
+    shares = np.clip(np.cumsum(np.bincount(grade, minlength=N_GRADES) / n)[:-1], 1e-3, 1 - 1e-3)
+    even = np.log(shares / (1 - shares))
     base, gap = even[0], np.log(np.maximum(np.diff(even), 0.05))
-    param = np.concatenate([weights, [base], gap])
-    if len(set(grade.tolist())) > 1:
-        m, v = np.zeros_like(param), np.zeros_like(param)
-        for t in range(1, steps + 1):
-            w, cuts = param[:size], param[size] + np.concatenate([[0], np.cumsum(np.exp(param[size + 1:]))])
-            score = np.bincount(row, w[flat], n)
-            edges = np.concatenate([np.zeros((n, 1)), _sigmoid(cuts[None, :] - score[:, None]), np.ones((n, 1))], 1)
-            low, high = edges[np.arange(n), grade], edges[np.arange(n), grade + 1]
-            p = np.maximum(high - low, 1e-9)
-            d_high, d_low = high * (1 - high) / p * weight, low * (1 - low) / p * weight
-            g_cut = np.zeros(N_GRADES + 1)
-            np.add.at(g_cut, grade + 1, -d_high)
-            np.add.at(g_cut, grade, d_low)
-            g_cut = g_cut[1:-1]
-            g = np.concatenate([np.bincount(flat, (d_high - d_low)[row], size) + penalty * w, [g_cut.sum()],
-                                np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(param[size + 1:])])
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            param = param - 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-            param[:n_slots] = np.minimum(param[:n_slots], 0)
-    cuts = param[size] + np.concatenate([[0], np.cumsum(np.exp(param[size + 1:]))])
-    return Ordinal(param[:size], cuts)
-
-
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, n_slots: int = 1 << 17) -> tuple[Ordinal, int]:
+    cuts_of = lambda own: own[0] + np.concatenate([[0], np.cumsum(np.exp(own[1:]))])
+    if len(set(grade.tolist())) == 1:
+        return Ordinal(*nothing, cuts_of(np.concatenate([[base], gap])))
+    slots = telling(flat, np.repeat(grade, lengths), shares, n_slots, min_docs)
+    size = len(slots)
+    keep = np.isin(flat, slots)
+    row, flat = np.repeat(np.arange(n), lengths)[keep], np.searchsorted(slots, flat[keep])
+    param = np.concatenate([np.zeros(size), [base], gap])
+    m, v = np.zeros_like(param), np.zeros_like(param)
+    for t in range(1, steps + 1):
+        w, cuts = param[:size], cuts_of(param[size:])
+        score = np.bincount(row, w[flat], n)
+        edges = np.concatenate([np.zeros((n, 1)), _sigmoid(cuts[None, :] - score[:, None]), np.ones((n, 1))], 1)
+        low, high = edges[np.arange(n), grade], edges[np.arange(n), grade + 1]
+        p = np.maximum(high - low, 1e-9)
+        d_high, d_low = high * (1 - high) / p / n, low * (1 - low) / p / n
+        g_cut = np.zeros(N_GRADES + 1)
+        np.add.at(g_cut, grade + 1, -d_high)
+        np.add.at(g_cut, grade, d_low)
+        g_cut = g_cut[1:-1]
+        g = np.concatenate([np.bincount(flat, (d_high - d_low)[row], size) + penalty / n * w, [g_cut.sum()],
+                            np.cumsum(g_cut[::-1])[::-1][1:] * np.exp(param[size + 1:])])
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        param = param - 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        param[:size] = np.minimum(param[:size], 0)
+    return Ordinal(slots, param[:size], cuts_of(param[size:]))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, n_slots: int = 1 << 24) -> tuple[Ordinal, int]:
     small_batches(docs.sparkSession)
     return fit(training_sample(docs, labels, max_train, n_slots), n_slots), n_slots
 
@@ -206,7 +224,7 @@ def score(docs: DataFrame, model: Ordinal, n_slots: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["doc"].field(place)
-            scores = np.array([model.weights[features((t.as_py() or "").encode(), n_slots)].sum() for t in texts])
+            scores = np.array([model.score(features((t.as_py() or "").encode(), n_slots)) for t in texts])
             tails = model.tails(scores.reshape(-1))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc"], pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= LEVEL)],
