@@ -55,9 +55,3 @@ def rank_of(item, arr) -> Column:
     """1-based position of ``item`` in ``arr``; ``size(arr) + 1`` when absent."""
     pos = F.array_position(_c(arr), _c(item))
     return F.when(pos > 0, pos).otherwise(F.size(_c(arr)) + 1).cast("int")
-
-
-def hits_in_first(pred, labels, k) -> Column:
-    """Number of the first ``k`` predictions that are in ``labels``."""
-    kk = k if isinstance(k, Column) else F.lit(k)
-    return F.size(F.array_intersect(F.slice(_c(pred), 1, kk), _c(labels)))

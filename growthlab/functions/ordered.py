@@ -6,9 +6,10 @@ each partition (Arrow batches, pandas ``cumsum``), checkpoints that result so
 that every later read sees the same partitioning, and adds the total of all
 earlier partitions, which is a table with one row per partition (broadcast).
 
-Exact quantiles, percentile ranks, Gini and concentration curves are built on
-it.  Heavy ties are aggregated first (one row per distinct value with its
-count), so a value held by a third of all rows is one row.
+Percentile ranks, Gini and concentration curves are built on it.  Heavy ties are
+aggregated first (one row per distinct value with its count), so a value held by
+a third of all rows is one row.  Quantiles need no order of all rows: see
+``order_statistics``.
 """
 
 from __future__ import annotations
@@ -65,26 +66,77 @@ def value_counts_cum(df: DataFrame, col: str, ascending: bool = True) -> DataFra
     return global_cumsum(vc, order, ["cnt", "one"]).withColumnRenamed("cum_one", "dense_rank")
 
 
+#: Rank error of the sketch that brackets an order statistic, as a share of the rows: 1 / SKETCH.
+SKETCH = 100_000
+
+
+#: Equal shares into which ``value_at`` cuts the column before it counts one of them.
+GRID = 1000
+
+
+def _between(live: DataFrame, edges: DataFrame, brackets: int, places: dict) -> DataFrame:
+    """The values of ``live`` (column v) at 0-based ascending positions: one row with the
+    columns of ``places`` (name -> long Column over the columns of ``edges``) and those of
+    ``edges``, a one-row table with arrays ``lo`` and ``hi`` of bracket ends, both ascending.
+    Values inside a bracket are counted one by one, all between two brackets as one row."""
+    kept = [c for c in edges.columns if c not in ("lo", "hi")]
+    inside, below = F.lit(False), F.lit(0)
+    for j in range(brackets):
+        inside = inside | F.col("v").between(F.col("lo")[j], F.col("hi")[j])
+        below = below + (F.col("v") > F.col("hi")[j]).cast("int")
+    rows = (live.join(F.broadcast(edges)).select("v", *kept, inside.alias("inside"), below.alias("below"))
+                .groupBy(F.when(F.col("inside"), F.col("v")).alias("own"), F.when(~F.col("inside"), F.col("below")).alias("gap"))
+                .agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in kept]))
+    run = rows.withColumn("cum", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    found = [F.max(F.when((F.col("cum") - F.col("c") <= place) & (place < F.col("cum")), F.col("v"))).alias(name) for name, place in places.items()]
+    return run.agg(*[F.max(c).alias(c) for c in kept], *found).where(F.col("n") > 0)
+
+
+def order_statistics(df: DataFrame, col: str, qs: list[float], places) -> DataFrame:
+    """One row: ``n`` non-null values, and for each q in ``qs`` the values at the 0-based
+    ascending positions ``places(n, q)`` (long Columns), as ``v<i>_<k>``.  No row without values.
+
+    Two narrow passes and no sort of the column: a mergeable sketch brackets each q between
+    two elements, then one aggregate counts the values inside the brackets one by one and
+    everything between two brackets as one row.  The running count over those rows (about
+    4 n / SKETCH for a q) is exact."""
+    live = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
+    ends = [max(0.0, q - 2.0 / SKETCH) for q in qs] + [min(1.0, q + 2.0 / SKETCH) for q in qs]
+    edges = live.agg(F.count("v").alias("n"), F.percentile_approx("v", [float(p) for p in ends], SKETCH).alias("e"))
+    edges = edges.select("n", F.slice("e", 1, len(qs)).alias("lo"), F.slice("e", len(qs) + 1, len(qs)).alias("hi"))
+    named = {f"v{i}_{k}": place for i, q in enumerate(qs) for k, place in enumerate(places(F.col("n"), float(q)))}
+    return _between(live, edges, len(qs), named)
+
+
+def value_at(df: DataFrame, col: str, place: DataFrame) -> DataFrame:
+    """One row ``value``: the value of ``col`` at the 0-based ascending position that the
+    one-row table ``place`` (column ``place``) holds; null for a position below 0 or beyond
+    the last.  As ``order_statistics``, with a bracket of three of GRID equal shares."""
+    live = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
+    grid = live.agg(F.count("v").alias("n"), F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], SKETCH).alias("e"))
+    share = F.floor(F.col("place") / F.greatest(F.col("n"), F.lit(1)) * GRID).cast("int")
+    within = lambda i: F.array(F.col("e")[F.greatest(F.lit(0), F.least(F.lit(GRID), i))])
+    edges = grid.join(F.broadcast(place)).select("n", "place", within(share - 1).alias("lo"), within(share + 2).alias("hi"))
+    return _between(live, edges, 1, {"value": F.col("place")}).select("value")
+
+
+def _by_q(row: DataFrame, qs: list[float], value, name: str) -> DataFrame:
+    """(q, name) rows from the one row of ``order_statistics``."""
+    each = [F.struct(F.lit(float(q)).alias("q"), value(i, float(q)).alias(name)) for i, q in enumerate(qs)]
+    return row.select(F.explode(F.array(*each)).alias("s")).select("s.*")
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile") -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``percentile_cont`` definition):
     position h = (n-1)·q on the ascending order, value = x[⌊h⌋] + (h-⌊h⌋)·(x[⌈h⌉]-x[⌊h⌋]).
+    Returns (``q``, ``name``) rows."""
+    at = lambda n, q: (n - 1) * F.lit(q)
+    row = order_statistics(df, col, qs, lambda n, q: [F.floor(at(n, q)).cast("long"), F.ceil(at(n, q)).cast("long")])
 
-    Distinct values with running counts, then the two order statistics of each q
-    are picked by a range predicate.  Returns (``q``, ``name``) rows."""
-    vc = value_counts_cum(df, col)
-    pos = (vc.agg(F.max("cum_cnt").alias("n"))
-              .select("n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-              .select("q", ((F.col("n") - 1) * F.col("q")).alias("h"))
-              .select("q", "h", F.floor("h").cast("long").alias("lo"), F.ceil("h").cast("long").alias("hi")))
-    # row index (0-based) i is held by value v when cum_cnt - cnt <= i < cum_cnt
-    v = vc.select(F.col(col).cast("double").alias("v"), (F.col("cum_cnt") - F.col("cnt")).alias("a"),
-                  F.col("cum_cnt").alias("b"))
-    lo = (F.broadcast(pos).join(v, (F.col("lo") >= F.col("a")) & (F.col("lo") < F.col("b")))
-          .select("q", "h", "lo", F.col("v").alias("x_lo")))
-    hi = (F.broadcast(pos).join(v, (F.col("hi") >= F.col("a")) & (F.col("hi") < F.col("b")))
-          .select("q", F.col("v").alias("x_hi")))
-    return (lo.join(hi, "q")
-              .select("q", (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo"))).alias(name)))
+    def value(i, q):
+        h, lo, hi = at(F.col("n"), q), F.col(f"v{i}_0").cast("double"), F.col(f"v{i}_1").cast("double")
+        return lo + (h - F.floor(h).cast("long")) * (hi - lo)
+    return _by_q(row, qs, value, name)
 
 
 def quantile_value(df: DataFrame, col: str, q: float, element: bool = False) -> DataFrame:
@@ -166,14 +218,8 @@ def group_positions(df: DataFrame, group: str, order_cols: list, name: str = "po
 def discrete_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile") -> DataFrame:
     """Element quantiles (``percentile_disc``): the value at 0-based ascending
     position ⌈n·q⌉−1 (position 0 for q = 0).  Returns (``q``, ``name``) rows."""
-    vc = value_counts_cum(df, col)
-    pos = (vc.agg(F.max("cum_cnt").alias("n"))
-              .select("n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-              .select("q", F.greatest(F.ceil(F.col("n") * F.col("q")).cast("long") - 1, F.lit(0).cast("long"))
-                      .alias("i")))
-    v = vc.select(F.col(col).alias("v"), (F.col("cum_cnt") - F.col("cnt")).alias("a"), F.col("cum_cnt").alias("b"))
-    return (F.broadcast(pos).join(v, (F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")))
-            .select("q", F.col("v").alias(name)))
+    row = order_statistics(df, col, qs, lambda n, q: [F.greatest(F.ceil(n * F.lit(q)).cast("long") - 1, F.lit(0).cast("long"))])
+    return _by_q(row, qs, lambda i, q: F.col(f"v{i}_0"), name)
 
 
 def edges_array(edges: DataFrame, name: str = "quantile") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlab.functions.arrays import let, top_ids
-from growthlab.functions.ordered import discrete_quantiles, materialize, value_counts_cum
+from growthlab.functions.ordered import discrete_quantiles, materialize, value_at, value_counts_cum
 
 
 def kendall_tau_b(x: Column, y: Column) -> Column:
@@ -123,14 +123,31 @@ def spearman(df: DataFrame, c1: str, c2: str) -> DataFrame:
     return r.agg(F.corr("r_a", "r_b").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
+def first_rows(df: DataFrame, id_col: str, value_col: str, top: int) -> DataFrame:
+    """One row (``limit``, ``last_id``) that describes the first ``top`` rows by ``value_col``
+    descending, ties by the numeric ``id_col``: the rows above ``limit``, and of those equal
+    to it the ids up to ``last_id``.  The n-th value and the cut among its ties are selected by
+    counting, so no task sorts or holds the first rows."""
+    place = df.agg(F.greatest(F.count(value_col) - top, F.lit(0)).alias("place"))
+    limit = value_at(df, value_col, place).withColumnRenamed("value", "limit")
+    above = df.join(F.broadcast(limit)).agg(F.count(F.when(F.col(value_col) > F.col("limit"), 1)).alias("above"))
+    ties = df.join(F.broadcast(limit), F.col(value_col) == F.col("limit"), "left_semi")
+    last = value_at(ties, id_col, above.select((F.lit(top) - F.col("above") - 1).alias("place")))
+    # fewer ties than places: all of them
+    most = ties.agg(F.max(id_col).alias("most"))
+    return limit.join(F.broadcast(most)).join(F.broadcast(last), F.lit(True), "left").select(
+        "limit", F.coalesce("value", "most").alias("last_id"))
+
+
 def topn_jaccard(df: DataFrame, id_col: str, c1: str, c2: str, top: int) -> DataFrame:
     """RK7 ``jaccard``: Jaccard similarity of the first ``top`` ids by ``c1`` and
-    by ``c2`` (descending, nulls as 0, ties by id).  The top-n cut is a
-    ``limit`` feature of the operator (n is its parameter)."""
-    def first(c):
-        return (df.select(id_col, F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("v"))
-                  .orderBy(F.desc("v"), id_col).limit(top).select(id_col))
-    a, b = first(c1), first(c2)
-    inter = a.join(b, id_col).agg(F.count(F.lit(1)).alias("i"))
-    union = a.unionByName(b).distinct().agg(F.count(F.lit(1)).alias("u"))
-    return inter.join(union).select((F.col("i") / F.col("u")).alias("jaccard"), F.lit(top).alias("top"))
+    by ``c2`` (descending, nulls as 0, ties by the numeric, distinct id)."""
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    rows = materialize(df.select(F.col(id_col).alias("id"), zero(c1).alias("a"), zero(c2).alias("b")))
+    held = {}
+    for c in ("a", "b"):
+        cut = first_rows(rows, "id", c, top).select(F.col("limit").alias(f"limit_{c}"), F.col("last_id").alias(f"last_{c}"))
+        rows = rows.join(F.broadcast(cut))
+        held[c] = (F.col(c) > F.col(f"limit_{c}")) | ((F.col(c) == F.col(f"limit_{c}")) & (F.col("id") <= F.col(f"last_{c}")))
+    counts = rows.agg(F.count(F.when(held["a"] & held["b"], 1)).alias("i"), F.count(F.when(held["a"] | held["b"], 1)).alias("u"))
+    return counts.select(F.try_divide(F.col("i"), F.col("u")).alias("jaccard"), F.lit(top).alias("top"))

@@ -3,11 +3,11 @@
 Scoring is a set of closed-form Column expressions (BG/NBD expected purchases
 and P(alive), Gamma-Gamma expected profit, discounted CLV) evaluated on the
 per-customer summary table.  The Gauss hypergeometric series of the expected
-purchases is an ``aggregate`` over a per-row bounded term count.  Fits
-(LV1, LV2) compress customers to distinct (x, t_x, T) / (x, m) rows with
-counts, and evaluate the likelihood at a ladder of step lengths plus the
-numeric gradient at each of them as one Spark aggregate per optimiser step
-(BFGS); only the parameter vector lives on the driver.
+purchases is an ``aggregate`` over a bounded number of terms, near z = 1 an integral
+with a bounded number of nodes.  Fits (LV1, LV2) sum the likelihood and its analytic
+gradient at a few step lengths as one Spark aggregate per optimiser step (BFGS), over
+distinct (x, t_x, T) rows with counts or over sufficient statistics for each x; only the
+parameter vector lives on the driver.
 
 Formulas: Fader, Hardie & Lee (2005) for BG/NBD; Fader & Hardie (2013) for
 Gamma-Gamma; textbook retention CLV m·r/(1+d−r)."""
@@ -17,11 +17,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from growthlab.functions.ordered import exact_quantiles, materialize, value_counts_cum
-from growthlab.functions.special import lgamma
+from growthlab.functions.special import digamma, lgamma
 
 
 @dataclass(frozen=True)
@@ -43,16 +43,23 @@ def _c(x):
     return F.col(x) if isinstance(x, str) else x
 
 
+#: Up to this z the power series is summed; beyond it the integral takes over.
+SERIES_LIMIT = 0.9
+#: Terms of the power series: z^n < 1e-14 at SERIES_LIMIT.
+SERIES_TERMS = 360
+#: Step of the integral's nodes, and the logarithm of what its tails may leave out.
+NODE_STEP, TAIL = 0.25, 36.0
+
+
 def _term_index(z: Column, tol: float = 1e-14) -> Column:
-    """0, 1, ... up to where z^n < tol: a count per row, without a cap (z = 0.999 takes some
-    32,000 terms, z = 0.9999 some 320,000)."""
+    """0, 1, ... up to where z^n < tol, at most SERIES_TERMS."""
     n_terms = F.when(z <= 0, F.lit(1)).otherwise(F.greatest(F.lit(1), (F.ceil(F.log(F.lit(tol)) / F.log(
-        F.greatest(z, F.lit(1e-300)))) + 50).cast("int")))
-    return F.sequence(F.lit(0), n_terms - 1)
+        F.greatest(F.least(z, F.lit(SERIES_LIMIT)), F.lit(1e-300)))) + 50).cast("int")))
+    return F.sequence(F.lit(0), F.least(n_terms, F.lit(SERIES_TERMS)) - 1)
 
 
 def hyp2f1_series(A: float, B: float, Cc: Column, z: Column) -> Column:
-    """Σ_n (A)_n (B)_n / ((C)_n n!) zⁿ for 0 ≤ z < 1, summed until zⁿ < 1e-14."""
+    """Σ_n (A)_n (B)_n / ((C)_n n!) zⁿ for 0 ≤ z ≤ SERIES_LIMIT, summed until zⁿ < 1e-14."""
     idx = _term_index(z)
     init = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
     res = F.aggregate(idx, init, lambda acc, n: F.struct(
@@ -61,6 +68,28 @@ def hyp2f1_series(A: float, B: float, Cc: Column, z: Column) -> Column:
     return res["s"]
 
 
+def purchase_integral(m: BGNBD, tau: Column, x: Column) -> Column:
+    """The same factor as an integral over the dropout probability p ~ Beta(a, b+x):
+
+        1/B(a, b+x) · ∫ p^(a−2) (1−p)^(b+x−1) · [1 − (1 + p·τ)^−(r+x)] dp,   τ = t/(α+T)
+
+    With p = 1/(1+e^−s) the integrand is smooth on the whole line and falls off exponentially
+    on both sides, so the trapezoid rule is exact to rounding; the number of nodes depends on
+    a and b and on ln τ only.  It holds for every a > 0 (a = 1 included) and for z up to 1."""
+    bx, k = F.lit(m.b) + x, F.lit(m.r) + x
+    low = F.greatest(F.lit(-690.0), -F.log1p(tau) - F.log1p(k) - F.lit(TAIL / m.a))
+    high = F.lit(TAIL) / F.least(bx, F.lit(1.0)) + F.lit(1.0)
+    nodes = F.sequence(F.floor(low / NODE_STEP).cast("int"), F.ceil(high / NODE_STEP).cast("int"))
+
+    def at(i):
+        s = i * F.lit(NODE_STEP)
+        log_p, log_q = -F.log1p(F.exp(-s)), -F.log1p(F.exp(s))
+        return F.exp(F.lit(m.a - 1.0) * log_p + bx * log_q) * -F.expm1(-k * F.log1p(F.exp(log_p) * tau))
+    total = F.aggregate(nodes, F.lit(0.0), lambda acc, i: acc + at(i))
+    log_beta = lgamma(F.lit(m.a)) + lgamma(bx) - lgamma(F.lit(m.a) + bx)
+    return total * F.lit(NODE_STEP) * F.exp(-log_beta)
+
+
 def bg_inv_d(m: BGNBD, x, t_x, T) -> Column:
     """1 / D with D = 1 + 1{x>0}·a/(b+x−1)·((α+T)/(α+t_x))^(r+x): P(alive)."""
     x, t_x, T = _c(x).cast("double"), _c(t_x).cast("double"), _c(T).cast("double")
@@ -78,7 +107,8 @@ def purchase_factor(m: BGNBD, t, x, T) -> Column:
     """The part of the expected purchases that does not depend on recency:
     (a+b+x−1)/(a−1) · [1 − (1−z)^(a−1) · 2F1(a+b−1−r, a−1; a+b+x−1; z)],
     z = t/(α+T+t) (Euler-transformed series, stable for large t).  At a = 1 its limit
-    (b+x) · [−ln(1−z) − Σ_{n≥1} (b−r)_n / (b+x)_n · zⁿ/n]."""
+    (b+x) · [−ln(1−z) − Σ_{n≥1} (b−r)_n / (b+x)_n · zⁿ/n].  Beyond SERIES_LIMIT, where the
+    series would need ever more terms, it is ``purchase_integral``."""
     x, T = _c(x).cast("double"), _c(T).cast("double")
     tt = t if isinstance(t, Column) else F.lit(float(t))
     z = tt / (F.lit(m.alpha) + T + tt)
@@ -88,10 +118,11 @@ def purchase_factor(m: BGNBD, t, x, T) -> Column:
         ratio = lambda acc, n: acc["t"] * (F.lit(m.b - m.r) + n) / (cc + n) * z
         res = F.aggregate(_term_index(z), start, lambda acc, n: F.struct(
             ratio(acc, n).alias("t"), (acc["s"] + ratio(acc, n) / (n + 1.0)).alias("s")))
-        return cc * (-F.log(F.lit(1.0) - z) - res["s"])
-    h = hyp2f1_series(m.a + m.b - 1.0 - m.r, m.a - 1.0, cc, z)
-    pre = cc / F.lit(m.a - 1.0)
-    return pre * (F.lit(1.0) - F.pow(F.lit(1.0) - z, F.lit(m.a - 1.0)) * h)
+        series = cc * (-F.log(F.lit(1.0) - z) - res["s"])
+    else:
+        h = hyp2f1_series(m.a + m.b - 1.0 - m.r, m.a - 1.0, cc, z)
+        series = cc / F.lit(m.a - 1.0) * (F.lit(1.0) - F.pow(F.lit(1.0) - z, F.lit(m.a - 1.0)) * h)
+    return F.when(z <= SERIES_LIMIT, series).otherwise(purchase_integral(m, tt / (F.lit(m.alpha) + T), x))
 
 
 def expected_purchases(m: BGNBD, t, x, t_x, T) -> Column:
@@ -381,61 +412,50 @@ def bgnbd_loglik_terms(m: BGNBD) -> Column:
 
 #: Log-parameters are tried within this range.
 LOG_LIMIT = 30.0
+#: Step lengths along a search direction that one job evaluates, and the longest step.
+STEPS = (1.0, 0.3, 0.05)
+LONGEST_STEP = 2.0
 
 
-def _bfgs_batched(f_batch, x0, iters: int = 60, h: float = 1e-5, tol: float = 1e-9):
-    """Quasi-Newton (BFGS) minimisation where every iteration is ONE call of
-    ``f_batch`` (one Spark aggregate): it evaluates a ladder of step lengths
-    along the search direction together with the forward-difference gradient
-    points of each step, so the accepted point's gradient is already known.  Returns the
-    point, its value, and a report: converged, iterations, gradient norm."""
+def _minimise(evaluate, x0, tol: float, iters: int):
+    """Quasi-Newton (BFGS) minimisation.  ``evaluate`` takes a list of points and returns a
+    (value, gradient) for each from one Spark aggregate; every iteration is one such job over
+    ``STEPS``, more only where none of them descends.  It has converged when no entry of the
+    gradient exceeds ``tol``.  Returns the point, its value and a report."""
     import numpy as np
 
-    n = len(x0)
-    alphas = [2.0 ** -k for k in range(-2, 12)]
-
-    def with_grad_points(x):
-        return [list(x)] + [[x[j] + (h if j == i else 0.0) for j in range(n)] for i in range(n)]
-
-    vals = f_batch(with_grad_points(x0))
     x = np.array(x0, dtype=float)
-    fx = vals[0]
-    g = np.array([(vals[1 + i] - fx) / h for i in range(n)])
-    H = np.eye(n)
-    converged, used = False, 0
-    for used in range(1, iters + 1):
-        d = -H.dot(g)
-        if g.dot(d) >= 0:  # not a descent direction: restart from steepest descent
-            H = np.eye(n)
-            d = -g
-        pts = []
-        for a in alphas:
-            pts += with_grad_points((x + a * d).tolist())
-        res = f_batch(pts)
+    (fx, g), = evaluate([x])
+    n, inverse, used = len(x), None, 0
+    while used < iters and np.abs(g).max() >= tol:
+        used += 1
+        d = -g / max(1.0, np.abs(g).max()) if inverse is None else -inverse.dot(g)
+        if g.dot(d) >= 0:  # no descent direction: start again from the steepest one
+            inverse, d = None, -g / max(1.0, np.abs(g).max())
+        d = d * min(1.0, LONGEST_STEP / np.abs(d).max())
         best = None
-        for k, a in enumerate(alphas):
-            fv = res[k * (n + 1)]
-            if fv <= fx + 1e-4 * a * g.dot(d) and (best is None or fv < best[1]):
-                best = (a, fv, k)
-        if best is None:  # no step improves: the optimum, as far as differences can tell
-            converged = bool(np.linalg.norm(g) < 1e-3 * (1.0 + abs(fx)))
-            break
-        a, fnew, k = best
-        xn = x + a * d
-        gn = np.array([(res[k * (n + 1) + 1 + i] - fnew) / h for i in range(n)])
-        s_, y_ = xn - x, gn - g
+        for shrink in (1.0, 0.01, 1e-4):
+            lengths = [shrink * a for a in STEPS]
+            found = evaluate([x + a * d for a in lengths])
+            fits = [(f, i) for i, (a, (f, _)) in enumerate(zip(lengths, found)) if f <= fx + 1e-4 * a * g.dot(d) + 1e-13 * abs(fx)]
+            if fits:
+                fnew, i = min(fits)
+                best = x + lengths[i] * d, fnew, found[i][1]
+                break
+        if best is None:
+            if inverse is None:
+                break
+            inverse = None
+            continue
+        s_, y_ = best[0] - x, best[2] - g
         sy = s_.dot(y_)
-        if sy > 1e-12:
-            rho = 1.0 / sy
-            eye = np.eye(n)
-            H = (eye - rho * np.outer(s_, y_)).dot(H).dot(eye - rho * np.outer(y_, s_)) + rho * np.outer(s_, s_)
-        done = abs(fx - fnew) < tol * (1.0 + abs(fx))
-        x, fx, g = xn, fnew, gn
-        if done or np.linalg.norm(g) < 1e-7:
-            converged = True
-            break
-    edge = bool(np.any(np.abs(x) >= LOG_LIMIT))
-    return x.tolist(), fx, {"converged": converged and not edge, "iterations": used, "gradient": float(np.linalg.norm(g))}
+        if sy > 1e-14:
+            inverse = np.eye(n) * sy / y_.dot(y_) if inverse is None else inverse
+            left = np.eye(n) - np.outer(s_, y_) / sy
+            inverse = left.dot(inverse).dot(left.T) + np.outer(s_, s_) / sy
+        x, fx, g = best
+    ok = np.abs(g).max() < tol and not np.any(np.abs(x) >= LOG_LIMIT)
+    return x.tolist(), fx, {"converged": bool(ok), "iterations": used, "gradient": float(np.abs(g).max())}
 
 
 def _checked(report: dict, into: dict | None, what: str) -> None:
@@ -447,45 +467,70 @@ def _checked(report: dict, into: dict | None, what: str) -> None:
         raise RuntimeError(f"the {what} fit did not converge: {report}")
 
 
-def _batch_nll(comp: DataFrame, terms, make, names: list[str], penalizer: float):
-    """f_batch over compressed rows: mean negative log-likelihood (+ ridge
-    penalty on the parameters) of many parameter vectors in one job.  The
-    parameter vectors are a small broadcast table (one row each, at most a few
-    dozen), so the likelihood expression is compiled once and grouped by vector."""
-    spark = comp.sparkSession
-
-    def f_batch(lps):
-        # exp must stay representable; a fit that ends at this edge counts as not converged
-        lps = [[min(max(v, -LOG_LIMIT), LOG_LIMIT) for v in lp] for lp in lps]
-        rows = [(i, *[float(math.exp(v)) for v in lp]) for i, lp in enumerate(lps)]
-        pt = spark.createDataFrame(rows, "pid int, " + ", ".join(f"{n} double" for n in names))
-        m = make(*[F.col(n) for n in names])
-        ll = (comp.join(F.broadcast(pt)).groupBy("pid")
-                  .agg((F.sum(terms(m) * F.col("w")) / F.sum("w")).alias("ll")).collect())
-        got = {r["pid"]: r["ll"] for r in ll}
+def _evaluator(sums, names: list[str], lows: list[float], penalizer: float):
+    """``evaluate`` for ``_minimise``: the mean negative log-likelihood (+ ridge penalty on the
+    fitted parameters, each exp(log-parameter)) and its gradient by the log-parameters.
+    ``sums`` maps a small table (pid, a column a parameter, each its ``low`` + exp) to a row
+    for each pid with the sums ``ll``, ``d_<name>`` and ``w``."""
+    import numpy as np
+
+    def evaluate(points):
+        points = [np.clip(p, -LOG_LIMIT, LOG_LIMIT) for p in points]
+        rows = [(i, *[float(low + math.exp(v)) for low, v in zip(lows, p)]) for i, p in enumerate(points)]
+        got = {r["pid"]: r for r in sums(rows).collect()}
         out = []
-        for i, lp in enumerate(lps):
-            v = got.get(i)
-            bad = v is None or math.isnan(v) or math.isinf(v)
-            out.append(1e100 if bad else -v + penalizer * sum(math.exp(t) ** 2 for t in lp))
+        for i, p in enumerate(points):
+            r, e = got.get(i), np.exp(p)
+            values = [r["ll"], *[r[f"d_{c}"] for c in names]] if r else [None]
+            if any(v is None or not math.isfinite(v) for v in values):
+                out.append((1e100, np.zeros(len(p))))
+            else:
+                grad = -np.array(values[1:]) / r["w"] * e + 2 * penalizer * e * e
+                out.append((-values[0] / r["w"] + penalizer * float((e * e).sum()), grad))
         return out
-    return f_batch
+    return evaluate
+
+
+def bgnbd_gradient_terms(m: BGNBD) -> dict[str, Column]:
+    """Per-row derivatives of ``bgnbd_loglik_terms`` by r, alpha, a and b."""
+    x, tx, T = F.col("x").cast("double"), F.col("t_x").cast("double"), F.col("T").cast("double")
+    r, al, a, b = (v if isinstance(v, Column) else F.lit(v) for v in (m.r, m.alpha, m.a, m.b))
+    # the share of the customer's likelihood in which they have dropped out
+    odds = F.log(a) - F.log(b + x - 1.0) + (r + x) * (F.log(al + T) - F.log(al + tx))
+    gone = F.when(x > 0, F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).otherwise(0.0)
+    both = digamma(a + b) - digamma(a + b + x)
+    return {"r": digamma(r + x) - digamma(r) + F.log(al) - (F.lit(1.0) - gone) * F.log(al + T) - gone * F.log(al + tx),
+            "alpha": r / al - (r + x) * ((F.lit(1.0) - gone) / (al + T) + gone / (al + tx)),
+            "a": both + gone / a,
+            "b": both + digamma(b + x) - digamma(b) - F.when(x > 0, gone / (b + x - 1.0)).otherwise(0.0)}
 
 
 def fit_bgnbd(summary: DataFrame, x="frequency_cal", t_x="recency_cal", T="T_cal", penalizer: float = 0.0,
-              iters: int = 60, report: dict | None = None) -> BGNBD:
+              iters: int = 200, tol: float = 1e-6, report: dict | None = None) -> BGNBD:
     """LV1: maximum likelihood (optionally ridge-penalised on the parameters) of
-    BG/NBD.  ``report`` receives converged, iterations and gradient; without it a fit
-    that does not converge raises.  Customers are compressed to distinct (x, t_x, T) with counts and
-    checkpointed; each likelihood evaluation is one aggregate over them."""
-    comp = (summary.groupBy(F.col(x).alias("x"), F.col(t_x).alias("t_x"), F.col(T).alias("T"))
-                   .agg(F.count(F.lit(1)).alias("w")))
-    comp = materialize(comp)
-
-    best, _, found = _bfgs_batched(_batch_nll(comp, bgnbd_loglik_terms, BGNBD, ["r", "alpha", "a", "b"], penalizer),
-                                   [0.0, 0.0, 0.0, 0.0], iters)
+    BG/NBD, until no entry of the gradient by the log-parameters exceeds ``tol``.  ``report``
+    receives converged, iterations and gradient; without it a fit that does not converge
+    raises.  Customers are compressed to distinct (x, t_x, T) with counts and checkpointed;
+    every optimiser step is one aggregate over them.  Times are fitted in tenths of the
+    longest age, so that the penalty does not depend on their unit; alpha comes back in days."""
+    comp = materialize(summary.groupBy(F.col(x).alias("x"), F.col(t_x).alias("t_x"), F.col(T).alias("T"))
+                       .agg(F.count(F.lit(1)).alias("w")))
+    names = ["r", "alpha", "a", "b"]
+    m = BGNBD(*[F.col(n) for n in names])
+    age, oldest = comp.agg(F.sum(F.col("T") * F.col("w")) / F.sum("w"), F.max("T")).first()
+    unit = float(oldest or 1.0) / 10.0 or 1.0
+    scaled = comp.select("x", (F.col("t_x") / F.lit(unit)).alias("t_x"), (F.col("T") / F.lit(unit)).alias("T"), "w")
+
+    def sums(rows):
+        points = F.broadcast(comp.sparkSession.createDataFrame(rows, "pid int, " + ", ".join(f"{n} double" for n in names)))
+        terms = scaled.join(points).select("pid", "w", bgnbd_loglik_terms(m).alias("ll"), *[c.alias(f"d_{n}") for n, c in bgnbd_gradient_terms(m).items()])
+        return terms.groupBy("pid").agg(F.sum("w").alias("w"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("ll", *(f"d_{n}" for n in names))])
+
+    start = [0.0, math.log(max(float(age or 1.0) / unit, 1e-3)), 0.0, 0.0]
+    best, _, found = _minimise(_evaluator(sums, names, [0.0] * 4, penalizer), start, tol, iters)
     _checked(found, report, "BG/NBD")
-    return BGNBD(*[math.exp(v) for v in best])
+    r, alpha, a, b = (math.exp(v) for v in best)
+    return BGNBD(r, alpha * unit, a, b)
 
 
 def gg_loglik_terms(g: GammaGamma) -> Column:
@@ -496,20 +541,40 @@ def gg_loglik_terms(g: GammaGamma) -> Column:
 
 
 def fit_gamma_gamma(summary: DataFrame, x="frequency_cal", money="monetary_value", penalizer: float = 0.0,
-                    iters: int = 60, finite_mean: bool = False, report: dict | None = None) -> GammaGamma:
+                    iters: int = 200, finite_mean: bool = False, tol: float = 1e-6, report: dict | None = None) -> GammaGamma:
     """LV2: Gamma-Gamma fit on customers with x > 0 and money > 0.  ``finite_mean`` keeps
-    q above 1, without which the expected profit of a new customer is infinite."""
-    low = 1.0 if finite_mean else 0.0
-    comp = (summary.where((F.col(x) > 0) & (F.col(money) > 0))
-                   .groupBy(F.col(x).alias("x"), F.col(money).alias("m")).agg(F.count(F.lit(1)).alias("w"))
-                   )
-    comp = materialize(comp)
+    q above 1, without which the expected profit of a new customer is infinite.
 
-    make = lambda p, q, v: GammaGamma(p, q + F.lit(low), v)
-    best, _, found = _bfgs_batched(_batch_nll(comp, gg_loglik_terms, make, ["p", "q", "v"], penalizer), [0.0, 0.0, 0.0], iters)
+    All but one term of the likelihood depends on a customer by x and Σ ln m alone.  So a step
+    sums ln(v + x·m) and 1/(v + x·m) over the customers of each x, beside their number and
+    Σ ln m, and evaluates the gamma functions once for each x.  Money is fitted in units of its
+    mean, where the search starts, so that the penalty does not depend on the currency; v
+    comes back in money."""
+    low = 1.0 if finite_mean else 0.0
+    paid = materialize(summary.where((F.col(x) > 0) & (F.col(money) > 0)).select(F.col(x).cast("double").alias("x"), F.col(money).cast("double").alias("m")))
+    mean = float(paid.agg(F.avg("m")).first()[0] or 1.0)
+    rows_of = paid.select("x", (F.col("m") / F.lit(mean)).alias("m"))
+    names = ["p", "q", "v"]
+    p, q, v, own = F.col("p"), F.col("q"), F.col("v"), F.col("x")
+
+    def sums(rows):
+        points = F.broadcast(rows_of.sparkSession.createDataFrame(rows, "pid int, p double, q double, v double"))
+        inner = v + own * F.col("m")
+        stats = rows_of.join(points).groupBy("pid", *names, "x").agg(
+            F.count(F.lit(1)).alias("w"), F.sum(F.log("m")).alias("lm"), F.sum(F.log(inner)).alias("li"), F.sum(F.lit(1.0) / inner).alias("ri"))
+        w, lm, li = F.col("w"), F.col("lm"), F.col("li")
+        ll = w * (lgamma(p * own + q) - lgamma(p * own) - lgamma(q) + q * F.log(v) + p * own * F.log(own)) + (p * own - 1.0) * lm - (p * own + q) * li
+        d_p = own * (w * (digamma(p * own + q) - digamma(p * own) + F.log(own)) + lm - li)
+        d_q = w * (digamma(p * own + q) - digamma(q) + F.log(v)) - li
+        d_v = w * q / v - (p * own + q) * F.col("ri")
+        terms = stats.select("pid", "w", ll.alias("ll"), d_p.alias("d_p"), d_q.alias("d_q"), d_v.alias("d_v"))
+        return terms.groupBy("pid").agg(*[F.sum(c).alias(c) for c in ("w", "ll", "d_p", "d_q", "d_v")])
+
+    start = [math.log(2.0), math.log(3.0 - low), 0.0]  # p·v/(q−1) is the mean
+    best, _, found = _minimise(_evaluator(sums, names, [0.0, low, 0.0], penalizer), start, tol, iters)
     _checked(found, report, "Gamma-Gamma")
-    p, q, v = (math.exp(x) for x in best)
-    return GammaGamma(p, q + low, v)
+    p_, q_, v_ = (math.exp(t) for t in best)
+    return GammaGamma(p_, low + q_, v_ * mean)
 
 
 def log_likelihood(summary: DataFrame, terms: Column, x="frequency_cal", t_x="recency_cal", T="T_cal",
@@ -542,15 +607,19 @@ def load_params(spark, path: str) -> tuple[BGNBD, GammaGamma | None]:
 def alive_history(txn: DataFrame, customers: DataFrame, first_day, last_day, m: BGNBD) -> DataFrame:
     """LV11: P(alive) of the given customers on every day of [first_day, last_day],
     each day scored on the summary as of that day (purchase days up to it).
-    Purchase days are distinct per customer, so the day grid join is bounded by
-    days × grid length even for a customer with very many rows."""
+
+    The summary changes on purchase days only: each of them, with its number and the first
+    one, holds until the day before the next, and is exploded over its own days of the grid.
+    So a customer gives one row a day, however many purchase days there are."""
+    first, last = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
     days = (txn.join(customers.select("customer_id").distinct(), "customer_id", "left_semi")
-               .where(F.col("dt") <= F.lit(last_day).cast("date")).select("customer_id", "dt").distinct())
-    grid = customers.select("customer_id").distinct().select(
-        "customer_id", F.explode(F.sequence(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))).alias("day"))
-    j = grid.join(days, "customer_id").where(F.col("dt") <= F.col("day"))
-    s = j.groupBy("customer_id", "day").agg((F.count(F.lit(1)) - 1).alias("frequency"),
-                                            F.datediff(F.max("dt"), F.min("dt")).alias("recency"),
-                                            F.datediff(F.col("day"), F.min("dt")).alias("T"))
+               .where(F.col("dt") <= last).select("customer_id", "dt").distinct())
+    w = Window.partitionBy("customer_id").orderBy("dt")
+    held = days.select("customer_id", "dt", F.min("dt").over(w).alias("since"), (F.row_number().over(w) - 1).cast("long").alias("frequency"),
+                       F.coalesce(F.date_sub(F.lead("dt").over(w), 1), last).alias("until"))
+    held = held.where(F.col("until") >= first)
+    s = held.select("customer_id", F.explode(F.sequence(F.greatest(F.col("dt"), first), F.col("until"))).alias("day"), "frequency",
+                    F.datediff("dt", "since").alias("recency"), "since")
+    s = s.withColumn("T", F.datediff("day", "since"))
     return s.select("customer_id", "day", "frequency", "recency", "T",
                     probability_alive(m, "frequency", "recency", "T").alias("p_alive"))

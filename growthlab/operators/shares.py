@@ -17,11 +17,6 @@ def share_of_total(df: DataFrame, col: str, out: str = "p", by: list[str] | None
     return j.withColumn(out, F.try_divide(F.col(col).cast("double"), F.col("__tot").cast("double"))).drop("__tot")
 
 
-def entropy_expr(p: Column) -> Column:
-    """−p·ln p with 0·ln 0 = 0 (natural log)."""
-    return F.when(p > 0, -p * F.log(p)).otherwise(F.lit(0.0))
-
-
 def entropy(df: DataFrame, weight_col: str, by: list[str] | None = None) -> DataFrame:
     """Shannon entropy of the distribution given by non-negative weights
     (normalised first, as ``scipy.stats.entropy``).  One pass:

@@ -9,11 +9,13 @@ in the first step.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthlab.functions.columns import hash_sample, mean_units, money_units, units_to_money
-from growthlab.functions.ordered import exact_quantiles, global_cumsum, quantile_value, value_counts_cum
+from growthlab.functions.ordered import exact_quantiles, materialize, quantile_value, value_counts_cum
 
 
 def _window(df: DataFrame, start, end, category=None, date_col="dt", cat_col="category_id") -> DataFrame:
@@ -105,6 +107,40 @@ def value_quantiles(df: DataFrame, col: str, qs=(0.25, 0.5, 0.75, 0.85, 0.95, 0.
     return exact_quantiles(df, col, list(qs), "value")
 
 
+def value_sketches(df: DataFrame, keys: list[str], col: str, error: float = 0.01) -> DataFrame:
+    """A mergeable quantile sketch (KLL) of ``col`` per key, column ``sketch``: a few kilobytes
+    whatever the number of rows.  ``error`` bounds the rank error, as a share of the rows; the
+    sketch's size is chosen for a quarter of it, so that even the worst of very many
+    quantiles stays within."""
+    k = min(65535, max(200, math.ceil((2.296 / (error / 4)) ** (1 / 0.9021))))  # published error of size k: 2.296 / k^0.9021
+    return df.where(F.col(col).isNotNull()).groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(col).cast("double"), k).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of finer keys united to coarser ones; the rows themselves are not needed."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, keys: list[str], qs) -> DataFrame:
+    """(keys, q, value) rows of the sketches."""
+    each = F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias("value")) for q in qs]))
+    return sketches.select(*keys, each.alias("s")).select(*keys, "s.q", "s.value")
+
+
+def sketch_quantile_errors(df: DataFrame, key: str, part: str, col: str, qs, error: float) -> DataFrame:
+    """(key, q, n, within): quantiles from sketches per (key, part) merged per key, checked
+    against the exact ranks of the found values in one more pass: within means that the
+    ranks the value holds come within ``error`` of q."""
+    found = sketch_quantiles(merge_sketches(value_sketches(df, [key, part], col, error), [key]), [key], qs)
+    wide = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("q", "value"))).alias("at"))  # a row per key
+    v = F.col(col)
+    at = lambda q: F.col("at")[F.lit(float(q))]
+    ranks = [F.struct(F.lit(float(q)).alias("q"), F.count(F.when(v < at(q), 1)).alias("below"), F.count(F.when(v <= at(q), 1)).alias("upto")) for q in qs]
+    counted = df.where(v.isNotNull()).select(key, col).join(wide, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array(*ranks).alias("r"))
+    within = (F.col("s.below") / F.col("n") <= F.col("s.q") + error) & (F.col("s.upto") / F.col("n") >= F.col("s.q") - error)
+    return counted.select(key, "n", F.explode("r").alias("s")).select(key, "s.q", "n", within.alias("within"))
+
+
 def train_test_summary(sales: DataFrame, train, test, category=None, sample_ratio=1.0) -> DataFrame:
     """CS3: summaries of a train and a test window; with ``sample_ratio`` < 1 a
     deterministic hash sample of the train customers, and the test summary
@@ -118,27 +154,49 @@ def train_test_summary(sales: DataFrame, train, test, category=None, sample_rati
               .unionByName(te.withColumn("part", F.lit("test"))))
 
 
+def two_window_summary(sales: DataFrame, cal, hold, category=None) -> DataFrame:
+    """CS1 of a calibration and a hold-out window in one pass over the sales: per customer
+    ``frequency``, ``recency``, ``T``, ``monetary_value``, ``total_value`` of the first and
+    ``frequency_holdout``, ``money_holdout``, ``total_holdout`` of the second; the columns of
+    a window without a purchase are null."""
+    day = lambda d: F.lit(d).cast("date")
+    within = lambda w: F.col("dt").between(day(w[0]), day(w[1]))
+    s = sales.where(within(cal) | within(hold))
+    s = s if category is None else s.where(F.col("category_id") == F.lit(category))
+    daily = s.groupBy("customer_id", "dt").agg(F.sum(money_units(F.col("selling_price"))).alias("v"), F.count(F.lit(1)).alias("n"))
+    of = lambda w, c: F.when(within(w), F.col(c))
+    aggs = [f.alias(name + part) for w, part in ((cal, "_c"), (hold, "_h"))
+            for f, name in ((F.count(of(w, "dt")), "days"), (F.sum(of(w, "v")), "v"), (F.sum(of(w, "n")), "n"))]
+    a = daily.groupBy("customer_id").agg(*aggs, F.min(of(cal, "dt")).alias("first"), F.max(of(cal, "dt")).alias("last"))
+    bought = lambda part, c: F.when(F.col("days" + part) > 0, c)
+    return a.select(
+        "customer_id", bought("_c", F.col("days_c") - 1).alias("frequency"), F.datediff("last", "first").alias("recency"),
+        F.datediff(day(cal[1]), F.col("first")).alias("T"), bought("_c", mean_units("v_c", "n_c")).alias("monetary_value"),
+        bought("_c", units_to_money("v_c")).alias("total_value"), bought("_h", F.col("days_h") - 1).alias("frequency_holdout"),
+        bought("_h", mean_units("v_h", "n_h")).alias("money_holdout"), bought("_h", units_to_money("v_h")).alias("total_holdout"))
+
+
 def pre_post_table(sales: DataFrame, cal, hold, category=None, q: float = 0.99,
                    weeks: bool = False) -> DataFrame:
     """CS8: calibration and hold-out summaries, each trimmed at the q-quantile of
     ``frequency``, renamed, left-joined on the customer, nulls → 0, plus
-    ``duration_holdout`` (days, or weeks)."""
-    pre = quantile_trim(customer_summary(sales, cal[0], cal[1], category), "frequency", q)
-    post = quantile_trim(customer_summary(sales, hold[0], hold[1], category), "frequency", q)
-    pre = pre.select(F.col("customer_id").alias("id"), F.col("frequency").alias("frequency_cal"),
-                     F.col("recency").alias("recency_cal"), F.col("T").alias("T_cal"),
-                     "monetary_value", "total_value")
-    post = post.select(F.col("customer_id").alias("id"), F.col("frequency").alias("frequency_holdout"),
-                       F.col("monetary_value").alias("money_holdout"),
-                       F.col("total_value").alias("total_holdout"))
+    ``duration_holdout`` (days, or weeks).
+
+    Both windows come from one conditional aggregate, written once (``materialize``), so the
+    sales are read once; the two thresholds are narrow passes over it, and no join of the
+    windows is needed."""
+    both = materialize(two_window_summary(sales, cal, hold, category))
+    limits = quantile_value(both, "frequency", q).withColumnRenamed("qv", "q_cal").join(
+        F.broadcast(quantile_value(both, "frequency_holdout", q).withColumnRenamed("qv", "q_hold")), F.lit(True), "left")
+    kept = both.join(F.broadcast(limits), F.col("frequency") < F.col("q_cal"))
+    stays = F.col("frequency_holdout") < F.col("q_hold")
+    post = lambda c, zero: F.coalesce(F.when(stays, F.col(c)), zero).alias(c)
     days = F.datediff(F.lit(hold[1]).cast("date"), F.lit(cal[1]).cast("date")).cast("double")
     dur = days / 7.0 if weeks else days
-    return (pre.join(post, "id", "left")
-               .select("id", "frequency_cal", "recency_cal", "T_cal", "monetary_value", "total_value",
-                       F.coalesce("frequency_holdout", F.lit(0).cast("long")).alias("frequency_holdout"),
-                       F.coalesce("money_holdout", F.lit(0.0)).alias("money_holdout"),
-                       F.coalesce("total_holdout", F.lit(0.0)).alias("total_holdout"),
-                       dur.alias("duration_holdout")))
+    return kept.select(
+        F.col("customer_id").alias("id"), F.col("frequency").alias("frequency_cal"), F.col("recency").alias("recency_cal"),
+        F.col("T").alias("T_cal"), "monetary_value", "total_value", post("frequency_holdout", F.lit(0).cast("long")),
+        post("money_holdout", F.lit(0.0)), post("total_holdout", F.lit(0.0)), dur.alias("duration_holdout"))
 
 
 def example_histories(sales: DataFrame, start, end, category, frequencies=(2, 10)) -> DataFrame:
@@ -208,10 +266,3 @@ def avg_pct_rank(df: DataFrame, col: str, ascending: bool = True, id_col="custom
     r = vc.join(F.broadcast(n)).select(
         col, ((F.col("cum_cnt") - F.col("cnt") + (F.col("cnt") + 1) / 2.0) / F.col("n")).alias("pct_rank"))
     return df.select(id_col, col).join(r, col, "left")
-
-
-def cumulative_share(df: DataFrame, order_cols: list, value_col: str) -> DataFrame:
-    """WN7: running sum of ``value_col`` over a total order / grand total."""
-    c = global_cumsum(df, order_cols, [value_col])
-    tot = df.agg(F.sum(value_col).alias("__tot"))
-    return c.join(F.broadcast(tot)).withColumn("cum_share", F.col("cum_" + value_col) / F.col("__tot")).drop("__tot")

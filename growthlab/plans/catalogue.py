@@ -31,7 +31,7 @@ def query(name: str):
     return deco
 
 
-MODULES = ["q_summaries", "q_rfm", "q_ctr", "q_ranking", "q_diversity", "q_clv"]
+MODULES = ["q_summaries", "q_rfm", "q_ctr", "q_ranking", "q_diversity", "q_clv", "q_sources"]
 
 
 def _load_all():

@@ -63,7 +63,21 @@ def _gini(col):
 
 V = ["sales"]
 
+# three periods of each unit's length
+UNIT_CTES = [(n, "SELECT u, i, CAST(f * i AS DOUBLE) AS t FROM (SELECT UNNEST(['w', 'm', 'h']) AS u, UNNEST([4.345, 1.0, 720.0]::DOUBLE[]) AS f) a, (SELECT UNNEST([1, 2, 3]) AS i) b" if n == "ts" else q)
+             for n, q in SCORE_CTES if n in ("cs_cal", "cs_hold", "pre", "post", "pre_post", "sc0", "sc1", "ts", "terms")]
+UNIT_CTES += [
+    ("zz", f"SELECT id, t, u, i, invd, t / ({L(al)} + TT + t) AS z, {L(a + b - 1.0)} + x AS C FROM sc1, ts"),
+    ("ser", dict(SCORE_CTES)["ser"].replace("SELECT id, t,", "SELECT id, t, u, i,").replace("GROUP BY id, t,", "GROUP BY id, t, u, i,")),
+    ("ev", f"SELECT id, u, i, C / {L(a - 1.0)} * (1.0 - pow(1.0 - z, {L(a - 1.0)}) * S) * invd AS E FROM ser"),
+    ("de", "SELECT id, u, i, E - LAG(E, 1, 0.0) OVER (PARTITION BY id, u ORDER BY i) AS d FROM ev"),
+    ("per", "SELECT de.id, u, SUM(avenue * d / pow(1.1, i)) AS v FROM de JOIN sc1 ON de.id = sc1.id GROUP BY de.id, u"),
+]
+
 ORACLE = {
+    "clv_units": with_views(["sales"], """
+        SELECT id, round(MAX(CASE WHEN u = 'w' THEN v END), 4) AS clv_w, round(MAX(CASE WHEN u = 'm' THEN v END), 4) AS clv_m,
+               round(MAX(CASE WHEN u = 'h' THEN v END), 4) AS clv_h FROM per GROUP BY id""", UNIT_CTES),
     "expected_purchases": with_views(V, "SELECT id, round(predicted_purchases, 4) AS predicted_purchases FROM scored",
                                      SCORE_CTES),
     "probability_alive": with_views(V, "SELECT id, round(palive, 4) AS palive FROM scored", SCORE_CTES),

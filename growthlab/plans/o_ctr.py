@@ -117,6 +117,10 @@ ORACLE = {
     "ab_event_base": with_views(V_BASE + ["experiment"], """
         SELECT cma_id, customer_id, banner_id, dt, impressions, banner_clicks, icon_clicks, sales, round(gmv, 4) AS gmv,
                experiment_group_name, category_name FROM ab""", AB_CTES),
+    "ab_affected_base": with_views(V_BASE + ["experiment"], """
+        SELECT cma_id, customer_id, banner_id, dt, impressions, banner_clicks, icon_clicks, sales, round(gmv, 4) AS gmv,
+               experiment_group_name, category_name FROM ab
+        WHERE customer_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""", AB_CTES),
     "ab_category_metrics": with_views(V_BASE + ["experiment"], """
         SELECT category_name, cma_id, dt, experiment_group_name, impressions_total, clicks_total, category_sales_total,
                round(category_gmv_total, 6) AS category_gmv_total, round(ctr, 6) AS ctr, round(cvr, 6) AS cvr,

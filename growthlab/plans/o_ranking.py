@@ -39,7 +39,7 @@ LIST_CTES = COMMON + [
                   FROM tk6 t JOIN lab l ON t.customer_id = l.customer_id AND t.cma_id = l.cma_id
                   WHERE t.customer_id IN (SELECT customer_id FROM cust)"""),
     ("ks", "SELECT UNNEST([1, 2, 3, 4]) AS k"),
-    ("idx", "SELECT UNNEST(range(1, 200)) AS j"),
+    ("idx", "SELECT UNNEST(range(1, (SELECT CAST(MAX(GREATEST(np, nl)) + 1 AS BIGINT) FROM cust))) AS j"),
     ("per", """SELECT c.customer_id, k, np, nl, LEAST(GREATEST(np, nl), k) AS n FROM cust c, ks"""),
     ("prec", """SELECT per.customer_id, k,
                   (SELECT COUNT(*) FROM hitpos h WHERE h.customer_id = per.customer_id AND h.pos <= k)
@@ -62,13 +62,13 @@ PU_CTES = COMMON + [
     ("pu", """SELECT l.customer_id, k, l.relevant_cat_cnt,
                 CAST((SELECT COUNT(*) FROM tk6 t JOIN labr x ON t.customer_id = x.customer_id AND t.cma_id = x.cma_id
                       WHERE t.customer_id = l.customer_id AND t.pos <= k) AS INTEGER) AS cnt_pred_lab_k,
-                (SELECT COUNT(*) FROM tk6 t WHERE t.customer_id = l.customer_id) AS np
+                (SELECT COUNT(*) - COUNT(DISTINCT t.cma_id) FROM tk6 t WHERE t.customer_id = l.customer_id) AS n_dup
               FROM labn l, (SELECT UNNEST([1, 2, 3, 4, 5, 6]) AS k) ks"""),
     ("pu2", """SELECT *, cnt_pred_lab_k / CAST(k AS DOUBLE) AS perc_pred_lab_k,
                  CASE WHEN relevant_cat_cnt > 0 THEN cnt_pred_lab_k / CAST(relevant_cat_cnt AS DOUBLE) ELSE 1.0 END
                    AS recall_pred_lab_k FROM pu"""),
     ("prk", """SELECT k, AVG(perc_pred_lab_k) AS precision_at_k, AVG(recall_pred_lab_k) AS recall_at_k,
-                 CAST(0 AS BIGINT) AS dup_pred_category_at_k, CAST(SUM(relevant_cat_cnt) AS BIGINT) AS num_label_at_k
+                 CAST(SUM(n_dup) AS BIGINT) AS dup_pred_category_at_k, CAST(SUM(relevant_cat_cnt) AS BIGINT) AS num_label_at_k
                FROM pu2 GROUP BY k"""),
 ]
 
@@ -126,6 +126,11 @@ ORACLE = {
     "sales_label_set": with_views(["actual"], """
         SELECT customer_id, string_agg(DISTINCT cma_id, ',' ORDER BY cma_id) AS labels,
                CAST(COUNT(DISTINCT cma_id) AS INTEGER) AS relevant_cat_cnt FROM actual GROUP BY customer_id"""),
+    "restricted_label_set": with_views(["actual"], """
+        SELECT customer_id, string_agg(DISTINCT cma_id, ',' ORDER BY cma_id) AS labels,
+               CAST(COUNT(DISTINCT cma_id) AS INTEGER) AS relevant_cat_cnt FROM actual
+        WHERE customer_id % 7 <> 0 AND CAST(cma_id AS INTEGER) <= 8
+          AND cma_id IN (SELECT CAST(n_nationkey + 1 AS VARCHAR) FROM nation) GROUP BY customer_id"""),
     "precision_recall_per_user_k": with_views(V, """
         SELECT customer_id, k, cnt_pred_lab_k, round(perc_pred_lab_k, 6) AS perc_pred_lab_k,
                round(recall_pred_lab_k, 6) AS recall_pred_lab_k FROM pu2""", PU_CTES),

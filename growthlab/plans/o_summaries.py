@@ -47,6 +47,13 @@ def pre_post_ctes():
 
 ORACLE = {
     "customer_summary": with_views(["sales"], f"SELECT {CS_COLS} FROM cs", [("cs", cs_sql(*CAL))]),
+    "customer_summary_whole_prices": with_views(["sales"], f"SELECT {CS_COLS} FROM cs", [
+        ("whole", "SELECT customer_id, category_id, dt, trunc(selling_price) AS selling_price FROM sales"),
+        ("cs", cs_sql(*CAL).replace("FROM sales", "FROM whole"))]),
+    "pre_post_weeks": with_views(["sales"], "SELECT id, frequency_cal, round(579 / 7.0, 4) AS duration_holdout FROM pre_post", pre_post_ctes()),
+    "sketch_quantiles": with_views(["sales"], """
+        SELECT category_id, q, n, true AS within FROM (SELECT category_id, COUNT(selling_price) AS n FROM sales GROUP BY category_id) t,
+               (SELECT UNNEST([0.1, 0.25, 0.5, 0.75, 0.9, 0.99]::DOUBLE[]) AS q) qs"""),
     "customer_category_summary": with_views(
         ["sales"],
         "SELECT customer_id, category_id, frequency, recency, round(monetary_value, 4) AS monetary_value, T FROM cs",

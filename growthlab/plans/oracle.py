@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["o_summaries", "o_rfm", "o_ctr", "o_ranking", "o_diversity", "o_clv"]
+MODULES = ["o_summaries", "o_rfm", "o_ctr", "o_ranking", "o_diversity", "o_clv", "o_fits", "o_sources"]
 
 
 def all_oracle() -> dict[str, str]:

@@ -198,12 +198,21 @@ def gamma_gamma_loglik(spark, sf):
 
 @query("fitted_parameters")
 def fitted_parameters(spark, sf):
-    """LV1, LV2 and LV13: both models fitted, written and read back."""
+    """LV1, LV2 and LV13: both models fitted, written, read back; logarithms of the parameters."""
     from growthlab.session import scratch_path
     pp = materialize(pre_post(spark, sf))
     path = scratch_path(spark, "params")
-    L.save_params(spark, path, L.fit_bgnbd(pp, penalizer=0.001, report={}), L.fit_gamma_gamma(pp, penalizer=0.001, finite_mean=True, report={}))
-    return L.params_frame(spark, *L.load_params(spark, path))
+    L.save_params(spark, path, L.fit_bgnbd(pp, penalizer=0.001, tol=1e-8), L.fit_gamma_gamma(pp, penalizer=0.001, finite_mean=True, tol=1e-8))
+    fitted = L.params_frame(spark, *L.load_params(spark, path))
+    return fitted.select(*[F.round(F.log(c), 4).alias(f"log_{c}") for c in fitted.columns])
+
+
+@query("clv_units")
+def clv_units(spark, sf):
+    """LV6 over three periods of a week, a month and an hour-counted month."""
+    pp = pre_post(spark, sf)
+    args = ("frequency_cal", "recency_cal", "T_cal", "monetary_value")
+    return round_doubles(pp.select("id", *[L.clv(BG, GG, *args, time=3, discount=P.CLV_DISCOUNT, freq=f).alias(f"clv_{f.lower()}") for f in "WMH"]))
 
 
 @query("ml_features")

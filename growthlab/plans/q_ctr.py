@@ -7,10 +7,12 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from growthlab.functions.columns import round_doubles
+from growthlab.functions.ordered import materialize
 from growthlab.operators import ctr as C
 from growthlab.plans import params as P
 from growthlab.plans.catalogue import query
 from growthlab.sources import fixtures as X
+from growthlab.sources import io as IO
 from growthlab.sources.io import latest_snapshot
 
 
@@ -71,35 +73,45 @@ def factor_deciles(spark, sf):
     return round_doubles(C.factor_deciles(f), 6)
 
 
-def ab_base(spark, sf):
-    be = X.banner_events(spark, sf)
-    return C.ab_event_base(be, X.experiment(spark, sf), X.category_map(spark, sf))
+def ab_inputs(spark, sf, affected=None):
+    """The banner aggregate, written once, and the A/B base on it (the experiment and the
+    valid categories are read off the same rows)."""
+    be = materialize(X.banner_events(spark, sf))
+    return be, C.ab_event_base(be, X.experiment(spark, sf, events=be), X.category_map(spark, sf), affected)
 
 
-def valid_categories(spark, sf):
+def valid_categories(be):
     """Categories with a sale on the day."""
-    return X.banner_events(spark, sf).where(F.col("sales") > 0).select("dt", "cma_id").distinct()
+    return be.where(F.col("sales") > 0).select("dt", "cma_id").distinct()
 
 
 @query("ab_event_base")
 def ab_event_base(spark, sf):
-    return round_doubles(ab_base(spark, sf))
+    return round_doubles(ab_inputs(spark, sf)[1])
+
+
+@query("ab_affected_base")
+def ab_affected_base(spark, sf):
+    """AB1 for affected customers only: those with an urgent order."""
+    orders = IO.table(spark, sf, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+    return round_doubles(ab_inputs(spark, sf, orders.select(F.col("o_custkey").alias("customer_id")))[1])
 
 
 @query("ab_category_metrics")
 def ab_category_metrics(spark, sf):
-    return round_doubles(C.ab_category_metrics(ab_base(spark, sf)), 6)
+    return round_doubles(C.ab_category_metrics(ab_inputs(spark, sf)[1]), 6)
 
 
 @query("ab_comparison")
 def ab_comparison(spark, sf):
-    m = C.ab_category_metrics(ab_base(spark, sf))
-    return round_doubles(C.ab_comparison(m, valid_categories(spark, sf)), 6)
+    be, base = ab_inputs(spark, sf)
+    m = materialize(C.ab_category_metrics(base))  # a row per category, day and group, read by both sides
+    return round_doubles(C.ab_comparison(m, valid_categories(be)), 6)
 
 
 @query("ab_entropy")
 def ab_entropy(spark, sf):
-    return round_doubles(C.ab_entropy(C.ab_category_metrics(ab_base(spark, sf))), 6)
+    return round_doubles(C.ab_entropy(C.ab_category_metrics(ab_inputs(spark, sf)[1])), 6)
 
 
 @query("topk_allocation")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from growthlab.functions.columns import round_doubles
+from growthlab.functions.ordered import materialize
 from growthlab.operators import agreement as AG
 from growthlab.operators import diversity as DV
+from growthlab.operators import ranking as RK
 from growthlab.operators import sequences as SQ
 from growthlab.plans import params as P
 from growthlab.plans.catalogue import query
@@ -80,9 +82,9 @@ def kendall_quantiles(spark, sf):
     return round_doubles(AG.kendall_quantiles(_taus(spark, sf)), 6)
 
 
-def _sales_rows(spark, sf):
-    a = X.banner_events(spark, sf, P.SALES_START, P.SALES_END).where(F.col("sales") > 0)
-    return a.select("customer_id", "cma_id")
+def _sales_rows(spark, sf, events=None):
+    a = X.banner_events(spark, sf, P.SALES_START, P.SALES_END) if events is None else X._within(events, P.SALES_START, P.SALES_END)
+    return a.where(F.col("sales") > 0).select("customer_id", "cma_id")
 
 
 @query("category_sales_share")
@@ -91,20 +93,25 @@ def category_sales_share(spark, sf):
 
 
 def _served(spark, sf):
-    strat = X.experiment(spark, sf).select("customer_id", "final_serving_strategy").distinct()
-    return (topk(spark, sf).join(strat, "customer_id")
-            .join(F.broadcast(X.category_map(spark, sf)), "cma_id"))
+    """(banner rows, served predictions): the banner aggregate is written once and read by
+    the scores, the serving strategies and the sales."""
+    be = materialize(X.banner_events(spark, sf))
+    strat = X.experiment(spark, sf, events=be).select("customer_id", "final_serving_strategy").distinct()
+    top = RK.topk_long(X.scores(spark, sf, P.SCORE_DAY, events=be), P.TOP_K, "asc")
+    return be, top.join(strat, "customer_id").join(X.category_map(spark, sf), "cma_id")
 
 
 @query("strategy_category_share")
 def strategy_category_share(spark, sf):
-    s = AG.category_share(_served(spark, sf), by=["final_serving_strategy"])
+    s = AG.category_share(_served(spark, sf)[1], by=["final_serving_strategy"])
     return round_doubles(s.join(X.category_map(spark, sf), "cma_id"), 6)
 
 
 @query("topk_agreement")
 def topk_agreement(spark, sf):
-    pred = AG.category_share(_served(spark, sf).where(F.col("final_serving_strategy") == "autopilot"))
-    sales = AG.category_share(_sales_rows(spark, sf).join(X.category_map(spark, sf).select("cma_id"), "cma_id"))
+    be, served = _served(spark, sf)
+    # a row per category each, read several times by the cut-offs
+    pred = materialize(AG.category_share(served.where(F.col("final_serving_strategy") == "autopilot")))
+    sales = materialize(AG.category_share(_sales_rows(spark, sf, be).join(X.category_map(spark, sf).select("cma_id"), "cma_id")))
     return round_doubles(AG.topk_agreement(pred, sales), 6)
 

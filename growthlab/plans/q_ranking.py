@@ -73,8 +73,14 @@ def hit_recall_at_k(spark, sf):
 
 @query("hit_recall_by_model")
 def hit_recall_by_model(spark, sf):
-    parts = [_hit(spark, sf, t).withColumn("model", F.lit(t)) for t in ("asc", "desc")]
-    both = parts[0].unionByName(parts[1])
+    # both tie rules are two lists of the same score arrays: one pass, keyed by the model
+    sc = scores(spark, sf)
+    lists = F.array(*[F.struct(F.lit(t).alias("model"), top_ids("category_trend_scores", P.TOP_K, t).alias("ids")) for t in ("asc", "desc")])
+    tk = (sc.select("customer_id", F.explode(lists).alias("l")).select("l.model", "customer_id", F.posexplode("l.ids").alias("pos", "cma_id"))
+          .select("model", "customer_id", "cma_id", (F.col("pos") + 1).cast("int").alias("rank")))
+    sold = actual(spark, sf).withColumn("model", F.explode(F.array(F.lit("asc"), F.lit("desc"))))
+    keys = ("model", "customer_id")
+    both = RK.hit_recall_per_customer(RK.sales_category_rank(sold, tk, keys=keys), tk, P.TOP_K, keys, servable_by=("model",))
     return round_doubles(RK.mean_by_k(both, {"hit_rate": "hit_rate_at_k", "recall": "recall_at_k"}, ["model"]), 6)
 
 
@@ -96,9 +102,7 @@ def ndcg_at_k(spark, sf):
 @query("mean_avg_precision")
 def mean_avg_precision(spark, sf):
     labels = RK.label_sets(actual(spark, sf))
-    j = pred_lists(spark, sf).join(labels, "customer_id")
-    return round_doubles(j.agg(F.avg(RK.average_precision(F.col("pred"), F.col("labels"))).alias(
-        "mean_avg_precision")), 6)
+    return round_doubles(RK.mean_average_precision(pred_lists(spark, sf), labels), 6)
 
 
 @query("ranking_metrics_at_k")
@@ -159,3 +163,15 @@ def rolling_precision_recall(spark, sf):
     daily = RK.precision_recall_at_k(per, keys=["dt"])
     return round_doubles(daily.groupBy("k").agg(F.avg("precision_at_k").alias("precision_at_k"),
                                                  F.avg("recall_at_k").alias("recall_at_k")), 6)
+
+
+@query("restricted_label_set")
+def restricted_label_set(spark, sf):
+    """RM9 with RM1's sentinel: labels restricted to a fixed category list, ids read as text
+    with null and ``"null"`` ids (every seventh customer's here) dropped, then cast."""
+    raw = X.banner_events(spark, sf, P.SALES_START, P.SALES_END)
+    raw = raw.withColumn("customer_id", F.when(F.col("customer_id") % 7 == 0, F.lit("null")).otherwise(F.col("customer_id").cast("string")))
+    sold = RK.user_sales(raw, drop_null_string=True, id_type="bigint")
+    listed = X.category_map(spark, sf).where(F.col("cma_id").cast("int") <= 8).select("cma_id")
+    ls = RK.label_sets(RK.restrict_labels(sold, listed))
+    return ls.select("customer_id", arr_to_str("labels").alias("labels"), "relevant_cat_cnt")

@@ -50,9 +50,29 @@ def calibration_holdout(spark, sf):
     return S.calibration_holdout(sales, P.CAL_START, P.CAL_END, P.HOLD_END, P.CATEGORY)
 
 
-def pre_post(spark, sf):
+def pre_post(spark, sf, weeks=False):
     sales = X.sales(spark, sf, P.CAL_START, P.HOLD_END, P.CATEGORY)
-    return S.pre_post_table(sales, (P.CAL_START, P.CAL_END), (P.HOLD_START, P.HOLD_END), P.CATEGORY)
+    return S.pre_post_table(sales, (P.CAL_START, P.CAL_END), (P.HOLD_START, P.HOLD_END), P.CATEGORY, weeks=weeks)
+
+
+@query("pre_post_weeks")
+def pre_post_weeks(spark, sf):
+    """CS8 with the hold-out duration in weeks."""
+    return round_doubles(pre_post(spark, sf, weeks=True).select("id", "frequency_cal", "duration_holdout"))
+
+
+@query("customer_summary_whole_prices")
+def customer_summary_whole_prices(spark, sf):
+    """CS1 over prices cut to whole units (PRJ5)."""
+    sales = X.sales(spark, sf, P.CAL_START, P.CAL_END, P.CATEGORY)
+    return round_doubles(S.customer_summary(sales, P.CAL_START, P.CAL_END, P.CATEGORY, price_as_int=True))
+
+
+@query("sketch_quantiles")
+def sketch_quantiles(spark, sf):
+    """AG13 with a stated error: per category, price quantiles from sketches made per day and
+    merged, and whether each is within the rank error of the exact count."""
+    return S.sketch_quantile_errors(X.sales(spark, sf), "category_id", "dt", "selling_price", (0.1, 0.25, 0.5, 0.75, 0.9, 0.99), 0.01)
 
 
 @query("pre_post_table")

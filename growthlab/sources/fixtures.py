@@ -84,20 +84,27 @@ def category_map(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("n_name").alias("category_name")))
 
 
-def scores_long(spark: SparkSession, sf_dir: str, score_day, start=None) -> DataFrame:
+def _within(events: DataFrame, start, end) -> DataFrame:
+    """Banner rows already at hand, cut to a range of days (either end may be open)."""
+    dt = F.col("dt")
+    events = events if start is None else events.where(dt >= F.lit(start).cast("date"))
+    return events if end is None else events.where(dt <= F.lit(end).cast("date"))
+
+
+def scores_long(spark: SparkSession, sf_dir: str, score_day, start=None, events: DataFrame | None = None) -> DataFrame:
     """Model scores in long form: share of a customer's banner rows per category,
-    up to ``score_day``."""
-    be = banner_events(spark, sf_dir, start, score_day)
+    up to ``score_day``.  ``events``: the banner rows, when the caller already has them."""
+    be = banner_events(spark, sf_dir, start, score_day) if events is None else _within(events, start, score_day)
     c = be.groupBy("customer_id", "cma_id").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("customer_id")
     return c.select("customer_id", F.col("cma_id").alias("category_id"),
                     (F.col("n") / F.sum("n").over(w)).alias("probability"))
 
 
-def scores(spark: SparkSession, sf_dir: str, score_day, start=None) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, score_day, start=None, events: DataFrame | None = None) -> DataFrame:
     """Scores collected per customer into ``category_trend_scores`` (sorted by
     category id, the input order the "stable" tie rule relies on)."""
-    lg = scores_long(spark, sf_dir, score_day, start)
+    lg = scores_long(spark, sf_dir, score_day, start, events)
     return (lg.groupBy("customer_id")
               .agg(F.array_sort(F.collect_list(F.struct("category_id", "probability")))
                    .alias("category_trend_scores")))
@@ -107,21 +114,19 @@ def scores_by_day(spark: SparkSession, sf_dir: str, first_day, last_day) -> Data
     """Daily score snapshots for a rolling evaluation: the snapshot of day ``d``
     uses banner rows up to ``d``.  One job keyed by ``dt`` (no per-day loop).
 
-    Rows are first counted per customer, category and day, all earlier history as the
-    first day; each count then goes to the snapshot days on or after its own."""
-    # history before the first snapshot folds into one row per customer and category
+    Rows are counted per customer, category and day, all earlier history as the first
+    day, and gathered per customer (at most categories x days entries).  Each day's scores
+    are read off that array as of the day, after the last shuffle: what is shuffled does
+    not grow with the number of snapshots."""
     day = F.greatest(F.col("dt"), F.lit(first_day).cast("date")).alias("dt")
-    be = (banner_events(spark, sf_dir, None, last_day)
-          .groupBy("customer_id", "cma_id", day).agg(F.count(F.lit(1)).alias("n")))
-    snap = F.explode(F.sequence(F.greatest(F.col("dt"), F.lit(first_day)), F.lit(last_day)))
-    exp = be.select("customer_id", "cma_id", "n", snap.alias("snap_dt"))
-    c = exp.groupBy("snap_dt", "customer_id", "cma_id").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("snap_dt", "customer_id")
-    lg = c.select(F.col("snap_dt").alias("dt"), "customer_id", F.col("cma_id").alias("category_id"),
-                  (F.col("n") / F.sum("n").over(w)).alias("probability"))
-    return (lg.groupBy("dt", "customer_id")
-              .agg(F.array_sort(F.collect_list(F.struct("category_id", "probability")))
-                   .alias("category_trend_scores")))
+    counts = banner_events(spark, sf_dir, None, last_day).groupBy("customer_id", "cma_id", day).agg(F.count(F.lit(1)).alias("n"))
+    seen = counts.groupBy("customer_id").agg(F.collect_list(F.struct("cma_id", "dt", "n")).alias("seen"))
+    days = seen.select("customer_id", "seen", F.explode(F.sequence(F.lit(first_day), F.lit(last_day))).alias("day"))
+    as_of = days.select(F.col("day").alias("dt"), "customer_id", F.filter("seen", lambda e: e["dt"] <= F.col("day")).alias("now")).where(F.size("now") > 0)
+    count = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda acc, e: acc + e["n"])
+    categories = F.array_sort(F.array_distinct(F.transform("now", lambda e: e["cma_id"])))
+    return as_of.withColumn("total", count(F.col("now"))).select("dt", "customer_id", F.transform(categories, lambda c: F.struct(
+        c.alias("category_id"), (count(F.filter("now", lambda e: e["cma_id"] == c)) / F.col("total")).alias("probability"))).alias("category_trend_scores"))
 
 
 def push_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,8 +150,8 @@ def campaign_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("n_regionkey").alias("phase_id"), F.col("r_name").alias("phase_name")))
 
 
-def experiment(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
-    be = banner_events(spark, sf_dir, start, end)
+def experiment(spark: SparkSession, sf_dir: str, start=None, end=None, events: DataFrame | None = None) -> DataFrame:
+    be = banner_events(spark, sf_dir, start, end) if events is None else _within(events, start, end)
     cid = F.col("customer_id")
     return (be.select("customer_id", "banner_id", "dt", "cma_id",
                       F.when(cid % 2 == 0, F.lit("raw")).otherwise(F.lit("rt")).alias("experiment_group_name"),

@@ -70,10 +70,11 @@ def drop_null_ids(df: DataFrame, col: str = "customer_id") -> DataFrame:
 def latest_snapshot(df: DataFrame, col: str = "dt") -> DataFrame:
     """Rows of the newest snapshot (``col = max(col)``).
 
-    The max is a one-row aggregate joined back (broadcast of a single row, a
-    proven size bound); nothing is collected to the driver."""
-    mx = df.agg(F.max(col).alias("__max_dt"))
-    return df.join(F.broadcast(mx), F.col(col) == F.col("__max_dt"), "left_semi")
+    The newest day is a scalar subquery: on a partition column it reads no data column, and
+    the scan of the rows opens the files of that partition only (``PartitionFilters``); on a
+    data column it becomes a filter of the scan.  Nothing is collected to the driver."""
+    newest = df.select(col).agg(F.max(col)).scalar()
+    return df.where(F.col(col) == newest)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] = ("dt",)) -> None:

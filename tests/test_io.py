@@ -5,10 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from growthlab.operators import ctr as C
 from growthlab.sources import fixtures as X
 from growthlab.sources import io as IO
-from growthlab.streaming import incremental_by_day
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,24 +49,6 @@ def test_schema_contract(spark):
         IO.check_schema(sc.withColumn("customer_id", F.col("customer_id").cast("string")), IO.SCORES_SCHEMA)
 
 
-def test_incremental_by_day_matches_batch(spark):
-    d = tempfile.mkdtemp(prefix="gl-stream-", dir="/tmp")
-    be = X.banner_events(spark, SF)
-    exp = X.experiment(spark, SF)
-    cm = X.category_map(spark, SF)
-    be.write.partitionBy("dt").parquet(f"{d}/src")
-    schema = spark.read.parquet(f"{d}/src").schema
-
-    def metrics(batch):
-        return C.ab_category_metrics(C.ab_event_base(batch, exp, cm))
-
-    q = incremental_by_day(spark, f"{d}/src", schema, metrics, f"{d}/out", f"{d}/ckpt", max_files_per_trigger=7)
-    q.awaitTermination(300)
-    got = spark.read.parquet(f"{d}/out").select("dt", "cma_id", "experiment_group_name", "impressions_total")
-    want = metrics(be).select("dt", "cma_id", "experiment_group_name", "impressions_total")
-    assert sorted(got.collect()) == sorted(want.collect())
-
-
 def test_csv_parts_typed_read_and_null_ids(spark):
     d = tempfile.mkdtemp(prefix="gl-parts-", dir="/tmp")
     rows = [("1", "2024-01-02", "0.5"), ("2", "2024-01-03", "x"), ("null", "2024-01-04", "1.0")]
