@@ -74,69 +74,69 @@ SKETCH = 100_000
 GRID = 1000
 
 
-def _between(live: DataFrame, edges: DataFrame, brackets: int, places: dict) -> DataFrame:
-    """The values of ``live`` (column v) at 0-based ascending positions: one row with the
-    columns of ``places`` (name -> long Column over the columns of ``edges``) and those of
-    ``edges``, a one-row table with arrays ``lo`` and ``hi`` of bracket ends, both ascending.
-    Values inside a bracket are counted one by one, all between two brackets as one row."""
-    kept = [c for c in edges.columns if c not in ("lo", "hi")]
-    inside, below = F.lit(False), F.lit(0)
-    for j in range(brackets):
-        inside = inside | F.col("v").between(F.col("lo")[j], F.col("hi")[j])
-        below = below + (F.col("v") > F.col("hi")[j]).cast("int")
-    rows = (live.join(F.broadcast(edges)).select("v", *kept, inside.alias("inside"), below.alias("below"))
-                .groupBy(F.when(F.col("inside"), F.col("v")).alias("own"), F.when(~F.col("inside"), F.col("below")).alias("gap"))
-                .agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("c"), *[F.first(c).alias(c) for c in kept]))
-    run = rows.withColumn("cum", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    found = [F.max(F.when((F.col("cum") - F.col("c") <= place) & (place < F.col("cum")), F.col("v"))).alias(name) for name, place in places.items()]
-    return run.agg(*[F.max(c).alias(c) for c in kept], *found).where(F.col("n") > 0)
-
-
-def order_statistics(df: DataFrame, col: str, qs: list[float], places) -> DataFrame:
-    """One row: ``n`` non-null values, and for each q in ``qs`` the values at the 0-based
-    ascending positions ``places(n, q)`` (long Columns), as ``v<i>_<k>``.  No row without values.
+def _between(edges: str, brackets: int, picked: str) -> str:
+    """The rest of a statement over ``live`` (column v), after its one-row ``edges``, which has
+    ``n`` and arrays ``lo`` and ``hi`` of bracket ends, both ascending.  Values inside a bracket
+    are counted one by one, all between two brackets as one row; ``run`` has their running
+    count ``cum``, and ``picked`` selects from it."""
+    inside = " OR ".join(f"v BETWEEN lo[{j}] AND hi[{j}]" for j in range(brackets))
+    below = " + ".join(f"CAST(v > hi[{j}] AS INT)" for j in range(brackets))
+    return f"""edges AS ({edges}),
+        split AS (SELECT /*+ BROADCAST(edges) */ live.v, edges.n, ({inside}) AS inside, {below} AS below, edges.* EXCEPT (n, lo, hi) FROM live CROSS JOIN edges),
+        counts AS (SELECT MAX(v) AS v, COUNT(*) AS c, FIRST(STRUCT(split.* EXCEPT (v, inside, below))) AS e
+                   FROM split GROUP BY CASE WHEN inside THEN v END, CASE WHEN NOT inside THEN below END),
+        run AS (SELECT v, c, e.*, SUM(c) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM counts)
+        {picked}"""
+
+
+def _at(place: str) -> str:
+    return f"MAX(CASE WHEN cum - c <= {place} AND {place} < cum THEN v END)"
+
+
+def order_statistics(df: DataFrame, col: str, qs: list[float], places, result: str) -> DataFrame:
+    """``result``, SQL over one row with ``n`` non-null values and, for each q in ``qs``, the
+    values at the 0-based ascending positions ``places(q)`` (SQL over n), as ``v<i>_<k>``.
+    No row without values.
 
     Two narrow passes and no sort of the column: a mergeable sketch brackets each q between
     two elements, then one aggregate counts the values inside the brackets one by one and
     everything between two brackets as one row.  The running count over those rows (about
-    4 n / SKETCH for a q) is exact."""
-    live = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
+    4 n / SKETCH for a q) is exact.  It is one statement, so nothing runs before its result is
+    read, and it is analysed once."""
+    m = len(qs)
     ends = [max(0.0, q - 2.0 / SKETCH) for q in qs] + [min(1.0, q + 2.0 / SKETCH) for q in qs]
-    edges = live.agg(F.count("v").alias("n"), F.percentile_approx("v", [float(p) for p in ends], SKETCH).alias("e"))
-    edges = edges.select("n", F.slice("e", 1, len(qs)).alias("lo"), F.slice("e", len(qs) + 1, len(qs)).alias("hi"))
-    named = {f"v{i}_{k}": place for i, q in enumerate(qs) for k, place in enumerate(places(F.col("n"), float(q)))}
-    return _between(live, edges, len(qs), named)
+    edges = f"""SELECT n, SLICE(e, 1, {m}) AS lo, SLICE(e, {m + 1}, {m}) AS hi FROM (
+        SELECT COUNT(v) AS n, PERCENTILE_APPROX(v, ARRAY({", ".join(f"{p!r}D" for p in ends)}), {SKETCH}) AS e FROM live)"""
+    named = ", ".join(f"{_at(place)} AS v{i}_{k}" for i, q in enumerate(qs) for k, place in enumerate(places(float(q))))
+    picked = f"SELECT {result} FROM (SELECT MAX(n) AS n, {named} FROM run) WHERE n > 0"
+    return df.sparkSession.sql("WITH live AS (SELECT " + f"`{col}` AS v FROM {{df}} WHERE `{col}` IS NOT NULL), " + _between(edges, m, picked), df=df)
 
 
 def value_at(df: DataFrame, col: str, place: DataFrame) -> DataFrame:
     """One row ``value``: the value of ``col`` at the 0-based ascending position that the
     one-row table ``place`` (column ``place``) holds; null for a position below 0 or beyond
     the last.  As ``order_statistics``, with a bracket of three of GRID equal shares."""
-    live = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v"))
-    grid = live.agg(F.count("v").alias("n"), F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], SKETCH).alias("e"))
-    share = F.floor(F.col("place") / F.greatest(F.col("n"), F.lit(1)) * GRID).cast("int")
-    within = lambda i: F.array(F.col("e")[F.greatest(F.lit(0), F.least(F.lit(GRID), i))])
-    edges = grid.join(F.broadcast(place)).select("n", "place", within(share - 1).alias("lo"), within(share + 2).alias("hi"))
-    return _between(live, edges, 1, {"value": F.col("place")}).select("value")
+    within = lambda i: f"ARRAY(e[GREATEST(0, LEAST({GRID}, CAST(FLOOR(place / GREATEST(n, 1) * {GRID}) AS INT) + {i}))])"
+    edges = f"""SELECT n, place, {within(-1)} AS lo, {within(2)} AS hi FROM (
+        SELECT COUNT(v) AS n, PERCENTILE_APPROX(v, TRANSFORM(SEQUENCE(0, {GRID}), i -> i / {GRID}D), {SKETCH}) AS e FROM live) CROSS JOIN {{place}}"""
+    picked = f"SELECT value FROM (SELECT MAX(n) AS n, {_at('place')} AS value FROM run) WHERE n > 0"
+    return df.sparkSession.sql("WITH live AS (SELECT " + f"`{col}` AS v FROM {{df}} WHERE `{col}` IS NOT NULL), " + _between(edges, 1, picked), df=df, place=place)
 
 
-def _by_q(row: DataFrame, qs: list[float], value, name: str) -> DataFrame:
+def _by_q(qs: list[float], value, name: str) -> str:
     """(q, name) rows from the one row of ``order_statistics``."""
-    each = [F.struct(F.lit(float(q)).alias("q"), value(i, float(q)).alias(name)) for i, q in enumerate(qs)]
-    return row.select(F.explode(F.array(*each)).alias("s")).select("s.*")
+    each = ", ".join(f"NAMED_STRUCT('q', {float(q)!r}D, '{name}', {value(i, float(q))})" for i, q in enumerate(qs))
+    return f"INLINE(ARRAY({each}))"
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile") -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``percentile_cont`` definition):
     position h = (n-1)·q on the ascending order, value = x[⌊h⌋] + (h-⌊h⌋)·(x[⌈h⌉]-x[⌊h⌋]).
     Returns (``q``, ``name``) rows."""
-    at = lambda n, q: (n - 1) * F.lit(q)
-    row = order_statistics(df, col, qs, lambda n, q: [F.floor(at(n, q)).cast("long"), F.ceil(at(n, q)).cast("long")])
-
-    def value(i, q):
-        h, lo, hi = at(F.col("n"), q), F.col(f"v{i}_0").cast("double"), F.col(f"v{i}_1").cast("double")
-        return lo + (h - F.floor(h).cast("long")) * (hi - lo)
-    return _by_q(row, qs, value, name)
+    at = lambda q: f"((n - 1) * {q!r}D)"
+    value = lambda i, q: f"v{i}_0 + ({at(q)} - FLOOR({at(q)})) * (CAST(v{i}_1 AS DOUBLE) - CAST(v{i}_0 AS DOUBLE))"
+    places = lambda q: [f"CAST(FLOOR{at(q)} AS BIGINT)", f"CAST(CEIL{at(q)} AS BIGINT)"]
+    return order_statistics(df, col, qs, places, _by_q(qs, value, name))
 
 
 def quantile_value(df: DataFrame, col: str, q: float, element: bool = False) -> DataFrame:
@@ -218,8 +218,8 @@ def group_positions(df: DataFrame, group: str, order_cols: list, name: str = "po
 def discrete_quantiles(df: DataFrame, col: str, qs: list[float], name: str = "quantile") -> DataFrame:
     """Element quantiles (``percentile_disc``): the value at 0-based ascending
     position ⌈n·q⌉−1 (position 0 for q = 0).  Returns (``q``, ``name``) rows."""
-    row = order_statistics(df, col, qs, lambda n, q: [F.greatest(F.ceil(n * F.lit(q)).cast("long") - 1, F.lit(0).cast("long"))])
-    return _by_q(row, qs, lambda i, q: F.col(f"v{i}_0"), name)
+    places = lambda q: [f"GREATEST(CAST(CEIL(n * {q!r}D) AS BIGINT) - 1, 0)"]
+    return order_statistics(df, col, qs, places, _by_q(qs, lambda i, q: f"v{i}_0", name))
 
 
 def edges_array(edges: DataFrame, name: str = "quantile") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Special functions as Column expressions (Spark SQL has no log-gamma and no digamma)."""
+"""Special functions as Column expressions (Spark SQL has no log-gamma), and digamma of numbers."""
 
 from __future__ import annotations
 
@@ -23,13 +23,10 @@ def lgamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + F.lit(_HALF_LOG_2PI) + series - F.log(prod)
 
 
-def digamma(x: Column) -> Column:
-    """ψ(x) = d ln Γ(x) / dx for x > 0: shift by 8 (ψ(x) = ψ(x+8) − Σ_{k<8} 1/(x+k)), then the
-    asymptotic series with five terms (error < 1e-12)."""
+def digamma(x: float) -> float:
+    """ψ(x) = d ln Γ(x) / dx of a number x > 0: shift by 8 (ψ(x) = ψ(x+8) − Σ_{k<8} 1/(x+k)),
+    then the asymptotic series with five terms (error < 1e-12)."""
     y = x + 8.0
-    shift = F.lit(1.0) / x
-    for k in range(1, 8):
-        shift = shift + F.lit(1.0) / (x + float(k))
-    inv2 = F.lit(1.0) / (y * y)
-    series = inv2 * (F.lit(1.0 / 12) - inv2 * (F.lit(1.0 / 120) - inv2 * (F.lit(1.0 / 252) - inv2 * (F.lit(1.0 / 240) - inv2 * F.lit(1.0 / 132)))))
-    return F.log(y) - F.lit(0.5) / y - series - shift
+    i = 1.0 / (y * y)
+    series = i * (1.0 / 12 - i * (1.0 / 120 - i * (1.0 / 252 - i * (1.0 / 240 - i / 132))))
+    return math.log(y) - 0.5 / y - series - sum(1.0 / (x + k) for k in range(8))

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from growthlab.functions.arrays import let
 from growthlab.functions.ordered import exact_quantiles, materialize, value_counts_cum
 from growthlab.functions.special import digamma, lgamma
 
@@ -86,7 +87,7 @@ def purchase_integral(m: BGNBD, tau: Column, x: Column) -> Column:
         log_p, log_q = -F.log1p(F.exp(-s)), -F.log1p(F.exp(s))
         return F.exp(F.lit(m.a - 1.0) * log_p + bx * log_q) * -F.expm1(-k * F.log1p(F.exp(log_p) * tau))
     total = F.aggregate(nodes, F.lit(0.0), lambda acc, i: acc + at(i))
-    log_beta = lgamma(F.lit(m.a)) + lgamma(bx) - lgamma(F.lit(m.a) + bx)
+    log_beta = F.lit(math.lgamma(m.a)) + lgamma(bx) - lgamma(F.lit(m.a) + bx)
     return total * F.lit(NODE_STEP) * F.exp(-log_beta)
 
 
@@ -152,14 +153,17 @@ def clv(m: BGNBD, g: GammaGamma, x, t_x, T, money, time: int = 6, discount: floa
     the floor (or NaN) counts 0."""
     f = _FACTOR[freq]
     profit = expected_avg_profit(g, x, money)
-    es = [expected_purchases(m, i * f, x, t_x, T) for i in range(0, time + 1)]
-    total = F.lit(0.0)
-    for i in range(1, time + 1):
-        d = es[i] - es[i - 1]
-        if floor is not None:
-            d = F.when(F.isnan(d) | d.isNull() | (d < F.lit(floor)), F.lit(0.0)).otherwise(d)
-        total = total + profit * d / F.lit((1.0 + discount) ** i)
-    return total
+    ends = F.transform(F.array(*[F.lit(float(i * f)) for i in range(0, time + 1)]), lambda t: expected_purchases(m, t, x, t_x, T))
+
+    def summed(es):
+        total = F.lit(0.0)
+        for i in range(1, time + 1):
+            d = es[i] - es[i - 1]
+            if floor is not None:
+                d = F.when(F.isnan(d) | d.isNull() | (d < F.lit(floor)), F.lit(0.0)).otherwise(d)
+            total = total + profit * d / F.lit((1.0 + discount) ** i)
+        return total
+    return let(summed, es=ends)
 
 
 def rule_based_clv(margin, retention: float, discount: float) -> Column:
@@ -179,8 +183,8 @@ def score(pre_post: DataFrame, m: BGNBD, g: GammaGamma, t: float, time: int = 6,
     # the series depends on (x, T) only: evaluate it once per distinct pair (at most
     # max frequency × window days rows, however many customers) and join it back
     pairs = pre_post.select(F.col(x).alias("__x"), F.col(T).alias("__T")).distinct()
-    pairs = pairs.select("__x", "__T", *[purchase_factor(m, h, "__x", "__T").alias("__f" + k)
-                                          for k, h in horizons.items()])
+    factors = F.transform(F.array(*[F.lit(h) for h in horizons.values()]), lambda h: purchase_factor(m, h, "__x", "__T"))
+    pairs = pairs.select("__x", "__T", factors.alias("__f")).select("__x", "__T", *[F.col("__f")[i].alias("__f" + k) for i, k in enumerate(horizons)])
     out = pre_post.join(pairs, (F.col(x) == F.col("__x")) & (F.col(T) == F.col("__T")))
     inv_d = bg_inv_d(m, x, tx, T)
     out = out.select(*pre_post.columns, *[(F.col("__f" + k) * inv_d).alias(k) for k in horizons])
@@ -467,42 +471,61 @@ def _checked(report: dict, into: dict | None, what: str) -> None:
         raise RuntimeError(f"the {what} fit did not converge: {report}")
 
 
-def _evaluator(sums, names: list[str], lows: list[float], penalizer: float):
+def _evaluator(likelihood, names: list[str], lows: list[float], penalizer: float):
     """``evaluate`` for ``_minimise``: the mean negative log-likelihood (+ ridge penalty on the
     fitted parameters, each exp(log-parameter)) and its gradient by the log-parameters.
-    ``sums`` maps a small table (pid, a column a parameter, each its ``low`` + exp) to a row
-    for each pid with the sums ``ll``, ``d_<name>`` and ``w``."""
+    ``likelihood`` takes rows (pid, a value a parameter, each its ``low`` + exp) and returns
+    {pid: (number of customers, log-likelihood, [derivative by each parameter])}."""
     import numpy as np
 
     def evaluate(points):
         points = [np.clip(p, -LOG_LIMIT, LOG_LIMIT) for p in points]
-        rows = [(i, *[float(low + math.exp(v)) for low, v in zip(lows, p)]) for i, p in enumerate(points)]
-        got = {r["pid"]: r for r in sums(rows).collect()}
+        got = likelihood([(i, *[float(low + math.exp(v)) for low, v in zip(lows, p)]) for i, p in enumerate(points)])
         out = []
         for i, p in enumerate(points):
-            r, e = got.get(i), np.exp(p)
-            values = [r["ll"], *[r[f"d_{c}"] for c in names]] if r else [None]
-            if any(v is None or not math.isfinite(v) for v in values):
+            w, ll, grads = got.get(i, (1, math.nan, [math.nan] * len(p)))
+            e = np.exp(p)
+            if not all(map(math.isfinite, [ll, *grads])):
                 out.append((1e100, np.zeros(len(p))))
             else:
-                grad = -np.array(values[1:]) / r["w"] * e + 2 * penalizer * e * e
-                out.append((-values[0] / r["w"] + penalizer * float((e * e).sum()), grad))
+                out.append((-ll / w + penalizer * float((e * e).sum()), -np.array(grads) / w * e + 2 * penalizer * e * e))
         return out
     return evaluate
 
 
-def bgnbd_gradient_terms(m: BGNBD) -> dict[str, Column]:
-    """Per-row derivatives of ``bgnbd_loglik_terms`` by r, alpha, a and b."""
-    x, tx, T = F.col("x").cast("double"), F.col("t_x").cast("double"), F.col("T").cast("double")
-    r, al, a, b = (v if isinstance(v, Column) else F.lit(v) for v in (m.r, m.alpha, m.a, m.b))
-    # the share of the customer's likelihood in which they have dropped out
-    odds = F.log(a) - F.log(b + x - 1.0) + (r + x) * (F.log(al + T) - F.log(al + tx))
-    gone = F.when(x > 0, F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).otherwise(0.0)
-    both = digamma(a + b) - digamma(a + b + x)
-    return {"r": digamma(r + x) - digamma(r) + F.log(al) - (F.lit(1.0) - gone) * F.log(al + T) - gone * F.log(al + tx),
-            "alpha": r / al - (r + x) * ((F.lit(1.0) - gone) / (al + T) + gone / (al + tx)),
-            "a": both + gone / a,
-            "b": both + digamma(b + x) - digamma(b) - F.when(x > 0, gone / (b + x - 1.0)).otherwise(0.0)}
+def bgnbd_likelihood(comp: DataFrame):
+    """``likelihood`` of BG/NBD over rows (x, t_x, T, w) with x an integer number of repeat days.
+
+    What depends on a customer by x alone, with its gamma functions, is summed over the number
+    of customers of each x: one small table, at most the days of the window, collected once.
+    A step sums the rest, a mixture of staying and dropping out, and its derivatives in one
+    aggregate over the rows."""
+    by_x = [(float(r["x"]), r["w"]) for r in comp.groupBy("x").agg(F.sum("w").alias("w")).collect()]
+    customers = sum(w for _, w in by_x)
+    mixture = """SELECT /*+ BROADCAST(p) */ pid, SUM(w * (stay + LN(1 + odds))) AS ll,
+          SUM(w * (-LN(alpha + T) + gone * (LN(alpha + T) - LN(alpha + t_x)))) AS d_r,
+          SUM(-w * (r + x) * ((1 - gone) / (alpha + T) + gone / (alpha + t_x))) AS d_alpha,
+          SUM(w * gone) AS gone, SUM(CASE WHEN x > 0 THEN w * gone / (b + x - 1) ELSE 0 END) AS per_b
+        FROM (SELECT *, -(r + x) * LN(alpha + T) AS stay, odds / (1 + odds) AS gone
+              FROM (SELECT /*+ BROADCAST(p) */ *, CASE WHEN x > 0 THEN a / (b + x - 1) * EXP((r + x) * (LN(alpha + T) - LN(alpha + t_x))) ELSE 0D END AS odds
+                    FROM {comp} CROSS JOIN {p} AS p)) GROUP BY pid"""
+
+    def likelihood(points):
+        table = comp.sparkSession.createDataFrame(points, "pid int, r double, alpha double, a double, b double")
+        out = {}
+        for s in comp.sparkSession.sql(mixture, comp=comp, p=table).collect():
+            _, r, alpha, a, b = points[s["pid"]]
+            ll, d_r, d_a, d_b = s["ll"], s["d_r"], s["gone"] / a, -s["per_b"]
+            for x, w in by_x:
+                ll += w * (math.lgamma(r + x) - math.lgamma(r) + r * math.log(alpha)
+                           + math.lgamma(a + b) + math.lgamma(b + x) - math.lgamma(b) - math.lgamma(a + b + x))
+                both = digamma(a + b) - digamma(a + b + x)
+                d_r += w * (digamma(r + x) - digamma(r) + math.log(alpha))
+                d_a += w * both
+                d_b += w * (both + digamma(b + x) - digamma(b))
+            out[s["pid"]] = customers, ll, [d_r, s["d_alpha"] + customers * r / alpha, d_a, d_b]
+        return out
+    return likelihood
 
 
 def fit_bgnbd(summary: DataFrame, x="frequency_cal", t_x="recency_cal", T="T_cal", penalizer: float = 0.0,
@@ -513,21 +536,14 @@ def fit_bgnbd(summary: DataFrame, x="frequency_cal", t_x="recency_cal", T="T_cal
     raises.  Customers are compressed to distinct (x, t_x, T) with counts and checkpointed;
     every optimiser step is one aggregate over them.  Times are fitted in tenths of the
     longest age, so that the penalty does not depend on their unit; alpha comes back in days."""
-    comp = materialize(summary.groupBy(F.col(x).alias("x"), F.col(t_x).alias("t_x"), F.col(T).alias("T"))
+    comp = materialize(summary.groupBy(F.col(x).cast("double").alias("x"), F.col(t_x).alias("t_x"), F.col(T).alias("T"))
                        .agg(F.count(F.lit(1)).alias("w")))
-    names = ["r", "alpha", "a", "b"]
-    m = BGNBD(*[F.col(n) for n in names])
     age, oldest = comp.agg(F.sum(F.col("T") * F.col("w")) / F.sum("w"), F.max("T")).first()
     unit = float(oldest or 1.0) / 10.0 or 1.0
     scaled = comp.select("x", (F.col("t_x") / F.lit(unit)).alias("t_x"), (F.col("T") / F.lit(unit)).alias("T"), "w")
-
-    def sums(rows):
-        points = F.broadcast(comp.sparkSession.createDataFrame(rows, "pid int, " + ", ".join(f"{n} double" for n in names)))
-        terms = scaled.join(points).select("pid", "w", bgnbd_loglik_terms(m).alias("ll"), *[c.alias(f"d_{n}") for n, c in bgnbd_gradient_terms(m).items()])
-        return terms.groupBy("pid").agg(F.sum("w").alias("w"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("ll", *(f"d_{n}" for n in names))])
-
+    names = ["r", "alpha", "a", "b"]
     start = [0.0, math.log(max(float(age or 1.0) / unit, 1e-3)), 0.0, 0.0]
-    best, _, found = _minimise(_evaluator(sums, names, [0.0] * 4, penalizer), start, tol, iters)
+    best, _, found = _minimise(_evaluator(bgnbd_likelihood(scaled), names, [0.0] * 4, penalizer), start, tol, iters)
     _checked(found, report, "BG/NBD")
     r, alpha, a, b = (math.exp(v) for v in best)
     return BGNBD(r, alpha * unit, a, b)
@@ -540,41 +556,47 @@ def gg_loglik_terms(g: GammaGamma) -> Column:
             + p * x * F.log(x) - (p * x + q) * F.log(v + x * mv))
 
 
+def gg_likelihood(rows: DataFrame):
+    """``likelihood`` of Gamma-Gamma over rows (x, m).  All but one term depends on a customer
+    by x and Σ ln m alone.  So a step sums ln(v + x·m) and 1/(v + x·m) over the customers of
+    each x, beside their number and Σ ln m; the few sums of each x (at most the days of the
+    window) meet the gamma functions on the driver."""
+    sums = """SELECT /*+ BROADCAST(p) */ pid, x, COUNT(*) AS w, SUM(LN(m)) AS lm, SUM(LN(v + x * m)) AS li, SUM(1 / (v + x * m)) AS ri
+              FROM {rows} CROSS JOIN {p} AS p GROUP BY pid, x"""
+
+    def likelihood(points):
+        table = rows.sparkSession.createDataFrame(points, "pid int, p double, q double, v double")
+        out = {}
+        for s in rows.sparkSession.sql(sums, rows=rows, p=table).collect():
+            _, p, q, v = points[s["pid"]]
+            x, w, lm, li = s["x"], s["w"], s["lm"], s["li"]
+            n, ll, (d_p, d_q, d_v) = out.get(s["pid"], (0, 0.0, (0.0, 0.0, 0.0)))
+            ll += (w * (math.lgamma(p * x + q) - math.lgamma(p * x) - math.lgamma(q) + q * math.log(v) + p * x * math.log(x))
+                   + (p * x - 1) * lm - (p * x + q) * li)
+            psi = digamma(p * x + q)
+            d_p += x * (w * (psi - digamma(p * x) + math.log(x)) + lm - li)
+            d_q += w * (psi - digamma(q) + math.log(v)) - li
+            d_v += w * q / v - (p * x + q) * s["ri"]
+            out[s["pid"]] = n + w, ll, (d_p, d_q, d_v)
+        return out
+    return likelihood
+
+
 def fit_gamma_gamma(summary: DataFrame, x="frequency_cal", money="monetary_value", penalizer: float = 0.0,
                     iters: int = 200, finite_mean: bool = False, tol: float = 1e-6, report: dict | None = None) -> GammaGamma:
     """LV2: Gamma-Gamma fit on customers with x > 0 and money > 0.  ``finite_mean`` keeps
-    q above 1, without which the expected profit of a new customer is infinite.
-
-    All but one term of the likelihood depends on a customer by x and Σ ln m alone.  So a step
-    sums ln(v + x·m) and 1/(v + x·m) over the customers of each x, beside their number and
-    Σ ln m, and evaluates the gamma functions once for each x.  Money is fitted in units of its
-    mean, where the search starts, so that the penalty does not depend on the currency; v
-    comes back in money."""
+    q above 1, without which the expected profit of a new customer is infinite.  Money is
+    fitted in units of its mean, where the search starts, so that the penalty does not depend
+    on the currency; v comes back in money."""
     low = 1.0 if finite_mean else 0.0
     paid = materialize(summary.where((F.col(x) > 0) & (F.col(money) > 0)).select(F.col(x).cast("double").alias("x"), F.col(money).cast("double").alias("m")))
     mean = float(paid.agg(F.avg("m")).first()[0] or 1.0)
-    rows_of = paid.select("x", (F.col("m") / F.lit(mean)).alias("m"))
-    names = ["p", "q", "v"]
-    p, q, v, own = F.col("p"), F.col("q"), F.col("v"), F.col("x")
-
-    def sums(rows):
-        points = F.broadcast(rows_of.sparkSession.createDataFrame(rows, "pid int, p double, q double, v double"))
-        inner = v + own * F.col("m")
-        stats = rows_of.join(points).groupBy("pid", *names, "x").agg(
-            F.count(F.lit(1)).alias("w"), F.sum(F.log("m")).alias("lm"), F.sum(F.log(inner)).alias("li"), F.sum(F.lit(1.0) / inner).alias("ri"))
-        w, lm, li = F.col("w"), F.col("lm"), F.col("li")
-        ll = w * (lgamma(p * own + q) - lgamma(p * own) - lgamma(q) + q * F.log(v) + p * own * F.log(own)) + (p * own - 1.0) * lm - (p * own + q) * li
-        d_p = own * (w * (digamma(p * own + q) - digamma(p * own) + F.log(own)) + lm - li)
-        d_q = w * (digamma(p * own + q) - digamma(q) + F.log(v)) - li
-        d_v = w * q / v - (p * own + q) * F.col("ri")
-        terms = stats.select("pid", "w", ll.alias("ll"), d_p.alias("d_p"), d_q.alias("d_q"), d_v.alias("d_v"))
-        return terms.groupBy("pid").agg(*[F.sum(c).alias(c) for c in ("w", "ll", "d_p", "d_q", "d_v")])
-
+    rows = paid.select("x", (F.col("m") / F.lit(mean)).alias("m"))
     start = [math.log(2.0), math.log(3.0 - low), 0.0]  # p·v/(q−1) is the mean
-    best, _, found = _minimise(_evaluator(sums, names, [0.0, low, 0.0], penalizer), start, tol, iters)
+    best, _, found = _minimise(_evaluator(gg_likelihood(rows), ["p", "q", "v"], [0.0, low, 0.0], penalizer), start, tol, iters)
     _checked(found, report, "Gamma-Gamma")
-    p_, q_, v_ = (math.exp(t) for t in best)
-    return GammaGamma(p_, low + q_, v_ * mean)
+    p, q, v = (math.exp(t) for t in best)
+    return GammaGamma(p, low + q, v * mean)
 
 
 def log_likelihood(summary: DataFrame, terms: Column, x="frequency_cal", t_x="recency_cal", T="T_cal",

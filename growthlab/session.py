@@ -24,6 +24,8 @@ _DEFAULTS = {
     # checkpoints go once the DataFrames that read them are gone
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no Python stack trace kept for every Column: it takes milliseconds a call
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
