@@ -155,9 +155,10 @@ def _prefixes(counters: np.ndarray):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by shingle: those whose shingle another row has.  Only the last row
     of a batch is held."""
-    held = None  # ([shingle, id, n], whether the row before has the same shingle)
+    names = ("shingle", "id", "n", "d1", "pos")
+    held = None  # (the row, whether the row before has the same shingle)
     for batch in batches:
-        cols = [batch[c].to_numpy(zero_copy_only=False) for c in ("shingle", "id", "n", "pos")]
+        cols = [batch[c].to_numpy(zero_copy_only=False) for c in names]
         if not len(cols[0]):
             continue
         if held is not None:
@@ -167,9 +168,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[:-1] |= same
         held = [int(x[-1]) for x in cols], bool(shared[-1])
         if shared[:-1].any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][shared[:-1]], pa.int64()) for x in cols], names=["shingle", "id", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][shared[:-1]], pa.int64()) for x in cols], names=list(names))
     if held is not None and held[1]:
-        yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()) for h in held[0]], names=["shingle", "id", "n", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()) for h in held[0]], names=list(names))
 
 
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +356,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     release(spark)
     own = spark.read.parquet(own_path)
     shared_path = scratch_path(spark, "shared")
-    (own.select("id", "n", F.posexplode("prefix").alias("pos", "shingle")).repartition(width, "shingle")
-     .sortWithinPartitions("shingle").select("shingle", "id", "n", F.col("pos").cast("long").alias("pos"))
-     .mapInArrow(_shared, "shingle long, id long, n long, pos long")
+    (own.select("id", "n", "d1", F.posexplode("prefix").alias("pos", "shingle")).repartition(width, "shingle")
+     .sortWithinPartitions("shingle").select("shingle", "id", "n", "d1", F.col("pos").cast("long").alias("pos"))
+     .mapInArrow(_shared, "shingle long, id long, n long, d1 long, pos long")
      .write.parquet(shared_path))
     release(spark)
     shared = spark.read.parquet(shared_path)
@@ -380,9 +381,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         release(spark)
         comp = components(links)
     # 5. tiles between the components found so far
-    order = Window.partitionBy("id").orderBy("pos")  # one document's prefix
+    order = Window.partitionBy("id", "n", "d1").orderBy("pos")  # one text's prefix; an id may have several
     rows = (shared.join(comp.withColumnRenamed("node", "id"), "id", "left")
-            .select("shingle", "id", "n", "pos", F.coalesce("component", "id").alias("comp"),
+            .select("shingle", "id", "n", "d1", "pos", F.coalesce("component", "id").alias("comp"),
                     F.floor(F.log(F.col("n")) / F.lit(float(BAND))).cast("int").alias("band"),
                     F.array(*[F.lag("shingle", k).over(order) for k in range(1, EARLIER + 1)]).alias("earlier")))
     # dealt by shingle once; a shingle's bands are told apart there
@@ -394,8 +395,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
             .select("shingle", "low", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"),
-                    "id", "n", "comp", "block", "band", "pos", "earlier"))
-    tiles = (rows.join(own.select("id", "n", "loose").withColumnRenamed("loose", "sig"), ["id", "n"]).repartition(width, "shingle", "low", "b1", "b2")
+                    "id", "n", "d1", "comp", "block", "band", "pos", "earlier"))
+    tiles = (rows.join(own.select("id", "n", "d1", "loose").withColumnRenamed("loose", "sig"), ["id", "n", "d1"]).repartition(width, "shingle", "low", "b1", "b2")
              .sortWithinPartitions("shingle", "low", "b1", "b2")
              .select("shingle", "low", "b1", "b2", "id", "n", "comp", "block", "band", "pos", "earlier", "sig"))
     pairs = tiles.mapInArrow(_tile_pairs, "a long, b long").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))

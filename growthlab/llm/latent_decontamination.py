@@ -10,8 +10,11 @@
    orthonormal basis Q of Y, and the eigenvectors of the small Q'A'AQ recovered from the
    same Y.  All sums are slots x rank, a bounded size.
 3. *Search.*  Every passage is projected and compared with the passages of the benchmark
-   items by cosine; items are taken in blocks.  Whatever reaches ``MIN_COSINE`` is a
-   candidate; passages with too little weight to reach it are skipped beforehand.
+   items by cosine; items are taken in blocks, over one vocabulary and basis.  Whatever
+   reaches ``MIN_COSINE`` is a candidate; passages too short to reach it are skipped
+   beforehand.  Beside that, the rarest word of each item of ``LEAST_EXACT`` words or more
+   is looked up in all texts; where a neighbour in the item stands beside it too, the place
+   is a candidate, so no exact copy depends on the rank of the projection.
 4. *Checks.*  For a candidate, the longest common subsequence of the item and the words
    around the passage must hold ``MIN_COMMON`` of the item's words, and ``MIN_ANSWER`` of
    its most informative words (the answer) must be among them.
@@ -38,7 +41,11 @@ from growthlab.functions.ordered import materialize
 from growthlab.llm.common import ALNUM, batch_words, small_batches, text_of
 from growthlab.session import drop_path, scratch_path
 
-SLOTS, RANK, SLICES = 1 << 16, 96, 64
+SLOTS, SLICES = 1 << 16, 64
+#: Rank of the projection: a word of the vocabulary in RANK_SHARE, within these bounds.
+LEAST_RANK, MOST_RANK, RANK_SHARE = 96, 512, 64
+#: Items of fewer words have no exact lookup: they say too little to tell a leak from chance.
+LEAST_EXACT = 4
 PASSAGE = 32
 STEP = PASSAGE // 2
 #: Words found in a larger share of the documents weigh nothing, but an item keeps its
@@ -100,19 +107,36 @@ def _collected(rows: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _gaussian(n: int) -> np.ndarray:
-    return np.random.RandomState(7).standard_normal((n, RANK)).astype(np.float32)
+    rank = max(LEAST_RANK, min(MOST_RANK, n // RANK_SHARE))
+    return np.random.RandomState(7).standard_normal((n, rank)).astype(np.float32)
+
+
+def _telling(w: np.ndarray, found: np.ndarray, n_docs: float) -> np.ndarray:
+    """The slots of an item that weigh something: not too common, or its rarest ones."""
+    own = np.unique(w)
+    return np.union1d(own[found[own] <= MAX_SHARE * n_docs], own[np.argsort(found[own], kind="stable")[:LEAST_WORDS]])
+
+
+def _used_slots(found: np.ndarray, n_docs: float):
+    """The slots that a task's share of the items uses, as counts in slices."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS)
+        for batch in batches:
+            for w in words_of(_encoded(batch["text"])):
+                if len(w):
+                    total[_telling(w, found, n_docs)] += 1
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([TaskContext.get().partitionId() % 256] * SLICES, pa.int32()), "slice": pa.array(range(SLICES), pa.int32()),
+            "sums": pa.array([r.tobytes() for r in np.split(total, SLICES)], pa.binary())})
+    return run
 
 
 class Vocabulary:
     """The slots that weigh something: those of benchmark words that are not too common."""
 
-    def __init__(self, items: list[np.ndarray], found: np.ndarray, n_docs: float):
+    def __init__(self, use: np.ndarray, found: np.ndarray, n_docs: float):
         idf = np.log1p(n_docs / np.maximum(found, 1))
-        use = np.zeros(SLOTS, bool)
-        for w in items:
-            own = np.unique(w)
-            use[own[found[own] <= MAX_SHARE * n_docs]] = True
-            use[own[np.argsort(found[own], kind="stable")[:LEAST_WORDS]]] = True
+        self.found = found
         self.index = np.full(SLOTS, -1, np.int32)
         self.index[use] = np.arange(use.sum())
         self.weights = idf[use].astype(np.float32)
@@ -135,8 +159,16 @@ class Passages:
         self.n = len(self.doc)
         self.pair = np.append(self.doc[1:] == self.doc[:-1], False)  # a second half follows
         self.there = self.pair | (halves[self.doc] == 1)
-        squares = np.bincount(self.half, vocabulary.weights[self.slot] ** 2, self.n)
-        self.squares = np.where(self.there, self._with_next(squares), 0)
+        # squared lengths: occurrences of a slot add up within a passage before they are squared
+        size = len(vocabulary.weights)
+        keys, times = np.unique(self.half.astype(np.int64) * size + self.slot, return_counts=True)
+        half, weight = keys // size, times * vocabulary.weights[keys % size].astype(np.float64)
+        both = self._with_next(np.bincount(half, weight ** 2, self.n))
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, keys + size), len(keys) - 1)  # the same slot in the next half
+            shared = (keys[at] == keys + size) & self.pair[half]
+            both += np.bincount(half[shared], 2 * weight[shared] * weight[at[shared]], self.n)
+        self.squares = np.where(self.there, both, 0)
 
     def _with_next(self, per_half: np.ndarray) -> np.ndarray:
         after = np.concatenate([per_half[1:], np.zeros_like(per_half[:1])])
@@ -179,7 +211,7 @@ def _range_pass(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(vocabulary.weights)
         weighted = _gaussian(k) * vocabulary.weights[:, None]
-        total, any_row = np.zeros((k, RANK), np.float64), False
+        total, any_row = np.zeros(weighted.shape, np.float64), False
         for group in _groups(batches):
             any_row = True
             p = Passages([w for w, in group], vocabulary)
@@ -239,6 +271,15 @@ class Items:
         length = np.linalg.norm(queries, axis=1)
         self.queries, self.length = _unit(queries)[length > 0], length[length > 0]
         self.owner = np.array(owner, np.int64)[length > 0]
+        # rarest word -> (item, place of a neighbour beside it, the neighbour)
+        self.anchors: dict[int, list[tuple[int, int, int]]] = {}
+        for k, w in enumerate(self.words):
+            if len(w) >= LEAST_EXACT:
+                i = int(np.argmin(vocabulary.found[w]))
+                step = 1 if i + 1 < len(w) else -1
+                self.anchors.setdefault(int(w[i]), []).append((k, step, int(w[i + step])))
+        self.is_anchor = np.zeros(SLOTS, bool)
+        self.is_anchor[list(self.anchors)] = True
         self.bits, self.answers = [], []
         for w in self.words:
             bits: dict[int, int] = {}
@@ -249,30 +290,42 @@ class Items:
 
 
 def _search(items: Items, vocabulary: Vocabulary, weighted: np.ndarray):
-    def hits(group: list) -> list[tuple]:
+    def near(group: list) -> Iterator[tuple[int, int, int]]:
+        """(document, item, place): passages of a document close to an item."""
         p = Passages([w for w, _ in group], vocabulary)
         # a projection is no longer than what it projects, so shorter passages cannot pass
-        wanted = p.squares >= (MIN_COSINE * FLOOR * items.length.min()) ** 2
-        at = np.flatnonzero(wanted)
-        if not len(at):
-            return []
+        wanted = p.squares >= 0.999 * (MIN_COSINE * FLOOR * items.length.min(initial=np.inf)) ** 2
+        at = np.flatnonzero(wanted & p.there)
         x = p.project(weighted, wanted)[at]
         length = np.linalg.norm(x, axis=1)
-        best: dict[tuple, tuple] = {}
         for lo in range(0, len(at), 4096):
             part = slice(lo, lo + 4096)
             dots = x[part] @ items.queries.T
             row, query = np.nonzero(dots >= MIN_COSINE * np.maximum(length[part, None], FLOOR * items.length[None, :]))
-            for r, k in sorted(set(zip((row + lo).tolist(), items.owner[query].tolist()))):
+            for r, k in set(zip((row + lo).tolist(), items.owner[query].tolist())):
                 d = int(p.doc[at[r]])
-                words, size = group[d][0], len(items.words[k])
-                middle = int(at[r] - p.first_half[d]) * STEP
-                around = words[max(0, middle - size): middle + PASSAGE + size].tolist()
-                answer = len(items.answers[k].intersection(around)) / len(items.answers[k])
-                if answer >= MIN_ANSWER:
-                    share = common_words(items.bits[k], size, around) / size
-                    if share >= MIN_COMMON and (share, answer) > best.get((d, k), (0, 0)):
-                        best[d, k] = (share, answer)
+                yield d, k, int(at[r] - p.first_half[d]) * STEP
+
+    def exact(group: list) -> Iterator[tuple[int, int, int]]:
+        """(document, item, place) where an item's rarest word stands beside its neighbour."""
+        for d, (words, _) in enumerate(group):
+            for i in np.flatnonzero(items.is_anchor[words]).tolist():
+                for k, step, neighbour in items.anchors[int(words[i])]:
+                    if 0 <= i + step < len(words) and words[i + step] == neighbour:
+                        yield d, k, i
+
+    def hits(group: list) -> list[tuple]:
+        best: dict[tuple, tuple] = {}
+        for d, k, middle in sorted({*near(group), *exact(group)}):
+            if best.get((d, k), (0, 0)) == (1, 1):
+                continue
+            words, size = group[d][0], len(items.words[k])
+            around = words[max(0, middle - size): middle + PASSAGE + size].tolist()
+            answer = len(items.answers[k].intersection(around)) / len(items.answers[k])
+            if answer >= MIN_ANSWER:
+                share = common_words(items.bits[k], size, around) / size
+                if share >= MIN_COMMON and (share, answer) > best.get((d, k), (0, 0)):
+                    best[d, k] = (share, answer)
         return [(group[d][1], items.ids[k], share, answer) for (d, k), (share, answer) in best.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,22 +354,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not sums:
         return spark.createDataFrame([], out)
     found = np.concatenate([sums[i] for i in range(SLICES)])
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of(F.col("text")).alias("text"))
+    sizes = "part int, slice int, sums binary"
+    used = _collected(items.select("text").mapInArrow(_used_slots(found, sums[SLICES][0]), sizes))
+    used = np.concatenate([used[i] for i in range(SLICES)]) > 0 if used else np.zeros(SLOTS, bool)
     leaks = None
-    for b in range(blocks):  # a block is a bounded query set
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        own = [(r["item_id"], w) for r in block for w in words_of([(r["text"] or "").encode()]) if len(w)]
-        if not own:
-            continue
-        vocabulary = Vocabulary([w for _, w in own], found, sums[SLICES][0])
-        y = _collected(words.select("words").mapInArrow(_range_pass(vocabulary), "part int, slice int, sums binary"))
-        if not y:
-            continue
-        basis = singular_vectors(np.concatenate([y[i].reshape(-1, RANK) for i in range(SLICES)]))
-        weighted = basis * vocabulary.weights[:, None]
-        part = words.mapInArrow(_search(Items(own, vocabulary, weighted), vocabulary, weighted), out)
-        leaks = part if leaks is None else leaks.unionByName(part)
+    if used.any():
+        vocabulary = Vocabulary(used, found, sums[SLICES][0])
+        y = _collected(words.select("words").mapInArrow(_range_pass(vocabulary), sizes))
+        blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK)) if y else 0
+        if blocks:
+            rank = _gaussian(len(vocabulary.weights)).shape[1]
+            basis = singular_vectors(np.concatenate([y[i].reshape(-1, rank) for i in range(SLICES)]))
+            weighted = basis * vocabulary.weights[:, None]
+        for b in range(blocks):  # a block is a bounded query set
+            block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+            own = [(r["item_id"], w) for r in block for w in words_of([r["text"].encode()]) if len(w)]
+            if own:
+                part = words.mapInArrow(_search(Items(own, vocabulary, weighted), vocabulary, weighted), out)
+                leaks = part if leaks is None else leaks.unionByName(part)
     leaks = materialize(spark.createDataFrame([], out) if leaks is None else leaks)
     drop_path(spark, path)
     return leaks

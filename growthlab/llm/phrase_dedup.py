@@ -10,7 +10,7 @@ that each window lies in exactly one phrase, and equal windows have equal trigge
 the suffix order of the corpus, to the depth of a window, follows from the suffix order
 of the dictionary of distinct phrases alone; the parse only says where phrases occur.
 
-*Dictionary.*  Documents are dealt to blocks by a hash of the id.  Each block sends its
+*Dictionary.*  Documents are dealt to blocks by a hash of id and text.  Each block sends its
 distinct phrases as (trigger hash, phrase hash, least id), dealt by phrase.  There each
 phrase gets its first document, and each trigger's distinct phrases are counted per bucket;
 the counts are dealt by trigger and summed, so a trigger costs a row per bucket.  Most occurrences are settled by that: a phrase whose
@@ -24,7 +24,8 @@ runs of equal windows get the least first document.  A trigger with more than
 not held in one place: each block sends the distinct windows of its phrases with their
 least first document, dealt by a hash of the window's own bytes, and the same sort answers.
 
-Blocks hold a set number of documents and phrases are distinct within a block, so a text
+Blocks hold a set number of documents and bytes (rows that share an id are dealt by their
+texts), and phrases are distinct within a block, so a text
 that a third of the corpus shares costs a row per block, not per copy.  All shuffles are
 by block, by phrase hash, by window hash, or by trigger hash with a bounded number of
 phrases a trigger.
@@ -50,6 +51,8 @@ WINDOW, GRAM = 50, 24
 #: Bytes parsed at a time; positions within must fit in PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 19, 20
 DOCS_PER_BLOCK = 1500
+#: Bytes of text of a block, when its documents are long.
+BYTES_PER_BLOCK = 8 << 20
 #: Most distinct phrases of a trigger whose windows are sorted in one place.
 HOT_PHRASES = 1000
 _FACTORS = mix(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
@@ -447,10 +450,11 @@ def _cut_out(buckets: int):
 def remove_repeats(docs: DataFrame, docs_per_block: int = DOCS_PER_BLOCK, hot_phrases: int = HOT_PHRASES) -> DataFrame:
     """(doc_id, n_bytes, spans: removed byte ranges, kept: remaining bytes), a row per input row."""
     width = shuffle_width(docs)
-    n_blocks = max(width, -(-docs.count() // docs_per_block))
+    n_docs, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_of(F.col("text"))).cast("long"))).first()
+    n_blocks = max(width, -(-n_docs // docs_per_block), -(-(size or 0) // BYTES_PER_BLOCK))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), order_id().alias("id"), text_of(F.col("text")).alias("text"))
     # one shuffle of the texts; the three uses below share it
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).repartition(width, "block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int")).repartition(width, "block")
     by_block = rows.groupBy("block")
     dictionary = by_block.applyInArrow(_dictionary(width), "bucket int, block int, trigger binary, phrase binary, least binary")
     # one shuffle of the dictionary; both uses below share it

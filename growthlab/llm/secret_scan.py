@@ -78,9 +78,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ledger rows of a task's blobs; of rows that repeat a blob the last few thousand are
+    remembered and not scanned again."""
+    done: dict[str, None] = {}
     for batch in batches:
         rows: dict[str, list] = {c: [] for c in ("blob", "rule_version", "n_assign", "n_access", "n_hex", "base", "spans")}
         for blob, text in zip(batch["blob"].to_pylist(), batch["text"]):
+            if blob in done:
+                continue
+            done[blob] = None
+            if len(done) > REMEMBERED:
+                del done[next(iter(done))]
             spans = find_spans(text.as_py() or "")
             kinds = [k for _, k, _ in spans]
             rows["blob"].append(blob)
@@ -93,6 +101,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           for c, v in rows.items()})
 
 
+#: Blobs that a task remembers to have scanned.
+REMEMBERED = 10_000
+
+
 def versions(docs: DataFrame) -> DataFrame:
     """(doc_id, blob): the content address of every version."""
     return docs.select("doc_id", F.sha2(text_of(F.col("text")), 256).alias("blob"))
@@ -111,9 +123,10 @@ def scan_into(docs: DataFrame, ledger_path: str, ledger: DataFrame | None = None
     """Scans the pending blobs of ``docs`` and appends the results to the ledger."""
     pending = pending_blobs(versions(docs), ledger)
     texts = docs.select(order_id().alias("id"), text_of(F.col("text")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    # an id may have several versions, hence the blob in the key
+    # an id may have several versions, hence the blob in the key; rows that repeat id and blob
+    # give a ledger row once
     todo = texts.join(pending, ["id", "blob"]).select("blob", "text")
-    todo.mapInArrow(_scan, SCHEMA).write.mode("append").parquet(ledger_path)
+    todo.mapInArrow(_scan, SCHEMA).dropDuplicates(["blob"]).write.mode("append").parquet(ledger_path)
 
 
 def findings(docs: DataFrame, ledger: DataFrame) -> DataFrame:
