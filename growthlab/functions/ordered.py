@@ -118,7 +118,7 @@ def value_at(df: DataFrame, col: str, place: DataFrame) -> DataFrame:
     the last.  As ``order_statistics``, with a bracket of three of GRID equal shares."""
     within = lambda i: f"ARRAY(e[GREATEST(0, LEAST({GRID}, CAST(FLOOR(place / GREATEST(n, 1) * {GRID}) AS INT) + {i}))])"
     edges = f"""SELECT n, place, {within(-1)} AS lo, {within(2)} AS hi FROM (
-        SELECT COUNT(v) AS n, PERCENTILE_APPROX(v, TRANSFORM(SEQUENCE(0, {GRID}), i -> i / {GRID}D), {SKETCH}) AS e FROM live) CROSS JOIN {{place}}"""
+        SELECT COUNT(v) AS n, PERCENTILE_APPROX(v, ARRAY({", ".join(f"{i / GRID!r}D" for i in range(GRID + 1))}), {SKETCH}) AS e FROM live) CROSS JOIN {{place}}"""
     picked = f"SELECT value FROM (SELECT MAX(n) AS n, {_at('place')} AS value FROM run) WHERE n > 0"
     return df.sparkSession.sql("WITH live AS (SELECT " + f"`{col}` AS v FROM {{df}} WHERE `{col}` IS NOT NULL), " + _between(edges, 1, picked), df=df, place=place)
 
@@ -160,7 +160,8 @@ def group_positions(df: DataFrame, group: str, order_cols: list, name: str = "po
 
     A restarting count inside range partitions, so a group with very many rows is spread
     over as many of them, and no join on the group is needed: only the first group of a
-    partition continues, by what one row per earlier partition says."""
+    partition continues, by what one row per earlier partition says.  Rows without a group
+    are one group, the first."""
     import numpy as np
     from pyspark import TaskContext
 
@@ -177,8 +178,9 @@ def group_positions(df: DataFrame, group: str, order_cols: list, name: str = "po
             if not len(pdf):
                 continue
             key = pdf[group]
-            new = key.ne(key.shift())
-            if last is not None and key.iloc[0] == last:
+            void = key.isna()  # nulls are equal here
+            new = key.ne(key.shift()) & ~(void & void.shift(fill_value=False))
+            if last is not None and (key.iloc[0] == last[0] or (void.iloc[0] and last[1])):
                 new.iloc[0] = False
             run = new.cumsum()
             # rows of the run that began in an earlier batch go on from its count
@@ -191,15 +193,16 @@ def group_positions(df: DataFrame, group: str, order_cols: list, name: str = "po
                 pdf[previous[1]] = shifted.where(~new, None)
                 before = pdf[previous[0]].iloc[-1]
             first = bool(pdf["__first"].iloc[-1])
-            last, count = key.iloc[-1], int(pdf[name].iloc[-1])
+            last, count = (key.iloc[-1], bool(void.iloc[-1])), int(pdf[name].iloc[-1])
             pdf[PID] = pid
             yield pdf
 
     loc = materialize(ranged.mapInPandas(local, T.StructType(fields)))
     ends = F.struct(name, group, *([previous[0]] if previous else []), "__first")
     # one row per partition: its first group, its last row, whether they are one group
-    rows = sorted(loc.groupBy(PID).agg(F.max(F.when(F.col("__first"), F.col(group))).alias("first"),
-                                       F.max_by(ends, F.struct(F.col(group), F.col(name))).alias("end")).collect())
+    found = loc.groupBy(PID).agg(F.max(F.when(F.col("__first"), F.col(group))).alias("first"),
+                                 F.max_by(ends, F.struct(F.col(group), F.col(name))).alias("end")).collect()
+    rows = sorted(found, key=lambda r: r[PID])
     carried, carry = [], 0
     for before, r in zip([None, *rows], rows):
         goes_on = before is not None and before["end"][group] == r["first"]
