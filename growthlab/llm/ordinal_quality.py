@@ -44,7 +44,7 @@ from growthlab.llm.common import PIECE, mix, packed, prefix_hash, shingle_hashes
 N_GRADES = 3
 N_BINS = 12
 #: Word beginnings, in bytes, that are features beside the whole words.
-STEMS = (4, 5, 6, 7, 8, 9)
+STEMS = (5, 6, 7, 8)
 #: Standard errors by which a slot's (a rung's) share of lower grades must exceed the average.
 SCREEN, RUNG_SCREEN = 4.0, 2.0
 #: Sampled documents on a rung that has a weight.
@@ -155,17 +155,23 @@ class Ordinal:
         return 1 - _sigmoid(self.thresholds[None, :] - scores[:, None])
 
 
-def telling(flat: np.ndarray, owner: np.ndarray, shares: np.ndarray, n_slots: int, min_docs: int) -> np.ndarray:
-    """The slots, ascending, that lower grades hold more often than chance explains; ``flat``
-    are the slots of all sampled documents, ``owner`` the grade of each one's document and
-    ``shares`` the shares of documents below grade 1, 2."""
-    slots, place, found = np.unique(flat, return_inverse=True, return_counts=True)
-    screen, used = np.where(slots < n_slots, SCREEN, RUNG_SCREEN), np.zeros(len(slots), bool)
-    for j in range(1, N_GRADES):
-        lower = np.bincount(place, owner < j, len(slots))
-        share = shares[j - 1]
-        used |= lower - found * share > screen * np.sqrt(np.maximum(found * share * (1 - share), 0.25))
-    return slots[used & (found >= np.where(slots < n_slots, min_docs, RUNG_DOCS))]
+def telling(sample: list, shares: np.ndarray, n_slots: int, min_docs: int) -> np.ndarray:
+    """The slots, ascending, that lower grades hold more often than chance explains; ``shares``
+    are the shares of sampled documents below grade 1, 2.  Counts stand in narrow arrays by
+    slot, filled document by document, so the sample is never copied."""
+    size = n_slots + N_SHAPES * N_BINS
+    counts = np.zeros((N_GRADES, size), np.uint16 if len(sample) < 1 << 16 else np.uint32)
+    for slots, grade in sample:
+        counts[grade, slots] += 1  # a document's slots are distinct
+    out = []
+    for lo in range(0, size, 1 << 20):
+        part = counts[:, lo: lo + (1 << 20)].astype(np.int64)
+        found, at = part.sum(0), lo + np.arange(part.shape[1])
+        used, screen = np.zeros(len(at), bool), np.where(at < n_slots, SCREEN, RUNG_SCREEN)
+        for j, share in enumerate(shares, 1):
+            used |= part[:j].sum(0) - found * share > screen * np.sqrt(np.maximum(found * share * (1 - share), 0.25))
+        out.append(at[used & (found >= np.where(at < n_slots, min_docs, RUNG_DOCS))])
+    return np.concatenate(out)
 
 
 def fit(sample: list, n_slots: int, min_docs: int = 8, penalty: float = 0.01, steps: int = 3000) -> Ordinal:
@@ -176,18 +182,16 @@ def fit(sample: list, n_slots: int, min_docs: int = 8, penalty: float = 0.01, st
         return Ordinal(*nothing, np.full(N_GRADES - 1, -20.0))
     n = len(sample)
     grade = np.array([g for _, g in sample])
-    lengths = np.array([len(s) for s, _ in sample])
-    flat = np.concatenate([s for s, _ in sample]).astype(np.int64)
     shares = np.clip(np.cumsum(np.bincount(grade, minlength=N_GRADES) / n)[:-1], 1e-3, 1 - 1e-3)
     even = np.log(shares / (1 - shares))
     base, gap = even[0], np.log(np.maximum(np.diff(even), 0.05))
     cuts_of = lambda own: own[0] + np.concatenate([[0], np.cumsum(np.exp(own[1:]))])
     if len(set(grade.tolist())) == 1:
         return Ordinal(*nothing, cuts_of(np.concatenate([[base], gap])))
-    slots = telling(flat, np.repeat(grade, lengths), shares, n_slots, min_docs)
+    slots = telling(sample, shares, n_slots, min_docs)
     size = len(slots)
-    keep = np.isin(flat, slots)
-    row, flat = np.repeat(np.arange(n), lengths)[keep], np.searchsorted(slots, flat[keep])
+    own = [np.searchsorted(slots, s[np.isin(s, slots)]) for s, _ in sample]
+    row, flat = np.repeat(np.arange(n), [len(s) for s in own]), np.concatenate(own)
     param = np.concatenate([np.zeros(size), [base], gap])
     m, v = np.zeros_like(param), np.zeros_like(param)
     for t in range(1, steps + 1):
