@@ -55,14 +55,17 @@ def _token_bytes(path: str) -> dict[int, bytes]:
     return _TOOLS[path][1]
 
 
-def _planes(values: np.ndarray, size: int) -> bytes:
-    """The low bytes of unsigned values, plane by plane, compressed."""
+def _planes(values: np.ndarray) -> bytes:
+    """The low bytes of unsigned 32-bit values, plane by plane, compressed: three planes, four
+    where a value needs them."""
+    size = 3 if values.max(initial=0) < 1 << 24 else 4
     raw = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size]
-    return zlib.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
+    return bytes([size]) + zlib.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
 
 
-def _from_planes(data: bytes, size: int) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1)
+def _from_planes(data: bytes) -> np.ndarray:
+    size = data[0]
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(size, -1)
     out = np.zeros((planes.shape[1], 4), np.uint8)
     out[:, :size] = planes.T
     return out.reshape(-1).view("<u4")
@@ -93,7 +96,7 @@ def _parse(pattern: str):
             flat = np.concatenate(places) if places else np.zeros(0, np.uint32)
             return pa.RecordBatch.from_arrays(
                 [pa.array([f"{task}-{number}"], pa.string()), pa.array([ids], pa.list_(id_type)),
-                 pa.array([np.array(sizes, np.uint32).tobytes()], pa.binary()), pa.array([_planes(flat, 3)], pa.binary()),
+                 pa.array([np.array(sizes, np.uint32).tobytes()], pa.binary()), pa.array([_planes(flat)], pa.binary()),
                  pa.array([_packed(list(words))], pa.binary())], names=["block", "ids", "sizes", "places", "words"])
 
         id_type = pa.int64()
@@ -148,7 +151,7 @@ def _encode(path: str):
                 n.append(len(found))
                 flat += found
             counts.append(np.array(n, np.uint32).tobytes())
-            ids.append(_planes(np.array(flat, np.uint32), 3))
+            ids.append(_planes(np.array(flat, np.uint32)))
         return pa.table({"bucket": rows["bucket"], "block": rows["block"], "counts": pa.array([zlib.compress(c, 1) for c in counts], pa.binary()),
                          "ids": pa.array(ids, pa.binary())})
     return run
@@ -170,13 +173,13 @@ def _assemble(buckets: int, path: str):
                 if places:
                     counts = np.frombuffer(zlib.decompress(own[b]["counts"]), np.uint32)
                     n[places] = counts
-                    parts.append((np.array(places), counts.astype(np.int64), _from_planes(own[b]["ids"], 3)))
+                    parts.append((np.array(places), counts.astype(np.int64), _from_planes(own[b]["ids"])))
             start = np.cumsum(n) - n
             flat = np.zeros(int(n.sum()), np.int64)
             for places, counts, ids in parts:
                 flat[np.repeat(start[places] - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))] = ids
             spelled = [b"".join(map(table.__getitem__, flat[s: s + k].tolist())) for s, k in zip(start.tolist(), n.tolist())]
-            places, sizes = _from_planes(row["places"], 3).astype(np.int64), np.frombuffer(row["sizes"], np.uint32)
+            places, sizes = _from_planes(row["places"]).astype(np.int64), np.frombuffer(row["sizes"], np.uint32)
             end = 0
             for size in sizes.tolist():
                 own_places = places[end: end + size]

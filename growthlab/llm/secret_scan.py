@@ -34,7 +34,7 @@ from growthlab.functions.ordered import materialize
 from growthlab.llm.common import order_id, small_batches, text_of
 from growthlab.session import drop_path, scratch_path
 
-RULE_VERSION = 1
+RULE_VERSION = 2
 BASE_KINDS = ["assign", "access", "hex"]
 #: Kinds in listed order: the base ones, then those this method adds.
 KINDS = BASE_KINDS + ["private_key", "web_token", "hosted_token", "url_password"]
@@ -46,10 +46,11 @@ KINDS = BASE_KINDS + ["private_key", "web_token", "hosted_token", "url_password"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?")
+# its header lines (Proc-Type, DEK-Info) hold single hyphens
+PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*(?:-(?!----)[^-]*)*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?")
 WEB_TOKEN = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 HOSTED_TOKEN = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")
-URL_PASSWORD = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{3,128})@")
+URL_PASSWORD = re.compile(r"[a-z0-9]://[^\s/:@]+:([^\s/@]{3,})@")
 
 SCHEMA = "blob string, rule_version int, n_assign long, n_access long, n_hex long, base string, spans string"
 
