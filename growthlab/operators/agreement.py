@@ -14,29 +14,51 @@ from growthlab.functions.ordered import discrete_quantiles, materialize, value_a
 
 
 def kendall_tau_b(x: Column, y: Column) -> Column:
-    """τ-b = (C − D) / √((n0 − n1)(n0 − n2)); null when either side is constant
-    or the lengths differ.  The two arrays are evaluated once per row (``let``)."""
-    return let(_kendall_core, x=x, y=y)
-
-
-def _kendall_core(x: Column, y: Column) -> Column:
-    n = F.size(x)
-    idx = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("tx"), F.lit(0).alias("ty"))
-
-    def outer(acc, i):
-        def inner(a, j):
-            dx = F.signum(F.get(x, i).cast("double") - F.get(x, j).cast("double"))
-            dy = F.signum(F.get(y, i).cast("double") - F.get(y, j).cast("double"))
-            return F.when(j > i, F.struct((a["s"] + dx * dy).alias("s"),
-                                          (a["tx"] + F.when(dx == 0, 1).otherwise(0)).alias("tx"),
-                                          (a["ty"] + F.when(dy == 0, 1).otherwise(0)).alias("ty"))).otherwise(a)
-        return F.aggregate(idx, acc, inner)
-
-    r = F.aggregate(idx, zero, outer)
-    n0 = (n * (n - 1) / 2).cast("double")
-    den = F.sqrt((n0 - r["tx"]) * (n0 - r["ty"]))
-    return F.when((F.size(x) != F.size(y)) | (n < 2) | (den == 0), F.lit(None).cast("double")).otherwise(r["s"] / den)
+    """τ-b = (C − D) / √((n0 − n1)(n0 − n2)); null when either side is constant, holds a null,
+    or the lengths differ.  Knight's method: the pairs are sorted by x, then y; D is the number
+    of inversions of y in that order, counted by merging blocks of doubling length, and the
+    tied pairs are run lengths, so the work grows as n log² n of the array's length."""
+    idx = F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)))
+    pairs = F.array_sort(F.transform(idx, lambda i: F.struct(F.get(x, i).cast("double").alias("a"), F.get(y, i).cast("double").alias("b"))))
+    usable = (F.size(x) == F.size(y)) & (F.size(x) > 1) & ~F.exists(x, lambda v: v.isNull()) & ~F.exists(y, lambda v: v.isNull())
+    return F.when(usable, let(_kendall_core, p=pairs))
+
+
+def _tied_pairs(rows: Column, same) -> Column:
+    """Pairs of neighbours, and so on, that are equal in a sorted array: Σ t (t − 1) / 2."""
+    zero = F.struct(F.element_at(rows, 1).alias("last"), F.lit(-1).cast("long").alias("run"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc, e):
+        run = F.when(same(acc["last"], e), acc["run"] + 1).otherwise(F.lit(0).cast("long"))
+        return F.struct(e.alias("last"), run.alias("run"), (acc["n"] + run).alias("n"))
+    return F.aggregate(rows, zero, step)["n"]
+
+
+def _inversions(values: Column) -> Column:
+    """Pairs of an array in falling order."""
+    n = F.size(values)
+    zero = F.lit(0).cast("long")
+
+    def across(width, start):  # of a left and a right block of ``width``: right values below a left one
+        sides = F.transform(F.slice(values, start + 1, 2 * width), lambda v, i: F.struct(v.alias("v"), (i >= width).alias("right")))
+        none = F.struct(zero.alias("seen"), zero.alias("n"))
+        return F.aggregate(F.array_sort(sides), none, lambda acc, e: F.struct(
+            (acc["seen"] + e["right"].cast("long")).alias("seen"), (acc["n"] + F.when(e["right"], zero).otherwise(acc["seen"])).alias("n")))["n"]
+
+    widths = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(widths, zero, lambda acc, w: acc + F.aggregate(
+        F.sequence(F.lit(0), n - 1, 2 * w), zero, lambda sub, start: sub + across(w, start)))
+
+
+def _kendall_core(p: Column) -> Column:
+    n = F.size(p).cast("long")
+    all_pairs = n * (n - 1) / 2
+    ys = F.transform(p, lambda e: e["b"])
+    n1 = _tied_pairs(p, lambda s, t: s["a"] == t["a"])
+    n2 = _tied_pairs(F.array_sort(ys), lambda s, t: s == t)
+    n3 = _tied_pairs(p, lambda s, t: (s["a"] == t["a"]) & (s["b"] == t["b"]))
+    den = F.sqrt((all_pairs - n1) * (all_pairs - n2))
+    return F.when(den > 0, (all_pairs - n1 - n2 + n3 - 2 * let(_inversions, ys=ys)) / den)
 
 
 def category_rank_arrays(scores: DataFrame, categories: list[str], missing_rank: int | None = None) -> DataFrame:

@@ -227,3 +227,29 @@ def test_store_scans_open_only_the_days_asked_for(spark):
         assert filters and any("dt" in line for line in filters)
     newest = IO.latest_snapshot(store)
     assert newest.select("dt").distinct().count() == 1 and newest.first()["dt"] == store.agg(F.max("dt")).first()[0]
+
+
+# ---------------------------------------------------------------- rank agreement
+
+def _tau_b(x, y):
+    sign = lambda v: (v > 0) - (v < 0)
+    s = tx = ty = 0
+    for i in range(len(x)):
+        for j in range(i):
+            a, b = sign(x[i] - x[j]), sign(y[i] - y[j])
+            s, tx, ty = s + a * b, tx + (a == 0), ty + (b == 0)
+    n0 = len(x) * (len(x) - 1) / 2
+    den = math.sqrt((n0 - tx) * (n0 - ty))
+    return s / den if den else None
+
+
+def test_kendall_equals_the_count_of_pairs(spark):
+    rng = random.Random(6)
+    rows = [([rng.randint(0, k) for _ in range(n)], [rng.randint(0, k) for _ in range(n)]) for n in (1, 2, 3, 5, 8, 12, 33, 100) for k in (0, 1, 3, 50)]
+    got = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(rows)], "i int, x array<long>, y array<long>").select(
+        "i", AG.kendall_tau_b(F.col("x"), F.col("y")).alias("t")).collect()
+    for r in got:
+        want = _tau_b(*rows[r["i"]])
+        assert (r["t"] is None) == (want is None) and (want is None or abs(r["t"] - want) < 1e-12), (rows[r["i"]], r, want)
+    odd = spark.createDataFrame([([1, 2], [1]), ([1, None], [1, 2]), (None, [1, 2]), ([], [])], "x array<long>, y array<long>")
+    assert [r[0] for r in odd.select(AG.kendall_tau_b(F.col("x"), F.col("y"))).collect()] == [None] * 4
