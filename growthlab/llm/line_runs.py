@@ -5,13 +5,15 @@ hash with, per hash, the number of documents and of lines and the largest docume
 A new batch
 
 1. is aggregated to one row per line hash,
-2. is merge-anti-joined with the runs (same buckets and order on both sides, so the
-   runs are not shuffled again) to mark the lines not seen before; the mark decides nothing,
-3. is added as a run of level 0.
+2. is merge-anti-joined with the keys of the runs (same buckets and order on both sides, so
+   the runs are not shuffled again),
+3. is added at level 0: the hashes that the anti-join leaves become the keys of a new run, the
+   others are written beside them as increments of keys that an earlier run holds.  So no
+   two runs hold the same key, and an anti-join reads keys only.
 
-When a level holds ``fanout`` runs they are merged into one run of the next level, so
-a line is rewritten once per level, i.e. logarithmically often.  A lookup merges the
-few runs that exist.
+When a level holds ``fanout`` runs they are merged into one run of the next level, where
+increments meet their key or go on as increments, so a line is rewritten once per level,
+i.e. logarithmically often.  A lookup merges the few runs that exist.
 
 A line's key is the line without the blanks at both ends and with A-Z lower-cased;
 128 bits of hash stand for it.  Keys of fewer than ``min_chars`` code points are never
@@ -58,25 +60,25 @@ class LineRuns:
 
     def _write(self, keys: DataFrame) -> tuple[str, str]:
         name, path = f"line_run_{uuid.uuid4().hex}", scratch_path(self.spark, "line-run")
-        (keys.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
+        (keys.repartition(self.buckets, *KEY).write.partitionBy("is_key").bucketBy(self.buckets, *KEY).sortBy(*KEY)
          .option("path", path).format("parquet").saveAsTable(name))
         return name, path
 
     def unseen(self, keys: DataFrame) -> DataFrame:
-        """The rows of ``keys`` (h1, h2, ...) whose hash no run holds."""
+        """The rows of ``keys`` (h1, h2, ...) whose hash no run holds as a key."""
         for run in self.runs():
-            keys = keys.join(run, KEY, "left_anti")
+            keys = keys.join(run.where("is_key").select(*KEY), KEY, "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> None:
-        """Adds one batch of (h1, h2, n_docs, last_doc, n_lines), a row per hash: lines that no run
-        holds as new ones, the others as increments of their counts."""
+        """Adds one batch of (h1, h2, n_docs, last_doc, n_lines), a row per hash: hashes that no run
+        holds as the keys of a new run, the others as increments beside them."""
         if self.levels:
-            held = self.unseen(keys).withColumn("is_new", F.lit(True))
-            keys = (keys.join(held.select(*KEY, "is_new"), KEY, "left")
-                    .select(*KEY, "n_docs", "last_doc", "n_lines", F.coalesce("is_new", F.lit(False)).alias("is_new")))
+            new = self.unseen(keys).select(*KEY, F.lit(True).alias("is_key"))
+            keys = (keys.join(new, KEY, "left")
+                    .select(*KEY, "n_docs", "last_doc", "n_lines", F.coalesce("is_key", F.lit(False)).alias("is_key")))
         else:
-            keys = keys.select(*KEY, "n_docs", "last_doc", "n_lines", F.lit(True).alias("is_new"))
+            keys = keys.select(*KEY, "n_docs", "last_doc", "n_lines", F.lit(True).alias("is_key"))
         self._place(self._write(keys), 0)
 
     def _place(self, run: tuple[str, str], level: int) -> None:
@@ -95,11 +97,11 @@ class LineRuns:
         for r in runs[1:]:
             rows = rows.unionByName(r)
         return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"),
-                                      F.sum("n_lines").alias("n_lines"), F.max("is_new").alias("is_new"))
+                                      F.sum("n_lines").alias("n_lines"), F.max("is_key").alias("is_key"))
 
     def lookup(self) -> DataFrame:
         """(h1, h2, n_docs, last_doc, n_lines) over all runs, a row per hash."""
-        return self._merged(self.runs()).drop("is_new")
+        return self._merged(self.runs()).drop("is_key")
 
     def _drop(self, runs: list[tuple[str, str]]) -> None:
         for name, path in runs:

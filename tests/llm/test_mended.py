@@ -122,3 +122,19 @@ def test_fitted_weights_are_a_least_point(seed):
             c = m.thresholds.copy()
             c[k] += step
             assert loss(m.weights, c) >= base - 1e-5
+
+
+def test_runs_hold_each_line_as_a_key_once(spark):
+    """The anti-join decides: a hash is a key in one run, and increments elsewhere."""
+    from growthlab.llm.line_runs import LineRuns
+    from growthlab.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    runs = LineRuns(spark, 4, fanout=3)
+    kind = "h1 long, h2 long, n_docs long, last_doc long, n_lines long"
+    for b in range(5):
+        runs.add(spark.createDataFrame([(h, h, 1, 10 * b + h % 3, 2) for h in range(b, 20 + 3 * b)], kind))
+    held = [{r.h1 for r in run.where("is_key").collect()} for run in runs.runs()]
+    assert len(held) > 1 and sum(map(len, held)) == len(set.union(*held)) == 32
+    found = {r.h1: (r.n_docs, r.n_lines) for r in runs.lookup().collect()}
+    assert found == {h: (n, 2 * n) for h in range(32) if (n := sum(b <= h < 20 + 3 * b for b in range(5)))}
+    runs.drop()
