@@ -83,14 +83,18 @@ def _between(edges: str, brackets: int, picked: str) -> str:
     below = " + ".join(f"CAST(v > hi[{j}] AS INT)" for j in range(brackets))
     return f"""edges AS ({edges}),
         split AS (SELECT /*+ BROADCAST(edges) */ live.v, edges.n, ({inside}) AS inside, {below} AS below, edges.* EXCEPT (n, lo, hi) FROM live CROSS JOIN edges),
-        counts AS (SELECT MAX(v) AS v, COUNT(*) AS c, FIRST(STRUCT(split.* EXCEPT (v, inside, below))) AS e
+        counts AS (SELECT MIN(v) AS least, MAX(v) AS v, COUNT(*) AS c, ANY(inside) AS inside, FIRST(STRUCT(split.* EXCEPT (v, inside, below))) AS e
                    FROM split GROUP BY CASE WHEN inside THEN v END, CASE WHEN NOT inside THEN below END),
-        run AS (SELECT v, c, e.*, SUM(c) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM counts)
+        run AS (SELECT least, v, c, inside, e.*, SUM(c) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM counts)
         {picked}"""
 
 
 def _at(place: str) -> str:
-    return f"MAX(CASE WHEN cum - c <= {place} AND {place} < cum THEN v END)"
+    """The value at a position: in a bracket, or next to one, where it is the least or the
+    greatest value of what lies between two."""
+    found = f"""CASE WHEN inside OR {place} = cum - 1 THEN v WHEN {place} = cum - c THEN least
+                ELSE RAISE_ERROR('the sketch is off by more than its stated rank error') END"""
+    return f"MAX(CASE WHEN cum - c <= {place} AND {place} < cum THEN {found} END)"
 
 
 def order_statistics(df: DataFrame, col: str, qs: list[float], places, result: str) -> DataFrame:

@@ -44,6 +44,14 @@ def test_order_statistics_are_exact_with_a_coarse_sketch(spark, monkeypatch, ske
     assert all(disc[q] == ordered[max(math.ceil(len(values) * q) - 1, 0)] for q in qs)
 
 
+def test_quantiles_of_few_values(spark):
+    for n in (1, 2, 3, 7, 10, 19):
+        df = spark.range(n).select((F.col("id") * F.col("id")).cast("double").alias("x"))
+        qs = [i / 12 for i in range(13)]
+        got = {r["q"]: r["quantile"] for r in O.exact_quantiles(df, "x", qs).collect()}
+        assert all(abs(got[q] - np.quantile([i * i for i in range(n)], q)) < 1e-9 for q in qs), n
+
+
 @pytest.mark.parametrize("place", [-1, 0, 7, 4999, 9999, 10_000])
 def test_value_at_a_position_from_the_data(spark, place):
     values = [i * 7919 % 10_007 // 3 for i in range(10_000)]
