@@ -77,15 +77,19 @@ GRID = 1000
 def _between(edges: str, brackets: int, picked: str) -> str:
     """The rest of a statement over ``live`` (column v), after its one-row ``edges``, which has
     ``n`` and arrays ``lo`` and ``hi`` of bracket ends, both ascending.  Values inside a bracket
-    are counted one by one, all between two brackets as one row; ``run`` has their running
-    count ``cum``, and ``picked`` selects from it."""
+    are counted one by one, all between two brackets as one row.  The bracket ends cut the
+    column into zones; a running count inside each zone plus the totals of the zones below, a
+    map of at most 2 brackets + 1 entries, is the running count ``cum`` that ``picked`` reads."""
     inside = " OR ".join(f"v BETWEEN lo[{j}] AND hi[{j}]" for j in range(brackets))
-    below = " + ".join(f"CAST(v > hi[{j}] AS INT)" for j in range(brackets))
+    zone = " + ".join(f"CAST(v >= lo[{j}] AS INT) + CAST(v > hi[{j}] AS INT)" for j in range(brackets))
     return f"""edges AS ({edges}),
-        split AS (SELECT /*+ BROADCAST(edges) */ live.v, edges.n, ({inside}) AS inside, {below} AS below, edges.* EXCEPT (n, lo, hi) FROM live CROSS JOIN edges),
-        counts AS (SELECT MIN(v) AS least, MAX(v) AS v, COUNT(*) AS c, ANY(inside) AS inside, FIRST(STRUCT(split.* EXCEPT (v, inside, below))) AS e
-                   FROM split GROUP BY CASE WHEN inside THEN v END, CASE WHEN NOT inside THEN below END),
-        run AS (SELECT least, v, c, inside, e.*, SUM(c) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM counts)
+        split AS (SELECT /*+ BROADCAST(edges) */ live.v, edges.n, ({inside}) AS inside, {zone} AS zone, edges.* EXCEPT (n, lo, hi) FROM live CROSS JOIN edges),
+        counts AS (SELECT zone, MIN(v) AS least, MAX(v) AS v, COUNT(*) AS c, ANY(inside) AS inside, FIRST(STRUCT(split.* EXCEPT (v, inside, zone))) AS e
+                   FROM split GROUP BY zone, CASE WHEN inside THEN v END),
+        totals AS (SELECT MAP_FROM_ENTRIES(COLLECT_LIST(STRUCT(zone, s))) AS sizes FROM (SELECT zone, SUM(c) AS s FROM counts GROUP BY zone)),
+        own AS (SELECT *, SUM(c) OVER (PARTITION BY zone ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS within FROM counts),
+        run AS (SELECT /*+ BROADCAST(totals) */ least, v, c, inside, e.*,
+                       within + AGGREGATE(MAP_VALUES(MAP_FILTER(sizes, (k, s) -> k < zone)), 0L, (a, s) -> a + s) AS cum FROM own CROSS JOIN totals)
         {picked}"""
 
 
