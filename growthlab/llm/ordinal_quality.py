@@ -213,7 +213,7 @@ def fit(sample: list, n_slots: int, min_docs: int = 8, penalty: float = 0.01, st
     return Ordinal(slots, param[:size], cuts_of(param[size:]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, n_slots: int = 1 << 24) -> tuple[Ordinal, int]:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, n_slots: int = 1 << 22) -> tuple[Ordinal, int]:
     small_batches(docs.sparkSession)
     return fit(training_sample(docs, labels, max_train, n_slots), n_slots), n_slots
 
